@@ -144,7 +144,9 @@ def running_totals(
     order = F.col(key).desc() if desc else F.col(key).asc()
     within = Window.partitionBy(BUCKET).orderBy(order, F.col(tie).asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    y = x.join(F.broadcast(offsets), BUCKET, "inner")
+    # left join: offsets cover every bucket, and an inner join would make
+    # Catalyst infer isnotnull(bucket) below the exchange (a second UDF pass)
+    y = x.join(F.broadcast(offsets), BUCKET, "left")
     out = [F.col(c) for c in df.columns]
     for name, c in sums.items():
         out.append((F.col(f"_o_{name}") + F.sum(c).over(within)).alias(name))

@@ -87,12 +87,17 @@ def main(argv):
     failed = 0
     for name in names or list(qs):
         t0 = time.time()
-        df = qs[name](spark, sf_dir)
-        if name not in oracle:
-            n = df.count()
-            print(f"[rows-only] {name}: {n} rows ({time.time() - t0:.1f}s)")
+        try:
+            df = qs[name](spark, sf_dir)
+            if name not in oracle:
+                n = df.count()
+                print(f"[rows-only] {name}: {n} rows ({time.time() - t0:.1f}s)")
+                continue
+            problems, ns, nd = compare(df, con, oracle[name])
+        except Exception as exc:  # report and go on
+            failed += 1
+            print(f"[ERR] {name}: {str(exc).splitlines()[0][:300]}")
             continue
-        problems, ns, nd = compare(df, con, oracle[name])
         status = "OK " if not problems else "BAD"
         failed += bool(problems)
         print(f"[{status}] {name}: spark={ns} duck={nd} ({time.time() - t0:.1f}s)")
