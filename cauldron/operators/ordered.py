@@ -8,7 +8,7 @@ task, so the kernel here splits the global order into contiguous buckets:
 1. a bounded sample of the ordering key (primary key, tie key) gives
    bucket edges (they only affect balance, never the result);
 2. each row's bucket is the number of edges at or before it in the order,
-   found by binary search in an Arrow-batched pandas UDF;
+   found by a JVM-side binary search over array literals;
 3. per-bucket totals (one row per bucket) get exclusive running totals;
 4. a window partitioned by bucket adds the row's running sum to its offset.
 
@@ -21,10 +21,8 @@ and independent of partitioning.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 
@@ -36,20 +34,37 @@ def default_partitions(df: DataFrame) -> int:
         return 200
 
 
+SINGLE_TASK_ROWS_CONF = "cauldron.prefix.singleTaskRows"
+DEFAULT_SINGLE_TASK_ROWS = 100_000
+
+
+def single_task_rows(df: DataFrame) -> int:
+    """Row count up to which one ordered task is cheaper than the bucketed plan."""
+    try:
+        return int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(DEFAULT_SINGLE_TASK_ROWS)))
+    except (TypeError, ValueError):
+        return DEFAULT_SINGLE_TASK_ROWS
+
+
 def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
-                  per_bucket: int, seed: int):
-    """Bucket edges from a bounded sample; ``None`` when one bucket suffices."""
+                  per_bucket: int, seed: int, one_task_rows: int):
+    """Bucket edges from a bounded sample; ``None`` when one task suffices.
+
+    The count is exact, so the single-task path is taken only below a proven
+    row bound.  The sample has expected size ``n_buckets * per_bucket``
+    regardless of the input size (a fraction of a count, no ``limit``, so one
+    job).
+    """
     if n_buckets <= 1:
         return None
     n = df.count()
-    if n <= 2 * n_buckets:
+    if n <= max(2 * n_buckets, one_task_rows):
         return None
     target = n_buckets * per_bucket
     fraction = min(1.0, target / n)
     rows = (
         df.select(F.col(key).alias("k"), F.col(tie).alias("t"))
         .sample(False, fraction, seed)
-        .limit(2 * target)
         .collect()
     )
     if not rows:
@@ -73,31 +88,36 @@ def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
     return keys[picks], ties[picks], string_key
 
 
-def _bucket_udf(edge_keys: np.ndarray, edge_ties: np.ndarray, negate: bool, string_key: bool):
-    """Number of edges at or before each row in (key, tie) order."""
-
-    @F.pandas_udf(T.IntegerType())
-    def bucket_of(k: pd.Series, t: pd.Series) -> pd.Series:
-        if string_key:
-            kv = k.to_numpy().astype(str)
-        else:
-            kv = k.to_numpy(dtype=np.float64)
-            if negate:
-                kv = -kv
-        tv = t.to_numpy(dtype=np.int64)
-        lo = np.searchsorted(edge_keys, kv, side="left")
-        hi = np.searchsorted(edge_keys, kv, side="right")
-        out = lo.copy()
-        tied = np.nonzero(hi > lo)[0]
-        if tied.size:
-            starts = lo[tied]
-            for start in np.unique(starts):
-                idx = tied[starts == start]
-                stop = hi[idx[0]]
-                out[idx] = start + np.searchsorted(edge_ties[start:stop], tv[idx], side="right")
-        return pd.Series(out.astype(np.int32))
-
-    return bucket_of
+def _bucket_expr(edge_keys: np.ndarray, edge_ties: np.ndarray, key: Column, tie: Column,
+                 negate: bool, string_key: bool) -> Column:
+    """Number of edges at or before the row in (key, tie) order.
+
+    A binary search with a fixed number of steps, written as an
+    ``aggregate`` higher-order function over array literals: it stays in
+    the JVM, costs O(log B) per row and needs no Python worker.
+    """
+    m = len(edge_keys)
+    steps = max(1, int(m).bit_length())
+    if string_key:
+        ek = F.array(*[F.lit(str(v)) for v in edge_keys])
+        rk = key.cast("string")
+    else:
+        ek = F.array(*[F.lit(float(v)) for v in edge_keys])
+        rk = -key.cast("double") if negate else key.cast("double")
+    et = F.array(*[F.lit(int(v)) for v in edge_ties])
+    rt = tie.cast("bigint")
+
+    def step(acc: Column, _i: Column) -> Column:
+        lo, hi = acc.getField("lo"), acc.getField("hi")
+        mid = F.floor((lo + hi) / 2).cast("int")
+        e_k, e_t = F.element_at(ek, mid + 1), F.element_at(et, mid + 1)
+        edge_le_row = (e_k < rk) | ((e_k == rk) & (e_t <= rt))
+        go_right = F.struct((mid + 1).alias("lo"), hi.alias("hi"))
+        go_left = F.struct(lo.alias("lo"), mid.alias("hi"))
+        return F.when(lo < hi, F.when(edge_le_row, go_right).otherwise(go_left)).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc.getField("lo"))
 
 
 def running_totals(
@@ -111,6 +131,7 @@ def running_totals(
     buckets: int | None = None,
     per_bucket: int = 32,
     seed: int = 7,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (and a 1-based global rank) in (key, tie) order.
 
@@ -121,12 +142,21 @@ def running_totals(
     sums = dict(sums or {})
     partitions = default_partitions(df)
     n_buckets = buckets if buckets is not None else 4 * partitions
-    edges = _sample_edges(df, key, desc, tie, n_buckets, per_bucket, seed)
+    if one_task_rows is None:
+        one_task_rows = single_task_rows(df)
+    edges = _sample_edges(df, key, desc, tie, n_buckets, per_bucket, seed, one_task_rows)
+    order = F.col(key).desc() if desc else F.col(key).asc()
     if edges is None:
-        bucket_col = F.lit(0)
+        # bounded input: one ordered window is the whole plan
+        w = Window.orderBy(order, F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = [F.col(c) for c in df.columns]
+        out += [F.sum(c).over(w).alias(name) for name, c in sums.items()]
+        if rank:
+            out.append(F.row_number().over(w).cast("bigint").alias(rank))
+        return df.select(*out)
     else:
         e_keys, e_ties, string_key = edges
-        bucket_col = _bucket_udf(e_keys, e_ties, desc and not string_key, string_key)(F.col(key), F.col(tie))
+        bucket_col = _bucket_expr(e_keys, e_ties, F.col(key), F.col(tie), desc and not string_key, string_key)
 
     # one exchange on the bucket, shared by the totals and the window
     x = df.withColumn(BUCKET, bucket_col).repartition(partitions, BUCKET)
@@ -141,7 +171,6 @@ def running_totals(
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
     )
-    order = F.col(key).desc() if desc else F.col(key).asc()
     within = Window.partitionBy(BUCKET).orderBy(order, F.col(tie).asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     # left join: offsets cover every bucket, and an inner join would make
@@ -156,9 +185,9 @@ def running_totals(
 
 
 def global_rank(df: DataFrame, key: str, tie: str, *, desc: bool = True, rank: str = "rank",
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, one_task_rows: int | None = None) -> DataFrame:
     """1-based position in (key, tie) order without a single-task window."""
-    return running_totals(df, key, tie, {}, desc=desc, rank=rank, buckets=buckets)
+    return running_totals(df, key, tie, {}, desc=desc, rank=rank, buckets=buckets, one_task_rows=one_task_rows)
 
 
 def exact_median(df: DataFrame, col: str, tie: str, *, alias: str | None = None) -> DataFrame:
