@@ -68,44 +68,46 @@ def duplicate_ids(df: DataFrame, key: str = "customer_id") -> DataFrame:
     return per.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def customer_rules(df: DataFrame, ite_tolerance: float = ITE_TOLERANCE) -> list[tuple[str, Column]]:
-    """V5-V11 and V14 for the customer contract (only columns present)."""
-    has = set(df.columns)
-    c = F.col
-    rules: list[tuple[str, Column]] = []
-    rules += [(f"null_{col}", c(col).isNull()) for col in REQUIRED_COLUMNS if col in has]
+def customer_rule_sql(columns, ite_tolerance: float = ITE_TOLERANCE) -> list[tuple[str, str]]:
+    """V5-V11 and V14 as (name, SQL predicate of a violation), for the columns present."""
+    has = set(columns)
+    rules: list[tuple[str, str]] = [(f"null_{c}", f"{c} IS NULL") for c in REQUIRED_COLUMNS if c in has]
     if "treatment_received" in has:
-        rules.append(("binary_treatment_received", ~c("treatment_received").isin(0, 1)))
+        rules.append(("binary_treatment_received", "treatment_received NOT IN (0, 1)"))
     if "purchase" in has:
-        rules.append(("binary_purchase", ~c("purchase").isin(0, 1)))
+        rules.append(("binary_purchase", "purchase NOT IN (0, 1)"))
     if "discount_percentage" in has:
-        d = c("discount_percentage")
-        rules.append(("discount_range", (d < 0) | (d > 1)))
+        rules.append(("discount_range", "discount_percentage < 0 OR discount_percentage > 1"))
         if "treatment_received" in has:
-            t = c("treatment_received")
-            rules.append(("control_discount", (t == 0) & (d != 0)))
-            rules.append(("treated_discount", (t == 1) & ((d <= 0) | d.isNull())))
+            rules.append(("control_discount", "treatment_received = 0 AND discount_percentage <> 0"))
+            rules.append(("treated_discount",
+                          "treatment_received = 1 AND (discount_percentage <= 0 OR discount_percentage IS NULL)"))
     if {"purchase", "purchase_value"} <= has:
-        rules.append(("purchase_value_without_purchase", (c("purchase") == 0) & (c("purchase_value") != 0)))
+        rules.append(("purchase_value_without_purchase", "purchase = 0 AND purchase_value <> 0"))
     if {"true_treatment_purchase_probability", "true_baseline_purchase_probability", "true_ite"} <= has:
-        diff = F.abs(c("true_treatment_purchase_probability") - c("true_baseline_purchase_probability") - c("true_ite"))
-        rules.append(("ite_consistency", diff > F.lit(float(ite_tolerance))))
-    # V14 domain constraints
+        rules.append(("ite_consistency",
+                      "ABS(true_treatment_purchase_probability - true_baseline_purchase_probability - true_ite)"
+                      f" > CAST({float(ite_tolerance)!r} AS DOUBLE)"))
     if "customer_id" in has:
-        rules.append(("customer_id_positive", c("customer_id") < 1))
+        rules.append(("customer_id_positive", "customer_id < 1"))
     if "customer_segment" in has:
-        rules.append(("customer_segment_nonempty", c("customer_segment") == ""))
-    for col in ("age", "tenure_months", "historical_orders", "historical_revenue", "avg_order_value",
-                "days_since_last_purchase", "website_visits", "email_opens", "email_clicks",
-                "previous_campaign_response", "purchase_value", "discount_cost"):
-        if col in has:
-            rules.append((f"nonnegative_{col}", c(col) < 0))
-    for col in GROUND_TRUTH_COLUMNS:
-        if col in has and col != "true_ite":
-            rules.append((f"probability_{col}", (c(col) < 0) | (c(col) > 1)))
+        rules.append(("customer_segment_nonempty", "customer_segment = ''"))
+    for c in ("age", "tenure_months", "historical_orders", "historical_revenue", "avg_order_value",
+              "days_since_last_purchase", "website_visits", "email_opens", "email_clicks",
+              "previous_campaign_response", "purchase_value", "discount_cost"):
+        if c in has:
+            rules.append((f"nonnegative_{c}", f"{c} < 0"))
+    for c in GROUND_TRUTH_COLUMNS:
+        if c in has and c != "true_ite":
+            rules.append((f"probability_{c}", f"{c} < 0 OR {c} > 1"))
     return rules
 
 
+def customer_rules(df: DataFrame, ite_tolerance: float = ITE_TOLERANCE) -> list[tuple[str, Column]]:
+    """The rule list as Spark columns."""
+    return [(name, F.expr(sql)) for name, sql in customer_rule_sql(df.columns, ite_tolerance)]
+
+
 def validate_customers(df: DataFrame, key: str = "customer_id", ite_tolerance: float = ITE_TOLERANCE) -> DataFrame:
     """All row-level customer checks in one pass, plus duplicate ids."""
     checks = run_rules(df, customer_rules(df, ite_tolerance))

