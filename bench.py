@@ -21,7 +21,7 @@ from cauldron.operators import joins as jn  # noqa: E402
 from cauldron.operators import metrics as mt  # noqa: E402
 from cauldron.operators import quality as qa  # noqa: E402
 from cauldron.operators import summaries as sm  # noqa: E402
-from cauldron.session import build_session  # noqa: E402
+from cauldron.session import build_session, reliable_checkpoint  # noqa: E402
 from cauldron.sources import derived  # noqa: E402
 
 
@@ -46,7 +46,7 @@ def main() -> None:
     def derive():
         # reliable checkpoint in spark.checkpoint.dir: cuts the lineage (cheap
         # analysis for every later operator) and survives executor loss
-        return derived.scored(spark, sf_dir).checkpoint(eager=True)
+        return reliable_checkpoint(derived.scored(spark, sf_dir))
 
     scored = timed("derive_customers", derive)
     customers = scored.select(*[c for c in scored.columns if c not in

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, hash_uniform, sigmoid
 from ..schema import FeatureConfig, ModelConfig
+from ..session import reliable_checkpoint
 from .prep import Preprocessor, PreprocessorModel, assemble, heterogeneity_columns
 
 MODEL_TYPES = ("t_learner", "x_learner", "dml")
@@ -205,7 +206,7 @@ def _fit_x(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitted
     # imputed effects: D1 = y - mu0 (treated), D0 = mu1 - y (control)
     x = x.withColumn("_d", F.when(F.col("_w") == 1, F.col("_y") - F.col("baseline_probability"))
                      .otherwise(F.col("treatment_probability") - F.col("_y")))
-    x = x.checkpoint(eager=True)  # cut the lineage of the T-learner scoring before three more fits
+    x = reliable_checkpoint(x)  # cut the lineage of the T-learner scoring before three more fits
     n = {r["_w"]: r["count"] for r in x.groupBy("_w").count().collect()}
     n_all = sum(n.values())
     tau0 = _fit(cfg.base_learner, "regressor", cfg, x.where("_w = 0"), "x_all", "_d", "tau0", n.get(0, 1))
@@ -285,7 +286,7 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
     x = prep.transform(df).withColumn("_w", F.col(f.treatment).cast("int")) \
         .withColumn("_wd", F.col(f.treatment).cast("double")).withColumn("_y", F.col(f.outcome).cast("double")) \
         .withColumn("_fold", _fold(f.key, cfg.seed, cfg.folds))
-    x = assemble(x, nuisance, "x_nuis").checkpoint(eager=True)
+    x = reliable_checkpoint(assemble(x, nuisance, "x_nuis"))
     n_rows = x.count()
     held_out = []
     for k in range(cfg.folds):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FeatureConfig, ModelConfig
+from ..session import reliable_checkpoint
 from .learners import CausalModel
 from .metrics import error_metrics
 from .prep import add_noise_feature, permute_treatment, subset_rows, train_test_split
@@ -32,7 +33,7 @@ def _relative(new: float, original: float) -> float:
 
 def refute_placebo(df, original, cfg=ModelConfig(), features=FeatureConfig()) -> tuple:
     """Permuted treatment; passes when |placebo| < 0.5 |original| (R2)."""
-    placebo = mean_effect(permute_treatment(df, features.treatment, features.key, cfg.seed).checkpoint(eager=True),
+    placebo = mean_effect(reliable_checkpoint(permute_treatment(df, features.treatment, features.key, cfg.seed)),
                           cfg, features)
     return ("placebo_treatment", original, placebo, _relative(placebo, original),
             abs(placebo) < 0.5 * abs(original))
@@ -72,7 +73,7 @@ def compare_models(df: DataFrame, model_types=("t_learner", "dml"), cfg: ModelCo
     """
     from .prep import Preprocessor
 
-    split = train_test_split(df, features.key, cfg.seed).checkpoint(eager=True)
+    split = reliable_checkpoint(train_test_split(df, features.key, cfg.seed))
     prep = Preprocessor(features).fit(split)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     out = None

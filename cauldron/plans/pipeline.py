@@ -19,7 +19,7 @@ from ..operators import summaries as sm
 from ..operators.learners import CausalModel
 from ..operators.refute import refutation_report
 from ..schema import SCENARIO_BUDGETS, FeatureConfig, ModelConfig
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 
 
 @dataclass
@@ -39,13 +39,13 @@ def run_pipeline(customers: DataFrame, cfg: ModelConfig = ModelConfig(), feature
                  refute: bool = True, baseline_threshold: float = 0.25) -> PipelineResult:
     spark = customers.sparkSession
     ensure_checkpoint_dir(spark)
-    base = customers.checkpoint(eager=True)
+    base = reliable_checkpoint(customers)
     fitted = CausalModel(cfg, features).fit(base)
     preds = fitted.transform(base).select(features.key, "baseline_probability", "treatment_probability", "ite")
     bad = qa.check_finite(preds).where(~F.col("passed")).collect()
     if bad:
         raise ValueError(f"non-finite predictions: {[r['check'] for r in bad]}")
-    preds = preds.withColumn("model_run_id", F.lit(run_id)).checkpoint(eager=True)
+    preds = reliable_checkpoint(preds.withColumn("model_run_id", F.lit(run_id)))
     scored = base.join(preds.drop("model_run_id"), features.key, "inner")
     return PipelineResult(
         predictions=preds,

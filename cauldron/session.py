@@ -72,3 +72,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(df):
+    """Eager reliable checkpoint into the shared checkpoint folder.
+
+    Cuts the lineage (cheap planning for later stages) and, unlike a local
+    checkpoint, survives the loss of the executors that computed it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
