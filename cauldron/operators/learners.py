@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, hash_uniform, sigmoid
 from ..schema import FeatureConfig, ModelConfig
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, run_concurrently
 from .prep import Preprocessor, PreprocessorModel, assemble, heterogeneity_columns
 
 MODEL_TYPES = ("t_learner", "x_learner", "dml")
@@ -176,8 +176,10 @@ def _fit_t(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitted
     x = _prepare(model, df, prep)
     counts = x.groupBy("_w").count().collect()
     n = {r["_w"]: r["count"] for r in counts}
-    mu0 = _fit(cfg.base_learner, "classifier", cfg, x.where("_w = 0"), "x_all", "_y", "mu0", n.get(0, 1))
-    mu1 = _fit(cfg.base_learner, "classifier", cfg, x.where("_w = 1"), "x_all", "_y", "mu1", n.get(1, 1))
+    mu0, mu1 = run_concurrently([
+        lambda: _fit(cfg.base_learner, "classifier", cfg, x.where("_w = 0"), "x_all", "_y", "mu0", n.get(0, 1)),
+        lambda: _fit(cfg.base_learner, "classifier", cfg, x.where("_w = 1"), "x_all", "_y", "mu1", n.get(1, 1)),
+    ])
     return FittedTLearner(prep, cfg, model.features, mu0, mu1)
 
 
@@ -209,10 +211,12 @@ def _fit_x(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitted
     x = reliable_checkpoint(x)  # cut the lineage of the T-learner scoring before three more fits
     n = {r["_w"]: r["count"] for r in x.groupBy("_w").count().collect()}
     n_all = sum(n.values())
-    tau0 = _fit(cfg.base_learner, "regressor", cfg, x.where("_w = 0"), "x_all", "_d", "tau0", n.get(0, 1))
-    tau1 = _fit(cfg.base_learner, "regressor", cfg, x.where("_w = 1"), "x_all", "_d", "tau1", n.get(1, 1))
-    prop = _fit(cfg.base_learner, "classifier", cfg, x.withColumn("_wd", F.col("_w").cast("double")),
-                "x_all", "_wd", "prop", n_all)
+    tau0, tau1, prop = run_concurrently([
+        lambda: _fit(cfg.base_learner, "regressor", cfg, x.where("_w = 0"), "x_all", "_d", "tau0", n.get(0, 1)),
+        lambda: _fit(cfg.base_learner, "regressor", cfg, x.where("_w = 1"), "x_all", "_d", "tau1", n.get(1, 1)),
+        lambda: _fit(cfg.base_learner, "classifier", cfg, x.withColumn("_wd", F.col("_w").cast("double")),
+                     "x_all", "_wd", "prop", n_all),
+    ])
     return FittedXLearner(prep, cfg, model.features, t.mu0, t.mu1, tau0, tau1, prop)
 
 
@@ -288,11 +292,22 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
         .withColumn("_fold", _fold(f.key, cfg.seed, cfg.folds))
     x = reliable_checkpoint(assemble(x, nuisance, "x_nuis"))
     n_rows = x.count()
+    # auxiliary outcome classifier on (X, W) for the two probabilities
+    xw = prep.transform(df).withColumn("f___treatment__", F.col(f.treatment).cast("double")) \
+        .withColumn("_y", F.col(f.outcome).cast("double"))
+    xw = assemble(xw, prep.feature_names + ["__treatment__"], "x_wt")
+    tasks = [lambda: _fit(cfg.base_learner, "classifier", cfg, xw, "x_wt", "_y", "po", n_rows)]
+    for k in range(cfg.folds):
+        train = x.where(F.col("_fold") != k)
+        tasks.append(lambda t=train: _fit(cfg.base_learner, "regressor", cfg, t, "x_nuis", "_y", "my", n_rows))
+        tasks.append(lambda t=train: _fit(cfg.base_learner, "classifier", cfg, t, "x_nuis", "_wd", "mt", n_rows))
+    # 2K cross-fitted nuisance fits and the outcome model are independent
+    fits = run_concurrently(tasks, max_workers=len(tasks))
+    outcome, nuis = fits[0], fits[1:]
     held_out = []
     for k in range(cfg.folds):
-        train, test = x.where(F.col("_fold") != k), x.where(F.col("_fold") == k)
-        my = _fit(cfg.base_learner, "regressor", cfg, train, "x_nuis", "_y", "my", n_rows)
-        mt = _fit(cfg.base_learner, "classifier", cfg, train, "x_nuis", "_wd", "mt", n_rows)
+        my, mt = nuis[2 * k], nuis[2 * k + 1]
+        test = x.where(F.col("_fold") == k)
         held_out.append(mt.score(my.score(test, "_yhat"), "_that"))
     res = held_out[0]
     for h in held_out[1:]:
@@ -301,11 +316,6 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
     z = [F.col("_tres").alias("_z0")] + [(F.col("_tres") * F.col(f"f_{n}")).alias(f"_z{i + 1}")
                                          for i, n in enumerate(het)]
     theta = gram_solve(res.select(*z, "_yres"), [f"_z{i}" for i in range(len(het) + 1)], "_yres")
-    # auxiliary outcome classifier on (X, W) for the two probabilities
-    xw = prep.transform(df).withColumn("f___treatment__", F.col(f.treatment).cast("double")) \
-        .withColumn("_y", F.col(f.outcome).cast("double"))
-    xw = assemble(xw, prep.feature_names + ["__treatment__"], "x_wt")
-    outcome = _fit(cfg.base_learner, "classifier", cfg, xw, "x_wt", "_y", "po", n_rows)
     return FittedDML(prep, cfg, f, het, theta, outcome, nuisance)
 
 

@@ -1,13 +1,15 @@
 """End-to-end run: train -> predict -> diagnostics -> refutation -> uplift outputs.
 
-One driver function over DataFrames.  The customer table is checkpointed
-once (reliable storage in ``spark.checkpoint.dir``), predictions are
-checkpointed once, and every report is a small DataFrame written by Spark.
+One driver function over DataFrames.  The customer table and the scored
+table (customers joined with this run's predictions) are each
+checkpointed once into ``spark.checkpoint.dir``; every report is a small
+DataFrame.  The reports do not depend on each other, so they are
+materialised concurrently (their jobs interleave on the cluster).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,41 +21,66 @@ from ..operators import summaries as sm
 from ..operators.learners import CausalModel
 from ..operators.refute import refutation_report
 from ..schema import SCENARIO_BUDGETS, FeatureConfig, ModelConfig
-from ..session import ensure_checkpoint_dir, reliable_checkpoint
+from ..session import reliable_checkpoint, run_concurrently
 
 
 @dataclass
 class PipelineResult:
     predictions: DataFrame
-    causal_summary: DataFrame
-    segment_shares: DataFrame
-    effect_metrics: DataFrame
-    scenarios: DataFrame
-    recommendations: DataFrame
-    refutations: DataFrame | None
-    metadata: dict
+    scored: DataFrame
+    reports: dict = field(default_factory=dict)
+    metadata: dict = field(default_factory=dict)
+
+    def __getattr__(self, name):
+        reports = self.__dict__.get("reports", {})
+        if name in reports:
+            return reports[name]
+        raise AttributeError(name)
 
 
 def run_pipeline(customers: DataFrame, cfg: ModelConfig = ModelConfig(), features: FeatureConfig = FeatureConfig(),
                  run_id: int = 1, budget: float = 1000000.0, budgets=SCENARIO_BUDGETS,
-                 refute: bool = True, baseline_threshold: float = 0.25) -> PipelineResult:
-    spark = customers.sparkSession
-    ensure_checkpoint_dir(spark)
+                 refute: bool = True, baseline_threshold: float = 0.25, out_dir: str | None = None,
+                 materialise: bool = False) -> PipelineResult:
+    """Fit, predict and build every report.
+
+    With ``out_dir`` each report is written there (JSON; predictions as
+    parquet partitioned by run); with ``materialise`` the small reports are
+    collected.  Both happen concurrently across reports.
+    """
+    key = features.key
     base = reliable_checkpoint(customers)
     fitted = CausalModel(cfg, features).fit(base)
-    preds = fitted.transform(base).select(features.key, "baseline_probability", "treatment_probability", "ite")
-    bad = qa.check_finite(preds).where(~F.col("passed")).collect()
+    preds = fitted.transform(base).select(key, "baseline_probability", "treatment_probability", "ite")
+    scored = reliable_checkpoint(base.join(preds, key, "inner"))
+    bad = qa.check_finite(scored.select(*preds.columns)).where(~F.col("passed")).collect()
     if bad:
         raise ValueError(f"non-finite predictions: {[r['check'] for r in bad]}")
-    preds = reliable_checkpoint(preds.withColumn("model_run_id", F.lit(run_id)))
-    scored = base.join(preds.drop("model_run_id"), features.key, "inner")
-    return PipelineResult(
-        predictions=preds,
-        causal_summary=mt.causal_summary(scored),
-        segment_shares=sm.uplift_segment_shares(scored, baseline_threshold=baseline_threshold),
-        effect_metrics=mt.effect_metrics(scored),
-        scenarios=al.budget_scenarios(scored, budgets),
-        recommendations=al.recommendation_report(scored, budget, baseline_threshold),
-        refutations=refutation_report(base, cfg, features) if refute else None,
-        metadata=fitted.metadata(),
-    )
+    predictions = scored.select(*preds.columns).withColumn("model_run_id", F.lit(run_id))
+
+    builders = {
+        "causal_summary": lambda: mt.causal_summary(scored),
+        "segment_shares": lambda: sm.uplift_segment_shares(scored, baseline_threshold=baseline_threshold),
+        "effect_metrics": lambda: mt.effect_metrics(scored),
+        "scenarios": lambda: al.budget_scenarios(scored, budgets),
+        "recommendations": lambda: al.recommendation_report(scored, budget, baseline_threshold),
+    }
+    if refute:
+        builders["refutations"] = lambda: refutation_report(
+            base, cfg, features, original=scored.agg(F.avg("ite")).collect()[0][0])
+
+    def build(name):
+        df = builders[name]()
+        if out_dir:
+            df.write.mode("overwrite").json(f"{out_dir.rstrip('/')}/{name}")
+        elif materialise:
+            df.collect()
+        return df
+
+    tasks = [lambda n=n: build(n) for n in builders]
+    if out_dir:
+        tasks.append(lambda: predictions.write.mode("overwrite").partitionBy("model_run_id")
+                     .parquet(f"{out_dir.rstrip('/')}/predictions"))
+    built = run_concurrently(tasks, max_workers=len(tasks))
+    reports = dict(zip(builders, built))
+    return PipelineResult(predictions=predictions, scored=scored, reports=reports, metadata=fitted.metadata())

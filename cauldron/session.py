@@ -74,11 +74,45 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def reliable_checkpoint(df):
+def reliable_checkpoint(df, name: str = "stage"):
     """Eager reliable checkpoint into the shared checkpoint folder.
 
     Cuts the lineage (cheap planning for later stages) and, unlike a local
-    checkpoint, survives the loss of the executors that computed it.
+    checkpoint, survives the loss of the executors that computed it.  The
+    plan is persisted for the duration of the checkpoint so it is computed
+    once (an unpersisted checkpoint recomputes it for the file write).
+    ``write_stage_table`` is the parquet alternative for tables that later
+    reads should prune and filter.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+
+
+def write_stage_table(df, name: str = "stage"):
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def run_concurrently(tasks, max_workers: int = 4) -> list:
+    """Run independent Spark actions (e.g. model fits) from a small thread pool.
+
+    Each callable submits its own jobs; the scheduler interleaves them, which
+    hides per-job latency when single fits cannot fill the cluster.  Results
+    come back in task order; the first exception is re-raised.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    tasks = list(tasks)
+    if len(tasks) <= 1 or max_workers <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(tasks))) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        return [f.result() for f in futures]
