@@ -34,6 +34,8 @@ def default_partitions(df: DataFrame) -> int:
         return 200
 
 
+MAX_BUCKETS = 8192  # edge literals stay ~200 KB in the plan
+MAX_SAMPLE = 200_000  # rows of (key, tie) collected for the edges, in expectation
 SINGLE_TASK_ROWS_CONF = "cauldron.prefix.singleTaskRows"
 DEFAULT_SINGLE_TASK_ROWS = 100_000
 
@@ -60,7 +62,7 @@ def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
     n = df.count()
     if n <= max(2 * n_buckets, one_task_rows):
         return None
-    target = n_buckets * per_bucket
+    target = min(n_buckets * per_bucket, MAX_SAMPLE)
     fraction = min(1.0, target / n)
     rows = (
         df.select(F.col(key).alias("k"), F.col(tie).alias("t"))
@@ -141,7 +143,7 @@ def running_totals(
     """
     sums = dict(sums or {})
     partitions = default_partitions(df)
-    n_buckets = buckets if buckets is not None else 4 * partitions
+    n_buckets = min(buckets if buckets is not None else 4 * partitions, MAX_BUCKETS)
     if one_task_rows is None:
         one_task_rows = single_task_rows(df)
     edges = _sample_edges(df, key, desc, tie, n_buckets, per_bucket, seed, one_task_rows)
