@@ -43,7 +43,9 @@ def r6(c: str) -> str:
 
 def load_all() -> None:
     """Import every catalog so its queries register themselves."""
-    from . import catalog_allocation, catalog_io, catalog_models, catalog_quality, catalog_views  # noqa: F401
+    from . import (  # noqa: F401
+        catalog_allocation, catalog_extra, catalog_io, catalog_models, catalog_quality, catalog_views,
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
