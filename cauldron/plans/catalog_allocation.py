@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate as al
 from ..sources import derived
-from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register
+from .registry import stable_scored, FLAGSHIP_BUDGET, SMALL_BUDGET, W, register
 
 # ---------------------------------------------------------------------------
 # derivation
@@ -19,7 +19,7 @@ def q_customer_base(spark: SparkSession, d: str) -> DataFrame:
 
 @register("scored", W("scored") + "SELECT * FROM scored")
 def q_scored(spark: SparkSession, d: str) -> DataFrame:
-    return derived.scored(spark, d)
+    return stable_scored(spark, d)
 
 
 # ---------------------------------------------------------------------------
@@ -33,7 +33,7 @@ _SEG_SQL = """CASE WHEN ite >= CAST(0.05 AS DOUBLE) THEN 'persuadable'
 @register("uplift_segments", W("scored") + f"""
 SELECT customer_id, ite, baseline_probability, {_SEG_SQL.format(b=0.5)} AS uplift_segment FROM scored""")
 def q_uplift_segments(spark, d):
-    return al.uplift_segments(derived.scored(spark, d)).select(
+    return al.uplift_segments(stable_scored(spark, d)).select(
         "customer_id", "ite", "baseline_probability", "uplift_segment")
 
 
@@ -52,7 +52,7 @@ FROM base b LEFT JOIN cand c ON c.customer_id = b.customer_id"""
 
 @register("allocate_greedy", _greedy_sql(FLAGSHIP_BUDGET))
 def q_allocate_greedy(spark, d):
-    return al.allocate_greedy(derived.scored(spark, d), FLAGSHIP_BUDGET).select(
+    return al.allocate_greedy(stable_scored(spark, d), FLAGSHIP_BUDGET).select(
         "customer_id", "expected_profit", "expected_cost", "allocation_fraction", "selected")
 
 
@@ -73,7 +73,7 @@ SELECT customer_id, gp AS gross_expected_profit, gc AS gross_expected_cost, f AS
 
 @register("allocate_lp", _lp_sql(FLAGSHIP_BUDGET))
 def q_allocate_lp(spark, d):
-    return al.allocate_lp(derived.scored(spark, d), FLAGSHIP_BUDGET).select(
+    return al.allocate_lp(stable_scored(spark, d), FLAGSHIP_BUDGET).select(
         "customer_id", "gross_expected_profit", "gross_expected_cost", "allocation_fraction",
         "selected", "expected_profit", "expected_cost")
 
@@ -114,12 +114,12 @@ def _round_scenarios(df: DataFrame) -> DataFrame:
 
 @register("budget_scenarios", _scenario_sql((25000, 50000, 100000, 250000, 500000, 1000000, 2500000)))
 def q_budget_scenarios(spark, d):
-    return _round_scenarios(al.budget_scenarios(derived.scored(spark, d)))
+    return _round_scenarios(al.budget_scenarios(stable_scored(spark, d)))
 
 
 @register("random_targeting", _scenario_sql((SMALL_BUDGET,), strategies=("random",)))
 def q_random_targeting(spark, d):
-    return _round_scenarios(al.random_targeting(derived.scored(spark, d), SMALL_BUDGET))
+    return _round_scenarios(al.random_targeting(stable_scored(spark, d), SMALL_BUDGET))
 
 
 def _selected_sql(budget: float, threshold: float = 0.25) -> str:
@@ -139,7 +139,7 @@ SELECT customer_id, ite AS predicted_ite, discount_percentage AS recommended_dis
   expected_profit, expected_cost, uplift_segment
 FROM sel ORDER BY expected_profit DESC, customer_id LIMIT 25""")
 def q_recommendations(spark, d):
-    return al.recommendations(derived.scored(spark, d), FLAGSHIP_BUDGET, limit=25)
+    return al.recommendations(stable_scored(spark, d), FLAGSHIP_BUDGET, limit=25)
 
 
 @register("recommendations_segment", _selected_sql(FLAGSHIP_BUDGET) + """
@@ -147,7 +147,7 @@ SELECT customer_id, ite AS predicted_ite, discount_percentage AS recommended_dis
   expected_profit, expected_cost, uplift_segment
 FROM sel WHERE uplift_segment = 'persuadable' ORDER BY expected_profit DESC, customer_id LIMIT 25""")
 def q_recommendations_segment(spark, d):
-    return al.recommendations(derived.scored(spark, d), FLAGSHIP_BUDGET, limit=25, segment="persuadable")
+    return al.recommendations(stable_scored(spark, d), FLAGSHIP_BUDGET, limit=25, segment="persuadable")
 
 
 @register("optimize", _selected_sql(FLAGSHIP_BUDGET) + """
@@ -155,7 +155,7 @@ SELECT customer_id, ite AS predicted_ite, discount_percentage AS recommended_dis
   expected_profit, expected_cost, uplift_segment, 'greedy' AS method
 FROM sel ORDER BY expected_profit DESC, customer_id LIMIT 100""")
 def q_optimize(spark, d):
-    return al.recommendations(derived.scored(spark, d), FLAGSHIP_BUDGET, limit=100).withColumn(
+    return al.recommendations(stable_scored(spark, d), FLAGSHIP_BUDGET, limit=100).withColumn(
         "method", F.lit("greedy"))
 
 
@@ -167,7 +167,7 @@ SELECT CAST({FLAGSHIP_BUDGET} AS DOUBLE) AS budget, CAST(COUNT(*) AS BIGINT) AS
   COALESCE(SUM(expected_cost), 0) <= {FLAGSHIP_BUDGET} + CAST(0.000001 AS DOUBLE) AS within_budget
 FROM sel""")
 def q_recommendation_totals(spark, d):
-    t = al.recommendation_totals(derived.scored(spark, d), FLAGSHIP_BUDGET)
+    t = al.recommendation_totals(stable_scored(spark, d), FLAGSHIP_BUDGET)
     return t.select("budget", "total_recommended_customers",
                     F.round("total_expected_profit", 6).alias("total_expected_profit"),
                     F.round("total_expected_cost", 6).alias("total_expected_cost"),
@@ -180,6 +180,6 @@ SELECT customer_id, ite, uplift_segment, treatment_probability AS expected_conve
   CASE WHEN expected_cost > 0 THEN expected_profit / expected_cost ELSE CAST(0 AS DOUBLE) END AS roi
 FROM sel""")
 def q_recommendation_report(spark, d):
-    return al.recommendation_report(derived.scored(spark, d))
+    return al.recommendation_report(stable_scored(spark, d))
 
 

@@ -17,7 +17,7 @@ from ..sources import derived
 from ..sources import io as sio
 from .catalog_allocation import _scenario_sql
 from .catalog_views import _AREAS, _ERR, _SEG025
-from .registry import FLAGSHIP_BUDGET, W, register, rounded
+from .registry import stable_scored, FLAGSHIP_BUDGET, W, register, rounded
 
 _COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
 _BUDGETS = (25000, 50000, 100000, 250000, 500000, 1000000, 2500000)
@@ -26,7 +26,7 @@ _BUDGETS = (25000, 50000, 100000, 250000, 500000, 1000000, 2500000)
 @register("scenario_chart", "SELECT budget, strategy, customers_targeted, ROUND(expected_profit, 0) AS expected_profit, "
           "ROUND(expected_cost, 0) AS expected_cost FROM (" + _scenario_sql(_BUDGETS) + ")")
 def q_scenario_chart(spark, d):
-    return al.scenario_chart(al.budget_scenarios(derived.scored(spark, d)))
+    return al.scenario_chart(al.budget_scenarios(stable_scored(spark, d)))
 
 
 @register("uplift_report", _AREAS + f""",
@@ -41,7 +41,7 @@ UNION ALL SELECT 'metric', 'average_ite', ROUND(average_ite, 6) FROM e
 UNION ALL SELECT 'metric', 'qini_coefficient', ROUND(qini_coefficient, 6) FROM coef""")
 def q_uplift_report(spark, d):
     """Segment counts and shares plus effect metrics as one long document."""
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     shares = sm.uplift_segment_shares(s)
     counts = shares.select(F.lit("segment_count").alias("kind"), F.col("uplift_segment").alias("name"),
                            F.col("count").cast("double").alias("value"))
@@ -71,7 +71,7 @@ SELECT customer_id, ite AS predicted_ite, discount_percentage AS recommended_dis
   gc * f AS expected_cost, uplift_segment, 'lp' AS method
 FROM x WHERE f > 0 ORDER BY gp * f DESC, customer_id LIMIT 100""")
 def q_optimize_lp(spark, d):
-    return al.recommendations(derived.scored(spark, d), FLAGSHIP_BUDGET, limit=100, method="lp").withColumn(
+    return al.recommendations(stable_scored(spark, d), FLAGSHIP_BUDGET, limit=100, method="lp").withColumn(
         "method", F.lit("lp"))
 
 
@@ -116,7 +116,7 @@ def q_save_load_model(spark, d):
 @register("update_run_metrics", None)
 def q_update_run_metrics(spark, d):
     """Merge evaluation metrics into the record of run 2."""
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     runs = derived.predictions(spark, d, s).groupBy("model_run_id").agg(F.max("created_at").alias("created_at")) \
         .select(F.col("model_run_id").alias("id"), F.lit("surrogate").alias("model_name"), "created_at",
                 F.lit(None).cast("map<string,double>").alias("metrics"))

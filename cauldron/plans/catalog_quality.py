@@ -9,7 +9,7 @@ from ..operators import quality as qa
 from ..schema import CUSTOMER_SCHEMA
 from ..sources import derived
 from .catalog_views import _RUNS, _recs_sql
-from .registry import W, register
+from .registry import W, register, stable_customers, stable_scored
 
 _CUSTOMER_COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
 
@@ -70,8 +70,9 @@ diff AS (SELECT customer_id, 'missing' AS side FROM customers WHERE customer_id
   UNION ALL SELECT customer_id, 'extra' AS side FROM p2 WHERE customer_id NOT IN (SELECT customer_id FROM customers))""") + """
 SELECT customer_id, side FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY side ORDER BY customer_id) AS rn FROM diff) WHERE rn <= 10""")
 def q_check_coverage(spark, d):
-    p = derived.predictions(spark, d).where(F.col("model_run_id") == 1)
-    return qa.check_coverage(derived.customers(spark, d), p)
+    s = stable_scored(spark, d)
+    p = derived.predictions(spark, d, s).where(F.col("model_run_id") == 1)
+    return qa.check_coverage(stable_customers(spark, d, s), p)
 
 
 @register("check_references", W("customers", "campaigns", "predictions") + """
@@ -82,8 +83,8 @@ UNION ALL SELECT 'prediction_customer_resolves', CAST(COUNT(*) AS BIGINT), COUNT
 UNION ALL SELECT 'prediction_run_unique', CAST(COUNT(*) AS BIGINT), COUNT(*) = 0
   FROM (SELECT customer_id, model_run_id FROM predictions GROUP BY 1, 2 HAVING COUNT(*) > 1)""")
 def q_check_references(spark, d):
-    s = derived.scored(spark, d)
-    return qa.check_references(derived.customers(spark, d), derived.campaigns(spark, d),
+    s = stable_scored(spark, d)
+    return qa.check_references(stable_customers(spark, d, s), derived.campaigns(spark, d),
                                derived.predictions(spark, d, s))
 
 
@@ -95,7 +96,7 @@ UNION ALL SELECT 'prediction_ite_range', CAST(COUNT(*) FILTER (WHERE ite < -1 OR
 UNION ALL SELECT 'recommendation_cost_nonnegative', CAST(COUNT(*) FILTER (WHERE expected_cost < 0) AS BIGINT) FROM recommendations
 UNION ALL SELECT 'recommendation_discount_range', CAST(COUNT(*) FILTER (WHERE recommended_discount < 0 OR recommended_discount > 1) AS BIGINT) FROM recommendations)""")
 def q_check_contract_outputs(spark, d):
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     return qa.check_contract_outputs(derived.predictions(spark, d, s), jn.recommendations_table(s, _RUNS))
 
 

@@ -11,7 +11,7 @@ from ..operators import ordered as od
 from ..operators import summaries as sm
 from ..operators.allocate import recommendation_rows
 from ..sources import derived
-from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded
+from .registry import stable_customers, stable_scored, FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded
 
 # ---------------------------------------------------------------------------
 # W / M: ordered kernel and effect metrics
@@ -38,7 +38,7 @@ x AS (SELECT customer_id, ite, SUM(CAST(ROUND(discount_cost*100) AS BIGINT)) OVE
   ROW_NUMBER() OVER (ORDER BY ite DESC, customer_id) AS rank FROM scored)""") + """
 SELECT customer_id, ite, cum_cost_cents, rank FROM x""")
 def q_cumulative_sum(spark, d):
-    s = derived.scored(spark, d).select("customer_id", "ite", "discount_cost")
+    s = stable_scored(spark, d).select("customer_id", "ite", "discount_cost")
     from ..functions.scalar import cents
 
     r = od.running_totals(s, "ite", "customer_id", {"cum_cost_cents": cents("discount_cost")}, desc=True)
@@ -55,14 +55,14 @@ SELECT customer_id, historical_revenue, CAST(LEAST(FLOOR(r / CAST(n AS DOUBLE) *
   CASE CAST(LEAST(FLOOR(r / CAST(n AS DOUBLE) * 4), 3) AS INTEGER) WHEN 0 THEN CAST(0.05 AS DOUBLE) WHEN 1 THEN CAST(0.1 AS DOUBLE)
     WHEN 2 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS tier_level FROM x""")
 def q_percentile_tier(spark, d):
-    s = derived.scored(spark, d).select("customer_id", "historical_revenue")
+    s = stable_scored(spark, d).select("customer_id", "historical_revenue")
     return od.percentile_tier(s, "historical_revenue", "customer_id", list(_LEVELS))
 
 
 @register("qini_curve", W("scored", extra=_ARMS + _curve_cte("c", "ite")) + f"""
 SELECT c.rank, c.customer_id, c.score, ROUND({_QINI}, 6) AS qini FROM c CROSS JOIN arms a""")
 def q_qini_curve(spark, d):
-    return rounded(mt.qini_curve(derived.scored(spark, d)), 6, cols=["qini"])
+    return rounded(mt.qini_curve(stable_scored(spark, d)), 6, cols=["qini"])
 
 
 @register("random_targeting_curve", W("scored", extra=_ARMS + _curve_cte("c", "ite") + f""",
@@ -71,7 +71,7 @@ SELECT rank, ROUND(CASE WHEN (SELECT COUNT(*) FROM q) > 1 THEN
    (SELECT qini FROM q ORDER BY rank DESC LIMIT 1) * (rank - 1) / ((SELECT COUNT(*) FROM q) - 1) ELSE CAST(0 AS DOUBLE) END, 6) AS qini_random
 FROM q""")
 def q_random_targeting_curve(spark, d):
-    return rounded(mt.random_curve(mt.qini_curve(derived.scored(spark, d))), 6)
+    return rounded(mt.random_curve(mt.qini_curve(stable_scored(spark, d))), 6)
 
 
 _AREAS = W("scored", extra=_ARMS + _curve_cte("c", "ite") + _curve_cte("p", "true_ite") + f""",
@@ -85,12 +85,12 @@ coef AS (SELECT CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) WHEN ap - ar <> 0 THEN (a
 
 @register("auuc", _AREAS + "SELECT ROUND(COALESCE(am, 0), 6) AS auuc FROM areas")
 def q_auuc(spark, d):
-    return rounded(mt.auuc(mt.qini_curve(derived.scored(spark, d))), 6)
+    return rounded(mt.auuc(mt.qini_curve(stable_scored(spark, d))), 6)
 
 
 @register("qini_coefficient", _AREAS + "SELECT ROUND(qini_coefficient, 6) AS qini_coefficient FROM coef")
 def q_qini_coefficient(spark, d):
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     return rounded(s.agg(F.count(F.lit(1)).alias("_n")).select(mt.qini_coefficient(s).alias("qini_coefficient")), 6)
 
 
@@ -111,7 +111,7 @@ e AS (SELECT {_ERR}, AVG(ite) AS average_ite FROM scored)
 SELECT ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse, ROUND(correlation, 6) AS correlation,
   ROUND(average_ite, 6) AS average_ite, ROUND(qini_coefficient, 6) AS qini_coefficient FROM e CROSS JOIN coef""")
 def q_effect_metrics(spark, d):
-    return rounded(mt.effect_metrics(derived.scored(spark, d)), 6)
+    return rounded(mt.effect_metrics(stable_scored(spark, d)), 6)
 
 
 @register("causal_summary", _AREAS + f""",
@@ -122,14 +122,14 @@ SELECT ROUND(average_ite, 6) AS average_ite, ROUND(median_ite, 7) AS median_ite,
   top_positive_ite, top_negative_ite, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse, ROUND(correlation, 6) AS correlation,
   ROUND(qini_coefficient, 6) AS qini_coefficient, n_customers FROM e CROSS JOIN coef""")
 def q_causal_summary(spark, d):
-    out = mt.causal_summary(derived.scored(spark, d))
+    out = mt.causal_summary(stable_scored(spark, d))
     out = rounded(out, 6, cols=["average_ite", "positive_ite_share", "mae", "rmse", "correlation", "qini_coefficient"])
     return out.withColumn("median_ite", F.round("median_ite", 7))
 
 
 @register("median_true_ite", W("scored") + "SELECT ROUND(MEDIAN(true_ite), 7) AS median_true_ite FROM scored")
 def q_median_true_ite(spark, d):
-    m = od.exact_median(derived.scored(spark, d), "true_ite", "customer_id", alias="median_true_ite")
+    m = od.exact_median(stable_scored(spark, d), "true_ite", "customer_id", alias="median_true_ite")
     return m.select(F.round("median_true_ite", 7).alias("median_true_ite"))
 
 
@@ -201,7 +201,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS customers,
   ROUND(MEDIAN(true_ite), 7) AS median_true_ite
 FROM customers""")
 def q_dataset_summary(spark, d):
-    out = sm.dataset_summary(derived.customers(spark, d))
+    out = sm.dataset_summary(stable_customers(spark, d))
     out = rounded(out, 6, skip=("median_true_ite",))
     return out.withColumn("median_true_ite", F.round("median_true_ite", 7))
 
@@ -227,7 +227,7 @@ _SEG025 = """CASE WHEN ite >= CAST(0.05 AS DOUBLE) THEN 'persuadable'
 SELECT uplift_segment, CAST(COUNT(*) AS BIGINT) AS count, ROUND(COUNT(*) / CAST((SELECT COUNT(*) FROM scored) AS DOUBLE), 6) AS share
 FROM (SELECT {_SEG025} AS uplift_segment FROM scored) GROUP BY uplift_segment""")
 def q_uplift_segment_shares(spark, d):
-    return rounded(sm.uplift_segment_shares(derived.scored(spark, d)), 6)
+    return rounded(sm.uplift_segment_shares(stable_scored(spark, d)), 6)
 
 
 # ---------------------------------------------------------------------------
@@ -255,7 +255,12 @@ def q_list_customers(spark, d):
 
 @register("get_customer", W("customers") + "SELECT * FROM customers WHERE customer_id = 42")
 def q_get_customer(spark, d):
-    return lk.get_customer(derived.customers(spark, d), 42)
+    # the lookup runs against the stored customer table, where the id
+    # predicate reaches the parquet scan (row-group statistics skip the rest)
+    from ..session import write_stage_table
+
+    stored = write_stage_table(derived.customers(spark, d), "customers")
+    return lk.get_customer(stored, 42)
 
 
 @register("top_ite", W("scored") + """
@@ -275,7 +280,7 @@ FROM base b JOIN cand c ON c.customer_id = b.customer_id
 WHERE c.cum_cents <= {round(FLAGSHIP_BUDGET * 100)} AND b.uplift_segment = 'persuadable' AND instr(CAST(b.customer_id AS VARCHAR), '1') > 0
 ORDER BY b.expected_profit DESC, b.customer_id LIMIT 25""")
 def q_search_recommendations(spark, d):
-    sel = recommendation_rows(derived.scored(spark, d), FLAGSHIP_BUDGET)
+    sel = recommendation_rows(stable_scored(spark, d), FLAGSHIP_BUDGET)
     return lk.search_recommendations(sel, search="1", segment="persuadable", limit=25).select(
         "customer_id", "ite", "expected_profit", "expected_cost", "uplift_segment")
 
@@ -297,8 +302,8 @@ def q_campaign_economics(spark, d):
 SELECT c.customer_id, p.model_run_id, p.ite, c.true_ite, c.treatment_received, c.purchase
 FROM customers c JOIN predictions p ON p.customer_id = c.customer_id""")
 def q_join_scored(spark, d):
-    s = derived.scored(spark, d)
-    c = derived.customers(spark, d).select("customer_id", "true_ite", "treatment_received", "purchase")
+    s = stable_scored(spark, d)
+    c = stable_customers(spark, d, s).select("customer_id", "true_ite", "treatment_received", "purchase")
     p = derived.predictions(spark, d, s).select("customer_id", "model_run_id", "ite")
     return jn.join_scored(c, p)
 
@@ -339,7 +344,7 @@ _RUNS = {1: (SMALL_BUDGET, "2000-04-01 00:00:00"), 2: (FLAGSHIP_BUDGET, "2000-04
 SELECT customer_id, recommended_discount, expected_profit, expected_cost FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS rn FROM recommendations) WHERE rn = 1""")
 def q_latest_recommendation(spark, d):
-    return jn.latest_recommendation(jn.recommendations_table(derived.scored(spark, d), _RUNS))
+    return jn.latest_recommendation(jn.recommendations_table(stable_scored(spark, d), _RUNS))
 
 
 @register("export_dashboard", W("customers", "predictions", extra=_recs_sql()) + """
@@ -350,8 +355,8 @@ FROM customers c
 LEFT JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS rn FROM predictions) WHERE rn = 1) p ON p.customer_id = c.customer_id
 LEFT JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS rn FROM recommendations) WHERE rn = 1) r ON r.customer_id = c.customer_id""")
 def q_export_dashboard(spark, d):
-    s = derived.scored(spark, d)
-    return jn.export_dashboard(derived.customers(spark, d), derived.predictions(spark, d, s),
+    s = stable_scored(spark, d)
+    return jn.export_dashboard(stable_customers(spark, d, s), derived.predictions(spark, d, s),
                                jn.recommendations_table(s, _RUNS))
 
 
@@ -359,9 +364,9 @@ def q_export_dashboard(spark, d):
 SELECT c.customer_id, CASE WHEN EXISTS (SELECT 1 FROM predictions p WHERE p.customer_id = c.customer_id AND p.model_run_id = 1)
   THEN 1 ELSE 0 END AS selected FROM customers c""")
 def q_mark_selected(spark, d):
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     ids = derived.predictions(spark, d, s).where(F.col("model_run_id") == 1)
-    return jn.mark_selected(derived.customers(spark, d).select("customer_id"), ids)
+    return jn.mark_selected(stable_customers(spark, d, s).select("customer_id"), ids)
 
 
 @register("coverage_anti", W("customers", "predictions") + """
@@ -369,6 +374,6 @@ SELECT customer_id, 'missing' AS side FROM customers WHERE customer_id NOT IN (S
 UNION ALL
 SELECT DISTINCT customer_id, 'extra' AS side FROM predictions WHERE model_run_id = 2 AND customer_id NOT IN (SELECT customer_id FROM customers)""")
 def q_coverage_anti(spark, d):
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     p = derived.predictions(spark, d, s).where(F.col("model_run_id") == 2)
-    return jn.coverage_anti(derived.customers(spark, d), p)
+    return jn.coverage_anti(stable_customers(spark, d, s), p)

@@ -60,3 +60,23 @@ def rounded(df: DataFrame, digits: int = 6, cols=None, skip=()) -> DataFrame:
     targets = set(cols) if cols is not None else {n for n, t in df.dtypes if t == "double"}
     return df.select(*[F.round(F.col(n), digits).alias(n) if n in targets and n not in skip else F.col(n)
                        for n in df.columns])
+
+
+def stable_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The derived table computed once and checkpointed.
+
+    Queries that read it several times (the prefix kernel counts and samples
+    before its final pass; joins of customers, predictions and
+    recommendations) then read the checkpoint instead of re-aggregating all
+    orders and events each time.
+    """
+    from ..session import reliable_checkpoint
+
+    return reliable_checkpoint(derived.scored(spark, d))
+
+
+def stable_customers(spark: SparkSession, d: str, scored: DataFrame | None = None) -> DataFrame:
+    from ..schema import CUSTOMER_SCHEMA
+
+    s = scored if scored is not None else stable_scored(spark, d)
+    return s.select(*[f.name for f in CUSTOMER_SCHEMA.fields])
