@@ -85,7 +85,7 @@ def q_stream_upsert_customers(spark, d):
     # move the files into one inbox in arrival order
     for part in ("a", "b"):
         spark.read.parquet(f"{src}/{part}").coalesce(1).write.mode("append").parquet(inbox)
-        q = st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt)
+        q = st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt, buckets=16)
         q.awaitTermination()
     return st.read_current(spark, table).select(*_COLS)
 

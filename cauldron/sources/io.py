@@ -155,16 +155,11 @@ def import_run(predictions: DataFrame, recommendations: DataFrame, root: str, ru
     ``replace`` rewrites only this run's partitions (dynamic partition
     overwrite); other runs stay.
     """
-    spark = predictions.sparkSession
     mode = "overwrite" if replace else "append"
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        for name, df in (("predictions", predictions), ("recommendations", recommendations)):
-            df.withColumn("model_run_id", F.lit(run_id)).write.mode(mode) \
-              .partitionBy("model_run_id").parquet(f"{root.rstrip('/')}/{name}")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    for name, df in (("predictions", predictions), ("recommendations", recommendations)):
+        df.withColumn("model_run_id", F.lit(run_id)).write.mode(mode) \
+          .option("partitionOverwriteMode", "dynamic") \
+          .partitionBy("model_run_id").parquet(f"{root.rstrip('/')}/{name}")
 
 
 def check_report_finite(df: DataFrame, key: str | None = None) -> None:

@@ -1,74 +1,89 @@
 """Streaming upsert of customer files and streaming scoring.
 
 The reference loads customers in fixed-size batches with an idempotent
-upsert.  Here arriving files are a file stream; every micro-batch is
-validated (rows with a missing required cell go to a quarantine table),
-merged by key into the current table version and written as version
-``batchId``.  A replayed batch rewrites the same version from the same
-inputs, so the sink is idempotent.
+upsert.  Here arriving files are a file stream.  Every micro-batch:
+
+1. rows with a missing required cell go to a quarantine folder;
+2. the rest get a key bucket ``pmod(xxhash64(key), B)``;
+3. only the buckets the batch touches are read back (partition pruning),
+   merged by key (last write wins) and checkpointed;
+4. those buckets are replaced with a dynamic partition overwrite.
+
+So a batch costs in proportion to the buckets it touches, not to the whole
+table, and replaying a batch gives the same table (the merge is
+idempotent).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.allocate import uplift_segments
 from ..operators.quality import rows_missing
 from ..schema import CUSTOMER_SCHEMA, REQUIRED_COLUMNS
+from ..session import reliable_checkpoint
 from ..sources.io import upsert
 
+KEY_BUCKETS = 256
+BUCKET_COL = "_kb"
+
+
+def key_bucket(key: str, buckets: int = KEY_BUCKETS):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
-def _latest_version(spark: SparkSession, table_root: str) -> str | None:
-    """Highest committed version folder (a _SUCCESS marker per version)."""
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(table_root)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    versions = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    return f"{table_root.rstrip('/')}/v={max(versions)}" if versions else None
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, table_root: str, quarantine_root: str,
-                 key: str = "customer_id") -> None:
-    """One micro-batch: quarantine invalid rows, merge the rest, write version ``batch_id``."""
+                 key: str = "customer_id", buckets: int = KEY_BUCKETS) -> None:
+    """One micro-batch: quarantine invalid rows, merge the rest into the touched buckets."""
     spark = batch.sparkSession
     bad = rows_missing(batch, key, REQUIRED_COLUMNS)
     bad.write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch={batch_id}")
-    good = batch.join(bad.select(key), key, "left_anti")
-    current = _latest_version(spark, table_root)
-    target = f"{table_root.rstrip('/')}/v={batch_id}"
-    if current == target:  # replay of a committed batch: already merged
+    good = reliable_checkpoint(batch.join(bad.select(key), key, "left_anti")
+                               .withColumn(BUCKET_COL, key_bucket(key, buckets)))
+    touched = [r[0] for r in good.select(BUCKET_COL).distinct().collect()]  # at most `buckets` values
+    if not touched:
         return
-    existing = spark.read.schema(batch.schema).parquet(current) if current else None
-    merged = upsert(existing, good, key)
-    merged.write.mode("overwrite").parquet(target)
+    existing = None
+    if _exists(spark, table_root):
+        existing = spark.read.schema(good.schema).parquet(table_root).where(F.col(BUCKET_COL).isin(touched))
+    # detach the merged rows from the files about to be replaced
+    merged = reliable_checkpoint(upsert(existing, good, key))
+    # one writer per bucket: one file per bucket (keys are unique after the merge)
+    merged.repartition(F.col(BUCKET_COL)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+          .partitionBy(BUCKET_COL).parquet(table_root)
 
 
 def stream_upsert_customers(spark: SparkSession, source_dir: str, table_root: str, quarantine_root: str,
-                            checkpoint: str, fmt: str = "parquet", max_files_per_trigger: int = 1):
-    """Start the file stream (T1); returns the StreamingQuery (trigger: available now)."""
+                            checkpoint: str, fmt: str = "parquet", max_files_per_trigger: int = 1,
+                            buckets: int = KEY_BUCKETS):
+    """Start the file stream (T1); returns the StreamingQuery (trigger: available now).
+
+    ``buckets`` is fixed for the life of a table: about table size / target
+    file size.
+    """
     stream = (spark.readStream.schema(CUSTOMER_SCHEMA).format(fmt)
               .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
     return (stream.writeStream
-            .foreachBatch(lambda df, bid: upsert_batch(df, bid, table_root, quarantine_root))
+            .foreachBatch(lambda df, bid: upsert_batch(df, bid, table_root, quarantine_root, buckets=buckets))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
 
 
 def read_current(spark: SparkSession, table_root: str) -> DataFrame:
-    """The newest committed version of the upserted table."""
-    v = _latest_version(spark, table_root)
-    if v is None:
+    """The upserted table (bucket column dropped)."""
+    if not _exists(spark, table_root):
         raise FileNotFoundError(table_root)
-    return spark.read.schema(CUSTOMER_SCHEMA).parquet(v)
+    schema = T.StructType(list(CUSTOMER_SCHEMA.fields) + [T.StructField(BUCKET_COL, T.IntegerType())])
+    return spark.read.schema(schema).parquet(table_root).drop(BUCKET_COL)
 
 
 def score_stream(stream: DataFrame, score, baseline_threshold: float = 0.25) -> DataFrame:
