@@ -8,7 +8,8 @@ task, so the kernel here splits the global order into contiguous buckets:
 1. a bounded sample of the ordering key (primary key, tie key) gives
    bucket edges (they only affect balance, never the result);
 2. each row's bucket is the number of edges at or before it in the order,
-   found by a JVM-side binary search over array literals;
+   found by binary search (a CASE tree in the JVM for few edges, numpy's
+   searchsorted in an Arrow UDF for many);
 3. per-bucket totals (one row per bucket) get exclusive running totals;
 4. a window partitioned by bucket adds the row's running sum to its offset.
 
@@ -21,8 +22,10 @@ and independent of partitioning.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 
@@ -90,36 +93,66 @@ def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
     return keys[picks], ties[picks], string_key
 
 
+TREE_MAX_EDGES = 63  # a balanced CASE tree this size stays inside whole-stage codegen
+
+
+def _bucket_tree(edge_keys: np.ndarray, edge_ties: np.ndarray, rk: Column, rt: Column) -> Column:
+    """Balanced CASE tree: log2(B) plain comparisons per row, compiled by codegen."""
+
+    def lit(v):
+        return F.lit(str(v)) if isinstance(v, str) else F.lit(float(v))
+
+    def build(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        e_k = lit(edge_keys[mid].item() if hasattr(edge_keys[mid], "item") else edge_keys[mid])
+        edge_le_row = (e_k < rk) | ((e_k == rk) & (F.lit(int(edge_ties[mid])) <= rt))
+        return F.when(edge_le_row, build(mid + 1, hi)).otherwise(build(lo, mid))
+
+    return build(0, len(edge_keys))
+
+
+def _bucket_udf(edge_keys: np.ndarray, edge_ties: np.ndarray, negate: bool, string_key: bool):
+    """Number of edges at or before each row in (key, tie) order."""
+
+    @F.pandas_udf(T.IntegerType())
+    def bucket_of(k: pd.Series, t: pd.Series) -> pd.Series:
+        if string_key:
+            kv = k.to_numpy().astype(str)
+        else:
+            kv = k.to_numpy(dtype=np.float64)
+            if negate:
+                kv = -kv
+        tv = t.to_numpy(dtype=np.int64)
+        lo = np.searchsorted(edge_keys, kv, side="left")
+        hi = np.searchsorted(edge_keys, kv, side="right")
+        out = lo.copy()
+        tied = np.nonzero(hi > lo)[0]
+        if tied.size:
+            starts = lo[tied]
+            for start in np.unique(starts):
+                idx = tied[starts == start]
+                stop = hi[idx[0]]
+                out[idx] = start + np.searchsorted(edge_ties[start:stop], tv[idx], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return bucket_of
+
+
+
 def _bucket_expr(edge_keys: np.ndarray, edge_ties: np.ndarray, key: Column, tie: Column,
                  negate: bool, string_key: bool) -> Column:
     """Number of edges at or before the row in (key, tie) order.
 
-    A binary search with a fixed number of steps, written as an
-    ``aggregate`` higher-order function over array literals: it stays in
-    the JVM, costs O(log B) per row and needs no Python worker.
+    Few edges: a CASE tree in the JVM (codegen, no Python).  Many edges (large
+    clusters): an Arrow-batched pandas UDF running numpy's binary search, which
+    costs O(log B) per row for any B and keeps the plan small.
     """
-    m = len(edge_keys)
-    steps = max(1, int(m).bit_length())
-    if string_key:
-        ek = F.array(*[F.lit(str(v)) for v in edge_keys])
-        rk = key.cast("string")
-    else:
-        ek = F.array(*[F.lit(float(v)) for v in edge_keys])
-        rk = -key.cast("double") if negate else key.cast("double")
-    et = F.array(*[F.lit(int(v)) for v in edge_ties])
-    rt = tie.cast("bigint")
-
-    def step(acc: Column, _i: Column) -> Column:
-        lo, hi = acc.getField("lo"), acc.getField("hi")
-        mid = F.floor((lo + hi) / 2).cast("int")
-        e_k, e_t = F.element_at(ek, mid + 1), F.element_at(et, mid + 1)
-        edge_le_row = (e_k < rk) | ((e_k == rk) & (e_t <= rt))
-        go_right = F.struct((mid + 1).alias("lo"), hi.alias("hi"))
-        go_left = F.struct(lo.alias("lo"), mid.alias("hi"))
-        return F.when(lo < hi, F.when(edge_le_row, go_right).otherwise(go_left)).otherwise(acc)
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc.getField("lo"))
+    if len(edge_keys) <= TREE_MAX_EDGES:
+        rk = key.cast("string") if string_key else (-key.cast("double") if negate else key.cast("double"))
+        return _bucket_tree(edge_keys, edge_ties, rk, tie.cast("bigint"))
+    return _bucket_udf(edge_keys, edge_ties, negate, string_key)(key, tie)
 
 
 def running_totals(
@@ -160,12 +193,14 @@ def running_totals(
         e_keys, e_ties, string_key = edges
         bucket_col = _bucket_expr(e_keys, e_ties, F.col(key), F.col(tie), desc and not string_key, string_key)
 
-    # one exchange on the bucket, shared by the totals and the window
-    x = df.withColumn(BUCKET, bucket_col).repartition(partitions, BUCKET)
-    totals = x.groupBy(BUCKET).agg(
+    keyed = df.withColumn(BUCKET, bucket_col)
+    # per-bucket totals: partial aggregation map-side, so only B rows per task
+    # cross the network for them; the rows themselves are shuffled once below
+    totals = keyed.groupBy(BUCKET).agg(
         F.count(F.lit(1)).alias("_t_n"),
         *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()],
     )
+    x = keyed.repartition(partitions, BUCKET)
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     # at most n_buckets rows: the only window without a partition
     offsets = totals.select(

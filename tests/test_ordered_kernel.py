@@ -53,3 +53,11 @@ def test_exact_median(spark):
     assert exact_median(df, "x", "id").collect()[0][0] == 3.5
     odd = df.where("id < 5")
     assert exact_median(odd, "x", "id").collect()[0][0] == 3.0
+
+
+def test_many_buckets_use_the_arrow_search(spark):
+    from cauldron.operators.ordered import TREE_MAX_EDGES
+
+    df = _frame(spark, 6000)
+    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=TREE_MAX_EDGES + 40, one_task_rows=0)
+    assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", True)
