@@ -63,7 +63,11 @@ def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
     if n_buckets <= 1:
         return None
     n = df.count()
-    if n <= max(2 * n_buckets, one_task_rows):
+    if n <= one_task_rows:
+        return None
+    # at least ~8 rows per bucket; tiny inputs keep a few buckets
+    n_buckets = min(n_buckets, max(1, n // 8))
+    if n_buckets <= 1:
         return None
     target = min(n_buckets * per_bucket, MAX_SAMPLE)
     fraction = min(1.0, target / n)

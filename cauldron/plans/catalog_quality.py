@@ -32,19 +32,15 @@ def q_check_duplicate_ids(spark, d):
     return qa.duplicate_ids(derived.predictions(spark, d))
 
 
-@register("check_rows_missing", W("scored", extra=""",
-x AS (SELECT customer_id, CASE WHEN customer_id % 7 = 0 THEN NULL ELSE customer_segment END AS customer_segment,
-  CASE WHEN customer_id % 11 = 0 THEN NULL ELSE age END AS age FROM scored)""") + """
-SELECT customer_id, list_filter([CASE WHEN age IS NULL THEN 'age' END,
+@register("check_rows_missing", W("customers") + """
+SELECT customer_id, list_filter([CASE WHEN campaign_id IS NULL THEN 'campaign_id' END,
   CASE WHEN customer_segment IS NULL OR customer_segment = '' THEN 'customer_segment' END], lambda v: v IS NOT NULL) AS missing
-FROM x WHERE age IS NULL OR customer_segment IS NULL OR customer_segment = ''""")
+FROM customers WHERE campaign_id IS NULL OR customer_segment IS NULL OR customer_segment = ''""")
 def q_check_rows_missing(spark, d):
-    # blank out cells by a rule on the id so the check has rows to find
-    s = derived.scored(spark, d).select(
-        "customer_id",
-        F.when(F.col("customer_id") % 7 == 0, F.lit(None)).otherwise(F.col("customer_segment")).alias("customer_segment"),
-        F.when(F.col("customer_id") % 11 == 0, F.lit(None)).otherwise(F.col("age")).alias("age"))
-    return qa.rows_missing(s, required=("age", "customer_segment"))
+    # customers of the one region without a campaign have a real NULL here;
+    # the check runs with campaign_id required to find them
+    c = derived.customers(spark, d)
+    return qa.rows_missing(c, required=("campaign_id", "customer_segment"))
 
 
 @register("check_ite_consistency", W("customers") + """

@@ -47,6 +47,8 @@ def load_all() -> None:
         catalog_allocation, catalog_extra, catalog_io, catalog_models, catalog_quality, catalog_views,
     )
 
+    catalog_views._register_bucketed()
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations for a budget: derive -> segment -> greedy -> top rows."""

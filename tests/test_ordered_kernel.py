@@ -61,3 +61,13 @@ def test_many_buckets_use_the_arrow_search(spark):
     df = _frame(spark, 6000)
     got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=TREE_MAX_EDGES + 40, one_task_rows=0)
     assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", True)
+
+
+def test_forced_bucketed_path_really_splits(spark):
+    from cauldron.operators.ordered import _sample_edges
+
+    df = _frame(spark, 400)
+    edges = _sample_edges(df, "k", True, "id", 800, 32, 7, 0)  # more buckets asked than rows allow
+    assert edges is not None and 1 <= len(edges[0]) <= 400 // 8
+    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=800, one_task_rows=0)
+    assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", True)
