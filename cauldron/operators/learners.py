@@ -353,7 +353,8 @@ def calibrate_logit(df: DataFrame, logit: Column, target: float, candidates: int
     reach the same precision.  Returns (shift, achieved mean).
     """
     target = min(max(float(target), 0.01), 0.99)
-    base = df.select(logit.alias("_l"))
+    # the passes re-read one checkpointed column instead of recomputing the input
+    base = reliable_checkpoint(df.select(logit.alias("_l")))
     for _ in range(rounds):
         grid = np.linspace(lo, hi, candidates)
         means = base.agg(*[F.avg(sigmoid(F.col("_l") + F.lit(float(s)))).alias(f"m{i}")

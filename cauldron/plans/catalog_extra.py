@@ -141,3 +141,57 @@ def q_mean_effect(spark, d):
     c = derived.customers(spark, d)
     value = mean_effect(c, ModelConfig(model_type="dml", base_learner="linear"))
     return c.agg(F.count(F.lit(1)).alias("n")).select("n", F.round(F.lit(value), 6).alias("mean_ite"))
+
+
+@register("write_predictions", W("scored") + """
+SELECT customer_id, baseline_probability, treatment_probability, ite FROM scored""")
+def q_write_predictions(spark, d):
+    """Finite and coverage checks, then the write; read back."""
+    s = stable_scored(spark, d)
+    path = scratch_dir(spark, "predictions-out")
+    sio.write_predictions(s.select("customer_id", "baseline_probability", "treatment_probability", "ite"),
+                          s.select("customer_id"), path)
+    return spark.read.parquet(path)
+
+
+@register("align_features", W("customers") + """
+SELECT customer_id, customer_segment,
+  CASE WHEN customer_segment = 'budget' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f_customer_segment_budget,
+  CASE WHEN customer_segment = 'premium' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f_customer_segment_premium,
+  CASE WHEN customer_segment = 'standard' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS f_customer_segment_standard
+FROM customers""")
+def q_align_features(spark, d):
+    """Fit on customers without the 'vip' segment, transform everyone: the
+    unseen category maps to all-zero dummies in the fitted order (F3)."""
+    from ..operators.prep import Preprocessor
+    from ..schema import FeatureConfig
+
+    c = derived.customers(spark, d).select("customer_id", "customer_segment")
+    fitted = Preprocessor(FeatureConfig(covariates=(), confounders=("customer_segment",))) \
+        .fit(c.where(F.col("customer_segment") != "vip"))
+    return fitted.transform(c)
+
+
+@register("check_summary_ranges", W("scored", extra=f""",
+e AS (SELECT {_ERR} FROM scored)""") + """
+SELECT "check", violations, violations = 0 AS passed FROM (
+SELECT 'summary_correlation_range' AS "check", CAST(COUNT(*) FILTER (WHERE correlation < -1 OR correlation > 1) AS BIGINT) AS violations FROM e
+UNION ALL SELECT 'summary_mae_nonnegative', CAST(COUNT(*) FILTER (WHERE mae < 0) AS BIGINT) FROM e
+UNION ALL SELECT 'summary_rmse_nonnegative', CAST(COUNT(*) FILTER (WHERE rmse < 0) AS BIGINT) FROM e)""")
+def q_check_summary_ranges(spark, d):
+    """Summary contract ranges over the computed metrics."""
+    return qa.check_summary_ranges(mt.error_metrics(derived.scored(spark, d)))
+
+
+@register("check_budget", W("scored", extra=f""",
+base AS (SELECT customer_id, ite*net_revenue AS p, discount_cost AS c FROM scored),
+cand AS (SELECT c, SUM(CAST(ROUND(c*100) AS BIGINT)) OVER (ORDER BY ROUND(p/c, 9) DESC, customer_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM base WHERE p > 0 AND c > 0)""") + f"""
+SELECT CAST({FLAGSHIP_BUDGET} AS DOUBLE) AS budget, ROUND(COALESCE(SUM(c), 0), 6) AS selected_cost,
+  COALESCE(SUM(c), 0) <= {FLAGSHIP_BUDGET} + CAST(0.000001 AS DOUBLE) AS passed
+FROM cand WHERE cum <= {round(FLAGSHIP_BUDGET * 100)}""")
+def q_check_budget(spark, d):
+    """Refuse a selection above the budget (V18): cost of the greedy selection vs budget."""
+    t = al.recommendation_totals(stable_scored(spark, d), FLAGSHIP_BUDGET)
+    return t.select("budget", F.round("total_expected_cost", 6).alias("selected_cost"),
+                    F.col("within_budget").alias("passed"))
