@@ -204,7 +204,9 @@ def running_totals(
         F.count(F.lit(1)).alias("_t_n"),
         *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()],
     )
-    x = keyed.repartition(partitions, BUCKET)
+    # by column, without a count: AQE may coalesce small partitions (a bucket
+    # never splits), while large inputs keep spark.sql.shuffle.partitions
+    x = keyed.repartition(F.col(BUCKET))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     # at most n_buckets rows: the only window without a partition
     offsets = totals.select(
