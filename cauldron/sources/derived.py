@@ -175,16 +175,20 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, scored_df: DataFrame | None = None) -> DataFrame:
-    """Two prediction runs, so that "latest" has something to choose from."""
+    """Two prediction runs, so that "latest" has something to choose from.
+
+    Run 1 scored the non-vip customers, run 2 the customers with a campaign:
+    the runs overlap, and each misses customers the other has.
+    """
     s = scored_df if scored_df is not None else scored(spark, sf_dir)
     cid = F.col("customer_id")
-    run1 = s.where(cid % 5 != 0).select(
+    run1 = s.where(F.col("customer_segment") != "vip").select(
         (cid * 2).alias("id"), cid, F.lit(1).alias("model_run_id"),
         "baseline_probability", "treatment_probability",
         F.round(F.col("ite") - _d(0.01), 6).alias("ite"),
         _ts("2000-04-01 00:00:00").alias("created_at"),
     )
-    run2 = s.where(cid % 3 != 0).select(
+    run2 = s.where(F.col("campaign_id").isNotNull()).select(
         (cid * 2 + 1).alias("id"), cid, F.lit(2).alias("model_run_id"),
         "baseline_probability", "treatment_probability", "ite",
         _ts("2000-04-02 00:00:00").alias("created_at"),
@@ -277,10 +281,10 @@ _CTE_PREDICTIONS = """
 predictions AS (
 SELECT customer_id*2 AS id, customer_id, 1 AS model_run_id, baseline_probability, treatment_probability,
        ROUND(ite - CAST(0.01 AS DOUBLE), 6) AS ite, TIMESTAMP '2000-04-01 00:00:00' AS created_at
-FROM scored WHERE customer_id % 5 <> 0
+FROM scored WHERE customer_segment <> 'vip'
 UNION ALL
 SELECT customer_id*2+1, customer_id, 2, baseline_probability, treatment_probability, ite, TIMESTAMP '2000-04-02 00:00:00'
-FROM scored WHERE customer_id % 3 <> 0)"""
+FROM scored WHERE campaign_id IS NOT NULL)"""
 
 _CTE_CUSTOMERS = """
 customers AS (
