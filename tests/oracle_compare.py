@@ -28,7 +28,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if EXACT else round(v, 9)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -42,8 +42,13 @@ def _key(row):
     return tuple((0, "") if v is None else (1, str(v)) if isinstance(v, str) else (1, v) for v in row)
 
 
+EXACT = bool(int(__import__("os").environ.get("ORACLE_EXACT", "0")))
+
+
 def _same(a, b) -> bool:
     if isinstance(a, float) and isinstance(b, float):
+        if EXACT:
+            return a == b
         return a == b or abs(a - b) <= 1e-9 * max(1.0, abs(a), abs(b))
     return a == b
 

@@ -73,3 +73,19 @@ def test_noise_feature_is_standard_normal(spark):
     df = pp.add_noise_feature(spark.range(20000).withColumnRenamed("id", "customer_id"))
     s = df.agg(F.avg("random_noise"), F.stddev_pop("random_noise")).first()
     assert abs(s[0]) < 0.03 and abs(s[1] - 1) < 0.03
+
+
+def test_allocation_independent_of_partitioning(spark, scored):
+    from cauldron.operators.ordered import SINGLE_TASK_ROWS_CONF
+
+    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")  # force the bucketed path
+    try:
+        outs = []
+        for parts in (1, 7):
+            s = scored.repartition(parts)
+            sel = sorted(r.customer_id for r in al.allocate_greedy(s, 1500.0).where("selected = 1").collect())
+            scen = sorted(tuple(r) for r in al.budget_scenarios(s, (500, 1500, 4000)).collect())
+            outs.append((sel, scen))
+        assert outs[0] == outs[1]
+    finally:
+        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
