@@ -258,6 +258,22 @@ def _fold(key: str, seed: int, k: int) -> Column:
     return F.floor(hash_uniform(key, seed, "fold") * k).cast("int")
 
 
+def stratified_folds(df: DataFrame, key: str, treatment: str, seed: int, k: int, out: str = "_fold") -> DataFrame:
+    """Exactly stratified folds: rank rows within each arm by a key hash, fold = rank mod k.
+
+    One distributed ranked pass over the composite order (arm, hash); each
+    fold then holds floor or ceil of n_arm / k rows of every arm.
+    """
+    from .ordered import global_rank
+
+    w = F.col(treatment).cast("int")
+    keyed = df.withColumn("_sk", w.cast("double") + hash_uniform(key, seed, "fold"))
+    ranked = global_rank(keyed, "_sk", key, desc=False, rank="_r")
+    n0 = df.agg(F.count(F.when(F.col(treatment) == 0, 1)).alias("n0")).select("n0").scalar()
+    within = F.col("_r") - F.when(w == 1, n0).otherwise(F.lit(0)) - 1
+    return ranked.withColumn(out, F.pmod(within, F.lit(k)).cast("int")).drop("_sk", "_r")
+
+
 def gram_solve(df: DataFrame, z_cols: list, y_col: str) -> np.ndarray:
     """Least squares of y on z (no intercept) from one aggregate of Z'Z and Z'y.
 
@@ -288,8 +304,11 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
     conf = [n for n in prep.feature_names if n not in ("age", "tenure_months")]
     nuisance = list(dict.fromkeys(het + conf))
     x = prep.transform(df).withColumn("_w", F.col(f.treatment).cast("int")) \
-        .withColumn("_wd", F.col(f.treatment).cast("double")).withColumn("_y", F.col(f.outcome).cast("double")) \
-        .withColumn("_fold", _fold(f.key, cfg.seed, cfg.folds))
+        .withColumn("_wd", F.col(f.treatment).cast("double")).withColumn("_y", F.col(f.outcome).cast("double"))
+    if cfg.stratified_folds:
+        x = stratified_folds(x, f.key, f.treatment, cfg.seed, cfg.folds)
+    else:
+        x = x.withColumn("_fold", _fold(f.key, cfg.seed, cfg.folds))
     x = reliable_checkpoint(assemble(x, nuisance, "x_nuis"))
     n_rows = x.count()
     # auxiliary outcome classifier on (X, W) for the two probabilities

@@ -135,4 +135,5 @@ class ModelConfig:
     min_samples_split: int = 10
     learning_rate: float = 0.1
     folds: int = 2
+    stratified_folds: bool = False  # exact per-arm balance (one ranked pass) vs hash folds (no shuffle)
     hyperparams: dict = field(default_factory=dict)

@@ -54,3 +54,17 @@ def test_zero_effect_and_placebo(spark, effect_frame):
 def test_unknown_model_type():
     with pytest.raises(ValueError):
         CausalModel(ModelConfig(model_type="s_learner"))
+
+
+def test_stratified_folds_are_exact(effect_frame):
+    from cauldron.operators.learners import stratified_folds
+
+    f = stratified_folds(effect_frame, "id", "w", 42, 2)
+    counts = {(r.w, r._fold): r["count"] for r in f.groupBy("w", "_fold").count().collect()}
+    for arm in (0, 1):
+        assert abs(counts[(arm, 0)] - counts[(arm, 1)]) <= 1
+
+
+def test_dml_with_stratified_folds(effect_frame):
+    fit = CausalModel(ModelConfig(model_type="dml", base_learner="linear", stratified_folds=True), FEATS).fit(effect_frame)
+    assert abs(fit.transform(effect_frame).agg(F.avg("ite")).first()[0] - 0.1) < 0.04
