@@ -33,8 +33,8 @@ _QINI = "CASE WHEN a.nt > 0 AND a.nc > 0 THEN c.cyt - c.cyc * (CAST(a.nt AS DOUB
 
 
 @register("cumulative_sum", W("scored", extra=""",
-x AS (SELECT customer_id, ite, SUM(CAST(ROUND(discount_cost*100) AS BIGINT)) OVER (
-  ORDER BY ite DESC, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_cost_cents,
+x AS (SELECT customer_id, ite, CAST(SUM(CAST(ROUND(discount_cost*100) AS BIGINT)) OVER (
+  ORDER BY ite DESC, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_cost_cents,
   ROW_NUMBER() OVER (ORDER BY ite DESC, customer_id) AS rank FROM scored)""") + """
 SELECT customer_id, ite, cum_cost_cents, rank FROM x""")
 def q_cumulative_sum(spark, d):
