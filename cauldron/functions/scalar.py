@@ -36,10 +36,6 @@ def cents(x) -> Column:
     return F.round(_c(x) * F.lit(100.0)).cast("bigint")
 
 
-def round_half_even_safe(x, digits: int) -> Column:
-    return F.round(_c(x), digits)
-
-
 def hash_uniform(key, seed: int, salt: str = "u") -> Column:
     """Uniform in (0, 1) from a 64-bit hash of the key: reproducible under
     recomputation and repartitioning, unlike ``rand()``."""

@@ -1,7 +1,6 @@
 """Summary and lookup semantics on small frames."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from cauldron.operators import lookup as lk
 from cauldron.operators import summaries as sm
