@@ -375,6 +375,8 @@ def calibrate_logit(df: DataFrame, logit: Column, target: float, candidates: int
     # the passes re-read one checkpointed column instead of recomputing the input
     base = reliable_checkpoint(df.select(logit.alias("_l")))
     for _ in range(rounds):
+        if hi - lo < 1e-12:  # bisection's 60 steps on [-20, 20] end near 3.5e-17
+            break
         grid = np.linspace(lo, hi, candidates)
         means = base.agg(*[F.avg(sigmoid(F.col("_l") + F.lit(float(s)))).alias(f"m{i}")
                            for i, s in enumerate(grid)]).collect()[0]
