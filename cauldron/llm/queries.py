@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cauldron.sources.tables import read_table
 
-from . import langid, simhash
+from . import langid, mixing, packing, simhash, substring, tokencount
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = BYTE_BPE) -> str:
+    """Where the installed vocabulary file is; the same on every machine that runs this."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=2)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(read_table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), repeats=2)
+    shards = F.array_sort(F.array_distinct(F.col("pieces.shard")))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
+
+
 def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     filters = langid.fit(docs.where(~langid.held_out()))
     return langid.identify(docs, filters).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {q.__name__: q for q in (op3_simhash_vptree, op10_language_bitmask)}
+QUERIES = {q.__name__: q for q in (
+    op2_substring_dedup, op3_simhash_vptree, op6_token_counts, op7_best_fit_packing, op8_mix_sources,
+    op10_language_bitmask)}
 ORACLE_SQL: dict[str, str] = {}

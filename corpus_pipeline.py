@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cauldron.llm import langid, simhash
+from cauldron.llm import langid, mixing, packing, simhash, substring
 from cauldron.llm.columnar import stage
+from cauldron.llm.queries import tokenizer_path
 from cauldron.sources.tables import read_table
 
 
@@ -30,9 +31,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.drop_near_duplicates(docs, shingle_words=3, max_bits=2)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row; passages of 20 words or more that occur earlier are cut from ``text``, ``n_chars`` follows."""
+    return substring.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each run of words that a pass draws from a document, in shards."""
+    return mixing.mixture(docs, share=1.5, weights=(3, 1, 2), repeats=2)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path(), length=1024, end_id=2)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 ORACLE_SQL = None
