@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cauldron.sources.tables import read_table
 
-from . import langid, mixing, packing, simhash, substring, tokencount
+from . import htmltext, langid, mixing, packing, quality, simhash, substring, tokencount, topk, toxicity
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,38 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+def op4_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    unseen = langid.held_out(3, 1)
+    model = toxicity.fit(docs.where(~unseen), read_table(spark, sf_dir, "labels").where(~unseen))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP5_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
@@ -41,6 +78,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     filters = langid.fit(docs.where(~langid.held_out()))
@@ -48,6 +89,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_substring_dedup, op3_simhash_vptree, op6_token_counts, op7_best_fit_packing, op8_mix_sources,
-    op10_language_bitmask)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_isolation_rules, op2_substring_dedup, op3_simhash_vptree, op4_toxicity_bigru, op5_threshold_topk,
+    op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_text_density, op10_language_bitmask)}
+#: The others have no SQL: trained models, trees, XXH64, BPE, HTML and hash-drawn mixes; tests/llm holds them to plain versions.
+ORACLE_SQL: dict[str, str] = {"op5_threshold_topk": OP5_SQL}
