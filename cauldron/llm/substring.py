@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -56,7 +57,9 @@ class Units:
         new = np.ones(n, bool)
         new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
         group = np.cumsum(new)
-        g = _mix(h * _STEP + np.append(h[1:], np.uint64(0)))
+        after = np.append(h[1:], np.uint64(0))
+        after[np.append(new[1:], True)] = 0  # a line's last word has no neighbour
+        g = _mix(h * _STEP + after)
         cut = ~new
         for k in range(1, REACH + 1):
             together = group[k:] == group[:-k]
@@ -121,8 +124,15 @@ def repeated_units(docs: DataFrame) -> DataFrame:
         F.collect_list(F.shiftright("place", 32).cast("int")).alias("units"))
 
 
-def _cut(texts: pa.Array, chosen: list, min_words: int):
-    """For each row: (removed words, words, spans as code points, kept text)."""
+def _cut(texts: pa.Array, chosen: list, min_words: int) -> tuple[pa.Array, ...]:
+    """Arrays of (removed words, words, spans as code points, kept text; null where the text is)."""
+    rows = list(zip(*_cut_rows(texts, chosen, min_words)))
+    kept = pa.array(rows[3], pa.string(), mask=~texts.is_valid().to_numpy(zero_copy_only=False))
+    spans = pa.array(rows[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    return pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), spans, kept
+
+
+def _cut_rows(texts: pa.Array, chosen: list, min_words: int):
     units = Units(texts)
     words = units.words
     lead = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
@@ -154,38 +164,40 @@ SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs``: doc_id, n_words, n_removed, removed (spans in the original text) and the kept text."""
-    return _apply(docs, columns(docs, doc_id="long", text="string"), min_words)
-
-
-def _apply(docs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
-    """``rows`` (columns doc_id and text, and any others) with the repeats of ``docs`` removed."""
-    found = repeated_units(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "units")
-    key = F.xxhash64(rows["text"].cast("string")).bitwiseAND(0xFFFFFFFF)
-    joined = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (key == found["_key"]), "left")
-    others = [c for c in rows.columns if c != "text"]
-    joined = joined.select(*[rows[c] for c in others], rows["text"].cast("string").alias("text"), "units")
-    schema = rows.select(*others).schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("removed", SPANS), ("text", "string")):
-        schema = schema.add(name, kind)
+    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long")
+    schema = schema.add("removed", SPANS).add("text", "string")
 
     def run(batches):
-        for b in slices(batches):
-            at = b.num_columns - 2
-            text = b.column(at)
-            done = list(zip(*_cut(text, b.column(at + 1).to_pylist(), min_words)))
-            kept = pa.array(done[3], pa.string(), mask=~text.is_valid().to_numpy(zero_copy_only=False))
-            spans = pa.array(done[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:at], pa.array(done[1], pa.int64()), pa.array(done[0], pa.int64()), spans, kept],
-                [*b.schema.names[:at], "n_words", "n_removed", "removed", "text"])
+        for b in slices(batches, "c1"):
+            gone, words, spans, kept = _cut(b.column(1), b.column(2).to_pylist(), min_words)
+            yield pa.RecordBatch.from_arrays([b.column(0), words, gone, spans, kept], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return _with_units(docs, columns(docs, doc_id="long", text="string")).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, same columns, with repeated passages cut from ``text`` and ``n_chars`` (if there) of what is left."""
-    clean = _apply(docs, docs, min_words)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
-            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    names, schema = docs.columns, docs.schema
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for b in slices(batches, f"c{at}"):
+            gone, _, _, kept = _cut(b.column(at), b.column(len(names)).to_pylist(), min_words)
+            out = list(b.columns[:-1])
+            out[at] = kept
+            if chars is not None:
+                size = pc.utf8_length(kept).cast(out[chars].type)
+                out[chars] = pc.if_else(pc.greater(gone, 0), size, out[chars])
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return _with_units(docs, docs).mapInArrow(run, schema)
+
+
+def _with_units(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with columns renamed c0, c1 ... (none can clash), and the numbers of their repeated units."""
+    found = repeated_units(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "units")
+    doc, text = (f"c{rows.columns.index(name)}" for name in ("doc_id", "text"))
+    rows = rows.withColumn("text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    key = F.xxhash64(rows[text]).bitwiseAND(0xFFFFFFFF)
+    joined = rows.join(found, rows[doc].cast("long").eqNullSafe(found["_id"]) & (key == found["_key"]), "left")
+    return joined.drop("_id", "_key")
