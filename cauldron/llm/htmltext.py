@@ -21,6 +21,7 @@ then the earlier node.
 
 from __future__ import annotations
 
+import bisect
 import html as html_entities
 import math
 import re
@@ -210,8 +211,7 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
 def _content(page: _Page) -> list[int]:
     """The content nodes in page order, none inside another."""
     density, total = _densities(page)
-    n = len(density)
-    body = next((i for i in range(n) if page.tags[i] == "body"), 0)
+    body = next((i for i, tag in enumerate(page.tags) if tag == "body"), 0)
 
     def best(i: int) -> int:  # the node of largest sum in a subtree; a node without element children stands for itself
         return max(range(i, page.last[i] + 1), key=lambda k: (total[k] or density[k] * (k == i), -k))
@@ -221,10 +221,9 @@ def _content(page: _Page) -> list[int]:
     while k not in (body, -1, 0):
         k = page.parents[k]
         threshold = min(threshold, density[k])
-    chosen, i = [], body
-    stack = [c for c in range(body + 1, page.last[body] + 1) if page.parents[c] == body] or [body]
-    stack = [body] if top == body else stack
-    for i in stack:
+    chosen = []
+    parts = [c for c in range(body + 1, page.last[body] + 1) if page.parents[c] == body]
+    for i in [body] if top == body else parts:
         if density[i] and (density[i] >= threshold or i <= top <= page.last[i]):
             chosen.append(best(i))
     # an article or main element that holds content is content as a whole
@@ -237,8 +236,12 @@ def _content(page: _Page) -> list[int]:
             k = page.parents[k]
         whole.append(out)
     semantic = [i for i in whole if page.tags[i] in _WHOLE]
-    keep = sorted(set(semantic or whole))
-    return [i for i in keep if not any(j < i <= page.last[j] for j in keep)]
+    keep, end = [], -1
+    for i in sorted(set(semantic or whole)):
+        if i > end:
+            keep.append(i)
+            end = page.last[i]
+    return keep
 
 
 def main_text(source: str | None) -> str:
@@ -257,7 +260,8 @@ def main_text(source: str | None) -> str:
     blocks: list[list[str]] = [[]]
     before = None
     for node, broken, text in page.texts:
-        inside = next((i for i in nodes if i <= node <= page.last[i]), None)
+        at = bisect.bisect_right(nodes, node) - 1
+        inside = nodes[at] if at >= 0 and node <= page.last[nodes[at]] else None
         if broken or inside != before:
             blocks.append([])
         before = inside

@@ -221,6 +221,11 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     the shard of the first; a document drawn whole keeps its text as it is.
     """
     seed, names = how.get("seed", 8), docs.columns
+    # the other columns travel under names that can't clash
+    own = {"doc_id", "source", "text"}
+    aliases = [n if n in own else f"_c{i}" for i, n in enumerate(names)]
+    docs = docs.toDF(*aliases)
+    chars = aliases[names.index("n_chars")] if "n_chars" in names else None
     rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn(
         "_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
     drawn = draw(rows, **how)
@@ -242,9 +247,8 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     cut = F.array_join(F.slice(parts, (F.col("_run.begin") + 1).cast("int"),
                                (F.col("_run.end") - F.col("_run.begin")).cast("int")), "")
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(
-            docs.schema["n_chars"].dataType))
+    if chars:
+        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length("text")).cast(docs.schema[chars].dataType))
     local = F.xxhash64(F.lit(seed + 2), "_run", "_order")
     out = out.withColumn("_shard", F.col("_run.shard")).withColumn("_local", local)
-    return out.repartition(F.col("_shard")).sortWithinPartitions("_shard", "_local").select(*names)
+    return out.repartition(F.col("_shard")).sortWithinPartitions("_shard", "_local").select(*aliases).toDF(*names)
