@@ -20,12 +20,6 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), _c(x)))
 
 
-def sigmoid(x, limit: float = 50.0) -> Column:
-    """Logistic function with the logit clipped to +-limit."""
-    z = clip(x, -limit, limit)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-
-
 def is_finite(x) -> Column:
     c = _c(x)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(math.inf))
@@ -36,13 +30,19 @@ def cents(x) -> Column:
     return F.round(_c(x) * F.lit(100.0)).cast("bigint")
 
 
+MONEY = "decimal(38, 9)"
+
+
+def money(x) -> Column:
+    """Money as an exact decimal with nine fractional digits: sums don't depend on partitioning or rounding."""
+    return _c(x).cast(MONEY)
+
+
 def hash_uniform(key, seed: int, salt: str = "u") -> Column:
-    """Uniform in (0, 1) from a 64-bit hash of the key: reproducible under
-    recomputation and repartitioning, unlike ``rand()``."""
-    h = F.xxhash64(_c(key), F.lit(int(seed)), F.lit(salt))
-    # 53 high-quality bits -> (0, 1)
-    bits = F.shiftrightunsigned(h, 11)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2 ** 53))
+    """Uniform in (0, 1) from 52 bits of the MD5 of 'salt:seed:key': reproducible
+    under recomputation and repartitioning, unlike ``rand()``, and in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(salt), F.lit(str(int(seed))), _c(key).cast("string")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 52))
 
 
 def hash_normal(key, seed: int) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .allocate import allocate_greedy
+from ..functions.scalar import MONEY
+from .allocate import greedy_order
 from .ordered import latest_per_key
 
 
@@ -15,18 +16,14 @@ def join_scored(customers: DataFrame, predictions: DataFrame, key: str = "custom
 
 
 def join_campaign(customers: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Left outer join to the campaign dimension.
+    """Left outer join to the campaign dimension (J2); the planner and AQE choose how.
 
-    The dimension is broadcast only when its row count is proven small;
-    otherwise the planner (and AQE) choose the strategy.
+    Customers without a campaign can be many: they need no partner, so they
+    stay out of the join (and out of one hot partition).
     """
-    return customers.join(broadcast_if_small(campaigns), "campaign_id", "left")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint behind an explicit row-count check."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    having = customers.where(F.col("campaign_id").isNotNull()).join(campaigns, "campaign_id", "left")
+    without = customers.where(F.col("campaign_id").isNull())
+    return having.unionByName(without, allowMissingColumns=True)
 
 
 PRED_VALUES = ("baseline_probability", "treatment_probability", "ite")
@@ -44,23 +41,23 @@ def latest_recommendation(recommendations: DataFrame, key: str = "customer_id")
 
 
 def recommendations_table(scored: DataFrame, runs: dict) -> DataFrame:
-    """Recommendation rows of several greedy runs: ``runs`` maps run id -> (budget, created_at)."""
-    parts = []
-    for run_id, (budget, created_at) in sorted(runs.items()):
-        sel = allocate_greedy(scored, budget).where(F.col("selected") == 1)
-        parts.append(sel.select(
-            (F.col("customer_id") * 2 + (run_id - 1)).alias("id"),
-            "customer_id", "campaign_id",
-            F.lit(run_id).alias("model_run_id"),
-            F.col("ite").alias("predicted_ite"),
-            F.col("discount_percentage").alias("recommended_discount"),
-            "expected_profit", "expected_cost",
-            F.expr(f"TIMESTAMP_NTZ '{created_at}'").alias("created_at"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Recommendation rows of several greedy runs: ``runs`` maps run id -> (budget, created_at).
+
+    The order is the same for all runs, so one ranked pass serves them; each
+    run keeps the rows whose running cost is within its budget.
+    """
+    ranked = greedy_order(scored)
+    every = F.array(*[F.struct(
+        F.lit(run).alias("model_run_id"), F.lit(repr(float(budget))).cast(MONEY).alias("budget"),
+        F.expr(f"TIMESTAMP_NTZ '{created}'").alias("created_at")) for run, (budget, created) in sorted(runs.items())])
+    bought = F.filter(every, lambda r: F.col("_cum_cost") <= r["budget"])
+    rows = ranked.select("*", F.explode(bought).alias("run"))
+    return rows.select(
+        (F.col("customer_id") * 2 + (F.col("run.model_run_id") - 1)).alias("id"),
+        "customer_id", "campaign_id", F.col("run.model_run_id").alias("model_run_id"),
+        F.col("ite").alias("predicted_ite"),
+        F.col("discount_percentage").alias("recommended_discount"),
+        "expected_profit", "expected_cost", F.col("run.created_at").alias("created_at"))
 
 
 def export_dashboard(customers: DataFrame, predictions: DataFrame, recommendations: DataFrame,
@@ -85,8 +82,8 @@ def mark_selected(df: DataFrame, ids: DataFrame, key: str = "customer_id", out:
 
 
 def coverage_anti(left: DataFrame, right: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Ids on one side only, both ways (J6): ``(key, side)`` with side missing/extra."""
-    lk, rk = left.select(key).distinct(), right.select(key).distinct()
-    missing = lk.join(rk, key, "left_anti").withColumn("side", F.lit("missing"))
-    extra = rk.join(lk, key, "left_anti").withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    """Ids on one side only, both ways (J6): ``(key, side)`` with side missing/extra; one aggregation."""
+    both = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).union(
+        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    seen = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return seen.where("l <> r").select(key, F.when(F.col("l") == 1, "missing").otherwise("extra").alias("side"))

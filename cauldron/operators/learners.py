@@ -1,4 +1,4 @@
-"""Treatment-effect estimation on Spark ML.
+"""Treatment-effect estimation on Spark ML.
 
 Meta-learners are plain Spark ML fits on filtered DataFrames; DML
 cross-fits its nuisances by hash folds and solves the linear final stage
@@ -10,22 +10,22 @@ or Spark ML prediction, so scoring is a map-only pass.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, hash_uniform, sigmoid
+from ..functions.scalar import hash_uniform
 from ..schema import FeatureConfig, ModelConfig
-from ..session import reliable_checkpoint, run_concurrently
-from .prep import Preprocessor, PreprocessorModel, assemble, heterogeneity_columns
+from ..session import run_concurrently, write_stage_table
+from .prep import Preprocessor, PreprocessorModel, assemble, heterogeneity_columns, imbalance_warnings
 
 MODEL_TYPES = ("t_learner", "x_learner", "dml")
+LIGHTGBM_LEAF_ROWS = 20
 
 
 def base_learner(name: str, kind: str, cfg: ModelConfig, n_rows: int, features: str, label: str, tag: str):
@@ -33,13 +33,14 @@ def base_learner(name: str, kind: str, cfg: ModelConfig, n_rows: int, features:
 
     gradient_boosting (and lightgbm, which plain Spark lacks) -> GBT;
     random_forest -> RF; anything else -> logistic / ridge with the
-    scikit-learn defaults C = 1 and alpha = 1 translated to regParam = 1/n.
-    The logistic fit uses IRLS (binomial GLM): a few weighted least-squares
-    passes instead of one job per L-BFGS step.  Splits need >=
+    usual defaults C = 1 and alpha = 1 translated to regParam = 1/n for the n
+    rows of this fit, on unstandardised features.  Splits need >=
     min_samples_split rows per node; Spark's limit is per child, hence half.
+    The lightgbm name keeps that library's own minimum of 20 rows in a leaf.
+    Forest regressors try all features at a split.
     """
     common = dict(featuresCol=features, labelCol=label, predictionCol=f"{tag}_pred")
-    min_child = max(1, cfg.min_samples_split // 2)
+    min_child = LIGHTGBM_LEAF_ROWS if name == "lightgbm" else max(1, cfg.min_samples_split // 2)
     if name in ("gradient_boosting", "lightgbm"):
         if kind == "classifier":
             est = GBTClassifier(maxIter=cfg.n_estimators, maxDepth=cfg.max_depth, stepSize=cfg.learning_rate,
@@ -53,19 +54,14 @@ def base_learner(name: str, kind: str, cfg: ModelConfig, n_rows: int, features:
                                          minInstancesPerNode=min_child, seed=cfg.seed, **common)
             return est.setProbabilityCol(f"{tag}_prob").setRawPredictionCol(f"{tag}_raw")
         return RandomForestRegressor(numTrees=cfg.n_estimators, maxDepth=cfg.max_depth,
-                                     minInstancesPerNode=min_child, seed=cfg.seed, **common)
+                                     minInstancesPerNode=min_child, featureSubsetStrategy="all", seed=cfg.seed, **common)
     reg = 1.0 / max(1, n_rows)
     if kind == "classifier":
-        return GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, tol=1e-8,
-                                           regParam=reg, **common)
+        est = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8, **common)
+        return est.setProbabilityCol(f"{tag}_prob").setRawPredictionCol(f"{tag}_raw")
     return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **common)
 
 
-def _probability_output(name: str) -> bool:
-    """Tree classifiers expose a probability vector; the GLM predicts the mean."""
-    return name in ("gradient_boosting", "lightgbm", "random_forest")
-
-
 def _score(model, df: DataFrame, tag: str, kind: str, out: str) -> DataFrame:
     """Apply a fitted Spark ML model; keep one numeric output column."""
     scored = model.transform(df)
@@ -99,7 +95,7 @@ class CausalModel:
     def __init__(self, config: ModelConfig = ModelConfig(), features: FeatureConfig = FeatureConfig(),
                  extra_confounders=(), fallback: str | None = None):
         if config.model_type not in MODEL_TYPES:
-            raise ValueError(f"Unknown model type: {config.model_type}")
+            raise ValueError(f"{config.model_type!r} is none of {MODEL_TYPES}")
         self.config = config
         self.features = features
         self.extra_confounders = tuple(extra_confounders)
@@ -107,8 +103,11 @@ class CausalModel:
 
     def fit(self, df: DataFrame, prep: PreprocessorModel | None = None) -> "FittedCausalModel":
         prep = prep or Preprocessor(self.features, extra_numeric=self.extra_confounders).fit(df)
+        prep.warnings = imbalance_warnings(df, self.features)
         try:
-            return _FITTERS[self.config.model_type](self, df, prep)
+            fitted = _FITTERS[self.config.model_type](self, df, prep)
+            fitted.trained_at = datetime.now(timezone.utc).isoformat(timespec="seconds")
+            return fitted
         except Exception:
             # No silent fallback; only when asked for explicitly
             if self.fallback == "t_learner" and self.config.model_type != "t_learner":
@@ -121,6 +120,7 @@ class FittedCausalModel:
     """Adds baseline_probability, treatment_probability and ite."""
 
     model_type = ""
+    trained_at = None
 
     def __init__(self, prep: PreprocessorModel, cfg: ModelConfig, features: FeatureConfig):
         self.prep = prep
@@ -137,7 +137,8 @@ class FittedCausalModel:
     def metadata(self) -> dict:
         return {"model_type": self.model_type, "base_learner": self.cfg.base_learner, "seed": self.cfg.seed,
                 "n_estimators": self.cfg.n_estimators, "max_depth": self.cfg.max_depth,
-                "learning_rate": self.cfg.learning_rate, "features": self.prep.feature_names,
+                "learning_rate": self.cfg.learning_rate, "trained_at": self.trained_at,
+                "features": self.prep.feature_names,
                 "warnings": self.prep.warnings}
 
 
@@ -168,12 +169,13 @@ def _prepare(model: CausalModel, df: DataFrame, prep: PreprocessorModel):
     f = model.features
     x = assemble(prep.transform(df), prep.feature_names, "x_all") \
         .withColumn("_w", F.col(f.treatment).cast("int")).withColumn("_y", F.col(f.outcome).cast("double"))
-    return x
+    # every step of every fit reads this narrow table, not the sources
+    return write_stage_table(x.select(f.key, "x_all", "_w", "_y"), "features")
 
 
-def _fit_t(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> FittedTLearner:
+def _fit_t(model: CausalModel, df: DataFrame, prep: PreprocessorModel, prepared: DataFrame | None = None) -> FittedTLearner:
     cfg = model.config
-    x = _prepare(model, df, prep)
+    x = prepared if prepared is not None else _prepare(model, df, prep)
     counts = x.groupBy("_w").count().collect()
     n = {r["_w"]: r["count"] for r in counts}
     mu0, mu1 = run_concurrently([
@@ -203,12 +205,13 @@ class FittedXLearner(FittedTLearner):
 
 def _fit_x(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> FittedXLearner:
     cfg = model.config
-    t = _fit_t(model, df, prep)
-    x = t.potential_outcomes(_prepare(model, df, prep))
+    prepared = _prepare(model, df, prep)
+    t = _fit_t(model, df, prep, prepared)
+    x = t.potential_outcomes(prepared)
     # imputed effects: D1 = y - mu0 (treated), D0 = mu1 - y (control)
     x = x.withColumn("_d", F.when(F.col("_w") == 1, F.col("_y") - F.col("baseline_probability"))
                      .otherwise(F.col("treatment_probability") - F.col("_y")))
-    x = reliable_checkpoint(x)  # cut the lineage of the T-learner scoring before three more fits
+    x = write_stage_table(x, "imputed")  # three more fits read it
     n = {r["_w"]: r["count"] for r in x.groupBy("_w").count().collect()}
     n_all = sum(n.values())
     tau0, tau1, prop = run_concurrently([
@@ -309,17 +312,17 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
         x = stratified_folds(x, f.key, f.treatment, cfg.seed, cfg.folds)
     else:
         x = x.withColumn("_fold", _fold(f.key, cfg.seed, cfg.folds))
-    x = reliable_checkpoint(assemble(x, nuisance, "x_nuis"))
-    n_rows = x.count()
-    # auxiliary outcome classifier on (X, W) for the two probabilities
-    xw = prep.transform(df).withColumn("f___treatment__", F.col(f.treatment).cast("double")) \
-        .withColumn("_y", F.col(f.outcome).cast("double"))
-    xw = assemble(xw, prep.feature_names + ["__treatment__"], "x_wt")
-    tasks = [lambda: _fit(cfg.base_learner, "classifier", cfg, xw, "x_wt", "_y", "po", n_rows)]
+    # the auxiliary outcome classifier for the two probabilities sees (X, W)
+    x = assemble(x.withColumn("f___treatment__", F.col("_wd")), prep.feature_names + ["__treatment__"], "x_wt")
+    x = write_stage_table(assemble(x, nuisance, "x_nuis").select(
+        f.key, "_fold", "_w", "_wd", "_y", "x_wt", "x_nuis", *[f"f_{n}" for n in het]), "nuisance")
+    in_fold = {r["_fold"]: r["count"] for r in x.groupBy("_fold").count().collect()}
+    n_rows = sum(in_fold.values())
+    tasks = [lambda: _fit(cfg.base_learner, "classifier", cfg, x, "x_wt", "_y", "po", n_rows)]
     for k in range(cfg.folds):
-        train = x.where(F.col("_fold") != k)
-        tasks.append(lambda t=train: _fit(cfg.base_learner, "regressor", cfg, t, "x_nuis", "_y", "my", n_rows))
-        tasks.append(lambda t=train: _fit(cfg.base_learner, "classifier", cfg, t, "x_nuis", "_wd", "mt", n_rows))
+        train, n = x.where(F.col("_fold") != k), n_rows - in_fold.get(k, 0)
+        tasks.append(lambda t=train, n=n: _fit(cfg.base_learner, "regressor", cfg, t, "x_nuis", "_y", "my", n))
+        tasks.append(lambda t=train, n=n: _fit(cfg.base_learner, "classifier", cfg, t, "x_nuis", "_wd", "mt", n))
     # 2K cross-fitted nuisance fits and the outcome model are independent
     fits = run_concurrently(tasks, max_workers=len(tasks))
     outcome, nuis = fits[0], fits[1:]
@@ -349,48 +352,3 @@ def propensity(df: DataFrame, cfg: ModelConfig = ModelConfig(), features: Featur
     n = x.count()
     m = _fit(cfg.base_learner, "classifier", cfg, x, "x_all", "_wd", "ps", n)
     return _keep(m.score(x, "propensity"), df.columns, ["propensity"])
-
-
-def logistic_score(logit: Column, limit: float = 50.0) -> Column:
-    """Sigmoid of a logit clipped to +-limit."""
-    return sigmoid(logit, limit)
-
-
-def clip_potential_outcomes(df: DataFrame, p0: str = "baseline_probability", p1: str = "treatment_probability",
-                            lo: float = 0.001, hi: float = 0.999) -> DataFrame:
-    """Clip both potential outcomes and recompute the effect, rounded to 10 dp."""
-    c0, c1 = clip(p0, lo, hi), clip(p1, lo, hi)
-    return df.withColumn(p0, c0).withColumn(p1, c1).withColumn("ite", F.round(F.col(p1) - F.col(p0), 10))
-
-
-def calibrate_logit(df: DataFrame, logit: Column, target: float, candidates: int = 32, rounds: int = 12,
-                    lo: float = -20.0, hi: float = 20.0) -> tuple[float, float]:
-    """Intercept shift s with mean(sigmoid(logit + s)) = target.
-
-    The reference bisects 60 times; here every pass evaluates ``candidates``
-    shifts in one aggregate and keeps the bracketing pair, so ~12 passes
-    reach the same precision.  Returns (shift, achieved mean).
-    """
-    target = min(max(float(target), 0.01), 0.99)
-    # the passes re-read one checkpointed column instead of recomputing the input
-    base = reliable_checkpoint(df.select(logit.alias("_l")))
-    for _ in range(rounds):
-        if hi - lo < 1e-12:  # bisection's 60 steps on [-20, 20] end near 3.5e-17
-            break
-        grid = np.linspace(lo, hi, candidates)
-        means = base.agg(*[F.avg(sigmoid(F.col("_l") + F.lit(float(s)))).alias(f"m{i}")
-                           for i, s in enumerate(grid)]).collect()[0]
-        vals = np.array([means[f"m{i}"] for i in range(candidates)], dtype=float)
-        below = np.nonzero(vals < target)[0]
-        if below.size == 0:
-            hi = grid[0]
-            lo = grid[0] - (grid[1] - grid[0])
-            continue
-        i = below[-1]
-        if i == candidates - 1:
-            lo, hi = grid[-1], grid[-1] + (grid[1] - grid[0])
-            continue
-        lo, hi = grid[i], grid[i + 1]
-    shift = (lo + hi) / 2.0
-    achieved = base.agg(F.avg(sigmoid(F.col("_l") + F.lit(shift)))).collect()[0][0]
-    return shift, float(achieved)

@@ -56,20 +56,3 @@ def search_recommendations(selected: DataFrame, search: str | None = None, segme
     """Selected list filtered by id substring and uplift segment, first n by profit (P5)."""
     f = _filtered(selected, segment, search, key, "uplift_segment")
     return f.orderBy(F.col("expected_profit").desc(), F.col(key).asc()).limit(limit)
-
-
-def campaign_economics(df: DataFrame, value_col: str = "purchase_value",
-                       discount_col: str = "discount_percentage") -> DataFrame:
-    """cost = value x discount, net = value - cost, both to the cent.
-
-    Computed in integer cents (value cents x percent points) so that no
-    product lands on a half-cent floating value.
-    """
-    v_cents = F.round(F.col(value_col) * 100).cast("bigint")
-    pct = F.round(F.col(discount_col) * 100).cast("bigint")
-    cost_cents = F.floor((v_cents * pct + 50) / F.lit(100.0)).cast("bigint")
-    return df.select(
-        "*",
-        (cost_cents / F.lit(100.0)).alias("campaign_cost"),
-        ((v_cents - cost_cents) / F.lit(100.0)).alias("campaign_net_revenue"),
-    )

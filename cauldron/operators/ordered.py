@@ -3,31 +3,35 @@
 The reference computes running sums with a single-process cumsum over a
 sorted frame (allocation, Qini curves, random targeting).  A Spark
 ``Window.orderBy`` without ``partitionBy`` would pull every row into one
-task, so the kernel here splits the global order into contiguous buckets:
-
-1. a bounded sample of the ordering key (primary key, tie key) gives
-   bucket edges (they only affect balance, never the result);
-2. each row's bucket is the number of edges at or before it in the order,
-   found by binary search (a CASE tree in the JVM for few edges, numpy's
-   searchsorted in an Arrow UDF for many);
+task, so the kernel here splits the global order into contiguous buckets.
+There is one plan, at every size:
+
+1. a sample of the ordering key (primary key, tie key) gives bucket edges:
+   rows are dealt by a hash of the tie and each group keeps the row of
+   smallest hash, so one partial aggregation yields a bounded, deterministic
+   sample without counting; the edges become one constant of the plan, so
+   that every use of them sees the same ones;
+2. each row's bucket is the number of edges at or before it, found by a
+   binary search over the edge array in the JVM, in the key's own type;
 3. per-bucket totals (one row per bucket) get exclusive running totals;
 4. a window partitioned by bucket adds the row's running sum to its offset.
 
-Ties on the primary key are split by the tie key (a unique id), so a
-primary value held by a third of all rows is still spread over many
-buckets.  Sums of money run in integer cents, which makes the result exact
-and independent of partitioning.
+Edges only affect balance, never the result.  NULL and NaN keys come last in
+either direction.  Ties on the primary key are split by the tie key (a unique
+id), so a primary value held by a third of all rows is still spread over many
+buckets.  Sums of money run in exact decimals, which makes the result
+independent of partitioning.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "_bucket"
+BUCKETS_PER_PARTITION = 4
+SAMPLES_PER_BUCKET = 16
 
 
 def default_partitions(df: DataFrame) -> int:
@@ -37,126 +41,53 @@ def default_partitions(df: DataFrame) -> int:
         return 200
 
 
-MAX_BUCKETS = 8192  # edge literals stay ~200 KB in the plan
-MAX_SAMPLE = 200_000  # rows of (key, tie) collected for the edges, in expectation
-SINGLE_TASK_ROWS_CONF = "cauldron.prefix.singleTaskRows"
-DEFAULT_SINGLE_TASK_ROWS = 100_000
-
-
-def single_task_rows(df: DataFrame) -> int:
-    """Row count up to which one ordered task is cheaper than the bucketed plan."""
-    try:
-        return int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(DEFAULT_SINGLE_TASK_ROWS)))
-    except (TypeError, ValueError):
-        return DEFAULT_SINGLE_TASK_ROWS
-
-
-def _sample_edges(df: DataFrame, key: str, desc: bool, tie: str, n_buckets: int,
-                  per_bucket: int, seed: int, one_task_rows: int):
-    """Bucket edges from a bounded sample; ``None`` when one task suffices.
+def order_struct(df: DataFrame, key: str, tie: str, desc: bool) -> Column:
+    """A struct whose ascending order is the order asked for; comparable in every step.
 
-    The count is exact, so the single-task path is taken only below a proven
-    row bound.  The sample has expected size ``n_buckets * per_bucket``
-    regardless of the input size (a fraction of a count, no ``limit``, so one
-    job).
+    Descending integers are complemented (exact over the whole range),
+    descending fractions negated; strings can only ascend.
     """
-    if n_buckets <= 1:
-        return None
-    n = df.count()
-    if n <= one_task_rows:
-        return None
-    # at least ~8 rows per bucket; tiny inputs keep a few buckets
-    n_buckets = min(n_buckets, max(1, n // 8))
-    if n_buckets <= 1:
-        return None
-    target = min(n_buckets * per_bucket, MAX_SAMPLE)
-    fraction = min(1.0, target / n)
-    rows = (
-        df.select(F.col(key).alias("k"), F.col(tie).alias("t"))
-        .sample(False, fraction, seed)
-        .collect()
-    )
-    if not rows:
-        return None
-    string_key = isinstance(rows[0]["k"], str)
-    if string_key and desc:
-        raise ValueError("descending order on a string key is not supported")
-    if string_key:
-        keys = np.array([r["k"] for r in rows], dtype=str)
+    kind, c = df.schema[key].dataType, F.col(key)
+    missing = c.isNull()
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        missing = missing | F.isnan(c)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        value = F.bitwise_not(c.cast("bigint")) if desc else c.cast("bigint")
+    elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = -c if desc else c
+    elif desc:
+        raise ValueError(f"descending order on {kind.simpleString()} is not supported")
     else:
-        keys = np.array([float(r["k"]) for r in rows], dtype=np.float64)
-        if desc:
-            keys = -keys
-    ties = np.array([int(r["t"]) for r in rows], dtype=np.int64)
-    order = np.lexsort((ties, keys))
-    keys, ties = keys[order], ties[order]
-    picks = np.unique((np.arange(1, n_buckets) * len(keys)) // n_buckets)
-    picks = picks[(picks > 0) & (picks < len(keys))]
-    if picks.size == 0:
-        return None
-    return keys[picks], ties[picks], string_key
-
-
-TREE_MAX_EDGES = 63  # a balanced CASE tree this size stays inside whole-stage codegen
-
-
-def _bucket_tree(edge_keys: np.ndarray, edge_ties: np.ndarray, rk: Column, rt: Column) -> Column:
-    """Balanced CASE tree: log2(B) plain comparisons per row, compiled by codegen."""
+        value = c
+    return F.struct(F.when(missing, 1).otherwise(0).alias("last"), F.when(~missing, value).alias("value"),
+                    F.col(tie).cast("bigint").alias("tie"))
 
-    def lit(v):
-        return F.lit(str(v)) if isinstance(v, str) else F.lit(float(v))
 
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        e_k = lit(edge_keys[mid].item() if hasattr(edge_keys[mid], "item") else edge_keys[mid])
-        edge_le_row = (e_k < rk) | ((e_k == rk) & (F.lit(int(edge_ties[mid])) <= rt))
-        return F.when(edge_le_row, build(mid + 1, hi)).otherwise(build(lo, mid))
+def _edges(df: DataFrame, order: Column, tie: str, buckets: int, seed: int) -> Column:
+    """About ``buckets`` edges in order, as one constant array (folded once, sent with the tasks)."""
+    spread = F.xxhash64(F.col(tie), F.lit(seed))
+    sample = df.select(order.alias("o"), spread.alias("h")) \
+        .groupBy(F.pmod("h", F.lit(buckets * SAMPLES_PER_BUCKET))).agg(F.min_by("o", "h").alias("o"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("s") / buckets))
+    thinned = sample.agg(F.array_sort(F.collect_list("o")).alias("s")).select(
+        F.filter("s", lambda o, i: (i % step == 0) & (i > 0)).alias("edges"))
+    text = thinned.select(F.to_json("edges")).first()[0]
+    return F.from_json(F.lit(text), thinned.schema["edges"].dataType)
 
-    return build(0, len(edge_keys))
 
+def _bucket(order: Column, edges: Column, buckets: int) -> Column:
+    """Number of edges at or before ``order``: binary search in ceil(log2(buckets)) steps."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, buckets.bit_length())))
 
-def _bucket_udf(edge_keys: np.ndarray, edge_ties: np.ndarray, negate: bool, string_key: bool):
-    """Number of edges at or before each row in (key, tie) order."""
+    def halve(s, _):
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(edges, mid)
+        return F.when(s["lo"] >= s["hi"], s).when(
+            at <= order, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-    @F.pandas_udf(T.IntegerType())
-    def bucket_of(k: pd.Series, t: pd.Series) -> pd.Series:
-        if string_key:
-            kv = k.to_numpy().astype(str)
-        else:
-            kv = k.to_numpy(dtype=np.float64)
-            if negate:
-                kv = -kv
-        tv = t.to_numpy(dtype=np.int64)
-        lo = np.searchsorted(edge_keys, kv, side="left")
-        hi = np.searchsorted(edge_keys, kv, side="right")
-        out = lo.copy()
-        tied = np.nonzero(hi > lo)[0]
-        if tied.size:
-            starts = lo[tied]
-            for start in np.unique(starts):
-                idx = tied[starts == start]
-                stop = hi[idx[0]]
-                out[idx] = start + np.searchsorted(edge_ties[start:stop], tv[idx], side="right")
-        return pd.Series(out.astype(np.int32))
-
-    return bucket_of
-
-
-
-def _bucket_expr(edge_keys: np.ndarray, edge_ties: np.ndarray, key: Column, tie: Column,
-                 negate: bool, string_key: bool) -> Column:
-    """Number of edges at or before the row in (key, tie) order.
-
-    Few edges: a CASE tree in the JVM (codegen, no Python).  Many edges (large
-    clusters): an Arrow-batched pandas UDF running numpy's binary search, which
-    costs O(log B) per row for any B and keeps the plan small.
-    """
-    if len(edge_keys) <= TREE_MAX_EDGES:
-        rk = key.cast("string") if string_key else (-key.cast("double") if negate else key.cast("double"))
-        return _bucket_tree(edge_keys, edge_ties, rk, tie.cast("bigint"))
-    return _bucket_udf(edge_keys, edge_ties, negate, string_key)(key, tie)
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
 def running_totals(
@@ -168,69 +99,52 @@ def running_totals(
     desc: bool = True,
     rank: str | None = "rank",
     buckets: int | None = None,
-    per_bucket: int = 32,
     seed: int = 7,
-    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (and a 1-based global rank) in (key, tie) order.
 
-    ``key`` is a numeric or string column (descending only for numbers),
-    ``tie`` a unique integer column breaking ties ascending.  Every column of
-    ``df`` is kept; ``sums`` maps output names to the column summed.
+    ``key`` is any orderable column (descending only for numbers), ``tie`` a
+    unique integer column breaking ties ascending.  NULL and NaN keys come
+    last.  Every column of ``df`` is kept; ``sums`` maps output names to the
+    column summed.
     """
     sums = dict(sums or {})
-    partitions = default_partitions(df)
-    n_buckets = min(buckets if buckets is not None else 4 * partitions, MAX_BUCKETS)
-    if one_task_rows is None:
-        one_task_rows = single_task_rows(df)
-    edges = _sample_edges(df, key, desc, tie, n_buckets, per_bucket, seed, one_task_rows)
-    order = F.col(key).desc() if desc else F.col(key).asc()
-    if edges is None:
-        # bounded input: one ordered window is the whole plan
-        w = Window.orderBy(order, F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = [F.col(c) for c in df.columns]
-        out += [F.sum(c).over(w).alias(name) for name, c in sums.items()]
-        if rank:
-            out.append(F.row_number().over(w).cast("bigint").alias(rank))
-        return df.select(*out)
-    else:
-        e_keys, e_ties, string_key = edges
-        bucket_col = _bucket_expr(e_keys, e_ties, F.col(key), F.col(tie), desc and not string_key, string_key)
-
-    keyed = df.withColumn(BUCKET, bucket_col)
+    buckets = max(1, buckets if buckets is not None else BUCKETS_PER_PARTITION * default_partitions(df))
+    order = order_struct(df, key, tie, desc)
+    # what is summed and ordered becomes a column once, so each use is the same value
+    keyed = df.withColumns({"_order": order} | {f"_v_{name}": c for name, c in sums.items()})
+    keyed = keyed.withColumn(BUCKET, _bucket(F.col("_order"), _edges(df, order, tie, buckets, seed), buckets))
     # per-bucket totals: partial aggregation map-side, so only B rows per task
     # cross the network for them; the rows themselves are shuffled once below
     totals = keyed.groupBy(BUCKET).agg(
         F.count(F.lit(1)).alias("_t_n"),
-        *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()],
+        *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums],
     )
-    # by column, without a count: AQE may coalesce small partitions (a bucket
-    # never splits), while large inputs keep spark.sql.shuffle.partitions
-    x = keyed.repartition(F.col(BUCKET))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_buckets rows: the only window without a partition
+    # at most ``buckets`` rows: the only window without a partition
     offsets = totals.select(
-        BUCKET,
+        F.col(BUCKET).alias("_ob"),
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
     )
-    within = Window.partitionBy(BUCKET).orderBy(order, F.col(tie).asc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    # left join: offsets cover every bucket, and an inner join would make
-    # Catalyst infer isnotnull(bucket) below the exchange (a second UDF pass)
-    y = x.join(F.broadcast(offsets), BUCKET, "left")
+    within = Window.partitionBy(BUCKET).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [F.col(c) for c in df.columns]
-    for name, c in sums.items():
-        out.append((F.col(f"_o_{name}") + F.sum(c).over(within)).alias(name))
+    # a bucket without any value to sum so far has NULL totals
+    run = {name: F.coalesce(F.sum(f"_v_{name}").over(within), F.lit(0)) for name in sums}
+    ranked = keyed.select("*", *[c.alias(f"_w_{name}") for name, c in run.items()],
+                          F.row_number().over(within).alias("_w_n"))
+    y = ranked.join(F.broadcast(offsets), F.col(BUCKET) == F.col("_ob"), "left")
+    for name in sums:
+        out.append((F.col(f"_o_{name}") + F.col(f"_w_{name}")).alias(name))
     if rank:
-        out.append((F.col("_o_n") + F.row_number().over(within)).alias(rank))
+        out.append((F.col("_o_n") + F.col("_w_n")).cast("bigint").alias(rank))
     return y.select(*out)
 
 
 def global_rank(df: DataFrame, key: str, tie: str, *, desc: bool = True, rank: str = "rank",
-                buckets: int | None = None, one_task_rows: int | None = None) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """1-based position in (key, tie) order without a single-task window."""
-    return running_totals(df, key, tie, {}, desc=desc, rank=rank, buckets=buckets, one_task_rows=one_task_rows)
+    return running_totals(df, key, tie, {}, desc=desc, rank=rank, buckets=buckets)
 
 
 def exact_median(df: DataFrame, col: str, tie: str, *, alias: str | None = None) -> DataFrame:
@@ -249,21 +163,6 @@ def exact_median(df: DataFrame, col: str, tie: str, *, alias: str | None = None)
     return mid.agg(F.avg(col).alias(alias))
 
 
-def percentile_tier(df: DataFrame, score: str, tie: str, levels: list[float], *,
-                    out: str = "tier_level") -> DataFrame:
-    """Rank / n mapped to one of ``levels``.
-
-    Rank is ascending by score, ties by ``tie`` (the reference ranks ties by
-    arrival).  pct = rank / n; tier = min(int(pct * k), k - 1).
-    """
-    k = len(levels)
-    ranked = global_rank(df, score, tie, desc=False, rank="_r")
-    n = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    tier = F.least(F.floor(F.col("_r") / n * k).cast("int"), F.lit(k - 1))
-    arr = F.array(*[F.lit(float(v)) for v in levels])
-    return ranked.withColumn("tier", tier).withColumn(out, F.element_at(arr, F.col("tier") + 1)).drop("_r")
-
-
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str]) -> DataFrame:
     """Newest row per key by ``order_cols`` descending.
 

@@ -19,8 +19,6 @@ from ..functions.scalar import hash_normal, hash_uniform
 from ..schema import HETEROGENEITY_NUMERIC, FeatureConfig
 from .ordered import global_rank
 
-MAX_CATEGORIES = 1000
-
 
 @dataclass
 class PreprocessorModel:
@@ -75,12 +73,8 @@ class Preprocessor:
         stds = {c: float(row[f"s{i}"] or 0.0) for i, c in enumerate(self.numeric)}
         cats = {}
         for c in self.categorical:
-            # bounded: more than MAX_CATEGORIES distinct values is an error
-            values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                      .orderBy(c).limit(MAX_CATEGORIES + 1).collect()]
-            if len(values) > MAX_CATEGORIES:
-                raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-            cats[c] = values
+            # the levels are the model's own state: one dummy each
+            cats[c] = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
         return PreprocessorModel(self.numeric, self.categorical, means, stds, cats)
 
 
@@ -142,12 +136,6 @@ def subset_rows(df: DataFrame, key: str = "customer_id", seed: int = 42, fractio
     return df.where(hash_uniform(key, seed, "subset") < F.lit(fraction))
 
 
-def split_roles(config: FeatureConfig) -> dict:
-    """Categorical vs numeric features, treatment and outcome."""
-    return {"categorical": list(config.categorical), "numeric": list(config.numeric),
-            "treatment": config.treatment, "outcome": config.outcome}
-
-
 def imbalance_warnings(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> list:
     """Warnings when treatment or outcome rate is below 5 % or above 95 %."""
     row = df.agg(F.avg(F.col(config.treatment).cast("double")).alias("t"),

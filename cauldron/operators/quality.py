@@ -7,6 +7,8 @@ pass producing ``(check, violations, passed)`` rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,8 @@ def customer_rule_sql(columns, ite_tolerance: float = ITE_TOLERANCE) -> list[tup
                       f" > CAST({float(ite_tolerance)!r} AS DOUBLE)"))
     if "customer_id" in has:
         rules.append(("customer_id_positive", "customer_id < 1"))
+    if "campaign_id" in has:
+        rules.append(("campaign_id_positive", "campaign_id < 1"))
     if "customer_segment" in has:
         rules.append(("customer_segment_nonempty", "customer_segment = ''"))
     for c in ("age", "tenure_months", "historical_orders", "historical_revenue", "avg_order_value",
@@ -125,8 +129,9 @@ def ite_max_difference(df: DataFrame) -> DataFrame:
 
 
 def check_finite(predictions: DataFrame, cols=PREDICTION_COLUMNS) -> DataFrame:
-    """Prediction columns numeric, not null, finite."""
-    return run_rules(predictions, [(f"finite_{c}", ~is_finite(c)) for c in cols])
+    """Prediction id set, prediction columns numeric, not null, finite."""
+    known = [("known_customer_id", F.col("customer_id").isNull())] if "customer_id" in predictions.columns else []
+    return run_rules(predictions, known + [(f"finite_{c}", ~is_finite(c)) for c in cols])
 
 
 def check_coverage(customers: DataFrame, predictions: DataFrame, key: str = "customer_id",
@@ -145,44 +150,68 @@ def check_coverage(customers: DataFrame, predictions: DataFrame, key: str = "cus
     return diff.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= show).drop("_rn")
 
 
+def _unresolved(child: DataFrame, parent: DataFrame, col: str) -> DataFrame:
+    """Rows of ``child`` whose ``col`` is set but not in ``parent``: one aggregation over both, no join."""
+    both = child.where(F.col(col).isNotNull()).select(F.col(col).alias("k"), F.lit(1).alias("c"), F.lit(0).alias("p")) \
+        .union(parent.select(F.col(col).alias("k"), F.lit(0).alias("c"), F.lit(1).alias("p")))
+    per = both.groupBy("k").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
+    return per.agg(F.coalesce(F.sum(F.when(F.col("p") == 0, F.col("c"))), F.lit(0)).cast("bigint").alias("violations"))
+
+
 def check_references(customers: DataFrame, campaigns: DataFrame, predictions: DataFrame,
+                     recommendations: DataFrame | None = None, runs: DataFrame | None = None,
                      key: str = "customer_id") -> DataFrame:
-    """Foreign keys resolve and (customer_id, run) is unique."""
-    bad_campaign = customers.where(F.col("campaign_id").isNotNull()).join(
-        campaigns.select("campaign_id"), "campaign_id", "left_anti").select(F.count(F.lit(1))).scalar()
-    bad_customer = predictions.join(customers.select(key), key, "left_anti").select(F.count(F.lit(1))).scalar()
-    dup_run = predictions.groupBy(key, "model_run_id").count().where(F.col("count") > 1) \
-                         .select(F.count(F.lit(1))).scalar()
-    # one-row carrier aggregated from the customers themselves
-    rows = customers.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.stack(F.lit(3),
-                F.lit("customer_campaign_resolves"), bad_campaign,
-                F.lit("prediction_customer_resolves"), bad_customer,
-                F.lit("prediction_run_unique"), dup_run).alias("check", "violations"))
-    return rows.select("check", F.col("violations").cast("bigint"), (F.col("violations") == 0).alias("passed"))
-
-
-def check_contract_outputs(predictions: DataFrame, recommendations: DataFrame) -> DataFrame:
-    """Output ranges of the prediction and recommendation contracts."""
-    p = run_rules(predictions, [
-        ("prediction_baseline_probability_range", (F.col("baseline_probability") < 0) | (F.col("baseline_probability") > 1)),
-        ("prediction_treatment_probability_range", (F.col("treatment_probability") < 0) | (F.col("treatment_probability") > 1)),
-        ("prediction_ite_range", (F.col("ite") < -1) | (F.col("ite") > 1)),
-    ])
-    r = run_rules(recommendations, [
-        ("recommendation_cost_nonnegative", F.col("expected_cost") < 0),
-        ("recommendation_discount_range", (F.col("recommended_discount") < 0) | (F.col("recommended_discount") > 1)),
-    ])
-    return p.unionByName(r)
+    """Foreign keys resolve, (customer, run) of predictions and run ids are unique."""
+    dup = predictions.groupBy(key, "model_run_id").count().agg(
+        F.coalesce(F.sum(F.when(F.col("count") > 1, 1)), F.lit(0)).cast("bigint").alias("violations"))
+    found = {
+        "customer_campaign_resolves": _unresolved(customers, campaigns, "campaign_id"),
+        "prediction_customer_resolves": _unresolved(predictions, customers, key),
+        "prediction_run_unique": dup,
+    }
+    if runs is not None:
+        found["prediction_run_resolves"] = _unresolved(predictions, runs, "model_run_id")
+    if recommendations is not None:
+        found["recommendation_customer_resolves"] = _unresolved(recommendations, customers, key)
+        found["recommendation_campaign_resolves"] = _unresolved(recommendations, campaigns, "campaign_id")
+        if runs is not None:
+            found["recommendation_run_resolves"] = _unresolved(recommendations, runs, "model_run_id")
+    rows = [df.select(F.lit(name).alias("check"), "violations", (F.col("violations") == 0).alias("passed"))
+            for name, df in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+#: Output contract (V16) as (name, SQL predicate of a violation).
+PREDICTION_RULES = (
+    ("prediction_baseline_probability_range", "baseline_probability < 0 OR baseline_probability > 1"),
+    ("prediction_treatment_probability_range", "treatment_probability < 0 OR treatment_probability > 1"),
+)
+RECOMMENDATION_RULES = (
+    ("recommendation_cost_nonnegative", "expected_cost < 0"),
+    ("recommendation_discount_range", "recommended_discount < 0 OR recommended_discount > 1"),
+)
+SUMMARY_RULES = (
+    ("summary_positive_ite_share_range", "positive_ite_share < 0 OR positive_ite_share > 1"),
+    ("summary_correlation_range", "correlation < -1 OR correlation > 1"),
+    ("summary_mae_nonnegative", "mae < 0"),
+    ("summary_rmse_nonnegative", "rmse < 0"),
+)
+SHARE_RULES = (("segment_count_nonnegative", "count < 0"), ("segment_share_range", "share < 0 OR share > 1"))
+
+
+def run_sql_rules(df: DataFrame, rules) -> DataFrame:
+    return run_rules(df, [(name, F.expr(cond)) for name, cond in rules])
+
+
+def check_contract_outputs(predictions: DataFrame, recommendations: DataFrame, shares: DataFrame) -> DataFrame:
+    """Output ranges of the prediction, recommendation and segment contracts."""
+    return run_sql_rules(predictions, PREDICTION_RULES).unionByName(
+        run_sql_rules(recommendations, RECOMMENDATION_RULES)).unionByName(run_sql_rules(shares, SHARE_RULES))
 
 
 def check_summary_ranges(metrics: DataFrame) -> DataFrame:
-    """Summary contract: correlation in [-1, 1], mae and rmse >= 0."""
-    return run_rules(metrics, [
-        ("summary_correlation_range", (F.col("correlation") < -1) | (F.col("correlation") > 1)),
-        ("summary_mae_nonnegative", F.col("mae") < 0),
-        ("summary_rmse_nonnegative", F.col("rmse") < 0),
-    ])
+    """Summary contract: shares in [0, 1], correlation in [-1, 1], mae and rmse >= 0."""
+    return run_sql_rules(metrics, SUMMARY_RULES)
 
 
 def check_imbalance(df: DataFrame, treatment_col: str = "treatment_received", outcome_col: str = "purchase",

@@ -31,30 +31,6 @@ def _relative(new: float, original: float) -> float:
     return abs(new - original) / abs(original) if original != 0 else abs(new)
 
 
-def refute_placebo(df, original, cfg=ModelConfig(), features=FeatureConfig()) -> tuple:
-    """Permuted treatment; passes when |placebo| < 0.5 |original| (R2)."""
-    placebo = mean_effect(reliable_checkpoint(permute_treatment(df, features.treatment, features.key, cfg.seed)),
-                          cfg, features)
-    return ("placebo_treatment", original, placebo, _relative(placebo, original),
-            abs(placebo) < 0.5 * abs(original))
-
-
-def refute_random_cause(df, original, cfg=ModelConfig(), features=FeatureConfig()) -> tuple:
-    """Extra N(0,1) confounder; passes when the relative change < 20 %."""
-    noisy_df = add_noise_feature(df, features.key, cfg.seed)
-    noisy = mean_effect(noisy_df, cfg, features, extra_confounders=("random_noise",))
-    change = _relative(noisy, original)
-    return ("random_common_cause", original, noisy, change, change < 0.20)
-
-
-def refute_subset(df, original, cfg=ModelConfig(), features=FeatureConfig(), fraction: float = 0.8) -> tuple:
-    """Refit (preprocessing included) on a hash subset; relative change < 20 %."""
-    sub = subset_rows(df, features.key, cfg.seed, fraction)
-    value = mean_effect(sub, cfg, features)
-    change = _relative(value, original)
-    return ("data_subset", original, value, change, change < 0.20)
-
-
 def refit_means(df: DataFrame, cfg: ModelConfig = ModelConfig(), features: FeatureConfig = FeatureConfig(),
                 fraction: float = 0.8) -> dict:
     """The three refitted mean effects (placebo, noise confounder, subset).

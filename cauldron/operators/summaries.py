@@ -85,7 +85,7 @@ def dataset_summary(c: DataFrame, key: str = "customer_id") -> DataFrame:
         n.alias("customers"),
         F.count(F.when(t == 1, 1)).alias("treated_customers"),
         F.count(F.when(t == 0, 1)).alias("control_customers"),
-        (F.count(F.when(t == 1, 1)) / n).alias("treatment_rate"),
+        F.try_divide(F.count(F.when(t == 1, 1)), n).alias("treatment_rate"),
         F.avg(y.cast("double")).alias("purchase_rate"),
         F.coalesce(F.avg(F.when(t == 1, y.cast("double"))), F.lit(0.0)).alias("treated_purchase_rate"),
         F.coalesce(F.avg(F.when(t == 0, y.cast("double"))), F.lit(0.0)).alias("control_purchase_rate"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import allocate as al
+from ..schema import SCENARIO_BUDGETS
 from ..sources import derived
 from .registry import stable_scored, FLAGSHIP_BUDGET, SMALL_BUDGET, W, register
 
@@ -112,7 +113,7 @@ def _round_scenarios(df: DataFrame) -> DataFrame:
                      F.round("roi", 9).alias("roi"))
 
 
-@register("budget_scenarios", _scenario_sql((25000, 50000, 100000, 250000, 500000, 1000000, 2500000)))
+@register("budget_scenarios", _scenario_sql(SCENARIO_BUDGETS))
 def q_budget_scenarios(spark, d):
     return _round_scenarios(al.budget_scenarios(stable_scored(spark, d)))
 

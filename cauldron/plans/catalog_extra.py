@@ -11,7 +11,7 @@ from ..operators import metrics as mt
 from ..operators import quality as qa
 from ..operators import summaries as sm
 from ..operators.refute import mean_effect
-from ..schema import CUSTOMER_SCHEMA, ModelConfig
+from ..schema import CUSTOMER_SCHEMA, SCENARIO_BUDGETS, ModelConfig
 from ..session import scratch_dir
 from ..sources import derived
 from ..sources import io as sio
@@ -20,11 +20,10 @@ from .catalog_views import _AREAS, _ERR, _SEG025
 from .registry import stable_scored, FLAGSHIP_BUDGET, W, register, rounded
 
 _COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
-_BUDGETS = (25000, 50000, 100000, 250000, 500000, 1000000, 2500000)
 
 
 @register("scenario_chart", "SELECT budget, strategy, customers_targeted, ROUND(expected_profit, 0) AS expected_profit, "
-          "ROUND(expected_cost, 0) AS expected_cost FROM (" + _scenario_sql(_BUDGETS) + ")")
+          "ROUND(expected_cost, 0) AS expected_cost FROM (" + _scenario_sql(SCENARIO_BUDGETS) + ")")
 def q_scenario_chart(spark, d):
     return al.scenario_chart(al.budget_scenarios(stable_scored(spark, d)))
 
@@ -106,7 +105,7 @@ def q_export_query(spark, d):
 def q_save_load_model(spark, d):
     """Persist a fitted T-learner, load it back and score."""
     c = derived.customers(spark, d)
-    fitted = ln.CausalModel(ModelConfig(model_type="t_learner", base_learner="linear")).fit(c)
+    fitted = ln.CausalModel(ModelConfig(model_type="t_learner")).fit(c)
     path = scratch_dir(spark, "model")
     sio.save_model(fitted, path)
     loaded = sio.load_model(spark, path)
@@ -128,7 +127,7 @@ def q_update_run_metrics(spark, d):
 def q_predict(spark, d):
     """Transform with finite and coverage checks before anything is returned."""
     c = derived.customers(spark, d)
-    fitted = ln.CausalModel(ModelConfig(model_type="dml", base_learner="linear")).fit(c)
+    fitted = ln.CausalModel(ModelConfig()).fit(c)
     preds = fitted.transform(c).select("customer_id", "baseline_probability", "treatment_probability", "ite")
     bad = qa.check_finite(preds).where(~F.col("passed")).count() + qa.check_coverage(c, preds).count()
     if bad:
@@ -139,7 +138,7 @@ def q_predict(spark, d):
 @register("mean_effect", None)
 def q_mean_effect(spark, d):
     c = derived.customers(spark, d)
-    value = mean_effect(c, ModelConfig(model_type="dml", base_learner="linear"))
+    value = mean_effect(c, ModelConfig())
     return c.agg(F.count(F.lit(1)).alias("n")).select("n", F.round(F.lit(value), 6).alias("mean_ite"))
 
 
@@ -172,17 +171,6 @@ def q_align_features(spark, d):
     return fitted.transform(c)
 
 
-@register("check_summary_ranges", W("scored", extra=f""",
-e AS (SELECT {_ERR} FROM scored)""") + """
-SELECT "check", violations, violations = 0 AS passed FROM (
-SELECT 'summary_correlation_range' AS "check", CAST(COUNT(*) FILTER (WHERE correlation < -1 OR correlation > 1) AS BIGINT) AS violations FROM e
-UNION ALL SELECT 'summary_mae_nonnegative', CAST(COUNT(*) FILTER (WHERE mae < 0) AS BIGINT) FROM e
-UNION ALL SELECT 'summary_rmse_nonnegative', CAST(COUNT(*) FILTER (WHERE rmse < 0) AS BIGINT) FROM e)""")
-def q_check_summary_ranges(spark, d):
-    """Summary contract ranges over the computed metrics."""
-    return qa.check_summary_ranges(mt.error_metrics(derived.scored(spark, d)))
-
-
 @register("check_budget", W("scored", extra=f""",
 base AS (SELECT customer_id, ite*net_revenue AS p, discount_cost AS c FROM scored),
 cand AS (SELECT c, SUM(CAST(ROUND(c*100) AS BIGINT)) OVER (ORDER BY ROUND(p/c, 9) DESC, customer_id
@@ -192,6 +180,6 @@ SELECT CAST({FLAGSHIP_BUDGET} AS DOUBLE) AS budget, ROUND(COALESCE(SUM(c), 0), 6
 FROM cand WHERE cum <= {round(FLAGSHIP_BUDGET * 100)}""")
 def q_check_budget(spark, d):
     """Refuse a selection above the budget (V18): cost of the greedy selection vs budget."""
-    t = al.recommendation_totals(stable_scored(spark, d), FLAGSHIP_BUDGET)
+    t = al.check_within_budget(al.recommendation_totals(stable_scored(spark, d), FLAGSHIP_BUDGET))
     return t.select("budget", F.round("total_expected_cost", 6).alias("selected_cost"),
                     F.col("within_budget").alias("passed"))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.allocate import uplift_segments
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS
 from ..session import scratch_dir
 from ..sources import derived
 from ..sources import io as sio
 from ..streaming import stream as st
-from .registry import W, register, rounded
+from .catalog_views import _SEG025
+from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded, stable_scored
 
 _COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
 
@@ -46,13 +48,24 @@ def q_export_model_input(spark, d):
 
 
 @register("scan_predictions", W("predictions") + """
-SELECT customer_id, baseline_probability, treatment_probability, ite FROM predictions WHERE model_run_id = 2""")
+SELECT customer_id, baseline_probability, treatment_probability, ite FROM predictions""")
 def q_scan_predictions(spark, d):
     path = scratch_dir(spark, "predictions")
-    p = derived.predictions(spark, d).where("model_run_id = 2").select(
-        "customer_id", "baseline_probability", "treatment_probability", "ite")
-    sio.write_table(p, path)
-    return sio.scan_predictions(spark, path)
+    # the columns in another order: they are found by name
+    p = derived.predictions(spark, d).select("ite", "customer_id", "treatment_probability", "baseline_probability")
+    p.write.option("header", True).csv(path)
+    return sio.scan_predictions(spark, path, "csv")
+
+
+@register("scan_customers_document", W("customers") + "SELECT * FROM customers")
+def q_scan_customers_document(spark, d):
+    """The wrapped JSON form: documents with a ``customers`` array, one for each segment and campaign."""
+    path = scratch_dir(spark, "customers-document")
+    c = derived.customers(spark, d)
+    docs = c.groupBy("customer_segment", "campaign_id").agg(F.collect_list(F.struct(*c.columns)).alias("customers"))
+    docs.select(F.to_json(F.struct("customers")).alias("value")).repartition("value").write.option(
+        "maxRecordsPerFile", 1).text(path)
+    return sio.scan_customers_json(spark, path)
 
 
 _UPSERT_SQL = W("customers") + "SELECT " + ", ".join(
@@ -76,18 +89,15 @@ def q_upsert_customers(spark, d):
 @register("stream_upsert_customers", _UPSERT_SQL)
 def q_stream_upsert_customers(spark, d):
     c = derived.customers(spark, d)
-    src = scratch_dir(spark, "stream-src")
-    # two arriving files: the full load first, then the changed rows
-    c.coalesce(1).write.mode("overwrite").parquet(f"{src}/a")
-    _incoming(c).coalesce(1).write.mode("overwrite").parquet(f"{src}/b")
-    table, quarantine, ckpt = (scratch_dir(spark, n) for n in ("stream-table", "stream-quarantine", "stream-ckpt"))
-    inbox = scratch_dir(spark, "stream-inbox")
-    # move the files into one inbox in arrival order
-    for part in ("a", "b"):
-        spark.read.parquet(f"{src}/{part}").coalesce(1).write.mode("append").parquet(inbox)
-        q = st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt, buckets=16)
-        q.awaitTermination()
-    return st.read_current(spark, table).select(*_COLS)
+    table, quarantine, ckpt, inbox, compacted = (
+        scratch_dir(spark, f"stream-{n}") for n in ("table", "quarantine", "ckpt", "inbox", "compacted"))
+    # the full load arrives first, with a row that lacks cells beside each good one; then the changed rows
+    broken = c.select(*[F.lit(None).cast(t).alias(n) if n == "age" else F.col(n) for n, t in c.dtypes])
+    for arriving in (c.unionByName(broken), _incoming(c)):
+        arriving.write.mode("append").parquet(inbox)
+        st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt).awaitTermination()
+    st.compact(spark, table, compacted)
+    return st.read_current(spark, compacted).select(*_COLS)
 
 
 @register("stream_score", W("scored") + """
@@ -102,19 +112,40 @@ def q_stream_score(spark, d):
     return spark.read.parquet(out).select("customer_id", "baseline_probability", "ite", "uplift_segment")
 
 
-@register("import_run", W("predictions") + """
-SELECT model_run_id, CAST(COUNT(*) AS BIGINT) AS predictions FROM predictions GROUP BY model_run_id""")
+@register("import_run", W("predictions", extra=f""",
+base AS (SELECT p.model_run_id, p.customer_id, p.ite*s.net_revenue AS expected_profit, s.discount_cost AS expected_cost
+  FROM predictions p JOIN scored s ON s.customer_id = p.customer_id),
+cand AS (SELECT *, SUM(CAST(ROUND(expected_cost*100) AS BIGINT)) OVER (PARTITION BY model_run_id
+    ORDER BY ROUND(expected_profit/expected_cost, 9) DESC, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM base WHERE expected_profit > 0 AND expected_cost > 0)""") + f"""
+SELECT p.model_run_id, p.customer_id, p.baseline_probability, p.treatment_probability, p.ite, c.expected_profit, c.expected_cost,
+  CASE WHEN p.model_run_id = 1 THEN 'first' ELSE 'second' END AS name
+FROM predictions p LEFT JOIN cand c ON c.customer_id = p.customer_id AND c.model_run_id = p.model_run_id
+  AND ((c.model_run_id = 1 AND c.cum <= {round(SMALL_BUDGET * 100)}) OR (c.model_run_id = 2 AND c.cum <= {round(FLAGSHIP_BUDGET * 100)}))""")
 def q_import_run(spark, d):
+    """Two runs imported, the second twice more: refused, then replaced by name; everything stored is read back."""
     root = scratch_dir(spark, "runs")
-    s = derived.scored(spark, d)
+    s = stable_scored(spark, d)
     p = derived.predictions(spark, d, s)
-    empty_recs = s.select("customer_id").where(F.lit(False))
-    for run in (1, 2):
-        sio.import_run(p.where(F.col("model_run_id") == run).drop("model_run_id"), empty_recs, root, run)
-    # replacing run 2 keeps run 1
-    sio.import_run(p.where(F.col("model_run_id") == 2).drop("model_run_id"), empty_recs, root, 2, replace=True)
-    back = spark.read.parquet(f"{root}/predictions")
-    return back.groupBy("model_run_id").agg(F.count(F.lit(1)).alias("predictions"))
+    money = s.select("customer_id", "discount_cost", "net_revenue")
+
+    def run(i, name, budget, replace=False):
+        rows = p.where(F.col("model_run_id") == i).select(
+            "customer_id", "baseline_probability", "treatment_probability", "ite")
+        sio.import_run(rows, money, root, i, name, budget, replace)
+
+    run(1, "first", SMALL_BUDGET)
+    run(2, "second", SMALL_BUDGET)
+    try:
+        run(2, "second", FLAGSHIP_BUDGET)
+    except ValueError:
+        run(2, "second", FLAGSHIP_BUDGET, replace=True)
+    else:
+        raise AssertionError("a stored run was imported again")
+    chosen = spark.read.parquet(f"{root}/recommendations").drop("ite")
+    names = sio.read_runs(spark, root).select("model_run_id", "name")
+    return spark.read.parquet(f"{root}/predictions").join(chosen, ["model_run_id", "customer_id"], "left") \
+        .join(names, "model_run_id")
 
 
 @register("dataset_manifest_counts", W("customers", "predictions", "campaigns") + """
@@ -134,10 +165,19 @@ def q_dataset_manifest(spark, d):
     return sio.dataset_manifest({"customers": derived.customers(spark, d), "predictions": derived.predictions(spark, d, s)})
 
 
-@register("write_report", None)
+@register("write_report", W("scored", extra=f""",
+n AS (SELECT {_SEG025} AS uplift_segment, ite FROM scored)""") + """
+SELECT uplift_segment, CAST(COUNT(*) AS BIGINT) AS customers, ROUND(AVG(ite), 6) AS average, ROUND(MAX(ite), 6) AS largest
+FROM n GROUP BY uplift_segment""")
 def q_write_report(spark, d):
-    from ..operators import summaries as sm
-
+    """A nested report, checked at any depth, written and read back."""
     path = scratch_dir(spark, "report")
-    sio.write_report(sm.customer_summary(derived.customers(spark, d)), path)
-    return rounded(spark.read.json(path), 6)
+    seg = uplift_segments(derived.scored(spark, d), baseline_threshold=0.25)
+    report = seg.groupBy("uplift_segment").agg(F.struct(
+        F.count(F.lit(1)).alias("customers"),
+        F.array(F.struct(F.round(F.avg("ite"), 6).alias("average"), F.round(F.max("ite"), 6).alias("largest"))).alias("effect")
+    ).alias("body"))
+    sio.write_report(report, path, "uplift_segment")
+    back = spark.read.schema(report.schema).json(path)
+    return back.select("uplift_segment", "body.customers", F.col("body.effect")[0]["average"].alias("average"),
+                       F.col("body.effect")[0]["largest"].alias("largest"))

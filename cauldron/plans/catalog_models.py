@@ -14,6 +14,7 @@ from ..operators import prep as pp
 from ..operators import refute as rf
 from ..plans.pipeline import run_pipeline
 from ..schema import ModelConfig
+from ..session import scratch_dir
 from ..sources import derived
 from .registry import W, register, rounded
 
@@ -44,63 +45,57 @@ def q_one_hot(spark, d):
     return pp.one_hot(derived.customers(spark, d).select("customer_id", "customer_segment"), "customer_segment")
 
 
-@register("logistic_score", W("scored") + """
-SELECT customer_id, ROUND(1 / (1 + EXP(-GREATEST(CAST(-50 AS DOUBLE), LEAST(CAST(50 AS DOUBLE),
-  CAST(-2.2 AS DOUBLE) + CAST(0.08 AS DOUBLE) * historical_orders + CAST(0.03 AS DOUBLE) * website_visits)))), 9) AS score
-FROM scored""")
-def q_logistic_score(spark, d):
-    s = derived.scored(spark, d)
-    logit = F.lit(-2.2) + F.lit(0.08) * F.col("historical_orders") + F.lit(0.03) * F.col("website_visits")
-    return s.select("customer_id", F.round(ln.logistic_score(logit), 9).alias("score"))
+def _u(seed: int, salt: str, key: str = "customer_id") -> str:
+    """The SQL twin of functions.scalar.hash_uniform."""
+    digest = f"md5('{salt}:{seed}:' || CAST({key} AS VARCHAR))"
+    return f"((CAST(('0x' || substr({digest}, 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({2 ** 52} AS DOUBLE))"
 
 
-@register("clip_potential_outcomes", W("scored") + """
-SELECT customer_id, GREATEST(CAST(0.001 AS DOUBLE), LEAST(CAST(0.999 AS DOUBLE), baseline_probability)) AS baseline_probability,
-  GREATEST(CAST(0.001 AS DOUBLE), LEAST(CAST(0.999 AS DOUBLE), treatment_probability)) AS treatment_probability,
-  ROUND(GREATEST(CAST(0.001 AS DOUBLE), LEAST(CAST(0.999 AS DOUBLE), treatment_probability))
-      - GREATEST(CAST(0.001 AS DOUBLE), LEAST(CAST(0.999 AS DOUBLE), baseline_probability)), 9) AS ite
-FROM scored""")
-def q_clip_potential_outcomes(spark, d):
-    s = derived.scored(spark, d).select("customer_id", "baseline_probability", "treatment_probability")
-    out = ln.clip_potential_outcomes(s)
-    # 10 dp in the operator; compared at 9 dp (a difference of two 6-dp values)
-    return out.withColumn("ite", F.round("ite", 9))
-
-
-@register("calibrate_logit", None)
-def q_calibrate_logit(spark, d):
-    s = derived.scored(spark, d)
-    logit = F.lit(0.08) * F.col("historical_orders") + F.lit(0.03) * F.col("website_visits")
-    shift, achieved = ln.calibrate_logit(s, logit, 0.35)
-    return s.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.round(F.lit(shift), 6).alias("shift"), F.round(F.lit(achieved), 6).alias("mean_probability"))
-
-
-@register("train_test_split", None)
+@register("train_test_split", W("customers") + f"""
+SELECT CASE WHEN {_u(42, 'split')} < CAST(0.8 AS DOUBLE) THEN 'train' ELSE 'test' END AS split, CAST(COUNT(*) AS BIGINT) AS count
+FROM customers GROUP BY 1""")
 def q_train_test_split(spark, d):
     return pp.train_test_split(derived.customers(spark, d)).groupBy("split").count()
 
 
-@register("add_noise_feature", None)
+@register("add_noise_feature", W("customers") + f"""
+SELECT customer_id, ROUND(SQRT(CAST(-2 AS DOUBLE) * LN({_u(42, 'n1')})) * COS(CAST(2 AS DOUBLE) * PI() * {_u(42, 'n2')}), 6) AS random_noise
+FROM customers""")
 def q_add_noise_feature(spark, d):
-    return pp.add_noise_feature(derived.customers(spark, d)).select("customer_id", "random_noise")
+    return rounded(pp.add_noise_feature(derived.customers(spark, d)).select("customer_id", "random_noise"), 6)
 
 
-@register("permute_treatment", None)
+@register("permute_treatment", W("customers", extra=f""",
+a AS (SELECT customer_id, purchase, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm1')}, customer_id) AS r FROM customers),
+b AS (SELECT treatment_received, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm2')}, customer_id) AS r FROM customers)""") + """
+SELECT a.customer_id, b.treatment_received, a.purchase FROM a JOIN b ON a.r = b.r""")
 def q_permute_treatment(spark, d):
     c = derived.customers(spark, d).select("customer_id", "treatment_received", "purchase")
     return pp.permute_treatment(c)
 
 
-@register("subset_rows", None)
+@register("subset_rows", W("customers") + f"SELECT customer_id FROM customers WHERE {_u(42, 'subset')} < CAST(0.8 AS DOUBLE)")
 def q_subset_rows(spark, d):
     return pp.subset_rows(derived.customers(spark, d)).select("customer_id")
 
 
-def _effects(model_type: str, base: str, n_estimators: int = 20):
+@register("final_stage", W("scored", extra=""",
+r AS (SELECT CAST(purchase AS DOUBLE) - baseline_probability AS y,
+  CAST(treatment_received AS DOUBLE) - true_treatment_probability AS t FROM scored)""") + """
+SELECT ROUND(SUM(t * y) / SUM(t * t), 6) AS theta, CAST(COUNT(*) AS BIGINT) AS n FROM r""")
+def q_final_stage(spark, d):
+    """Residual on residual with fixed nuisances: the last step of double ML."""
+    s = derived.scored(spark, d).select(
+        (F.col("treatment_received") - F.col("true_treatment_probability")).alias("t"),
+        (F.col("purchase") - F.col("baseline_probability")).alias("y"))
+    theta = float(ln.gram_solve(s, ["t"], "y")[0])
+    return s.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(theta), 6).alias("theta"), "n")
+
+
+def _effects(model_type: str, base: str):
     def q(spark, d):
         c = derived.customers(spark, d)
-        cfg = ModelConfig(model_type=model_type, base_learner=base, n_estimators=n_estimators)
+        cfg = ModelConfig(model_type=model_type, base_learner=base)
         out = ln.CausalModel(cfg).fit(c).transform(c)
         return rounded(out.select("customer_id", "baseline_probability", "treatment_probability", "ite"), 6)
 
@@ -110,8 +105,8 @@ def _effects(model_type: str, base: str, n_estimators: int = 20):
 register("t_learner", None)(_effects("t_learner", "linear"))
 register("x_learner", None)(_effects("x_learner", "linear"))
 register("dml", None)(_effects("dml", "linear"))
-register("dml_gradient_boosting", None)(_effects("dml", "gradient_boosting", 20))
-register("t_learner_random_forest", None)(_effects("t_learner", "random_forest", 20))
+register("dml_gradient_boosting", None)(_effects("dml", "gradient_boosting"))
+register("t_learner_random_forest", None)(_effects("t_learner", "random_forest"))
 
 
 @register("propensity", None)
@@ -122,15 +117,21 @@ def q_propensity(spark, d):
 
 @register("refutation_report", None)
 def q_refutation_report(spark, d):
-    return rounded(rf.refutation_report(derived.customers(spark, d), ModelConfig(base_learner="linear")), 6)
+    return rounded(rf.refutation_report(derived.customers(spark, d), ModelConfig()), 6)
 
 
 @register("compare_models", None)
 def q_compare_models(spark, d):
-    return rf.compare_models(derived.customers(spark, d), cfg=ModelConfig(base_learner="linear"))
+    return rf.compare_models(derived.customers(spark, d), cfg=ModelConfig())
 
 
 @register("run_pipeline", None)
 def q_run_pipeline(spark, d):
-    res = run_pipeline(derived.customers(spark, d), ModelConfig(base_learner="linear"), refute=False)
-    return rounded(res.causal_summary, 6)
+    """The whole run as configured, refutations included; what it stored is read back."""
+    out = scratch_dir(spark, "pipeline-run")
+    run_pipeline(derived.customers(spark, d), ModelConfig(), refute=True, out_dir=out)
+    summary = spark.read.json(f"{out}/causal_summary/model_run_id=1")
+    tests = spark.read.json(f"{out}/refutations/model_run_id=1").where("test = 'all_tests_passed'")
+    manifest = spark.read.json(f"{out}/manifest/model_run_id=1").agg(F.count("*").alias("tables"))
+    return rounded(summary, 6).select("*", tests.select("passed").scalar().alias("all_tests_passed"),
+                                      manifest.select("tables").scalar().alias("tables"))

@@ -1,14 +1,14 @@
 """End-to-end run: train -> predict -> diagnostics -> refutation -> uplift outputs.
 
 One driver function over DataFrames.  The customer table and the scored
-table (customers joined with this run's predictions) are each
-checkpointed once into ``spark.checkpoint.dir``; every report is a small
-DataFrame.  The reports do not depend on each other, so they are
+table are each written once into the shared folder of
+``spark.checkpoint.dir``; every report is a small DataFrame.  The reports do not depend on each other, so they are
 materialised concurrently (their jobs interleave on the cluster).
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,7 +21,8 @@ from ..operators import summaries as sm
 from ..operators.learners import CausalModel
 from ..operators.refute import refit_means, report_rows
 from ..schema import SCENARIO_BUDGETS, FeatureConfig, ModelConfig
-from ..session import reliable_checkpoint, run_concurrently
+from ..session import run_concurrently, write_stage_table
+from ..sources import io as sio
 
 
 @dataclass
@@ -38,58 +39,60 @@ class PipelineResult:
         raise AttributeError(name)
 
 
-def spark_of(df: DataFrame):
-    return df.sparkSession
-
-
 def run_pipeline(customers: DataFrame, cfg: ModelConfig = ModelConfig(), features: FeatureConfig = FeatureConfig(),
                  run_id: int = 1, budget: float = 1000000.0, budgets=SCENARIO_BUDGETS,
                  refute: bool = True, baseline_threshold: float = 0.25, out_dir: str | None = None,
                  materialise: bool = False) -> PipelineResult:
     """Fit, predict and build every report.
 
-    With ``out_dir`` each report is written there (JSON; predictions as
-    parquet partitioned by run); with ``materialise`` each report is computed
-    into Spark's no-op sink.  Both happen concurrently across reports.
+    With ``out_dir`` the run's reports, predictions, model, record and manifest
+    are written there, each in a folder of the run; with ``materialise`` each
+    report is computed into Spark's no-op sink.  Both happen concurrently
+    across reports.  Repeated customer ids and a stored run are refused.
     """
     key = features.key
-    base = reliable_checkpoint(customers)
+    spark = customers.sparkSession
+    base = write_stage_table(customers, "customers")
+    repeated = qa.duplicate_ids(base, key).first()[0]
+    if repeated:
+        raise ValueError(f"{repeated} customer rows repeat an id")
+    root = out_dir.rstrip("/") if out_dir else None
+    if root and sio.exists(spark, f"{root}/manifest/model_run_id={run_id}"):
+        raise ValueError(f"run {run_id} is stored already")
     state: dict = {}
 
+    def put(name, df):
+        if root:  # every run has folders of its own; earlier runs stay
+            sio.write_report(df, f"{root}/{name}/model_run_id={run_id}")
+        elif materialise:
+            # run the plan fully without shipping rows to the driver
+            df.write.format("noop").mode("overwrite").save()
+        return df
+
     def main_branch():
         fitted = CausalModel(cfg, features).fit(base)
-        preds = fitted.transform(base).select(key, "baseline_probability", "treatment_probability", "ite")
-        scored = reliable_checkpoint(base.join(preds, key, "inner"))
-        bad = qa.check_finite(scored.select(*preds.columns)).where(~F.col("passed")).collect()
+        scored = write_stage_table(fitted.transform(base), "scored")
+        predictions = scored.select(key, "baseline_probability", "treatment_probability", "ite")
+        bad = [r["check"] for r in qa.check_finite(predictions).where(~F.col("passed")).collect()]
+        bad += [f"coverage: {r['side']} {r[key]}" for r in qa.check_coverage(base, predictions, key).collect()]
         if bad:
-            raise ValueError(f"non-finite predictions: {[r['check'] for r in bad]}")
-        state.update(fitted=fitted, scored=scored, cols=preds.columns)
+            raise ValueError(f"predictions refused: {bad}")
+        summary = mt.causal_summary(scored)
         builders = {
-            "causal_summary": lambda: mt.causal_summary(scored),
+            "causal_summary": lambda: summary,
+            "effect_metrics": lambda: summary.select("mae", "rmse", "correlation", "qini_coefficient", "average_ite"),
             "segment_shares": lambda: sm.uplift_segment_shares(scored, baseline_threshold=baseline_threshold),
             "scenarios": lambda: al.budget_scenarios(scored, budgets),
             "recommendations": lambda: al.recommendation_report(scored, budget, baseline_threshold),
+            "recommendation_totals": lambda: al.check_within_budget(
+                al.recommendation_totals(scored, budget, baseline_threshold=baseline_threshold)),
         }
-        predictions = scored.select(*preds.columns).withColumn("model_run_id", F.lit(run_id))
-        state["predictions"] = predictions
-
-        def build(name):
-            df = builders[name]()
-            if name == "causal_summary":
-                # effect metrics are part of the summary: no second pair of curves
-                state["effect_metrics"] = df.select("mae", "rmse", "correlation", "qini_coefficient", "average_ite")
-            if out_dir:
-                df.write.mode("overwrite").json(f"{out_dir.rstrip('/')}/{name}")
-            elif materialise:
-                # run the plan fully without shipping rows to the driver
-                df.write.format("noop").mode("overwrite").save()
-            return df
-
-        tasks = [lambda n=n: build(n) for n in builders]
-        if out_dir:
-            tasks.append(lambda: predictions.write.mode("overwrite").partitionBy("model_run_id")
-                         .parquet(f"{out_dir.rstrip('/')}/predictions"))
+        tasks = [lambda n=n, f=f: put(n, f()) for n, f in builders.items()]
+        if root:
+            tasks.append(lambda: predictions.write.mode("overwrite").parquet(f"{root}/predictions/model_run_id={run_id}"))
+            tasks.append(lambda: sio.save_model(fitted, f"{root}/models/model_run_id={run_id}", spark))
         built = run_concurrently(tasks, max_workers=len(tasks))
+        state.update(fitted=fitted, scored=scored, predictions=predictions.withColumn("model_run_id", F.lit(run_id)))
         return dict(zip(builders, built))
 
     # the refutation refits need only the customer table: they run while the
@@ -97,13 +100,13 @@ def run_pipeline(customers: DataFrame, cfg: ModelConfig = ModelConfig(), feature
     branches = [main_branch] + ([lambda: refit_means(base, cfg, features)] if refute else [])
     results = run_concurrently(branches, max_workers=len(branches))
     reports = results[0]
-    reports["effect_metrics"] = state["effect_metrics"]
-    if out_dir:
-        reports["effect_metrics"].write.mode("overwrite").json(f"{out_dir.rstrip('/')}/effect_metrics")
     if refute:
         original = reports["causal_summary"].select("average_ite").first()[0]
-        reports["refutations"] = report_rows(spark_of(base), original, results[1])
-        if out_dir:
-            reports["refutations"].write.mode("overwrite").json(f"{out_dir.rstrip('/')}/refutations")
-    fitted, scored, predictions = state["fitted"], state["scored"], state["predictions"]
-    return PipelineResult(predictions=predictions, scored=scored, reports=reports, metadata=fitted.metadata())
+        reports["refutations"] = put("refutations", report_rows(spark, original, results[1]))
+    metadata = state["fitted"].metadata()
+    if root:
+        record = spark.createDataFrame([(json.dumps(metadata), float(budget))], "metadata string, budget double")
+        put("run_records", record)
+        # last: a run that broke off has no manifest and can be run again
+        put("manifest", sio.dataset_manifest({"predictions": state["predictions"], **reports}))
+    return PipelineResult(predictions=state["predictions"], scored=state["scored"], reports=reports, metadata=metadata)

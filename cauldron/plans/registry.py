@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from ..sources import derived
 
@@ -35,20 +34,12 @@ def W(*names: str, extra: str = "") -> str:
     return derived.with_derived(*names, extra=extra)
 
 
-def r6(c: str) -> str:
-    return f"ROUND({c}, 6)"
-
-
-
-
 def load_all() -> None:
     """Import every catalog so its queries register themselves."""
     from . import (  # noqa: F401
         catalog_allocation, catalog_extra, catalog_io, catalog_models, catalog_quality, catalog_views,
     )
 
-    catalog_views._register_bucketed()
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations for a budget: derive -> segment -> greedy -> top rows."""
@@ -65,16 +56,15 @@ def rounded(df: DataFrame, digits: int = 6, cols=None, skip=()) -> DataFrame:
 
 
 def stable_scored(spark: SparkSession, d: str) -> DataFrame:
-    """The derived table computed once and checkpointed.
+    """The derived table computed once and written to the shared folder.
 
-    Queries that read it several times (the prefix kernel counts and samples
-    before its final pass; joins of customers, predictions and
-    recommendations) then read the checkpoint instead of re-aggregating all
-    orders and events each time.
+    Queries that read it several times (the prefix kernel samples before its
+    final pass; joins of customers, predictions and recommendations) then scan
+    the columns they need instead of re-aggregating all orders and events.
     """
-    from ..session import reliable_checkpoint
+    from ..session import write_stage_table
 
-    return reliable_checkpoint(derived.scored(spark, d))
+    return write_stage_table(derived.scored(spark, d), "scored")
 
 
 def stable_customers(spark: SparkSession, d: str, scored: DataFrame | None = None) -> DataFrame:

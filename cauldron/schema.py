@@ -128,7 +128,7 @@ class ModelConfig:
     """Effect-model choice (the reference's ``model`` block)."""
 
     model_type: str = "dml"  # t_learner | x_learner | dml
-    base_learner: str = "linear"  # gradient_boosting | random_forest | lightgbm | linear
+    base_learner: str = "gradient_boosting"  # gradient_boosting | random_forest | lightgbm | linear
     seed: int = 42
     n_estimators: int = 100
     max_depth: int = 4

@@ -115,43 +115,33 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_surrogate(base: DataFrame) -> DataFrame:
-    """Ground truth + deterministic prediction surrogate (logistic score, E10).
+    """Ground truth and predictions by a fixed rule on engagement and loyalty.
 
     Stands in for a fitted model so that everything downstream of prediction
-    has an exact oracle.
+    has an exact oracle. Both shares saturate (x / (x + c)); effects grow with
+    engagement and shrink with loyalty, so every uplift segment occurs.
     """
-    ho = F.col("historical_orders")
-    t_prob = F.when(150 + 25 * ho > 1000, _d(1)).otherwise((150 + 25 * ho) / _d(1000))
-    logit = (
-        _d(-2.2) + _d(0.02) * (F.col("age") - 35) + _d(0.08) * ho
-        - _d(0.002) * F.col("days_since_last_purchase") + _d(0.03) * F.col("website_visits")
-        + _d(0.18) * F.col("seg_score")
-    )
-    recency300 = F.exp(-F.col("days_since_last_purchase") / _d(300))
-    recency400 = F.exp(-F.col("days_since_last_purchase") / _d(400))
-    y = base.select(
+    touches = F.col("website_visits") + F.col("email_opens") + F.col("email_clicks")
+    orders = F.col("historical_orders")
+    z = base.withColumns({
+        "_engaged": F.round(touches / (touches + _d(12)), 6),
+        "_loyal": F.round(orders / (orders + _d(6)), 6),
+        "true_treatment_probability": F.when(150 + 25 * orders > 1000, _d(1)).otherwise((150 + 25 * orders) / _d(1000)),
+    })
+    z = z.select(
         "*",
-        t_prob.alias("true_treatment_probability"),
-        F.round(_d(1) / (_d(1) + F.exp(-logit)), 6).alias("baseline_probability"),
-        F.round(
-            _d(0.18) * (_d(0.3) + _d(0.2) * F.col("previous_campaign_response")
-                        + _d(0.02) * F.col("website_visits") + _d(0.08) * F.col("seg_score"))
-            * recency300 - _d(0.08), 6).alias("ite"),
-        F.round(
-            _d(0.5) * F.col("discount_percentage") * recency400
-            * (_d(0.6) + _d(0.2) * F.col("previous_campaign_response")), 6).alias("true_ite"),
-    )
-    z = y.withColumn(
-        "true_baseline_purchase_probability",
-        F.round(_d(0.01) + _d(0.4) * F.col("baseline_probability"), 6),
-    )
+        F.round(_d(0.08) + _d(0.5) * F.col("_loyal") * F.col("_engaged"), 6).alias("baseline_probability"),
+        F.round(_d(0.6) * F.col("_engaged") * (_d(1) - F.col("_loyal"))
+                + _d(0.05) * F.col("previous_campaign_response") - _d(0.2), 6).alias("ite"),
+        F.round(F.col("discount_percentage") * (_d(0.9) - _d(0.6) * F.col("_loyal")), 6).alias("true_ite"),
+    ).withColumn("true_baseline_purchase_probability", F.round(_d(0.02) + _d(0.5) * F.col("baseline_probability"), 6))
     raw = F.col("baseline_probability") + F.col("ite")
     return z.select(
         "*",
         F.when(raw < 0, _d(0)).when(raw > 1, _d(1)).otherwise(F.round(raw, 6)).alias("treatment_probability"),
         F.round(F.col("true_baseline_purchase_probability") + F.col("true_ite"), 6)
         .alias("true_treatment_purchase_probability"),
-    )
+    ).drop("_engaged", "_loyal")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,21 +248,28 @@ SELECT CAST(customer_id AS BIGINT) AS customer_id, CAST(campaign_id AS INTEGER)
 FROM f)"""
 
 _CTE_SCORED = """
+shares AS (
+SELECT *,
+  ROUND((website_visits + email_opens + email_clicks)/(website_visits + email_opens + email_clicks + CAST(12 AS DOUBLE)), 6) AS engaged,
+  ROUND(historical_orders/(historical_orders + CAST(6 AS DOUBLE)), 6) AS loyal,
+  CASE WHEN 150+25*historical_orders > 1000 THEN CAST(1 AS DOUBLE) ELSE (150+25*historical_orders)/CAST(1000 AS DOUBLE) END AS true_treatment_probability
+FROM customer_base),
+effects AS (
+SELECT *,
+  ROUND(CAST(0.08 AS DOUBLE) + CAST(0.5 AS DOUBLE)*loyal*engaged, 6) AS baseline_probability,
+  ROUND(CAST(0.6 AS DOUBLE)*engaged*(CAST(1 AS DOUBLE) - loyal) + CAST(0.05 AS DOUBLE)*previous_campaign_response - CAST(0.2 AS DOUBLE), 6) AS ite,
+  ROUND(discount_percentage*(CAST(0.9 AS DOUBLE) - CAST(0.6 AS DOUBLE)*loyal), 6) AS true_ite
+FROM shares),
+truths AS (
+SELECT * EXCLUDE (engaged, loyal), ROUND(CAST(0.02 AS DOUBLE) + CAST(0.5 AS DOUBLE)*baseline_probability, 6) AS true_baseline_purchase_probability
+FROM effects),
 scored AS (
-SELECT z.*,
+SELECT *,
   CASE WHEN baseline_probability + ite < 0 THEN CAST(0 AS DOUBLE)
        WHEN baseline_probability + ite > 1 THEN CAST(1 AS DOUBLE)
        ELSE ROUND(baseline_probability + ite, 6) END AS treatment_probability,
   ROUND(true_baseline_purchase_probability + true_ite, 6) AS true_treatment_purchase_probability
-FROM (
-  SELECT y.*, ROUND(CAST(0.01 AS DOUBLE) + CAST(0.4 AS DOUBLE)*baseline_probability, 6) AS true_baseline_purchase_probability
-  FROM (
-    SELECT b.*,
-      CASE WHEN 150+25*historical_orders > 1000 THEN CAST(1 AS DOUBLE) ELSE (150+25*historical_orders)/CAST(1000 AS DOUBLE) END AS true_treatment_probability,
-      ROUND(CAST(1 AS DOUBLE)/(CAST(1 AS DOUBLE)+EXP(-(CAST(-2.2 AS DOUBLE)+CAST(0.02 AS DOUBLE)*(age-35)+CAST(0.08 AS DOUBLE)*historical_orders-CAST(0.002 AS DOUBLE)*days_since_last_purchase+CAST(0.03 AS DOUBLE)*website_visits+CAST(0.18 AS DOUBLE)*seg_score))),6) AS baseline_probability,
-      ROUND(CAST(0.18 AS DOUBLE)*(CAST(0.3 AS DOUBLE)+CAST(0.2 AS DOUBLE)*previous_campaign_response+CAST(0.02 AS DOUBLE)*website_visits+CAST(0.08 AS DOUBLE)*seg_score)*EXP(-days_since_last_purchase/CAST(300 AS DOUBLE))-CAST(0.08 AS DOUBLE),6) AS ite,
-      ROUND(CAST(0.5 AS DOUBLE)*discount_percentage*EXP(-days_since_last_purchase/CAST(400 AS DOUBLE))*(CAST(0.6 AS DOUBLE)+CAST(0.2 AS DOUBLE)*previous_campaign_response),6) AS true_ite
-    FROM customer_base b) y) z)"""
+FROM truths)"""
 
 _CTE_CAMPAIGNS = """
 campaigns AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS campaign_id, r_name AS campaign_name FROM region WHERE r_regionkey < 4)"""

@@ -8,28 +8,38 @@ written, and a failing check raises with the check name.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality as qa
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS, OPTIONAL_COLUMNS, REQUIRED_COLUMNS
 
-_STRING_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in CUSTOMER_SCHEMA.fields])
+_CONTRACT = tuple(f.name for f in CUSTOMER_SCHEMA.fields)
 
 
-def _typed(raw: DataFrame) -> DataFrame:
-    """Cast text cells to the contract types; unparsable cells become NULL (try_cast)."""
-    cols = []
+def _typed(raw: DataFrame, refuse: bool = True) -> DataFrame:
+    """Text cells cast to the contract types, columns found by name.
+
+    ``refuse`` stops at a cell that is missing or can't be read as its type,
+    naming the row and the columns; without it such cells become NULL.
+    """
+    cells, faults = [], []
     for f in CUSTOMER_SCHEMA.fields:
-        if f.name in raw.columns:
-            c = F.col(f.name)
-            cols.append((F.when(F.trim(c) == "", None).otherwise(c).try_cast(f.dataType)
-                         if isinstance(raw.schema[f.name].dataType, T.StringType) else c.cast(f.dataType)).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return raw.select(*cols)
+        text = F.trim(F.col(f"`{f.name}`")) if f.name in raw.columns else F.lit(None).cast("string")
+        cell = F.when(text == "", None).otherwise(text).try_cast(f.dataType)
+        cells.append(cell.alias(f.name))
+        unread = F.coalesce(text, F.lit("")) != ""
+        faults.append(F.when(cell.isNull() & (unread | F.lit(f.name in REQUIRED_COLUMNS)), F.lit(f.name)))
+    if refuse:
+        key = F.col("customer_id") if "customer_id" in raw.columns else F.lit(None)
+        hit = raw.select(key.alias("id"), F.array_compact(F.array(*faults)).alias("columns")) \
+            .where(F.size("columns") > 0).first()
+        if hit:
+            raise ValueError(f"row of customer {hit.id!r}: missing or unreadable {', '.join(hit.columns)}")
+    return raw.select(*cells)
 
 
 def check_contract_columns(columns) -> None:
@@ -37,36 +47,49 @@ def check_contract_columns(columns) -> None:
     missing = [c for c in REQUIRED_COLUMNS if c not in columns]
     unknown = sorted(set(columns) - set(REQUIRED_COLUMNS) - set(OPTIONAL_COLUMNS))
     if missing or unknown:
-        parts = []
-        if missing:
-            parts.append(f"missing required columns: {', '.join(missing)}")
-        if unknown:
-            parts.append(f"unknown columns: {', '.join(unknown)}")
-        raise ValueError("Invalid input: " + "; ".join(parts))
+        raise ValueError(f"columns of the input: absent {missing}, not in the contract {unknown}")
 
 
-def scan_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header (S1): header checked, cells read as text, then typed."""
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """CSV text cells under the names of the header; files whose header differs from the first are refused."""
     header = spark.read.option("header", True).csv(path).columns
-    check_contract_columns(header)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return _typed(raw)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def scan_customers_csv(spark: SparkSession, path: str, refuse: bool = True) -> DataFrame:
+    """CSV with a header (S1): columns by name, header checked, cells read as text, then typed."""
+    raw = _by_header(spark, path)
+    check_contract_columns(raw.columns)
+    return _typed(raw, refuse)
 
 
-def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """JSON array of customers or an object with a ``customers`` array.
+def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True, refuse: bool = True) -> DataFrame:
+    """Customers as JSON (S2): an array, an object with a ``customers`` array, or JSON lines (``multiline=False``).
 
-    ``multiline`` documents are one task per file; JSON lines
-    (``multiline=False``) split across tasks and are the form to use at scale.
+    Documents are parsed once, as maps, so no schema is inferred and unknown
+    keys are seen. A multi-line document is one task; JSON lines split across
+    tasks and are the form to use at scale.
     """
-    raw = spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
-    if "customers" in raw.columns and isinstance(raw.schema["customers"].dataType, T.ArrayType):
-        raw = raw.select(F.explode("customers").alias("c")).select("c.*")
-    elif "customer_id" not in raw.columns:
-        raise ValueError("JSON input must be an array of customers or an object containing a customers array.")
-    check_contract_columns([c for c in raw.columns if c != "_corrupt_record"])
-    return _typed(raw)
+    text = spark.read.option("wholetext", multiline).text(path)
+    cell = "map<string,string>"
+    if multiline:
+        rows = F.coalesce(F.from_json("value", f"array<{cell}>"),
+                          F.from_json("value", f"struct<customers:array<{cell}>>")["customers"])
+        rows = F.when(F.ltrim("value").startswith("{"), F.from_json(
+            "value", f"struct<customers:array<{cell}>>")["customers"]).otherwise(rows)
+        shapeless = text.where(rows.isNull()).first()
+        if shapeless:
+            raise ValueError("a JSON document holds neither an array of rows nor one under 'customers'")
+        maps = text.select(F.explode(rows).alias("m"))
+    else:
+        maps = text.where(F.trim("value") != "").select(F.from_json("value", cell).alias("m"))
+    allowed = F.array(*[F.lit(c) for c in _CONTRACT])
+    odd = maps.select(F.array_except(F.map_keys("m"), allowed).alias("keys"), F.col("m")["customer_id"].alias("id")) \
+        .where("keys IS NULL OR size(keys) > 0").first()
+    if odd and refuse:
+        raise ValueError(f"row of customer {odd.id!r}: keys not in the contract {odd['keys']}")
+    return _typed(maps.select(*[F.col("m")[c].alias(c) for c in _CONTRACT]), refuse)
 
 
 def scan_customers_table(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +98,13 @@ def scan_customers_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Predictions with the four required columns, numeric and finite (S3)."""
-    schema = "customer_id bigint, baseline_probability double, treatment_probability double, ite double"
-    df = spark.read.schema(schema).option("header", True).format(fmt).load(path)
+    """Predictions with the four required columns by name, numeric and finite (S3)."""
+    schema = T._parse_datatype_string("customer_id bigint, baseline_probability double, treatment_probability double, ite double")
+    df = _by_header(spark, path) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+    absent = [f.name for f in schema.fields if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"predictions lack {absent}")
+    df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     _raise_failed(qa.check_finite(df))
     return df
 
@@ -94,7 +121,8 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str = "customer
 
     One grouped ``max_by`` over the union: partial aggregation runs map-side,
     so duplicate keys inside one batch and across batches resolve by the
-    sequence column (later wins) without a sort.
+    sequence column (later wins) without a sort. Rows of one key and sequence
+    resolve by their values, so the result never depends on partitioning.
     """
     cols = [c for c in incoming.columns if c != seq_col]
     new = incoming.withColumn("_seq", F.col(seq_col).cast("bigint") + 1 if seq_col else F.lit(1).cast("bigint"))
@@ -102,7 +130,8 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str = "customer
         old = existing.select(*[F.col(c) if c in existing.columns else F.lit(None).cast(incoming.schema[c].dataType).alias(c)
                                 for c in cols]).withColumn("_seq", F.lit(0).cast("bigint"))
         new = old.unionByName(new.select(*cols, "_seq"))
-    best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("_seq"))
+    row = F.struct(*[F.col(c) for c in cols])
+    best = F.max_by(row, F.struct(F.col("_seq"), row))
     return new.groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 
@@ -124,8 +153,8 @@ def export_customers(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def export_model_input(df: DataFrame) -> DataFrame:
-    """The 15-column model input, no ground truth."""
-    return df.select(*MODEL_INPUT_COLUMNS)
+    """The 15-column model input ordered by id, no ground truth."""
+    return df.select(*MODEL_INPUT_COLUMNS).orderBy("customer_id")
 
 
 def export_query(spark: SparkSession, sql: str, path: str, fmt: str = "csv", **frames) -> None:
@@ -148,30 +177,78 @@ def write_predictions(predictions: DataFrame, customers: DataFrame, path: str, k
     predictions.write.mode("overwrite").parquet(path)
 
 
-def import_run(predictions: DataFrame, recommendations: DataFrame, root: str, run_id: int,
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame | None:
+    """The run records (id, name, budget) under ``root``; None before the first run."""
+    path = f"{root.rstrip('/')}/runs"
+    return spark.read.schema("name string, budget double, model_run_id int").parquet(path) if exists(spark, path) else None
+
+
+def import_run(predictions: DataFrame, customers: DataFrame, root: str, run_id: int, name: str, budget: float,
                replace: bool = False) -> None:
-    """Append a run's predictions and recommendations partitioned by run.
+    """Store a run (S12): its record, its predictions and the greedy selection within ``budget``.
 
-    ``replace`` rewrites only this run's partitions (dynamic partition
-    overwrite); other runs stay.
+    ``customers`` has the money columns. Tables are partitioned by run. An id
+    or a name that is already there is refused; with ``replace`` the runs of
+    that name go first, all their rows with them.
     """
-    mode = "overwrite" if replace else "append"
-    for name, df in (("predictions", predictions), ("recommendations", recommendations)):
-        df.withColumn("model_run_id", F.lit(run_id)).write.mode(mode) \
-          .option("partitionOverwriteMode", "dynamic") \
-          .partitionBy("model_run_id").parquet(f"{root.rstrip('/')}/{name}")
+    from ..operators.allocate import allocate_greedy
+
+    spark, root = predictions.sparkSession, root.rstrip("/")
+    runs = read_runs(spark, root)
+    known = {r.model_run_id: r.name for r in runs.collect()} if runs is not None else {}
+    named = [i for i, n in known.items() if n == name]
+    if (named and not replace) or (run_id in known and known[run_id] != name):
+        raise ValueError(f"run {run_id} ({name!r}) is stored already")
+    for old in named:
+        for table in ("predictions", "recommendations", "runs"):
+            remove(spark, f"{root}/{table}/model_run_id={old}")
+    chosen = allocate_greedy(customers.join(predictions.select("customer_id", "ite"), "customer_id"), budget)
+    chosen = chosen.where("selected = 1").select("customer_id", "ite", "expected_profit", "expected_cost")
+    record = spark.createDataFrame([(name, float(budget))], "name string, budget double")
+    # the record comes last: a run that broke off is not listed
+    for table, df in (("predictions", predictions), ("recommendations", chosen), ("runs", record)):
+        df.write.mode("overwrite").parquet(f"{root}/{table}/model_run_id={run_id}")
+
+
+def _not_finite(kind: T.DataType, c: Column) -> Column | None:
+    """Whether a value holds NaN or infinity at any depth; None if its type can't."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [x for f in kind.fields if (x := _not_finite(f.dataType, c[f.name])) is not None]
+        return reduce(lambda a, b: a | b, parts) if parts else None
+    if isinstance(kind, T.ArrayType):
+        probe = _not_finite(kind.elementType, F.lit(None).cast(kind.elementType))
+        return None if probe is None else F.coalesce(F.exists(c, lambda x: _not_finite(kind.elementType, x)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        return _not_finite(T.ArrayType(kind.valueType), F.map_values(c))
+    return None
 
 
 def check_report_finite(df: DataFrame, key: str | None = None) -> None:
-    """Refuse NaN / inf anywhere in the numeric columns, naming the place."""
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if not nums:
+    """Refuse NaN or infinity anywhere in a report, nested values included, naming the place."""
+    bad = {f.name: x for f in df.schema.fields if (x := _not_finite(f.dataType, F.col(f.name))) is not None}
+    if not bad:
         return
-    bad = F.array_compact(F.array(*[F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(c)) for c in nums]))
-    hit = df.select((F.col(key) if key else F.lit(None)).alias("k"), bad.alias("cols")).where(F.size("cols") > 0).limit(1).collect()
+    places = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in bad.items()]))
+    hit = df.select((F.col(key) if key else F.lit(None)).alias("k"), places.alias("at")).where(F.size("at") > 0).first()
     if hit:
-        where = f"{key}={hit[0]['k']}." if key else "root."
-        raise ValueError(f"Non-finite value at {where}{hit[0]['cols'][0]}")
+        raise ValueError(f"a report value is not finite: {hit['at'][0]}" + (f" ({key} {hit['k']})" if key else ""))
 
 
 def write_report(df: DataFrame, path: str, key: str | None = None) -> None:
@@ -188,9 +265,9 @@ def update_run_metrics(runs: DataFrame, run_id: int, metrics: dict) -> DataFrame
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-insensitive checksum of a table."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("checksum"))
+    """Row count and an order-insensitive checksum, the sum of row hashes, in which repeated rows count."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 
 def dataset_manifest(tables: dict) -> DataFrame:
@@ -202,12 +279,12 @@ def dataset_manifest(tables: dict) -> DataFrame:
     return out
 
 
-def save_model(fitted, path: str) -> None:
+def save_model(fitted, path: str, spark: SparkSession | None = None) -> None:
     """Persist a fitted effect model: Spark ML parts with their writers, the
     rest (preprocessing state, coefficients, metadata) as one JSON record (S14)."""
     import numpy as np
 
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()  # a worker thread has no active one
     parts = {}
     for name in ("mu0", "mu1", "tau0", "tau1", "prop", "outcome"):
         part = getattr(fitted, name, None)
@@ -238,7 +315,7 @@ def load_model(spark: SparkSession, path: str):
     from ..schema import FeatureConfig, ModelConfig
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    prep = PreprocessorModel(**meta["prep"])
+    prep = PreprocessorModel(**meta["prep"], warnings=meta["metadata"]["warnings"])
     cfg = ModelConfig(**meta["config"])
     feats = FeatureConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["features"].items()})
     parts = {}
@@ -248,8 +325,11 @@ def load_model(spark: SparkSession, path: str):
         parts[name] = ln._Fit(model, info["tag"], info["kind"])
     kind = meta["model_type"]
     if kind == "t_learner":
-        return ln.FittedTLearner(prep, cfg, feats, parts["mu0"], parts["mu1"])
-    if kind == "x_learner":
-        return ln.FittedXLearner(prep, cfg, feats, parts["mu0"], parts["mu1"], parts["tau0"], parts["tau1"], parts["prop"])
-    return ln.FittedDML(prep, cfg, feats, meta["het_names"], np.array(meta["theta"]), parts["outcome"],
-                        meta["nuisance_names"])
+        fitted = ln.FittedTLearner(prep, cfg, feats, parts["mu0"], parts["mu1"])
+    elif kind == "x_learner":
+        fitted = ln.FittedXLearner(prep, cfg, feats, *[parts[n] for n in ("mu0", "mu1", "tau0", "tau1", "prop")])
+    else:
+        fitted = ln.FittedDML(prep, cfg, feats, meta["het_names"], np.array(meta["theta"]), parts["outcome"],
+                              meta["nuisance_names"])
+    fitted.trained_at = meta["metadata"]["trained_at"]
+    return fitted

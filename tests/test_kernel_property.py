@@ -17,7 +17,7 @@ from cauldron.operators.ordered import running_totals
 def test_kernel_matches_naive(spark, keys, buckets, desc):
     rows = [(i, k, (i * 31) % 11) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "id long, k double, v long")
-    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=desc, buckets=buckets, one_task_rows=0)
+    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=desc, buckets=buckets)
     order = F.col("k").desc() if desc else F.col("k").asc()
     w = Window.orderBy(order, F.col("id")).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("id", F.sum("v").over(w).alias("s"), F.row_number().over(w).alias("rank"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cauldron.functions.scalar import hash_normal, hash_uniform
 from cauldron.operators.learners import CausalModel
-from cauldron.operators.refute import refute_placebo
+from cauldron.operators.refute import refit_means, report_rows
 from cauldron.schema import FeatureConfig, ModelConfig
 
 FEATS = FeatureConfig(covariates=("x1",), confounders=("x2",), treatment="w", outcome="y", key="id")
@@ -46,9 +46,29 @@ def test_meta_learners_recover_effect(effect_frame, mtype):
 def test_zero_effect_and_placebo(spark, effect_frame):
     zero = _frame(spark, 0.0)
     assert abs(_mean_ite(zero, "dml")) < 0.04
-    cfg = ModelConfig(model_type="dml", base_learner="linear")
-    name, original, placebo, change, passed = refute_placebo(effect_frame, 0.1, cfg, FEATS)
-    assert abs(placebo) < 0.05
+    means = refit_means(effect_frame, ModelConfig(model_type="dml", base_learner="linear"), FEATS)
+    rows = {r.test: r for r in report_rows(spark, 0.1, means).collect()}
+    assert abs(rows["placebo_treatment"].refuted_mean_ite) < 0.05 and rows["all_tests_passed"].passed
+
+
+@pytest.mark.parametrize("base, mtype, most", [
+    ("gradient_boosting", "dml", 0.05), ("lightgbm", "t_learner", 0.08), ("random_forest", "x_learner", 0.05)])
+def test_tree_bases_recover_effect(effect_frame, base, mtype, most):
+    fit = CausalModel(ModelConfig(model_type=mtype, base_learner=base, n_estimators=20), FEATS).fit(effect_frame)
+    assert abs(fit.transform(effect_frame).agg(F.avg("ite")).first()[0] - 0.1) < most
+
+
+def test_logistic_penalty_is_the_library_default(effect_frame):
+    """C = 1: the gradient of the summed log loss plus half the squared weights is zero at the fit."""
+    import numpy as np
+
+    fit = CausalModel(ModelConfig(model_type="t_learner", base_learner="linear"), FEATS).fit(effect_frame.limit(150))
+    model = fit.mu1.model
+    rows = fit._features(effect_frame.limit(150)).where("w = 1").select("x_all", "y").collect()
+    x, y = np.array([r.x_all.toArray() for r in rows]), np.array([r.y for r in rows])
+    w = model.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    assert np.allclose(x.T @ (p - y) + w, 0, atol=1e-2)
 
 
 def test_unknown_model_type():

@@ -1,73 +1,90 @@
-"""The distributed prefix kernel against a naive single-task window."""
+"""The prefix kernel against a plain window over the same total order."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cauldron.operators.ordered import exact_median, running_totals
+from cauldron.operators.ordered import exact_median, global_rank, running_totals
 
 
-def _naive(df, key, desc):
-    o = F.col(key).desc() if desc else F.col(key).asc()
-    w = Window.orderBy(o, F.col("id").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    return {r.id: (r.s, r.rank) for r in df.select("id", F.sum("v").over(w).alias("s"),
-                                                    F.row_number().over(w).alias("rank")).collect()}
+def plain(rows, desc):
+    """(id -> (running sum, rank)) in the documented order: by key, ties by id, NULL and NaN last."""
+    def order(r):
+        missing = r[0] is None or (isinstance(r[0], float) and math.isnan(r[0]))
+        return (1, 0, r[1]) if missing else (0, -r[0] if desc and not isinstance(r[0], str) else r[0], r[1])
 
+    total, out = 0, {}
+    for n, r in enumerate(sorted(rows, key=order)):
+        total += r[2]
+        out[r[1]] = (total, n + 1)
+    return out
 
-def _frame(spark, n=3000):
-    # a third of all rows share one key value: the hot tie must still split
-    return spark.range(n).select(
-        F.col("id"),
-        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.round((F.col("id") * 7919 % 1000) / 1000.0, 3)).alias("k"),
-        (F.col("id") % 7 + 1).cast("bigint").alias("v"),
-    )
 
+def kernel(df, **kw):
+    got = running_totals(df, "k", "id", {"s": F.col("v")}, **kw)
+    assert got.columns == ["k", "id", "v", "s", "rank"]
+    return {r.id: (r.s, r["rank"]) for r in got.collect()}
 
-def test_bucketed_equals_naive_desc_with_hot_tie(spark):
-    df = _frame(spark)
-    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=16, one_task_rows=0)
-    res = {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()}
-    assert res == _naive(df, "k", True)
-    # the hot value is spread over several buckets
-    from cauldron.operators.ordered import _sample_edges
-    edges = _sample_edges(df, "k", True, "id", 16, 32, 7, 0)
-    assert edges is not None and (edges[0] == -0.5).sum() >= 3
 
+@pytest.mark.parametrize("desc", [True, False])
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_double_keys_with_ties_nan_and_null(spark, desc, buckets):
+    rnd = random.Random(4)
+    keys = [None, float("nan"), float("inf"), -float("inf"), 0.0, 0.5, 0.5]
+    rows = [(rnd.choice(keys) if i % 2 else rnd.random(), i, rnd.randrange(-9, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k double, id long, v long").repartition(5)
+    assert kernel(df, desc=desc, buckets=buckets) == plain(rows, desc)
 
-def test_bucketed_equals_naive_asc_and_partition_count(spark):
-    df = _frame(spark).repartition(7)
-    a = running_totals(df, "k", "id", {"s": F.col("v")}, desc=False, buckets=9, one_task_rows=0)
-    b = running_totals(df.repartition(3), "k", "id", {"s": F.col("v")}, desc=False, buckets=5, one_task_rows=0)
-    ra = {r.id: (r.s, r.rank) for r in a.select("id", "s", "rank").collect()}
-    rb = {r.id: (r.s, r.rank) for r in b.select("id", "s", "rank").collect()}
-    assert ra == rb == _naive(df, "k", False)
 
+@pytest.mark.parametrize("desc", [True, False])
+def test_long_keys_beyond_doubles(spark, desc):
+    rows = [((1 << 62) + i // 2, i, i) for i in range(200)] + [(-(1 << 63), 900, 1), ((1 << 63) - 1, 901, 1), (None, 902, 1)]
+    df = spark.createDataFrame(rows, "k long, id long, v long")
+    assert kernel(df, desc=desc, buckets=16) == plain(rows, desc)
 
-def test_string_key(spark):
-    df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("k"), F.lit(1).cast("bigint").alias("v"))
-    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=False, buckets=8, one_task_rows=0)
-    assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", False)
 
+def test_string_keys_ascend(spark):
+    rows = [(random.Random(i).choice(["é", "a", "b", "", "zz"]), i, 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, id long, v long")
+    assert kernel(df, desc=False, buckets=9) == plain(rows, False)
+    with pytest.raises(ValueError):
+        running_totals(df, "k", "id", {}, desc=True)
 
-def test_exact_median(spark):
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([5, 1, 3, 2, 4, 6])], "id long, x double")
-    assert exact_median(df, "x", "id").collect()[0][0] == 3.5
-    odd = df.where("id < 5")
-    assert exact_median(odd, "x", "id").collect()[0][0] == 3.0
+
+@pytest.mark.parametrize("rows", [[], [(1.5, 1, 3)], [(None, 1, 3)]])
+def test_few_rows(spark, rows):
+    df = spark.createDataFrame(rows, "k double, id long, v long")
+    assert kernel(df) == plain(rows, True)
 
 
-def test_many_buckets_use_the_arrow_search(spark):
-    from cauldron.operators.ordered import TREE_MAX_EDGES
+def test_a_hot_key_is_spread_and_the_plan_has_no_single_window(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") * 0.1).alias("k"),
+                                  "id", F.lit(1).alias("v"))
+    got = running_totals(df, "k", "id", {"s": F.col("v")}, buckets=60)
+    assert got.where("s <> rank").count() == 0 and got.agg(F.max("rank")).first()[0] == 6000
+    w = Window.orderBy(F.desc("k"), "id")
+    want = df.select("id", F.row_number().over(w).alias("r"))
+    assert got.join(want, "id").where("r <> rank").count() == 0
 
-    df = _frame(spark, 6000)
-    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=TREE_MAX_EDGES + 40, one_task_rows=0)
-    assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", True)
 
+def test_partitioning_does_not_matter(spark):
+    df = spark.range(500).select((F.col("id") % 17).alias("k"), "id", F.col("id").alias("v"))
+    a = kernel(df, desc=False, buckets=9)
+    assert a == kernel(df.repartition(3), desc=False, buckets=5)
 
-def test_forced_bucketed_path_really_splits(spark):
-    from cauldron.operators.ordered import _sample_edges
 
-    df = _frame(spark, 400)
-    edges = _sample_edges(df, "k", True, "id", 800, 32, 7, 0)  # more buckets asked than rows allow
-    assert edges is not None and 1 <= len(edges[0]) <= 400 // 8
-    got = running_totals(df, "k", "id", {"s": F.col("v")}, desc=True, buckets=800, one_task_rows=0)
-    assert {r.id: (r.s, r.rank) for r in got.select("id", "s", "rank").collect()} == _naive(df, "k", True)
+def test_null_values_sum_as_nothing(spark):
+    df = spark.createDataFrame([(1.0, 1, None), (2.0, 2, 5), (3.0, 3, None)], "k double, id long, v long")
+    assert kernel(df, desc=False, buckets=3) == {1: (0, 1), 2: (5, 2), 3: (5, 3)}
+
+
+def test_exact_median(spark):
+    df = spark.createDataFrame([(float(x), i) for i, x in enumerate([5, 1, 4, 2, 3, 9])], "x double, id long")
+    assert exact_median(df, "x", "id").collect()[0][0] == 3.5
+    odd = df.where("id < 5")
+    assert exact_median(odd, "x", "id").collect()[0][0] == 3.0
+    assert exact_median(df.limit(0), "x", "id").collect()[0][0] is None
+    assert global_rank(df, "x", "id", desc=False).orderBy("rank").first().x == 1.0

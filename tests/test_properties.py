@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from cauldron.operators import allocate as al
 from cauldron.operators import metrics as mt
 from cauldron.operators import prep as pp
-from cauldron.operators.learners import calibrate_logit
 from cauldron.sources import derived
 
 from .conftest import SF_SMALL
@@ -56,11 +55,6 @@ def test_permutation_keeps_marginal(scored):
     assert moved > 0
 
 
-def test_calibrate_logit_hits_target(scored):
-    shift, achieved = calibrate_logit(scored, F.col("historical_orders") * 0.1, 0.35)
-    assert achieved == pytest.approx(0.35, abs=1e-9)
-
-
 def test_split_and_subset_are_stable(scored):
     a = pp.train_test_split(scored).where("split = 'train'").select("customer_id").collect()
     b = pp.train_test_split(scored.repartition(3)).where("split = 'train'").select("customer_id").collect()
@@ -75,17 +69,11 @@ def test_noise_feature_is_standard_normal(spark):
     assert abs(s[0]) < 0.03 and abs(s[1] - 1) < 0.03
 
 
-def test_allocation_independent_of_partitioning(spark, scored):
-    from cauldron.operators.ordered import SINGLE_TASK_ROWS_CONF
-
-    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")  # force the bucketed path
-    try:
-        outs = []
-        for parts in (1, 7):
-            s = scored.repartition(parts)
-            sel = sorted(r.customer_id for r in al.allocate_greedy(s, 1500.0).where("selected = 1").collect())
-            scen = sorted(tuple(r) for r in al.budget_scenarios(s, (500, 1500, 4000)).collect())
-            outs.append((sel, scen))
-        assert outs[0] == outs[1]
-    finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+def test_allocation_independent_of_partitioning(scored):
+    outs = []
+    for parts in (1, 7):
+        s = scored.repartition(parts)
+        sel = sorted(r.customer_id for r in al.allocate_greedy(s, 1500.0).where("selected = 1").collect())
+        scen = sorted(tuple(r) for r in al.budget_scenarios(s, (500, 1500, 4000)).collect())
+        outs.append((sel, scen))
+    assert outs[0] == outs[1]

@@ -1,4 +1,4 @@
-"""Streaming upsert: order of arrival, quarantine, replay safety; streaming scoring."""
+"""Streaming upsert: order of arrival, whole-row quarantine, replay, compaction; streaming scoring."""
 
 import tempfile
 
@@ -11,25 +11,47 @@ from cauldron.streaming import stream as st
 from .conftest import SF_SMALL
 
 
-def test_stream_upsert_in_order_with_quarantine_and_replay(spark):
-    c = derived.customers(spark, SF_SMALL).checkpoint(eager=True)
+def _run(spark, root):
+    st.stream_upsert_customers(spark, f"{root}/inbox", f"{root}/table", f"{root}/quarantine", f"{root}/ckpt").awaitTermination()
+
+
+def test_valid_rows_survive_bad_ones_of_the_same_id(spark):
+    c = derived.customers(spark, SF_SMALL).orderBy("customer_id").limit(20).checkpoint(eager=True)
+    root = tempfile.mkdtemp()
+    c.coalesce(1).write.parquet(f"{root}/inbox")
+    _run(spark, root)
+    newer = c.withColumn("age", F.lit(77))
+    broken = c.withColumn("customer_segment", F.lit("").cast("string")).withColumn("age", F.lit(13))
+    nameless = c.limit(3).withColumn("customer_id", F.lit(None).cast("long"))
+    broken.unionByName(newer).unionByName(nameless).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    _run(spark, root)
+    current = st.read_current(spark, f"{root}/table")
+    assert current.count() == 20 and current.where("age <> 77 OR customer_id IS NULL").count() == 0
+    kept = spark.read.parquet(f"{root}/quarantine")
+    assert kept.where("age = 13").count() == 20 and kept.where("customer_id IS NULL").count() == 3
+    assert set(c.columns) <= set(kept.columns)
+
+
+def test_later_rows_win_and_replays_change_nothing(spark):
+    c = derived.customers(spark, SF_SMALL).orderBy("customer_id").limit(1).checkpoint(eager=True)
     root = tempfile.mkdtemp()
-    inbox, table, quarantine, ckpt = (f"{root}/{n}" for n in ("inbox", "table", "quarantine", "ckpt"))
-    c.coalesce(1).write.parquet(inbox)
-    st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt).awaitTermination()
-    # second file: ten customers change, one arrives with a missing required cell
-    upd = c.orderBy("customer_id").limit(10).withColumn("age", F.lit(77))
-    bad = c.orderBy(F.col("customer_id").desc()).limit(1).withColumn("customer_segment", F.lit(None).cast("string"))
-    upd.unionByName(bad).coalesce(1).write.mode("append").parquet(inbox)
-    st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt).awaitTermination()
-    cur = st.read_current(spark, table)
-    assert cur.count() == c.count()
-    assert cur.where(F.col("age") == 77).count() == 10
-    assert cur.where(F.col("customer_segment").isNull()).count() == 0  # the bad row did not overwrite
-    assert spark.read.parquet(quarantine).count() == 1
-    # replay: nothing new arrives, the table stays the same
-    st.stream_upsert_customers(spark, inbox, table, quarantine, ckpt).awaitTermination()
-    assert st.read_current(spark, table).where(F.col("age") == 77).count() == 10
+    versions = [c.withColumn("age", F.lit(30 + i)) for i in range(8)]
+    one = versions[0]
+    for v in versions[1:]:
+        one = one.unionByName(v)
+    one.coalesce(1).write.parquet(f"{root}/inbox")
+    _run(spark, root)
+    assert [r.age for r in st.read_current(spark, f"{root}/table").collect()] == [37]  # the file's last row
+    stream = spark.read.parquet(f"{root}/inbox").withColumns(
+        {"_time": F.lit("2000-01-01").cast("timestamp"), "_file": F.lit("f"), "_row": F.col("age").cast("long")})
+    for parts in (1, 4):  # the same batch again, partitioned otherwise
+        st.write_batch(stream.repartition(parts), 5, f"{root}/again", f"{root}/q")
+        assert [r.age for r in st.read_current(spark, f"{root}/again").collect()] == [37]
+        assert spark.read.parquet(f"{root}/again").count() == 8
+    st.compact(spark, f"{root}/again", f"{root}/compact")
+    assert spark.read.parquet(f"{root}/compact").count() == 1
+    st.write_batch(stream.limit(1).withColumn("age", F.lit(50)), 6, f"{root}/compact", f"{root}/q")
+    assert [r.age for r in st.read_current(spark, f"{root}/compact").collect()] == [50]
 
 
 def test_stream_score_equals_batch(spark):

@@ -52,7 +52,17 @@ def test_top_ite_ties_by_id(spark):
     assert [r.customer_id for r in lk.top_ite(df, 2).collect()] == [2, 5]
 
 
-def test_campaign_economics_cents(spark):
-    df = spark.createDataFrame([(1, 19.99, 0.15)], "customer_id long, purchase_value double, discount_percentage double")
-    r = lk.campaign_economics(df).first()
-    assert r.campaign_cost == 3.0 and r.campaign_net_revenue == pytest.approx(16.99)
+def test_dataset_summary_of_no_rows(spark):
+    r = sm.dataset_summary(_customers(spark).limit(0)).first()
+    assert r.customers == 0 and r.treatment_rate is None and r.median_true_ite is None
+
+
+def test_customers_without_campaign_stay_in_the_join(spark):
+    from cauldron.operators.joins import coverage_anti, join_campaign
+
+    camps = spark.createDataFrame([(1, "spring")], "campaign_id int, campaign_name string")
+    out = {r.customer_id: r.campaign_name for r in join_campaign(_customers(spark), camps).collect()}
+    assert out == {1: "spring", 2: None, 3: None, 12: "spring", 21: "spring"}
+    a = spark.createDataFrame([(1,), (2,), (2,), (None,)], "customer_id long")
+    b = spark.createDataFrame([(2,), (3,)], "customer_id long")
+    assert sorted(map(tuple, coverage_anti(a, b).collect())) == [(1, "missing"), (3, "extra")]
