@@ -67,7 +67,8 @@ def duplicate_ids(df: DataFrame, key: str = "customer_id") -> DataFrame:
     """COUNT(*) - COUNT(DISTINCT key) as a one-row frame (V4): one shuffle
     by key, partially aggregated map-side."""
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("bigint").alias("duplicates"))
+    # rows without an id are no ids of their own: each counts
+    return per.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count(key)).cast("bigint").alias("duplicates"))
 
 
 def customer_rule_sql(columns, ite_tolerance: float = ITE_TOLERANCE) -> list[tuple[str, str]]:

@@ -114,6 +114,11 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _six(x: Column) -> Column:
+    """Six fractional digits by plain double arithmetic, the same in every engine (ROUND differs at halves)."""
+    return F.floor(x * _d(1000000) + _d(0.5)) / _d(1000000)
+
+
 def score_surrogate(base: DataFrame) -> DataFrame:
     """Ground truth and predictions by a fixed rule on engagement and loyalty.
 
@@ -124,22 +129,22 @@ def score_surrogate(base: DataFrame) -> DataFrame:
     touches = F.col("website_visits") + F.col("email_opens") + F.col("email_clicks")
     orders = F.col("historical_orders")
     z = base.withColumns({
-        "_engaged": F.round(touches / (touches + _d(12)), 6),
-        "_loyal": F.round(orders / (orders + _d(6)), 6),
+        "_engaged": _six(touches / (touches + _d(12))),
+        "_loyal": _six(orders / (orders + _d(6))),
         "true_treatment_probability": F.when(150 + 25 * orders > 1000, _d(1)).otherwise((150 + 25 * orders) / _d(1000)),
     })
     z = z.select(
         "*",
-        F.round(_d(0.08) + _d(0.5) * F.col("_loyal") * F.col("_engaged"), 6).alias("baseline_probability"),
-        F.round(_d(0.6) * F.col("_engaged") * (_d(1) - F.col("_loyal"))
-                + _d(0.05) * F.col("previous_campaign_response") - _d(0.2), 6).alias("ite"),
-        F.round(F.col("discount_percentage") * (_d(0.9) - _d(0.6) * F.col("_loyal")), 6).alias("true_ite"),
-    ).withColumn("true_baseline_purchase_probability", F.round(_d(0.02) + _d(0.5) * F.col("baseline_probability"), 6))
+        _six(_d(0.08) + _d(0.5) * F.col("_loyal") * F.col("_engaged")).alias("baseline_probability"),
+        _six(_d(0.6) * F.col("_engaged") * (_d(1) - F.col("_loyal"))
+                + _d(0.05) * F.col("previous_campaign_response") - _d(0.2)).alias("ite"),
+        _six(F.col("discount_percentage") * (_d(0.9) - _d(0.6) * F.col("_loyal"))).alias("true_ite"),
+    ).withColumn("true_baseline_purchase_probability", _six(_d(0.02) + _d(0.5) * F.col("baseline_probability")))
     raw = F.col("baseline_probability") + F.col("ite")
     return z.select(
         "*",
-        F.when(raw < 0, _d(0)).when(raw > 1, _d(1)).otherwise(F.round(raw, 6)).alias("treatment_probability"),
-        F.round(F.col("true_baseline_purchase_probability") + F.col("true_ite"), 6)
+        F.when(raw < 0, _d(0)).when(raw > 1, _d(1)).otherwise(_six(raw)).alias("treatment_probability"),
+        _six(F.col("true_baseline_purchase_probability") + F.col("true_ite"))
         .alias("true_treatment_purchase_probability"),
     ).drop("_engaged", "_loyal")
 
@@ -175,7 +180,7 @@ def predictions(spark: SparkSession, sf_dir: str, scored_df: DataFrame | None =
     run1 = s.where(F.col("customer_segment") != "vip").select(
         (cid * 2).alias("id"), cid, F.lit(1).alias("model_run_id"),
         "baseline_probability", "treatment_probability",
-        F.round(F.col("ite") - _d(0.01), 6).alias("ite"),
+        _six(F.col("ite") - _d(0.01)).alias("ite"),
         _ts("2000-04-01 00:00:00").alias("created_at"),
     )
     run2 = s.where(F.col("campaign_id").isNotNull()).select(
@@ -250,25 +255,25 @@ FROM f)"""
 _CTE_SCORED = """
 shares AS (
 SELECT *,
-  ROUND((website_visits + email_opens + email_clicks)/(website_visits + email_opens + email_clicks + CAST(12 AS DOUBLE)), 6) AS engaged,
-  ROUND(historical_orders/(historical_orders + CAST(6 AS DOUBLE)), 6) AS loyal,
+  FLOOR(((website_visits + email_opens + email_clicks)/(website_visits + email_opens + email_clicks + CAST(12 AS DOUBLE)))*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS engaged,
+  FLOOR((historical_orders/(historical_orders + CAST(6 AS DOUBLE)))*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS loyal,
   CASE WHEN 150+25*historical_orders > 1000 THEN CAST(1 AS DOUBLE) ELSE (150+25*historical_orders)/CAST(1000 AS DOUBLE) END AS true_treatment_probability
 FROM customer_base),
 effects AS (
 SELECT *,
-  ROUND(CAST(0.08 AS DOUBLE) + CAST(0.5 AS DOUBLE)*loyal*engaged, 6) AS baseline_probability,
-  ROUND(CAST(0.6 AS DOUBLE)*engaged*(CAST(1 AS DOUBLE) - loyal) + CAST(0.05 AS DOUBLE)*previous_campaign_response - CAST(0.2 AS DOUBLE), 6) AS ite,
-  ROUND(discount_percentage*(CAST(0.9 AS DOUBLE) - CAST(0.6 AS DOUBLE)*loyal), 6) AS true_ite
+  FLOOR((CAST(0.08 AS DOUBLE) + CAST(0.5 AS DOUBLE)*loyal*engaged)*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS baseline_probability,
+  FLOOR((CAST(0.6 AS DOUBLE)*engaged*(CAST(1 AS DOUBLE) - loyal) + CAST(0.05 AS DOUBLE)*previous_campaign_response - CAST(0.2 AS DOUBLE))*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS ite,
+  FLOOR((discount_percentage*(CAST(0.9 AS DOUBLE) - CAST(0.6 AS DOUBLE)*loyal))*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS true_ite
 FROM shares),
 truths AS (
-SELECT * EXCLUDE (engaged, loyal), ROUND(CAST(0.02 AS DOUBLE) + CAST(0.5 AS DOUBLE)*baseline_probability, 6) AS true_baseline_purchase_probability
+SELECT * EXCLUDE (engaged, loyal), FLOOR((CAST(0.02 AS DOUBLE) + CAST(0.5 AS DOUBLE)*baseline_probability)*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS true_baseline_purchase_probability
 FROM effects),
 scored AS (
 SELECT *,
   CASE WHEN baseline_probability + ite < 0 THEN CAST(0 AS DOUBLE)
        WHEN baseline_probability + ite > 1 THEN CAST(1 AS DOUBLE)
-       ELSE ROUND(baseline_probability + ite, 6) END AS treatment_probability,
-  ROUND(true_baseline_purchase_probability + true_ite, 6) AS true_treatment_purchase_probability
+       ELSE FLOOR((baseline_probability + ite)*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) END AS treatment_probability,
+  FLOOR((true_baseline_purchase_probability + true_ite)*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS true_treatment_purchase_probability
 FROM truths)"""
 
 _CTE_CAMPAIGNS = """
@@ -277,7 +282,7 @@ campaigns AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS campaign_id, r_name AS
 _CTE_PREDICTIONS = """
 predictions AS (
 SELECT customer_id*2 AS id, customer_id, 1 AS model_run_id, baseline_probability, treatment_probability,
-       ROUND(ite - CAST(0.01 AS DOUBLE), 6) AS ite, TIMESTAMP '2000-04-01 00:00:00' AS created_at
+       FLOOR((ite - CAST(0.01 AS DOUBLE))*CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))/CAST(1000000 AS DOUBLE) AS ite, TIMESTAMP '2000-04-01 00:00:00' AS created_at
 FROM scored WHERE customer_segment <> 'vip'
 UNION ALL
 SELECT customer_id*2+1, customer_id, 2, baseline_probability, treatment_probability, ite, TIMESTAMP '2000-04-02 00:00:00'
