@@ -48,9 +48,9 @@ class Inputs:
         size = np.fromiter(map(len, plain), np.int64, n)
         data = np.frombuffer(b"".join(plain), np.uint8).astype(np.uint64)
         start = np.cumsum(size) - size
-        place = np.arange(len(data)) - np.repeat(start, size)
-        left = np.repeat(size, size) - place  # bytes from here to the end of the word
-        owner = np.repeat(np.arange(n), size)
+        place = (np.arange(len(data)) - np.repeat(start, size)).astype(np.int32)
+        left = np.repeat(size.astype(np.int32), size) - place  # bytes from here to the end of the word
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)
         with np.errstate(over="ignore"):
             powers = np.multiply.accumulate(np.full(int(size.max()) if n else 1, 1099511628211, np.uint64))
             whole = np.add.reduceat(data * powers[place], start) if n else np.empty(0, np.uint64)
@@ -63,11 +63,11 @@ class Inputs:
                     code = code * np.uint64(257) + data[at + k]
                 codes.append(self._bucket(code, CHAR_BUCKETS))
                 owners.append(owner[at])
-        order = np.argsort(np.concatenate(owners), kind="stable") if n else np.empty(0, np.int64)
-        self.grams = np.concatenate(codes)[order] if n else np.empty(0, np.int64)
-        self.counts = np.bincount(np.concatenate(owners), minlength=n) if n else np.empty(0, np.int64)
+        owners = np.concatenate(owners)
+        self.grams = np.concatenate(codes)[np.argsort(owners, kind="stable")]
+        self.counts = np.bincount(owners, minlength=n)
         self.first = np.cumsum(self.counts) - self.counts
-        self.owner = np.repeat(np.arange(n), self.counts)
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), self.counts)
         self.scale = (1 / np.sqrt(np.maximum(self.counts, 1))).astype(np.float32)
 
     def some(self, words: np.ndarray) -> "Inputs":
@@ -82,29 +82,33 @@ class Inputs:
     @staticmethod
     def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
         code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return (code >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+        return (code >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
 
     def vectors(self, p: dict) -> np.ndarray:
         """One row of inputs a word, and a last row of zeros for places after a text's end."""
         n = len(self.word)
         x = np.zeros((n + 1, WORD_DIM + CHAR_DIM), np.float32)
         x[:n, :WORD_DIM] = p["word"][self.word]
-        if len(self.grams):
-            full = np.flatnonzero(self.counts)  # a short word can lack n-grams
-            sums = np.add.reduceat(p["char"][self.grams], self.first[full], axis=0)
-            x[full, WORD_DIM:] = sums * self.scale[full, None]
+        full = np.flatnonzero(self.counts)  # a short word can lack n-grams
+        for at in range(0, len(full), _BATCH):  # blocks bound the gathered rows
+            some = full[at:at + _BATCH]
+            low, high = self.first[some[0]], self.first[some[-1]] + self.counts[some[-1]]
+            sums = np.add.reduceat(p["char"][self.grams[low:high]], self.first[some] - low, axis=0)
+            x[some, WORD_DIM:] = sums * self.scale[some, None]
         return x
 
 
 def windows(counts: np.ndarray, rows: np.ndarray, codes: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """(windows as word codes, ``blank`` after the end; row of each) of all overlapping windows of every row."""
     n = np.maximum(1, 1 + np.ceil((counts - WINDOW) / STRIDE).astype(np.int64))
-    row = np.repeat(np.arange(len(counts)), n)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = number[:, None] * STRIDE + np.arange(WINDOW)
-    inside = at < counts[row][:, None]
-    padded = np.append(codes, blank)
-    return np.where(inside, padded[np.where(inside, rows[:-1][row][:, None] + at, len(codes))], blank), row
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), n)
+    first = ((np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE).astype(np.int32)
+    padded = np.append(codes, blank).astype(np.int32)
+    out = np.empty((len(row), WINDOW), np.int32)
+    for k in range(WINDOW):  # a column at a time: no wide temporaries
+        at = np.where(first + k < counts[row], rows[:-1][row] + first + k, len(codes))
+        out[:, k] = padded[at]
+    return out, row
 
 
 def start(seed: int = 4) -> dict:
@@ -261,7 +265,7 @@ def score_texts(p: dict | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **how) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, **how) -> dict | None:
     """Parameters learnt from at most ``max_rows`` labelled documents."""
     rows = labelled_rows(docs, labels, "toxic", max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["toxic"].to_numpy() == 1, **how)
