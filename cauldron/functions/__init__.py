@@ -1,5 +1,5 @@
 """Column-expression helpers (all JVM-side built-ins)."""
 
 from .scalar import (  # noqa: F401
-    cents, clip, hash_normal, hash_uniform, is_finite, money,
+    cents, clip, hash_normal, hash_uniform, is_finite, label, money,
 )

@@ -30,6 +30,11 @@ def cents(x) -> Column:
     return F.round(_c(x) * F.lit(100.0)).cast("bigint")
 
 
+def label(x) -> Column:
+    """A stored name as a label: its first letter upper case, the rest as it is (``initcap`` would change every word)."""
+    return F.concat(F.upper(F.substring(_c(x), 1, 1)), F.substr(_c(x), F.lit(2)))
+
+
 MONEY = "decimal(38, 9)"
 
 

@@ -1,4 +1,4 @@
-"""Serving queries: paging, point lookup, top-k, search."""
+"""Serving queries: paging, point lookup, top-k, search."""
 
 from __future__ import annotations
 
@@ -19,11 +19,13 @@ def _filtered(df: DataFrame, segment: str | None, search: str | None, key: str,
 
 def list_customers(df: DataFrame, offset: int = 0, limit: int = 25, segment: str | None = None,
                    search: str | None = None, key: str = "customer_id",
-                   segment_col: str = "customer_segment") -> DataFrame:
+                   segment_col: str = "customer_segment", after: int | None = None) -> DataFrame:
     """One page ordered by id plus the filtered total as a column.
 
     ``orderBy().offset().limit()`` plans as a bounded top-k
-    (TakeOrderedAndProject over offset + limit rows), not a full sort.
+    (TakeOrderedAndProject over offset + limit rows), not a full sort. Deep
+    pages go by ``after``, the last id of the page before: that filter reaches
+    the scan, and one page is all that is kept.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be within 1..100")
@@ -31,7 +33,8 @@ def list_customers(df: DataFrame, offset: int = 0, limit: int = 25, segment: str
         raise ValueError("offset must be >= 0")
     f = _filtered(df, segment, search, key, segment_col)
     total = f.select(F.count(F.lit(1))).scalar()
-    return f.orderBy(key).offset(offset).limit(limit).withColumn("total", total)
+    page = f if after is None else f.where(F.col(key) > F.lit(after))
+    return page.orderBy(key).offset(offset).limit(limit).withColumn("total", total)
 
 
 def get_customer(df: DataFrame, customer_id: int, key: str = "customer_id") -> DataFrame:

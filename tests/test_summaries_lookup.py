@@ -66,3 +66,14 @@ def test_customers_without_campaign_stay_in_the_join(spark):
     a = spark.createDataFrame([(1,), (2,), (2,), (None,)], "customer_id long")
     b = spark.createDataFrame([(2,), (3,)], "customer_id long")
     assert sorted(map(tuple, coverage_anti(a, b).collect())) == [(1, "missing"), (3, "extra")]
+
+
+def test_pages_by_key_and_labels(spark):
+    from pyspark.sql import functions as F
+
+    from cauldron.functions.scalar import label
+
+    page = lk.list_customers(_customers(spark), limit=2, after=2).collect()
+    assert [r.customer_id for r in page] == [3, 12] and page[0].total == 5
+    df = spark.createDataFrame([("sleeping dog",), ("",), (None,), ("été",)], "s string")
+    assert [r.s for r in df.select(label(F.col("s")).alias("s")).collect()] == ["Sleeping dog", "", None, "Été"]
