@@ -2,11 +2,13 @@
 
 A document is its token ids and an end id. Only documents longer than a
 sequence are cut: into full pieces, the first one shorter. Pieces are dealt by
-a hash into groups of about ``group_pieces`` and packed group by group in hash
-order: a piece goes to the open bin with the least free space that still
+a hash into groups of about ``group_pieces`` and packed group by group, long
+ones first: a piece goes to the open bin with the least free space that still
 holds it (one bit operation on a bitset with a bit for each amount of free
 space), else to a new bin; when more than ``open_bins`` are open, the fullest
-closes. The same input always gives the same sequences, also after a retry.
+closes. A group opens fewer bins than that unless its pieces are long, and
+then what closes is nearly full. The same input always gives the same
+sequences, also after a retry.
 
 Edge cases: null text is empty (the end id alone); a piece as long as a
 sequence is a sequence; repeated rows are packed as documents of their own; an
@@ -25,7 +27,7 @@ from . import pretokens
 from .columnar import columns, slices, stage
 
 LENGTH, END_ID = 1024, 2
-GROUP_PIECES, OPEN_BINS = 32_768, 512
+GROUP_PIECES, OPEN_BINS = 8_192, 4_096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -99,7 +101,7 @@ def pack_pieces(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BI
     keyed = keyed.withColumn("group", F.pmod("order", F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("length", "descending"), ("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(table.column("length").to_pylist(), length, open_bins)
         group = table.column("group")[0].as_py()
         table = table.drop_columns(["order", "group"])
