@@ -32,7 +32,7 @@ from .columnar import WORD_PATTERN, stage
 #: Longest block in words; a source has at least MIN_BLOCKS blocks if it has the words for them.
 BLOCK_WORDS, MIN_BLOCKS = 4096, 128
 #: Rows that a bucket of the running sums should hold.
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 2_048
 SHARDS_LOG2 = 6
 #: Primes above any block count (blocks of a source stay below 2^30): multipliers of the block permutations.
 _PRIMES = (1610612741, 1879048201, 1200000041, 1400000023, 1300000003, 1500000001)
