@@ -7,9 +7,14 @@ asides, forms, scripts, notices, adverts, reader comments) is pruned first.
 For every other node the composite text density is its characters per tag,
 weighted down by the share of links; a node's density sum adds up its
 children's densities. The subtree with the largest sum is the content; the
-least density on its path from body is the threshold at which other subtrees
-count as content too (each by its own subtree of largest sum). Content inside
-an ``article`` or ``main`` element takes in the whole element.
+least density on its path from body is the threshold for the rest of the page:
+a walk down from body keeps the subtree of largest sum of every node at or
+above it, and of nodes below it goes into those that are not mostly links.
+Without links the density grows with an element's size, so a node also counts
+if it reaches the threshold with all counts scaled to the size of body: a short
+section beside a long one. An element without inner blocks, or whose own text
+reaches the threshold, is kept as a whole. Content inside an ``article`` or
+``main`` element takes in the whole element.
 
 Text: character references decoded, white space within a block one space,
 blocks trimmed and joined in page order by one space.
@@ -176,15 +181,20 @@ class _Page:
         self.last[i] = len(self.tags) - 1
 
 
-def _densities(page: _Page) -> tuple[list[float], list[float]]:
-    """(composite text density, density sum) of every node; pruned nodes count for nothing."""
+def _densities(page: _Page) -> tuple[list[float], list[float], list[float], list[float], list[bool]]:
+    """(composite text density, density sum, density at body's size, that of the own text, mostly links) of every node.
+
+    Pruned nodes count for nothing. A node's own text is what it holds outside links and inner blocks, as one tag.
+    """
     n = len(page.tags)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    chars, tags, link_chars, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, _, text in page.texts:
         size = len("".join(text.split()))
         chars[node] += size
         if page.links[node]:
             link_chars[node] += size
+        else:
+            own[node] += size
     for i in range(n - 1, 0, -1):
         if page.cut[i]:
             continue
@@ -193,39 +203,61 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
         tags[p] += tags[i] + 1
         link_chars[p] += link_chars[i]
         link_tags[p] += link_tags[i] + (page.tags[i] == "a")
+        if page.tags[i] in _INLINE:
+            own[p] += own[i]
     body = next((i for i in range(n) if page.tags[i] == "body"), 0)
     body_share = link_chars[body] / max(1, chars[body])
-    density, total = [0.0] * n, [0.0] * n
+
+    def composite(c: float, t: float, lc: float, lt: float) -> float:
+        base = math.log(c / max(1, c - lc) * lc + body_share * c + math.e)
+        return c / t * math.log(c / max(1, lc) * (t / max(1, lt)) + 1) / math.log(base + 1)
+
+    density, total, scaled, own_scaled = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
         if page.cut[i] or not chars[i]:
             continue
-        c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
-        base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + body_share * c + math.e)
-        weight = math.log(c / lc * (t / lt) + 1) / math.log(base + 1)
-        density[i] = c / t * weight
+        counts = chars[i], max(1, tags[i]), link_chars[i], link_tags[i]
+        density[i] = composite(*counts)
+        scaled[i] = composite(*(k * max(1, chars[body]) / chars[i] for k in counts))
+        if own[i]:
+            own_scaled[i] = composite(chars[body], chars[body] / own[i], 0, 0)
         if i:
             total[page.parents[i]] += density[i]
-    return density, total
+    return density, total, scaled, own_scaled, [2 * lc > c for c, lc in zip(chars, link_chars)]
 
 
 def _content(page: _Page) -> list[int]:
     """The content nodes in page order, none inside another."""
-    density, total = _densities(page)
+    density, total, scaled, own_scaled, linked = _densities(page)
+    n = len(page.tags)
     body = next((i for i, tag in enumerate(page.tags) if tag == "body"), 0)
+    # the node of largest sum in every subtree; of equal sums the outer, then the earlier node
+    best, blocks = list(range(n)), [False] * n
+    for i in range(n - 1, 0, -1):
+        p = page.parents[i]
+        if not page.cut[i]:
+            best[p] = max(best[p], best[i], key=lambda k: (total[k], -k))
+            blocks[p] = blocks[p] or blocks[i] or page.tags[i] not in _INLINE and page.tags[i] not in _VOID
 
-    def best(i: int) -> int:  # the node of largest sum in a subtree; a node without element children stands for itself
-        return max(range(i, page.last[i] + 1), key=lambda k: (total[k] or density[k] * (k == i), -k))
-
-    top = best(body)
-    threshold, k = density[top], top
+    top = best[body]
+    threshold, least, k = density[top], scaled[top], top
     while k not in (body, -1, 0):
         k = page.parents[k]
-        threshold = min(threshold, density[k])
+        threshold, least = min(threshold, density[k]), min(least, scaled[k])
     chosen = []
-    parts = [c for c in range(body + 1, page.last[body] + 1) if page.parents[c] == body]
-    for i in [body] if top == body else parts:
-        if density[i] and (density[i] >= threshold or i <= top <= page.last[i]):
-            chosen.append(best(i))
+    i = body
+    while i <= page.last[body]:
+        dense = density[i] >= threshold or scaled[i] >= least
+        if not density[i] or not dense and linked[i]:
+            i = page.last[i] + 1
+        elif own_scaled[i] >= least or dense and (best[i] == i or not blocks[i]):
+            chosen.append(i)
+            i = page.last[i] + 1
+        elif not dense:
+            i += 1
+        else:
+            chosen.append(best[i])
+            i += 1
     # an article or main element that holds content is content as a whole
     whole = []
     for i in chosen:
@@ -255,7 +287,7 @@ def main_text(source: str | None) -> str:
     nodes = _content(page)
     if articles and not any(page.tags[i] in _WHOLE for i in nodes):
         # text outside is denser than a short article: the page itself says which is the content
-        _, total = _densities(page)
+        total = _densities(page)[1]
         nodes = [max(articles, key=lambda i: (total[i], -i))]
     blocks: list[list[str]] = [[]]
     before = None

@@ -278,6 +278,24 @@ def test_page_layouts(source, want):
     assert htmltext.main_text(source) == want
 
 
+def paragraphs(word, k, words=40):
+    return f"<p>{' '.join([word * 5] * words)}</p>" * k
+
+
+@pytest.mark.parametrize("source, words", [
+    ("<body><div class=wrap><div>{a3}</div><div>{b3}</div></div>", (3, 3, 0)),
+    ("<html><div><section>{a8}</section><section>{b2}</section><section>{c3}</section></div></html>", (8, 2, 3)),
+    ("<body><div><div><section>{a9}</section></div><div><h2>h</h2>{b2}</div>{c1}</div>", (9, 2, 1)),
+    ("<body><div><div>{a5}</div><div>" + "bbbbb " * 120 + "<ul><li>one<li>two</ul></div></div>", (5, 3, 0)),
+    ("<body><div><div>{a5}</div><p>" + "bbbbb " * 40 + "<span><i>x</i> <i>yy</i></span></p></div>", (5, 1, 0)),
+    ("<body><div><div>{a3}</div><div>" + "<a href=x>bbbbb ccccc</a> " * 40 + "</div></div>", (3, 0, 0)),  # links stay out
+])
+def test_siblings_below_a_wrapper(source, words):
+    page = source.format(**{f"{w}{k}": paragraphs(w, k) for w in "abc" for k in range(10)})
+    found = Counter(htmltext.main_text(page).split())
+    assert tuple(found[w * 5] for w in "abc") == tuple(40 * k for k in words)
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>a"), (1, "u", "<p>a"), (1, "u", "<p>a")],
                                   "page_id long, url string, html string")
