@@ -3,7 +3,12 @@
 A page becomes a small DOM (raw text elements, void elements, implied ends of
 paragraphs and list items, markup cut off at the end of input). What is
 boilerplate by its element, role, class or id (menus, page headers, footers,
-asides, forms, scripts, notices, adverts, reader comments) is pruned first.
+asides, forms, scripts, notices, adverts, reader comments) is pruned first. A
+class or id prunes by itself only if the whole of it names boilerplate
+(``comments``, ``related-posts``, ``site-footer-2``); one that merely holds
+such a word (``related-work``, ``login-flow``) prunes what is mostly links, and
+as the class of a box outside article and main also what is sparser than the
+page and not most of it. Ids of headings and paragraphs are anchors, no names.
 For every other node the composite text density is its characters per tag,
 weighted down by the share of links; a node's density sum adds up its
 children's densities. The subtree with the largest sum is the content; the
@@ -53,13 +58,25 @@ _DROP = frozenset(
 _DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb breadcrumbs "
-    "byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown feedback footer "
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners "
+    "comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown feedback footer "
     "footnav gdpr hidden login menu menus modal nav navbar navigation newsletter notice notices "
     "notification outbrain overlay pager pagination paywall popup promo promos promoted promotion recommended related "
     "replies reply respond sharebar share sharing sidebar sidebars signup skip social sponsor sponsored sponsors "
     "subscribe subscription taboola toolbar topbar trending".split())
 _DROP_OUTSIDE = frozenset("header masthead".split())
+_DROP_LINKED = frozenset("breadcrumb breadcrumbs".split())  # menus if they are mostly links
+# words that go before and after a name without changing what the element is
+_BEFORE = frozenset(
+    "article blog bottom desktop div dfp entry fixed global google gpt is js left main mobile page post primary reader "
+    "right secondary site sticky story top user visually".split())
+_BEFORE_HEADER = _BEFORE - frozenset("article blog entry post story".split())  # the content's own header stays
+_AFTER = frozenset(
+    "articles container inner items links list outer posts section slot stories thread widget wrap wrapper".split())
+_AFTER_CLASS = _AFTER | frozenset(
+    "area bar block bottom box btn button buttons icons item left panel right row top unit zone".split())
+_ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_KEEP, _IF_LINKS, _IF_THIN, _CUT = range(4)
 _STATES = frozenset("no not without with has have is show hide hides".split())
 _WHOLE = frozenset(("article", "main"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)"
@@ -68,28 +85,47 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _boilerplate(tag: str, raw: str, inside_content: bool) -> bool:
+def _boilerplate(tag: str, raw: str, inside_content: bool) -> int:
+    """Whether an element goes: never, if mostly links, if mostly links or thin, always."""
     if tag in _DROP or (tag == "header" and not inside_content):
-        return True
+        return _CUT
     if not raw or raw.isspace():
-        return False
+        return _KEEP
     attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(raw)}
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+        return _CUT
     if attrs.get("role", "").lower() in _DROP_ROLES:
-        return True
+        return _CUT
     style = attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
+        return _CUT
     if tag in ("body", "html", "main"):
-        return False
-    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        words = [w.lower() for w in _NAMES.findall(name)]
-        if tag in _WHOLE and len(words) > 1 or words and words[0] in _STATES:
-            continue  # a state such as has-comments or no-sidebar says nothing about the element itself
-        if any(w in _DROP_NAMES or (w in _DROP_OUTSIDE and not inside_content) for w in words):
-            return True
-    return False
+        return _KEEP
+    names = [(name, True) for name in attrs.get("class", "").split()]
+    if tag not in _ANCHORS:
+        names += [(name, False) for name in attrs.get("id", "").split()]
+    return max((_named(tag, name, is_class, inside_content) for name, is_class in names), default=_KEEP)
+
+
+def _named(tag: str, name: str, is_class: bool, inside_content: bool) -> int:
+    words = [w.lower() for w in _NAMES.findall(name)]
+    if tag in _WHOLE and len(words) > 1:
+        return _KEEP  # a state such as has-comments says nothing about the element itself
+    hits = [w for w in words if w in _DROP_NAMES or w in _DROP_LINKED or (w in _DROP_OUTSIDE and not inside_content)]
+    if not hits or words[0] in _STATES:
+        return _KEEP
+    core = [w for w in words if len(w) > 1 and not w.isdigit()]
+    first = core.index(hits[0])
+    before = _BEFORE if any(w in _DROP_NAMES for w in hits) else _BEFORE_HEADER
+    after = _AFTER_CLASS if is_class else _AFTER
+    if any(w in _DROP_LINKED for w in hits):
+        return _IF_LINKS
+    if all(w in before for w in core[:first]) and all(w in hits or w in after for w in core[first:]):
+        return _CUT
+    if not is_class or inside_content or tag == "section" or tag in _ANCHORS:
+        return _IF_LINKS
+    # overflow-hidden and post-header tell little about a box
+    return _IF_THIN if any(w in _DROP_NAMES and w != "hidden" for w in hits) else _IF_LINKS
 
 
 class _Page:
@@ -99,6 +135,7 @@ class _Page:
         self.tags, self.parents, self.last, self.cut = ["#root"], [-1], [0], [False]
         self.content = [False]  # inside article or main
         self.links = [False]
+        self.suspects: dict[int, int] = {}
         self.texts: list[tuple[int, bool, str]] = []
         self.stack, self.broken = [0], True
         at, end = 0, len(source)
@@ -125,6 +162,46 @@ class _Page:
                 at = stop.start() if stop else end
         while self.stack:
             self._pop()
+        if self.suspects:
+            self._judge()
+
+    def _judge(self) -> None:
+        """Prunes the elements whose names leave it to their links and density."""
+        n = len(self.tags)
+
+        def counts(judge) -> tuple[list[int], list[int]]:
+            chars, tags, links = [0] * n, [0] * n, [0] * n
+            for node, _, text in self.texts:
+                size = len("".join(text.split()))
+                chars[node] += size
+                links[node] += size * self.links[node]
+            for i in range(n - 1, 0, -1):
+                if not self.cut[i] and not judge(i, chars[i], tags[i], links[i]):
+                    p = self.parents[i]
+                    chars[p] += chars[i]
+                    tags[p] += tags[i] + 1
+                    links[p] += links[i]
+            return chars, tags
+
+        body = next((i for i in range(n) if self.tags[i] == "body"), 0)
+        chars, tags = counts(lambda *_: False)
+        size, density = chars[body], chars[body] / max(1, tags[body])
+
+        def goes(i: int, c: int, t: int, lc: int) -> bool:
+            why = self.suspects.get(i, _KEEP)
+            self.cut[i] = why and 2 * lc > c or why == _IF_THIN and 2 * c <= size and c < density * max(1, t)
+            return self.cut[i]
+
+        counts(goes)
+        for i in range(1, n):
+            self.cut[i] = self.cut[i] or self.cut[self.parents[i]]
+        kept, pending = [], False
+        for node, broken, text in self.texts:
+            pending = pending or broken
+            if not self.cut[node]:
+                kept.append((node, pending, text))
+                pending = False
+        self.texts = kept
 
     def _text(self, text: str) -> None:
         node = self.stack[-1]
@@ -162,7 +239,10 @@ class _Page:
         self.tags.append(name)
         self.parents.append(parent)
         self.last.append(i)
-        self.cut.append(self.cut[parent] or _boilerplate(name, raw, self.content[parent]))
+        why = _CUT if self.cut[parent] else _boilerplate(name, raw, self.content[parent])
+        self.cut.append(why == _CUT)
+        if why in (_IF_LINKS, _IF_THIN):
+            self.suspects[i] = why
         self.content.append(self.content[parent] or name in _WHOLE)
         self.links.append(self.links[parent] or name == "a")
         self.stack.append(i)

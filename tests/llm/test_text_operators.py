@@ -296,6 +296,32 @@ def test_siblings_below_a_wrapper(source, words):
     assert tuple(found[w * 5] for w in "abc") == tuple(40 * k for k in words)
 
 
+@pytest.mark.parametrize("kept", [
+    '<h2 id="related-work">{}</h2>', '<h2 id="comments">{}</h2>', '<p id="notice-period">{}</p>',
+    '<section id="hidden-costs"><h2>{}</h2><p>x</p></section>', '<div id="login-flow"><p>{}</p><p>x</p></div>',
+    '<p class="byline">{}</p>', '<div class="breadcrumb">{}</div>', '<div class="overflow-hidden"><p>{}</p></div>'])
+@pytest.mark.parametrize("page", ["<article>{}{}</article>", "<main><div>{}</div>{}</main>", "<div><div>{}{}</div></div>"])
+def test_slugs_keep_their_text(page, kept):
+    text = " ".join(["word"] * 20)
+    assert "here " + text in htmltext.main_text(page.format(paragraphs("a", 2, 9), kept.format("here " + text)))
+
+
+@pytest.mark.parametrize("page", ["<article>{}{}</article>", "<div><div>{}{}</div></div>"])
+@pytest.mark.parametrize("cut", [
+    '<div id="comments"><p>{}</p></div>', '<section id="related-posts">{}</section>', '<div class="site-footer-2">{}</div>',
+    '<div id="cookie-notice">{}</div>', '<div class="post-comments-list"><p>{}</p></div>', '<div id="div-gpt-ad-12">{}</div>',
+    '<ul class="breadcrumbs"><li><a href=x>{}</a></ul>', '<div id="our-related-reads"><a href=x>{}</a></div>',
+    '<span class="x-share-y"><a href=x>{}</a></span>'])
+def test_named_boilerplate_goes(page, cut):
+    got = htmltext.main_text(page.format("<p>" + "text " * 30 + "</p>", cut.format("gone " * 8) + "<p>" + "more " * 30))
+    assert "gone" not in got and got.count("text") == got.count("more") == 30 and "textmore" not in got
+
+
+def test_a_box_that_holds_the_page_stays():
+    page = "<body><div class='content-sidebar-wrap'>{}<div class='x-sidebar-y'><i>s</i><i>t</i></div></div>"
+    assert htmltext.main_text(page.format(paragraphs("a", 4))).split() == ["aaaaa"] * 160
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>a"), (1, "u", "<p>a"), (1, "u", "<p>a")],
                                   "page_id long, url string, html string")
