@@ -16,7 +16,7 @@ from ..sources import derived
 from ..sources import io as sio
 from ..streaming import stream as st
 from .catalog_views import _SEG025
-from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded, stable_scored
+from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded, stable_customers, stable_scored
 
 _COLS = [f.name for f in CUSTOMER_SCHEMA.fields]
 
@@ -59,12 +59,9 @@ def q_scan_predictions(spark, d):
 
 @register("scan_customers_document", W("customers") + "SELECT * FROM customers")
 def q_scan_customers_document(spark, d):
-    """The wrapped JSON form: documents with a ``customers`` array, one for each segment and campaign."""
+    """The wrapped JSON form: documents with a ``customers`` array, each of a few thousand customers."""
     path = scratch_dir(spark, "customers-document")
-    c = derived.customers(spark, d)
-    docs = c.groupBy("customer_segment", "campaign_id").agg(F.collect_list(F.struct(*c.columns)).alias("customers"))
-    docs.select(F.to_json(F.struct("customers")).alias("value")).repartition("value").write.option(
-        "maxRecordsPerFile", 1).text(path)
+    sio.write_customer_documents(stable_customers(spark, d), path)
     return sio.scan_customers_json(spark, path)
 
 

@@ -152,6 +152,19 @@ def export_customers(df: DataFrame, path: str, fmt: str = "csv") -> None:
         out.write.mode("overwrite").json(path)
 
 
+def write_customer_documents(df: DataFrame, path: str, rows_per_document: int = 4096) -> None:
+    """The wrapped JSON form (S2), a file for each document of about ``rows_per_document`` customers.
+
+    Customers are dealt by a hash of their id, so the number of documents
+    follows the row count, and no document grows with the table or with a
+    frequent segment. ``df`` is read twice, for the count and for the rows.
+    """
+    n = max(1, -(-df.count() // rows_per_document))
+    docs = df.groupBy(F.pmod(F.xxhash64("customer_id"), F.lit(n)).alias("document")) \
+        .agg(F.collect_list(F.struct(*df.columns)).alias("customers"))
+    docs.select(F.to_json(F.struct("customers")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def export_model_input(df: DataFrame) -> DataFrame:
     """The 15-column model input ordered by id, no ground truth."""
     return df.select(*MODEL_INPUT_COLUMNS).orderBy("customer_id")

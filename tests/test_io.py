@@ -38,6 +38,30 @@ def test_json_wrapped_and_plain(spark, customers):
         sio.scan_customers_json(spark, os.path.join(d, "bad.json"))
 
 
+def test_documents_stay_bounded(spark, customers):
+    """One segment and campaign for all rows: the documents follow the row count all the same."""
+    hot = customers.withColumn("customer_segment", F.lit("vip")).withColumn("campaign_id", F.lit(1))
+    d = tempfile.mkdtemp()
+    sio.write_customer_documents(hot, f"{d}/docs", rows_per_document=20)
+    rows = spark.read.option("wholetext", True).text(f"{d}/docs").select(
+        F.size(F.from_json("value", "struct<customers:array<map<string,string>>>")["customers"]).alias("n")).collect()
+    assert sum(r.n for r in rows) == hot.count() and max(r.n for r in rows) <= 3 * 20
+    back = sio.scan_customers_json(spark, f"{d}/docs")
+    assert back.exceptAll(hot).count() == 0 and back.count() == hot.count()
+
+
+def test_document_query_is_not_grouped_by_segment(spark, monkeypatch):
+    from cauldron.plans import catalog_io
+
+    whole, sizes = sio.scan_customers_json, []
+    monkeypatch.setattr(sio, "write_customer_documents", lambda df, path, write=sio.write_customer_documents:
+                        write(df, path, rows_per_document=20))
+    monkeypatch.setattr(sio, "scan_customers_json", lambda s, path: sizes.append(
+        s.read.option("wholetext", True).text(path).count()) or whole(s, path))
+    n = catalog_io.q_scan_customers_document(spark, SF_SMALL).count()
+    assert n / 20 - 5 <= sizes[0] <= n / 20 + 1
+
+
 def test_csv_unknown_and_missing_columns(spark, customers):
     d = tempfile.mkdtemp()
     customers.withColumn("extra", F.lit(1)).limit(2).write.option("header", True).csv(f"{d}/extra")
