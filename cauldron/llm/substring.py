@@ -82,7 +82,7 @@ class Units:
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, place (unit number and text key) and later (not the first of its slice)."""
+    """digest, doc_id, unit (its number), key (hash of the text) and later (not the first of its slice)."""
 
     def run(batches):
         for b in slices(batches):
@@ -96,32 +96,32 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             ids = b.column(0)
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))[row]
             doc = ids.fill_null(0).to_numpy()[row]
-            place = number << 32 | (b.column(1).to_numpy()[row] & 0xFFFFFFFF)
-            order = np.lexsort((place, doc, known, units.digests))
+            text = b.column(1).to_numpy()[row]
+            order = np.lexsort((text, number, doc, known, units.digests))
             ranked = units.digests[order]
             heads = np.maximum.accumulate(np.where(np.append(True, ranked[1:] != ranked[:-1]), np.arange(n), 0))
             head = order[heads]  # the first occurrence in the slice, for each unit in that order
             again = np.zeros(n, bool)
-            again[order] = (place[head] != place[order]) | (doc[head] != doc[order]) | (known[head] != known[order])
+            again[order] = ((number[head] != number[order]) | (text[head] != text[order])
+                            | (doc[head] != doc[order]) | (known[head] != known[order]))
             # a row that is decided needs no group: any key spreads it
-            key = np.where(again, _mix(place.astype(np.uint64) * _STEP + doc.astype(np.uint64)), units.digests)
+            spread = _mix(_mix(text.view(np.uint64) + number.astype(np.uint64)) * _STEP + doc.view(np.uint64))
+            key = np.where(again, spread, units.digests)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(doc, mask=~known), pa.array(place), pa.array(again)],
-                ["digest", "doc_id", "place", "later"])
+                [pa.array(key.view(np.int64)), pa.array(doc, mask=~known), pa.array(number.astype(np.int32)), pa.array(text),
+                 pa.array(again)], ["digest", "doc_id", "unit", "key", "later"])
 
     rows = columns(docs, doc_id="long", text="string").where("text IS NOT NULL")
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, "digest long, doc_id long, place long, later boolean")
+        run, "digest long, doc_id long, unit int, key long, later boolean")
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """doc_id, key and the numbers of the units that occur earlier, for every document that has any."""
     rows = _unit_rows(docs)
-    group = Window.partitionBy("digest", "later").orderBy("doc_id", "place")
+    group = Window.partitionBy("digest", "later").orderBy("doc_id", "unit", "key")
     seen = rows.withColumn("nth", F.rank().over(group))  # equal rows share a rank
-    return seen.where("later OR nth > 1").groupBy(
-        "doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).alias("key")).agg(
-        F.collect_list(F.shiftright("place", 32).cast("int")).alias("units"))
+    return seen.where("later OR nth > 1").groupBy("doc_id", "key").agg(F.collect_list("unit").alias("units"))
 
 
 def _cut(texts: pa.Array, chosen: list, min_words: int) -> tuple[pa.Array, ...]:
@@ -198,6 +198,6 @@ def _with_units(docs: DataFrame, rows: DataFrame) -> DataFrame:
     found = repeated_units(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "units")
     doc, text = (f"c{rows.columns.index(name)}" for name in ("doc_id", "text"))
     rows = rows.withColumn("text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(rows.columns))])
-    key = F.xxhash64(rows[text]).bitwiseAND(0xFFFFFFFF)
+    key = F.xxhash64(rows[text])
     joined = rows.join(found, rows[doc].cast("long").eqNullSafe(found["_id"]) & (key == found["_key"]), "left")
     return joined.drop("_id", "_key")

@@ -192,6 +192,15 @@ def test_repeats_edge_cases(spark):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_whose_hashes_share_32_bits(spark):
+    stock, own = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
+    texts = [stock, f"a189041\n{stock}", f"b29796\n{own}"]  # the last two agree in the low half of their hash
+    docs = frame(spark, [(None, t, "s") for t in texts])
+    assert docs.selectExpr("count(DISTINCT xxhash64(text) & 4294967295)").first()[0] == 2
+    got = {r.text: r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert got[texts[2]] == 0 and sum(got.values()) == 30
+
+
 # ---- mixing ----------------------------------------------------------------
 
 def plain_targets(sizes, share=1.5, weights=(3, 1, 2), repeats=2):
