@@ -97,7 +97,12 @@ def pack_pieces(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BI
     """``found`` (PIECES) with sequence_id and offset."""
     found = stage(found, "packing-pieces")
     groups = max(1, -(-found.count() // group_pieces))
-    keyed = found.withColumn("order", F.xxhash64("doc_id", "piece", "length", "ids_crc32"))
+    # pieces of rows repeated as a whole are equal: their number tells them apart, so that copies spread too
+    copies = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies"))
+    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    own = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    order = F.when(F.col("copy") == 1, own).otherwise(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "copy"))
+    keyed = numbered.select(*found.columns, order.alias("order"))
     keyed = keyed.withColumn("group", F.pmod("order", F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:

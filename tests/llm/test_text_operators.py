@@ -135,6 +135,14 @@ def test_packing(spark, odd, nothing, tokenizer):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_spreads_rows_repeated_as_a_whole(spark):
+    found = spark.range(400).selectExpr("CAST(NULL AS bigint) doc_id", "0 piece", "0L start", "600L length", "7L ids_crc32")
+    packed = packing.pack_pieces(found, group_pieces=40).toPandas()
+    assert len(packed) == 400 and packed.sequence_id.nunique() == 400
+    assert (packed.sequence_id.to_numpy() >> 32).max() == 9
+    assert packed.groupby(packed.sequence_id.to_numpy() >> 32).size().max() < 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=60), st.integers(1, 5))
 def test_best_fit_equals_a_plain_scan(lengths, open_bins):
