@@ -49,7 +49,7 @@ def integers(rows: list, width: int) -> np.ndarray:
         out[i, :len(row)] = row
     out = np.floor(out * SCALE)
     d = max(1, width // PARTS)
-    if out.size and 4 * d * float(np.abs(out).max()) ** 2 >= 2.0 ** 63:
+    if out.size and np.abs(out).max() >= (2.0 ** 61 / d) ** 0.5:
         raise ValueError("a component is too large: squared distances would not fit 64 bits")
     return out.astype(np.int64)
 
