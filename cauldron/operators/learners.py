@@ -1,10 +1,12 @@
-"""Treatment-effect estimation on Spark ML.
-
-Meta-learners are plain Spark ML fits on filtered DataFrames; DML
-cross-fits its nuisances by hash folds and solves the linear final stage
-from one Gram-matrix aggregate (a (p+1)^2 matrix reaches the driver, never
-rows).  Every fitted model scores with ``transform`` as column arithmetic
-or Spark ML prediction, so scoring is a map-only pass.
+"""Treatment-effect estimation.
+
+Boosted bases (``lightgbm``, ``gradient_boosting``) train in shared jobs
+(``boosting``): all fits of a model, and of all variants of it that a
+refutation asks for, read one table and grow together.  Forests and linear
+bases are Spark ML fits on filtered DataFrames.  DML cross-fits its nuisances
+by folds and solves the linear final stage from one Gram-matrix aggregate (a
+(p+1)^2 matrix reaches the driver, never rows).  Every fitted model scores
+with ``transform``, a map-only pass.
 """
 
 from __future__ import annotations
@@ -13,42 +15,44 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_uniform
 from ..schema import FeatureConfig, ModelConfig
 from ..session import run_concurrently, write_stage_table
+from .boosting import BoostedTrees, FitSpec, Growth, fit_all, score_columns
 from .prep import Preprocessor, PreprocessorModel, assemble, heterogeneity_columns, imbalance_warnings
 
 MODEL_TYPES = ("t_learner", "x_learner", "dml")
-LIGHTGBM_LEAF_ROWS = 20
+BOOSTED = ("gradient_boosting", "lightgbm")
+LIGHTGBM_LEAVES, LIGHTGBM_LEAF_ROWS = 31, 20  # that library's defaults
+LOGISTIC_ITERATIONS, LOGISTIC_TOLERANCE = 1000, 1e-6
+TREATMENT = "__treatment__"
+
+
+def growth_of(cfg: ModelConfig) -> Growth:
+    """Boosting parameters (E1): lightgbm grows leaf-wise on second-order gains with that library's defaults;
+    gradient_boosting grows to the depth on least-squares gains and splits nodes of min_samples_split rows or more."""
+    if cfg.base_learner == "lightgbm":
+        return Growth(cfg.n_estimators, cfg.max_depth, LIGHTGBM_LEAVES, cfg.learning_rate, LIGHTGBM_LEAF_ROWS)
+    return Growth(cfg.n_estimators, cfg.max_depth, 2 ** cfg.max_depth, cfg.learning_rate, 1, cfg.min_samples_split, 0.0, False)
 
 
 def base_learner(name: str, kind: str, cfg: ModelConfig, n_rows: int, features: str, label: str, tag: str):
-    """Classifier / regressor factory.
-
-    gradient_boosting (and lightgbm, which plain Spark lacks) -> GBT;
-    random_forest -> RF; anything else -> logistic / ridge with the
-    usual defaults C = 1 and alpha = 1 translated to regParam = 1/n for the n
-    rows of this fit, on unstandardised features.  Splits need >=
-    min_samples_split rows per node; Spark's limit is per child, hence half.
-    The lightgbm name keeps that library's own minimum of 20 rows in a leaf.
-    Forest regressors try all features at a split.
+    """Spark ML classifier / regressor (E1): random_forest, or else logistic / ridge.
+
+    The linear bases have the usual defaults C = 1 and alpha = 1, as
+    regParam = 1/n for the n rows of this fit, on unstandardised features.
+    Forest splits need >= min_samples_split rows per node; Spark's limit is
+    per child, hence half; forest regressors try all features at a split.
     """
     common = dict(featuresCol=features, labelCol=label, predictionCol=f"{tag}_pred")
-    min_child = LIGHTGBM_LEAF_ROWS if name == "lightgbm" else max(1, cfg.min_samples_split // 2)
-    if name in ("gradient_boosting", "lightgbm"):
-        if kind == "classifier":
-            est = GBTClassifier(maxIter=cfg.n_estimators, maxDepth=cfg.max_depth, stepSize=cfg.learning_rate,
-                                minInstancesPerNode=min_child, seed=cfg.seed, **common)
-            return est.setProbabilityCol(f"{tag}_prob").setRawPredictionCol(f"{tag}_raw")
-        return GBTRegressor(maxIter=cfg.n_estimators, maxDepth=cfg.max_depth, stepSize=cfg.learning_rate,
-                            minInstancesPerNode=min_child, seed=cfg.seed, **common)
     if name == "random_forest":
+        min_child = max(1, cfg.min_samples_split // 2)
         if kind == "classifier":
             est = RandomForestClassifier(numTrees=cfg.n_estimators, maxDepth=cfg.max_depth,
                                          minInstancesPerNode=min_child, seed=cfg.seed, **common)
@@ -57,7 +61,8 @@ def base_learner(name: str, kind: str, cfg: ModelConfig, n_rows: int, features:
                                      minInstancesPerNode=min_child, featureSubsetStrategy="all", seed=cfg.seed, **common)
     reg = 1.0 / max(1, n_rows)
     if kind == "classifier":
-        est = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8, **common)
+        est = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ITERATIONS,
+                                 tol=LOGISTIC_TOLERANCE, **common)
         return est.setProbabilityCol(f"{tag}_prob").setRawPredictionCol(f"{tag}_raw")
     return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **common)
 
@@ -83,6 +88,33 @@ class _Fit:
         return _score(self.model, df, self.tag, self.kind, out)
 
 
+@dataclass
+class _Boosted:
+    """A boosted fit; it reads the columns themselves, as standardising changes no split."""
+
+    model: BoostedTrees
+    kind: str
+
+
+def raw_inputs(prep: PreprocessorModel, names, treatment: Column | None = None) -> dict:
+    """Feature name -> Column over unprepared columns."""
+    out = {c: F.col(c) for c in prep.numeric}
+    for c in prep.categorical:
+        out |= {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in prep.categories[c]}
+    if treatment is not None:
+        out[TREATMENT] = treatment
+    return {n: out[n] for n in names}
+
+
+def _apply(df: DataFrame, fits: list, prep: PreprocessorModel) -> DataFrame:
+    """``df`` with a prediction column for each (output name, fit, treatment Column or None); boosted fits share a pass."""
+    boosted = [(out, f.model, raw_inputs(prep, f.model.features, w)) for out, f, w in fits if isinstance(f, _Boosted)]
+    for out, f, _ in fits:
+        if isinstance(f, _Fit):
+            df = f.score(df, out)
+    return score_columns(df, boosted) if boosted else df
+
+
 def _fit(name: str, kind: str, cfg: ModelConfig, df: DataFrame, features: str, label: str, tag: str,
          n_rows: int) -> _Fit:
     est = base_learner(name, kind, cfg, n_rows, features, label, tag)
@@ -105,7 +137,10 @@ class CausalModel:
         prep = prep or Preprocessor(self.features, extra_numeric=self.extra_confounders).fit(df)
         prep.warnings = imbalance_warnings(df, self.features)
         try:
-            fitted = _FITTERS[self.config.model_type](self, df, prep)
+            if self.config.base_learner in BOOSTED:
+                fitted = fit_jointly(df, self.config, self.features, [Variant("model", prep=prep)])["model"]
+            else:
+                fitted = _FITTERS[self.config.model_type](self, df, prep)
             fitted.trained_at = datetime.now(timezone.utc).isoformat(timespec="seconds")
             return fitted
         except Exception:
@@ -128,6 +163,8 @@ class FittedCausalModel:
         self.features = features
 
     def _features(self, df: DataFrame) -> DataFrame:
+        if self.cfg.base_learner in BOOSTED:
+            return df
         x = self.prep.transform(df)
         return assemble(x, self.prep.feature_names, "x_all")
 
@@ -157,7 +194,7 @@ class FittedTLearner(FittedCausalModel):
         self.mu0, self.mu1 = mu0, mu1
 
     def potential_outcomes(self, x: DataFrame) -> DataFrame:
-        return self.mu1.score(self.mu0.score(x, "baseline_probability"), "treatment_probability")
+        return _apply(x, [("baseline_probability", self.mu0, None), ("treatment_probability", self.mu1, None)], self.prep)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.potential_outcomes(self._features(df))
@@ -196,9 +233,9 @@ class FittedXLearner(FittedTLearner):
         self.tau0, self.tau1, self.prop = tau0, tau1, prop
 
     def transform(self, df: DataFrame) -> DataFrame:
-        x = self.potential_outcomes(self._features(df))
-        x = self.tau1.score(self.tau0.score(x, "_tau0"), "_tau1")
-        x = self.prop.score(x, "_e")
+        x = _apply(self._features(df), [
+            ("baseline_probability", self.mu0, None), ("treatment_probability", self.mu1, None),
+            ("_tau0", self.tau0, None), ("_tau1", self.tau1, None), ("_e", self.prop, None)], self.prep)
         x = x.withColumn("ite", F.col("_e") * F.col("_tau0") + (F.lit(1.0) - F.col("_e")) * F.col("_tau1"))
         return _keep(x, df.columns, ["baseline_probability", "treatment_probability", "ite"])
 
@@ -247,6 +284,10 @@ class FittedDML(FittedCausalModel):
         x = self.prep.transform(df)
         x = x.withColumn("ite", self.effect())
         # potential outcomes from the auxiliary classifier with W forced to 0 / 1 (E5)
+        if isinstance(self.outcome, _Boosted):
+            x = _apply(x, [("baseline_probability", self.outcome, F.lit(0.0)),
+                           ("treatment_probability", self.outcome, F.lit(1.0))], self.prep)
+            return _keep(x, df.columns, ["baseline_probability", "treatment_probability", "ite"])
         names = self.prep.feature_names
         x0 = x.withColumn("f___treatment__", F.lit(0.0))
         x0 = assemble(x0, names + ["__treatment__"], "x_wt")
@@ -300,12 +341,16 @@ def gram_solve(df: DataFrame, z_cols: list, y_col: str) -> np.ndarray:
     return theta
 
 
+def _nuisance_names(prep: PreprocessorModel) -> list:
+    """Heterogeneity features and every confounder: all features except the two pure covariates (extras such as noise included)."""
+    conf = [n for n in prep.feature_names if n not in ("age", "tenure_months")]
+    return list(dict.fromkeys(heterogeneity_columns(prep) + conf))
+
+
 def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> FittedDML:
     cfg, f = model.config, model.features
     het = heterogeneity_columns(prep)
-    # confounders: every feature except the two pure covariates (plus extras such as noise)
-    conf = [n for n in prep.feature_names if n not in ("age", "tenure_months")]
-    nuisance = list(dict.fromkeys(het + conf))
+    nuisance = _nuisance_names(prep)
     x = prep.transform(df).withColumn("_w", F.col(f.treatment).cast("int")) \
         .withColumn("_wd", F.col(f.treatment).cast("double")).withColumn("_y", F.col(f.outcome).cast("double"))
     if cfg.stratified_folds:
@@ -344,11 +389,114 @@ def _fit_dml(model: CausalModel, df: DataFrame, prep: PreprocessorModel) -> Fitt
 _FITTERS = {"t_learner": _fit_t, "x_learner": _fit_x, "dml": _fit_dml}
 
 
+# ---------------------------------------------------------------------------
+# boosted bases: all fits of all variants together
+# ---------------------------------------------------------------------------
+@dataclass
+class Variant:
+    """A model on the same rows with something changed: another treatment column, more confounders, or fewer rows."""
+
+    name: str
+    treatment: str | None = None
+    extra: tuple = ()
+    rows: Column | None = None
+    prep: PreprocessorModel | None = None
+
+
+def _prepared(v: Variant, df: DataFrame, features: FeatureConfig) -> PreprocessorModel:
+    return v.prep or Preprocessor(features, extra_numeric=v.extra).fit(df if v.rows is None else df.where(v.rows))
+
+
+def _residual_coefficients(x: DataFrame, scored: DataFrame, key: str, v: str, het: list, prep: PreprocessorModel, folds: int) -> np.ndarray:
+    """The final stage (E4): residual on residual times the heterogeneity features, from held-out nuisances."""
+    fold, rows = F.col(f"_fold_{v}"), scored.where(F.col(f"_in_{v}"))
+    held_out = lambda what: F.coalesce(*[F.when(fold == k, F.col(f"_{what}_{v}_{k}")) for k in range(folds)])
+    rows = prep.transform(rows.withColumn("_yres", F.col("_y") - held_out("my")).withColumn("_tres", F.col(f"_w_{v}") - held_out("mt")))
+    z = [F.col("_tres").alias("_z0")] + [(F.col("_tres") * F.col(f"f_{n}")).alias(f"_z{i + 1}") for i, n in enumerate(het)]
+    return gram_solve(rows.select(*z, "_yres"), [f"_z{i}" for i in range(len(het) + 1)], "_yres")
+
+
+def fit_jointly(df: DataFrame, cfg: ModelConfig, features: FeatureConfig, variants: list[Variant]) -> dict:
+    """Variant name -> fitted model; the boosted fits of all variants grow in the same jobs.
+
+    ``df`` is read once for each variant's preparation and once to write the
+    narrow table that everything else reads.
+    """
+    preps = dict(zip([v.name for v in variants], run_concurrently([lambda v=v: _prepared(v, df, features) for v in variants])))
+    columns = dict.fromkeys(c for p in preps.values() for c in [*p.numeric, *p.categorical])
+    x = df.withColumns({"_y": F.col(features.outcome).cast("double")} | {
+        f"_w_{v.name}": F.col(v.treatment or features.treatment).cast("double") for v in variants} | {
+        f"_in_{v.name}": F.lit(True) if v.rows is None else F.coalesce(v.rows, F.lit(False)) for v in variants})
+    for v in variants if cfg.model_type == "dml" else ():
+        if cfg.stratified_folds:
+            x = stratified_folds(x, features.key, f"_w_{v.name}", cfg.seed, cfg.folds, f"_fold_{v.name}")
+        else:
+            x = x.withColumn(f"_fold_{v.name}", _fold(features.key, cfg.seed, cfg.folds))
+    made = [c for c in x.columns if c == "_y" or c.startswith(("_w_", "_in_", "_fold_")) and c not in df.columns]
+    x = write_stage_table(x.select(features.key, *columns, *made), "features")
+    inputs, specs = {}, []
+    for v in variants:
+        prep, w, seen = preps[v.name], F.col(f"_w_{v.name}"), F.col(f"_in_{v.name}")
+        own = f"{TREATMENT}{v.name}"
+        inputs |= raw_inputs(prep, prep.feature_names) | {own: w}
+        names = tuple(prep.feature_names)
+        spec = lambda what, kind, label, rows, names=names, v=v: specs.append(FitSpec(f"{what}_{v.name}", kind, names, label, rows))
+        if cfg.model_type == "dml":
+            spec("outcome", "classifier", F.col("_y"), seen, names + (own,))
+            for k in range(cfg.folds):
+                rows = seen & (F.col(f"_fold_{v.name}") != k)
+                spec(f"my{k}", "regressor", F.col("_y"), rows, tuple(_nuisance_names(prep)))
+                spec(f"mt{k}", "classifier", w, rows, tuple(_nuisance_names(prep)))
+        else:
+            for arm in (0, 1):
+                spec(f"mu{arm}", "classifier", F.col("_y"), seen & (w == arm))
+            if cfg.model_type == "x_learner":
+                spec("prop", "classifier", w, seen)
+    growth = growth_of(cfg)
+    models = {n: _Boosted(m, m.kind) for n, m in fit_all(x, inputs, specs, growth).items()}
+    for m in models.values():
+        m.model.features = [TREATMENT if f.startswith(TREATMENT) else f for f in m.model.features]
+    if cfg.model_type == "t_learner":
+        return {v.name: FittedTLearner(preps[v.name], cfg, features, models[f"mu0_{v.name}"], models[f"mu1_{v.name}"]) for v in variants}
+    if cfg.model_type == "x_learner":
+        return _finish_x(x, cfg, features, variants, preps, models, inputs, growth)
+    scored = score_columns(x, [(f"_{what}_{v.name}_{k}", models[f"{what}{k}_{v.name}"].model, raw_inputs(preps[v.name], _nuisance_names(preps[v.name])))
+                               for v in variants for k in range(cfg.folds) for what in ("my", "mt")])
+    scored = write_stage_table(scored, "nuisances")
+    het = {v.name: heterogeneity_columns(preps[v.name]) for v in variants}
+    thetas = run_concurrently([lambda v=v: _residual_coefficients(x, scored, features.key, v.name, het[v.name], preps[v.name], cfg.folds)
+                               for v in variants])
+    return {v.name: FittedDML(preps[v.name], cfg, features, het[v.name], theta, models[f"outcome_{v.name}"], _nuisance_names(preps[v.name]))
+            for v, theta in zip(variants, thetas)}
+
+
+def _finish_x(x: DataFrame, cfg, features, variants, preps, models, inputs, growth) -> dict:
+    """The X-learner's second step: effects imputed by the other arm's outcome model, fitted in each arm."""
+    for v in variants:
+        cols = raw_inputs(preps[v.name], preps[v.name].feature_names)
+        x = score_columns(x, [(f"_mu{arm}_{v.name}", models[f"mu{arm}_{v.name}"].model, cols) for arm in (0, 1)])
+    x = write_stage_table(x, "imputed")
+    specs = []
+    for v in variants:
+        w, y = F.col(f"_w_{v.name}"), F.col("_y")
+        for arm, effect in ((0, F.col(f"_mu1_{v.name}") - y), (1, y - F.col(f"_mu0_{v.name}"))):
+            specs.append(FitSpec(f"tau{arm}_{v.name}", "regressor", tuple(preps[v.name].feature_names), effect,
+                                 F.col(f"_in_{v.name}") & (w == arm)))
+    models |= {n: _Boosted(m, m.kind) for n, m in fit_all(x, inputs, specs, growth).items()}
+    part = lambda v, *names: [models[f"{n}_{v.name}"] for n in names]
+    return {v.name: FittedXLearner(preps[v.name], cfg, features, *part(v, "mu0", "mu1", "tau0", "tau1", "prop")) for v in variants}
+
+
 def propensity(df: DataFrame, cfg: ModelConfig = ModelConfig(), features: FeatureConfig = FeatureConfig()) -> DataFrame:
     """P(W = 1 | x) as column ``propensity``."""
     prep = Preprocessor(features).fit(df)
-    x = assemble(prep.transform(df), prep.feature_names, "x_all") \
-        .withColumn("_wd", F.col(features.treatment).cast("double"))
-    n = x.count()
-    m = _fit(cfg.base_learner, "classifier", cfg, x, "x_all", "_wd", "ps", n)
+    names = prep.feature_names
+    if cfg.base_learner in BOOSTED:
+        w = F.col(features.treatment).cast("double")
+        x = write_stage_table(df.select(*dict.fromkeys([*prep.numeric, *prep.categorical, features.treatment])), "propensity")
+        model = fit_all(x, raw_inputs(prep, names), [FitSpec("ps", "classifier", tuple(names), w)], growth_of(cfg))["ps"]
+        return score_columns(df, [("propensity", model, raw_inputs(prep, names))])
+    x = assemble(prep.transform(df), names, "x_all").withColumn("_wd", F.col(features.treatment).cast("double"))
+    narrow = write_stage_table(x.select("x_all", "_wd"), "propensity")
+    m = _fit(cfg.base_learner, "classifier", cfg, narrow, "x_all", "_wd", "ps", narrow.count())
     return _keep(m.score(x, "propensity"), df.columns, ["propensity"])

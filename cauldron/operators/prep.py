@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_normal, hash_uniform
@@ -114,8 +114,8 @@ def add_noise_feature(df: DataFrame, key: str = "customer_id", seed: int = 42, o
 
 
 def permute_treatment(df: DataFrame, treatment_col: str = "treatment_received", key: str = "customer_id",
-                      seed: int = 42) -> DataFrame:
-    """Shuffle the treatment over rows, keeping its counts exactly (F8).
+                      seed: int = 42, out: str | None = None) -> DataFrame:
+    """Shuffle the treatment over rows, keeping its counts exactly (F8); into column ``out``, by default in place.
 
     Rows are ranked by two independent hashes; the row at rank r under the
     first order takes the treatment of the row at rank r under the second.
@@ -127,13 +127,19 @@ def permute_treatment(df: DataFrame, treatment_col: str = "treatment_received",
     b = df.select(F.col(key).alias("_src"), F.col(treatment_col).alias("_w"),
                   hash_uniform(key, seed, "perm2").alias("_h2"))
     r2 = global_rank(b, "_h2", "_src", desc=False, rank="_r").select("_r", "_w")
-    out = r1.join(r2, "_r", "inner")
-    return out.select(*[F.col("_w").alias(c) if c == treatment_col else F.col(c) for c in df.columns])
+    both = r1.join(r2, "_r", "inner")
+    if out:
+        return both.select(*df.columns, F.col("_w").alias(out))
+    return both.select(*[F.col("_w").alias(c) if c == treatment_col else F.col(c) for c in df.columns])
+
+
+def subset_condition(key: str = "customer_id", seed: int = 42, fraction: float = 0.8) -> Column:
+    return hash_uniform(key, seed, "subset") < F.lit(fraction)
 
 
 def subset_rows(df: DataFrame, key: str = "customer_id", seed: int = 42, fraction: float = 0.8) -> DataFrame:
     """About ``fraction`` of the rows by hash."""
-    return df.where(hash_uniform(key, seed, "subset") < F.lit(fraction))
+    return df.where(subset_condition(key, seed, fraction))
 
 
 def imbalance_warnings(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> list:

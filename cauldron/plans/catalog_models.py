@@ -106,6 +106,7 @@ register("t_learner", None)(_effects("t_learner", "linear"))
 register("x_learner", None)(_effects("x_learner", "linear"))
 register("dml", None)(_effects("dml", "linear"))
 register("dml_gradient_boosting", None)(_effects("dml", "gradient_boosting"))
+register("dml_lightgbm", None)(_effects("dml", "lightgbm"))
 register("t_learner_random_forest", None)(_effects("t_learner", "random_forest"))
 
 
@@ -122,7 +123,7 @@ def q_refutation_report(spark, d):
 
 @register("compare_models", None)
 def q_compare_models(spark, d):
-    return rf.compare_models(derived.customers(spark, d), cfg=ModelConfig())
+    return rf.compare_models(derived.customers(spark, d))
 
 
 @register("run_pipeline", None)

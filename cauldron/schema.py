@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -21,8 +21,6 @@ REQUIRED_COLUMNS = (
     "true_treatment_probability",
 )
 OPTIONAL_COLUMNS = ("campaign_id",)
-UPLIFT_SEGMENTS = ("persuadable", "sleeping dog", "sure thing", "lost cause")
-CUSTOMER_SEGMENTS = ("budget", "standard", "premium", "vip")
 SCENARIO_BUDGETS = (25000, 50000, 100000, 250000, 500000, 1000000, 2500000)
 HETEROGENEITY_NUMERIC = (
     "age", "tenure_months", "previous_campaign_response", "website_visits",
@@ -63,38 +61,6 @@ CUSTOMER_SCHEMA = T.StructType(
 )
 """Explicit schema for file sources (never inferred)."""
 
-CAMPAIGN_SCHEMA = T.StructType([
-    T.StructField("campaign_id", T.IntegerType(), False),
-    T.StructField("campaign_name", T.StringType(), False),
-    T.StructField("description", T.StringType(), True),
-    T.StructField("starts_at", T.TimestampType(), True),
-    T.StructField("ends_at", T.TimestampType(), True),
-    T.StructField("default_discount_percentage", T.DoubleType(), True),
-    T.StructField("created_at", T.TimestampType(), True),
-])
-
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("customer_id", T.LongType(), False),
-    T.StructField("model_run_id", T.IntegerType(), False),
-    T.StructField("baseline_probability", T.DoubleType(), False),
-    T.StructField("treatment_probability", T.DoubleType(), False),
-    T.StructField("ite", T.DoubleType(), False),
-    T.StructField("created_at", T.TimestampType(), True),
-])
-
-RECOMMENDATION_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("customer_id", T.LongType(), False),
-    T.StructField("campaign_id", T.IntegerType(), True),
-    T.StructField("model_run_id", T.IntegerType(), True),
-    T.StructField("predicted_ite", T.DoubleType(), False),
-    T.StructField("recommended_discount", T.DoubleType(), False),
-    T.StructField("expected_profit", T.DoubleType(), False),
-    T.StructField("expected_cost", T.DoubleType(), False),
-    T.StructField("created_at", T.TimestampType(), True),
-])
-
 
 @dataclass(frozen=True)
 class FeatureConfig:
@@ -128,7 +94,7 @@ class ModelConfig:
     """Effect-model choice (the reference's ``model`` block)."""
 
     model_type: str = "dml"  # t_learner | x_learner | dml
-    base_learner: str = "gradient_boosting"  # gradient_boosting | random_forest | lightgbm | linear
+    base_learner: str = "lightgbm"  # lightgbm | gradient_boosting | random_forest | linear
     seed: int = 42
     n_estimators: int = 100
     max_depth: int = 4
@@ -136,4 +102,7 @@ class ModelConfig:
     learning_rate: float = 0.1
     folds: int = 2
     stratified_folds: bool = False  # exact per-arm balance (one ranked pass) vs hash folds (no shuffle)
-    hyperparams: dict = field(default_factory=dict)
+
+
+#: The model that the configured one is compared with.
+BASELINE_MODEL = ModelConfig(model_type="t_learner", base_learner="gradient_boosting")

@@ -8,6 +8,7 @@ written, and a failing check raises with the check name.
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -238,43 +239,74 @@ def import_run(predictions: DataFrame, customers: DataFrame, root: str, run_id:
         df.write.mode("overwrite").parquet(f"{root}/{table}/model_run_id={run_id}")
 
 
-def _not_finite(kind: T.DataType, c: Column) -> Column | None:
-    """Whether a value holds NaN or infinity at any depth; None if its type can't."""
+def _not_finite(kind: T.DataType, c: Column, path: Column) -> Column | None:
+    """The place (as body[3].a) of the first NaN or infinity in a value, NULL without one; None if its type can't hold any."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), path)
     if isinstance(kind, T.StructType):
-        parts = [x for f in kind.fields if (x := _not_finite(f.dataType, c[f.name])) is not None]
-        return reduce(lambda a, b: a | b, parts) if parts else None
+        parts = [x for f in kind.fields
+                 if (x := _not_finite(f.dataType, c.getField(f.name), F.concat(path, F.lit("." + f.name)))) is not None]
+        return F.coalesce(*parts) if parts else None
     if isinstance(kind, T.ArrayType):
-        probe = _not_finite(kind.elementType, F.lit(None).cast(kind.elementType))
-        return None if probe is None else F.coalesce(F.exists(c, lambda x: _not_finite(kind.elementType, x)), F.lit(False))
+        if _not_finite(kind.elementType, F.lit(None).cast(kind.elementType), path) is None:
+            return None
+        places = F.transform(c, lambda x, i: _not_finite(kind.elementType, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.get(F.filter(places, lambda x: x.isNotNull()), F.lit(0))
     if isinstance(kind, T.MapType):
-        return _not_finite(T.ArrayType(kind.valueType), F.map_values(c))
+        if _not_finite(kind.valueType, F.lit(None).cast(kind.valueType), path) is None:
+            return None
+        places = F.transform(F.map_entries(c), lambda e: _not_finite(
+            kind.valueType, e["value"], F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))))
+        return F.get(F.filter(places, lambda x: x.isNotNull()), F.lit(0))
     return None
 
 
+def _first_not_finite(df: DataFrame) -> Column | None:
+    places = [x for f in df.schema.fields if (x := _not_finite(f.dataType, F.col(f"`{f.name}`"), F.lit(f.name))) is not None]
+    return F.coalesce(*places) if places else None
+
+
+_NOT_FINITE = "a report value is not finite: "
+
+
+def _finite(df: DataFrame, key: str | None) -> DataFrame:
+    """``df`` as it is; a row with a value that is not finite stops the job that reads it and names the place."""
+    place = _first_not_finite(df)
+    if place is None:
+        return df
+    owner = F.concat(F.lit(f" ({key} "), F.col(key).cast("string"), F.lit(")")) if key else F.lit("")
+    return df.where(F.assert_true(place.isNull(), F.concat(F.lit(_NOT_FINITE), place, owner)).isNull())
+
+
 def check_report_finite(df: DataFrame, key: str | None = None) -> None:
     """Refuse NaN or infinity anywhere in a report, nested values included, naming the place."""
-    bad = {f.name: x for f in df.schema.fields if (x := _not_finite(f.dataType, F.col(f.name))) is not None}
-    if not bad:
+    place = _first_not_finite(df)
+    if place is None:
         return
-    places = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in bad.items()]))
-    hit = df.select((F.col(key) if key else F.lit(None)).alias("k"), places.alias("at")).where(F.size("at") > 0).first()
+    hit = df.select((F.col(key) if key else F.lit(None)).alias("k"), place.alias("at")).where(F.col("at").isNotNull()).first()
     if hit:
-        raise ValueError(f"a report value is not finite: {hit['at'][0]}" + (f" ({key} {hit['k']})" if key else ""))
+        raise ValueError(f"{_NOT_FINITE}{hit['at']}" + (f" ({key} {hit['k']})" if key else ""))
 
 
 def write_report(df: DataFrame, path: str, key: str | None = None) -> None:
-    """Finite check, then a JSON write."""
-    check_report_finite(df, key)
-    df.write.mode("overwrite").json(path)
+    """One JSON write that refuses values that are not finite (S13); nothing is stored then."""
+    try:
+        _finite(df, key).write.mode("overwrite").json(path)
+    except Exception as failed:
+        found = re.search(re.escape(_NOT_FINITE) + r"[^\n]*?(?= SQLSTATE|\n|$)", str(failed))
+        if not found:
+            raise
+        raise ValueError(found[0].strip()) from failed
 
 
 def update_run_metrics(runs: DataFrame, run_id: int, metrics: dict) -> DataFrame:
-    """Merge metrics into the run record's ``metrics`` map."""
+    """Merge metrics into the run record's ``metrics`` map, a metric named again with its new value."""
+    if not metrics:
+        return runs
     m = F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k), F.lit(float(v)))])
-    return runs.withColumn("metrics", F.when(F.col("id") == run_id, F.map_concat(
-        F.coalesce(F.col("metrics"), F.create_map().cast("map<string,double>")), m)).otherwise(F.col("metrics")))
+    old = F.coalesce(F.col("metrics"), F.create_map().cast("map<string,double>"))
+    kept = F.map_filter(old, lambda k, _: ~k.isin(*metrics))
+    return runs.withColumn("metrics", F.when(F.col("id") == run_id, F.map_concat(kept, m)).otherwise(F.col("metrics")))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -292,16 +324,41 @@ def dataset_manifest(tables: dict) -> DataFrame:
     return out
 
 
+def stored_manifest(spark: SparkSession, folders: dict) -> DataFrame:
+    """(table, files, bytes, sha256) of folders as they are stored.
+
+    ``sha256`` is over the sorted lines "path size digest" of the folder's
+    data files, so a changed, added, lost or renamed file shows. Files are
+    read whole, one a row: they have to stay below Spark's binary-file limit.
+    """
+    out = None
+    for name, folder in folders.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        inside = F.substring_index(F.col("path"), folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+        line = files.select("length", F.concat_ws(" ", inside, F.col("length").cast("string"), F.sha2("content", 256)).alias("line"))
+        row = line.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+                       F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("sha256"))
+        row = row.select(F.lit(name).alias("table"), "files", "bytes", "sha256")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def save_model(fitted, path: str, spark: SparkSession | None = None) -> None:
     """Persist a fitted effect model: Spark ML parts with their writers, the
     rest (preprocessing state, coefficients, metadata) as one JSON record (S14)."""
     import numpy as np
 
+    from ..operators import learners as ln
+
     spark = spark or SparkSession.getActiveSession()  # a worker thread has no active one
     parts = {}
     for name in ("mu0", "mu1", "tau0", "tau1", "prop", "outcome"):
         part = getattr(fitted, name, None)
-        if part is not None:
+        if isinstance(part, ln._Boosted):
+            spark.createDataFrame([(json.dumps(part.model.as_dict()),)], "model string").coalesce(1) \
+                 .write.mode("overwrite").text(f"{path}/{name}")
+            parts[name] = {"boosted": True}
+        elif part is not None:
             part.model.write().overwrite().save(f"{path}/{name}")
             parts[name] = {"tag": part.tag, "kind": part.kind, "cls": type(part.model).__module__ + "." + type(part.model).__name__}
     meta = {
@@ -324,6 +381,7 @@ def load_model(spark: SparkSession, path: str):
     import numpy as np
 
     from ..operators import learners as ln
+    from ..operators.boosting import BoostedTrees
     from ..operators.prep import PreprocessorModel
     from ..schema import FeatureConfig, ModelConfig
 
@@ -333,6 +391,10 @@ def load_model(spark: SparkSession, path: str):
     feats = FeatureConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["features"].items()})
     parts = {}
     for name, info in meta["parts"].items():
+        if info.get("boosted"):
+            model = BoostedTrees.from_dict(json.loads(spark.read.text(f"{path}/{name}").first()[0]))
+            parts[name] = ln._Boosted(model, model.kind)
+            continue
         mod, cls = info["cls"].rsplit(".", 1)
         model = getattr(importlib.import_module(mod), cls).load(f"{path}/{name}")
         parts[name] = ln._Fit(model, info["tag"], info["kind"])

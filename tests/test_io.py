@@ -164,11 +164,23 @@ def test_write_report_refuses_non_finite(spark):
     with pytest.raises(ValueError, match="roi .customer_id 2"):
         sio.write_report(df, tempfile.mkdtemp() + "/r", key="customer_id")
     deep = spark.range(1).select(F.struct(F.array(F.struct(F.lit(float("inf")).alias("x"))).alias("rows")).alias("doc"))
-    with pytest.raises(ValueError, match="doc"):
-        sio.check_report_finite(deep)
+    for refuse in (sio.check_report_finite, lambda d: sio.write_report(d, tempfile.mkdtemp() + "/r")):
+        with pytest.raises(ValueError, match=r"finite: doc.rows\[0\].x$"):
+            refuse(deep)
+    places = spark.createDataFrame([({"k": [{"a": [1.0, float("nan")]}]},)], "body map<string,array<struct<a:array<double>>>>")
+    with pytest.raises(ValueError, match=r"body\[k\]\[0\].a\[1\]"):
+        sio.check_report_finite(places)
     sio.check_report_finite(spark.range(1).select(F.struct(F.array(F.struct(F.lit(1.0).alias("x"))).alias("rows")).alias("doc")))
 
 
+def test_metrics_merge_again_and_again(spark):
+    runs = spark.createDataFrame([(1, {"mae": 1.0}), (2, None)], "id int, metrics map<string,double>")
+    once = sio.update_run_metrics(runs, 1, {"mae": 2.0, "rmse": 3.0})
+    twice = sio.update_run_metrics(sio.update_run_metrics(once, 1, {"rmse": 4.0, "auuc": 5.0}), 2, {"mae": 6.0})
+    assert {r.id: r.metrics for r in sio.update_run_metrics(twice, 2, {}).collect()} == {
+        1: {"mae": 2.0, "rmse": 4.0, "auuc": 5.0}, 2: {"mae": 6.0}}
+
+
 def test_pipeline_keeps_earlier_runs_and_refuses_repeated_ids(spark, customers):
     from cauldron.plans.pipeline import run_pipeline
 
@@ -179,8 +191,20 @@ def test_pipeline_keeps_earlier_runs_and_refuses_repeated_ids(spark, customers):
     assert predictions.groupBy("model_run_id").count().where(f"count = {customers.count()}").count() == 2
     record = json.loads(spark.read.json(f"{out}/run_records/model_run_id=2").first().metadata)
     assert record["trained_at"] and isinstance(record["warnings"], list)
-    manifest = {r["table"]: r["rows"] for r in spark.read.json(f"{out}/manifest/model_run_id=2").collect()}
-    assert manifest["predictions"] == customers.count() and manifest["causal_summary"] == 1
+    manifest = {r["table"]: r for r in spark.read.json(f"{out}/manifest/model_run_id=2").collect()}
+    folder = f"{out}/predictions/model_run_id=2"
+    files = [f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("part-")]
+    assert manifest["predictions"].files == len(files) and manifest["predictions"].bytes == sum(map(os.path.getsize, files))
+    again = sio.stored_manifest(spark, {"predictions": folder}).first()
+    assert again.sha256 == manifest["predictions"].sha256
+    with open(files[0], "r+b") as f:  # one changed byte is found
+        byte = f.read(1)
+        f.seek(0)
+        f.write(bytes([byte[0] ^ 1]))
+    for crc in os.listdir(folder):
+        if crc.endswith(".crc"):
+            os.remove(f"{folder}/{crc}")
+    assert sio.stored_manifest(spark, {"predictions": folder}).first().sha256 != again.sha256
     assert sio.load_model(spark, f"{out}/models/model_run_id=2").metadata()["trained_at"] == record["trained_at"]
     with pytest.raises(ValueError, match="stored already"):
         run_pipeline(customers, cfg, run_id=2, refute=False, out_dir=out)
@@ -196,10 +220,11 @@ def test_imbalance_is_kept_with_the_model(spark, customers):
     assert len(fitted.metadata()["warnings"]) == 1
 
 
-def test_model_round_trip(spark, customers):
+@pytest.mark.parametrize("base", ["linear", "lightgbm"])
+def test_model_round_trip(spark, customers, base):
     from cauldron.operators.learners import CausalModel
 
-    fitted = CausalModel(ModelConfig(model_type="dml", base_learner="linear")).fit(customers)
+    fitted = CausalModel(ModelConfig(model_type="dml", base_learner=base, n_estimators=5)).fit(customers)
     path = tempfile.mkdtemp() + "/m"
     sio.save_model(fitted, path)
     loaded = sio.load_model(spark, path)

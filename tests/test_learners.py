@@ -88,3 +88,30 @@ def test_stratified_folds_are_exact(effect_frame):
 def test_dml_with_stratified_folds(effect_frame):
     fit = CausalModel(ModelConfig(model_type="dml", base_learner="linear", stratified_folds=True), FEATS).fit(effect_frame)
     assert abs(fit.transform(effect_frame).agg(F.avg("ite")).first()[0] - 0.1) < 0.04
+
+
+def test_joint_fits_equal_single_fits(effect_frame):
+    """Fits that grow together with others' give the model that they give alone."""
+    from cauldron.operators.learners import Variant, fit_jointly
+
+    cfg = ModelConfig(n_estimators=8)
+    half = F.col("id") % 2 == 0
+    both = fit_jointly(effect_frame, cfg, FEATS, [Variant("all"), Variant("half", rows=half)])
+    for name, rows in (("all", effect_frame), ("half", effect_frame.where(half))):
+        alone = CausalModel(cfg, FEATS).fit(rows)
+        a, b = (m.transform(rows).agg(F.avg("ite"), F.avg("treatment_probability")).first() for m in (both[name], alone))
+        # bins are quantiles of all rows, so the half's own fit differs a little
+        assert list(a) == pytest.approx(list(b), abs=1e-9 if name == "all" else 0.02)
+
+
+def test_boosted_refits_share_their_jobs(effect_frame, monkeypatch):
+    """One call of fit_all trains the original and its three refits."""
+    from cauldron.operators import learners
+    from cauldron.operators.refute import fit_with_refits
+
+    calls, fit_all = [], learners.fit_all
+    monkeypatch.setattr(learners, "fit_all", lambda df, inputs, specs, growth: calls.append(len(specs)) or fit_all(df, inputs, specs, growth))
+    fitted, means = fit_with_refits(effect_frame, ModelConfig(n_estimators=5), FEATS)
+    assert calls == [20]  # four models of an outcome fit and two nuisances a fold
+    assert abs(fitted.transform(effect_frame).agg(F.avg("ite")).first()[0] - 0.1) < 0.06
+    assert abs(means["placebo"]) < 0.06 and abs(means["noisy"] - 0.1) < 0.06 and abs(means["subset"] - 0.1) < 0.06
