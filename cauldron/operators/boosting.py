@@ -38,7 +38,7 @@ QUANTILE_ACCURACY = 10_000
 TASK_ROWS = 8_192  # a task is not worth its start below this
 CHUNK_ROWS = 65_536
 FAN_IN = 32
-GROUPS = 2  # chains of jobs that overlap
+GROUPS = 3  # chains of jobs that overlap
 STORE_BYTES = 256 << 20  # running scores and bins a worker keeps
 LEAST_GAIN = 1e-9
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import MONEY
-from .allocate import greedy_order
+from .allocate import greedy_prefixes
 from .ordered import latest_per_key
 
 
@@ -43,15 +42,14 @@ def latest_recommendation(recommendations: DataFrame, key: str = "customer_id")
 def recommendations_table(scored: DataFrame, runs: dict) -> DataFrame:
     """Recommendation rows of several greedy runs: ``runs`` maps run id -> (budget, created_at).
 
-    The order is the same for all runs, so one ranked pass serves them; each
-    run keeps the rows whose running cost is within its budget.
+    The order is the same for all runs, so one search finds where each budget
+    ends; a row then appears once for each run that buys it.
     """
-    ranked = greedy_order(scored)
-    every = F.array(*[F.struct(
-        F.lit(run).alias("model_run_id"), F.lit(repr(float(budget))).cast(MONEY).alias("budget"),
-        F.expr(f"TIMESTAMP_NTZ '{created}'").alias("created_at")) for run, (budget, created) in sorted(runs.items())])
-    bought = F.filter(every, lambda r: F.col("_cum_cost") <= r["budget"])
-    rows = ranked.select("*", F.explode(bought).alias("run"))
+    order = sorted(runs.items())
+    cand, bought = greedy_prefixes(scored, [budget for _, (budget, _) in order])
+    every = F.array(*[F.when(inside, F.struct(F.lit(run).alias("model_run_id"), F.expr(f"TIMESTAMP_NTZ '{created}'").alias("created_at")))
+                      for (run, (_, created)), inside in zip(order, bought)])
+    rows = cand.select("*", F.explode(F.array_compact(every)).alias("run"))
     return rows.select(
         (F.col("customer_id") * 2 + (F.col("run.model_run_id") - 1)).alias("id"),
         "customer_id", "campaign_id", F.col("run.model_run_id").alias("model_run_id"),

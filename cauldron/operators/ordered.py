@@ -150,17 +150,16 @@ def global_rank(df: DataFrame, key: str, tie: str, *, desc: bool = True, rank: s
 def exact_median(df: DataFrame, col: str, tie: str, *, alias: str | None = None) -> DataFrame:
     """Exact median (mean of the two middle values for an even count) as a one-row frame.
 
-    Uses the distributed rank, so no single task holds the column.  An empty
+    The middle rows come from weighted selection with weight 1.  An empty
     input gives one row with NULL.
     """
+    from .selection import ascending, weighted_cuts
+
     alias = alias or f"median_{col}"
-    base = df.select(col, tie).where(F.col(col).isNotNull())
-    ranked = global_rank(base, col, tie, desc=False, rank="_r")
-    n = base.select(F.count(F.lit(1)).alias("n")).scalar()
-    lo = F.floor((n + 1) / 2)
-    hi = F.floor((n + 2) / 2)
-    mid = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
-    return mid.agg(F.avg(col).alias(alias))
+    rows = df.select(col, tie).where(F.col(col).isNotNull())
+    cuts, _ = weighted_cuts(rows, [ascending(F.col(col)), F.col(tie)], F.lit(1), lambda n, _: [(n + 1) // 2 - 1, (n + 2) // 2 - 1])
+    middle = sum(c.key[0] for c in cuts) / 2 if all(cuts) else None
+    return df.sparkSession.range(1).select(F.lit(middle).cast("double").alias(alias))
 
 
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str]) -> DataFrame:

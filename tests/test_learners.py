@@ -111,7 +111,7 @@ def test_boosted_refits_share_their_jobs(effect_frame, monkeypatch):
 
     calls, fit_all = [], learners.fit_all
     monkeypatch.setattr(learners, "fit_all", lambda df, inputs, specs, growth: calls.append(len(specs)) or fit_all(df, inputs, specs, growth))
-    fitted, means = fit_with_refits(effect_frame, ModelConfig(n_estimators=5), FEATS)
+    fitted, means = fit_with_refits(effect_frame, ModelConfig(n_estimators=20), FEATS)
     assert calls == [20]  # four models of an outcome fit and two nuisances a fold
     assert abs(fitted.transform(effect_frame).agg(F.avg("ite")).first()[0] - 0.1) < 0.06
     assert abs(means["placebo"]) < 0.06 and abs(means["noisy"] - 0.1) < 0.06 and abs(means["subset"] - 0.1) < 0.06
