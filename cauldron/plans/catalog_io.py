@@ -139,9 +139,9 @@ def q_import_run(spark, d):
         run(2, "second", FLAGSHIP_BUDGET, replace=True)
     else:
         raise AssertionError("a stored run was imported again")
-    chosen = spark.read.parquet(f"{root}/recommendations").drop("ite")
+    chosen = sio.read_run_table(spark, root, "recommendations").drop("ite")
     names = sio.read_runs(spark, root).select("model_run_id", "name")
-    return spark.read.parquet(f"{root}/predictions").join(chosen, ["model_run_id", "customer_id"], "left") \
+    return sio.read_run_table(spark, root, "predictions").join(chosen, ["model_run_id", "customer_id"], "left") \
         .join(names, "model_run_id")
 
 

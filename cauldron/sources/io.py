@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality as qa
+from . import snapshots
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS, OPTIONAL_COLUMNS, REQUIRED_COLUMNS
 
 _CONTRACT = tuple(f.name for f in CUSTOMER_SCHEMA.fields)
@@ -201,15 +202,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
+def read_runs(spark: SparkSession, root: str) -> DataFrame | None:
+    """The run records (name, budget, model_run_id) under ``root``; None before the first run."""
+    return read_run_table(spark, root, "runs")
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame | None:
-    """The run records (id, name, budget) under ``root``; None before the first run."""
-    path = f"{root.rstrip('/')}/runs"
-    return spark.read.schema("name string, budget double, model_run_id int").parquet(path) if exists(spark, path) else None
+def read_run_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """``predictions``, ``recommendations`` or ``runs`` of all stored runs, as one commit has them; None without rows."""
+    return snapshots.read(spark, root, table)
 
 
 def import_run(predictions: DataFrame, customers: DataFrame, root: str, run_id: int, name: str, budget: float,
@@ -218,25 +218,28 @@ def import_run(predictions: DataFrame, customers: DataFrame, root: str, run_id:
 
     ``customers`` has the money columns. Tables are partitioned by run. An id
     or a name that is already there is refused; with ``replace`` the runs of
-    that name go first, all their rows with them.
+    that name go. Everything is computed and written aside before one commit
+    changes what readers see: a failure leaves the stored runs as they were.
     """
     from ..operators.allocate import allocate_greedy
 
     spark, root = predictions.sparkSession, root.rstrip("/")
-    runs = read_runs(spark, root)
+    seen = snapshots.current(spark, root)
+    runs = snapshots.read(spark, root, "runs", seen)
     known = {r.model_run_id: r.name for r in runs.collect()} if runs is not None else {}
     named = [i for i, n in known.items() if n == name]
     if (named and not replace) or (run_id in known and known[run_id] != name):
         raise ValueError(f"run {run_id} ({name!r}) is stored already")
-    for old in named:
-        for table in ("predictions", "recommendations", "runs"):
-            remove(spark, f"{root}/{table}/model_run_id={old}")
     chosen = allocate_greedy(customers.join(predictions.select("customer_id", "ite"), "customer_id"), budget)
     chosen = chosen.where("selected = 1").select("customer_id", "ite", "expected_profit", "expected_cost")
     record = spark.createDataFrame([(name, float(budget))], "name string, budget double")
-    # the record comes last: a run that broke off is not listed
-    for table, df in (("predictions", predictions), ("recommendations", chosen), ("runs", record)):
-        df.write.mode("overwrite").parquet(f"{root}/{table}/model_run_id={run_id}")
+    tables = {"predictions": predictions, "recommendations": chosen, "runs": record}
+    changes: dict = {f"{table}/model_run_id={old}": None for table in tables for old in named}
+    for table, df in tables.items():
+        part = f"{table}/model_run_id={run_id}"
+        changes[part] = snapshots.new_folder(part)
+        df.write.parquet(f"{root}/{changes[part]}")
+    snapshots.commit(spark, root, changes, seen)
 
 
 def _not_finite(kind: T.DataType, c: Column, path: Column) -> Column | None:

@@ -142,7 +142,7 @@ def test_runs_are_kept_refused_and_replaced(spark):
             sio.import_run(p, money, root, run_id, name, 1.0)
 
     def stored(table):
-        return {r.model_run_id: r["count"] for r in spark.read.parquet(f"{root}/{table}").groupBy("model_run_id").count().collect()}
+        return {r.model_run_id: r["count"] for r in sio.read_run_table(spark, root, table).groupBy("model_run_id").count().collect()}
 
     assert stored("predictions") == {1: 10, 2: 5} and stored("recommendations") == {1: 4, 2: 4}
     sio.import_run(p.limit(2), money, root, 2, "b", 0.0, replace=True)  # an empty selection clears the old one
