@@ -326,6 +326,21 @@ def test_top_k_equals_all_products(spark, monkeypatch):
     assert [r.vec_id for r in few] == [r[2] for r in plain_top(vectors[:4], {0})]
 
 
+def test_every_query_row_has_its_own_list(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=4).round(3).tolist()) for i in range(30)]
+    rows += [(0, rows[0][1]), (0, rnd.normal(size=4).tolist()), (7, rows[7][1])]  # a copy, another vector of that id, a copy
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    data = [(i, np.floor(np.array(v) * 1024).astype(int)) for i, v in rows]
+    want = []
+    for q, v in (data[j] for j in (0, 30, 31, 7, 32)):
+        best = sorted((-int(v @ c), i) for i, c in data if i != q)[:4]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for how in ({}, {"shard_rows": 5, "query_block": 2}):
+        got = topk.top_k(df, df.where("vec_id IN (0, 7)"), 4, **how).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_threshold_stops_early():
     rnd = np.random.default_rng(2)
     rows = np.floor(rnd.normal(size=(5000, 3)) * 1024)
