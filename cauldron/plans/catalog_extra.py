@@ -15,6 +15,7 @@ from ..schema import CUSTOMER_SCHEMA, SCENARIO_BUDGETS, ModelConfig
 from ..session import scratch_dir
 from ..sources import derived
 from ..sources import io as sio
+from ..sources import snapshots
 from .catalog_allocation import _scenario_sql
 from .catalog_views import _AREAS, _ERR, _SEG025
 from .registry import stable_scored, FLAGSHIP_BUDGET, W, register, rounded
@@ -84,9 +85,9 @@ def q_replace_customers(spark, d):
     """Truncate-and-load: a first load is fully replaced by the second."""
     path = scratch_dir(spark, "replace")
     c = derived.customers(spark, d)
-    sio.write_table(c.where(F.col("treatment_received") == 1), path, mode="overwrite")
-    sio.write_table(c, path, mode="overwrite")
-    return sio.scan_customers_table(spark, path)
+    snapshots.replace_table(c.where(F.col("treatment_received") == 1), path)
+    snapshots.replace_table(c, path)
+    return snapshots.read(spark, path, "rows")
 
 
 @register("export_query", W("customers") + """

@@ -14,6 +14,7 @@ from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS
 from ..session import scratch_dir
 from ..sources import derived
 from ..sources import io as sio
+from ..sources import snapshots
 from ..streaming import stream as st
 from .catalog_views import _SEG025
 from .registry import FLAGSHIP_BUDGET, SMALL_BUDGET, W, register, rounded, stable_customers, stable_scored
@@ -28,6 +29,19 @@ def q_scan_customers_csv(spark, d):
     return sio.scan_customers_csv(spark, path)
 
 
+@register("faulty_rows", W("customers") + """
+SELECT customer_id, CASE WHEN customer_id % 97 = 0 THEN 'age' ELSE 'customer_segment' END AS "column" FROM customers
+WHERE customer_id % 97 = 0 OR customer_id % 89 = 0""")
+def q_faulty_rows(spark, d):
+    """Every row of a load that has a cell missing, found by file and line (V3)."""
+    path = scratch_dir(spark, "faulty-csv")
+    gaps = {"age": F.col("customer_id") % 97 == 0, "customer_segment": (F.col("customer_id") % 89 == 0) & (F.col("customer_id") % 97 != 0)}
+    c = derived.customers(spark, d)
+    sio.export_customers(c.select(*[F.when(~gaps[n], F.col(n)).alias(n) if n in gaps else F.col(n) for n in c.columns]), path, "csv")
+    return sio.faulty_rows(spark, path).where("line > 1 AND size(columns) = 1").select(
+        F.col("customer_id").cast("bigint").alias("customer_id"), F.col("columns")[0].alias("column"))
+
+
 @register("scan_customers_json", W("customers") + "SELECT * FROM customers")
 def q_scan_customers_json(spark, d):
     path = scratch_dir(spark, "customers-json")
@@ -83,6 +97,16 @@ def q_upsert_customers(spark, d):
     return sio.upsert(c, _incoming(c)).select(*_COLS)
 
 
+@register("upsert_stored", _UPSERT_SQL)
+def q_upsert_stored(spark, d):
+    """The upsert on a stored table in hash buckets: the batch's buckets only are written anew."""
+    root = scratch_dir(spark, "bucketed")
+    c = stable_customers(spark, d)
+    for batch in (c, _incoming(c)):
+        snapshots.upsert_table(batch, root, buckets=32)
+    return snapshots.read_upserted(spark, root).select(*_COLS)
+
+
 @register("stream_upsert_customers", _UPSERT_SQL)
 def q_stream_upsert_customers(spark, d):
     c = derived.customers(spark, d)

@@ -16,34 +16,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality as qa
-from . import snapshots
+from . import located, snapshots
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS, OPTIONAL_COLUMNS, REQUIRED_COLUMNS
 
 _CONTRACT = tuple(f.name for f in CUSTOMER_SCHEMA.fields)
 
 
-def _typed(raw: DataFrame, refuse: bool = True) -> DataFrame:
-    """Text cells cast to the contract types, columns found by name.
-
-    ``refuse`` stops at a cell that is missing or can't be read as its type,
-    naming the row and the columns; without it such cells become NULL.
-    """
+def _cells(columns) -> tuple[list, Column]:
+    """(the contract's cells from text columns, the names of those that are missing or can't be read as their type)."""
     cells, faults = [], []
     for f in CUSTOMER_SCHEMA.fields:
-        text = F.trim(F.col(f"`{f.name}`")) if f.name in raw.columns else F.lit(None).cast("string")
+        text = F.trim(F.col(f"`{f.name}`")) if f.name in columns else F.lit(None).cast("string")
         cell = F.when(text == "", None).otherwise(text).try_cast(f.dataType)
         cells.append(cell.alias(f.name))
         unread = F.coalesce(text, F.lit("")) != ""
         faults.append(F.when(cell.isNull() & (unread | F.lit(f.name in REQUIRED_COLUMNS)), F.lit(f.name)))
+    return cells, F.array_compact(F.array(*faults))
+
+
+def _typed(raw: DataFrame, refuse: bool = True, locate=None) -> DataFrame:
+    """Text cells cast to the contract types, columns found by name.
+
+    ``refuse`` stops at a cell that is missing or can't be read as its type,
+    naming the row and the columns, and with ``locate`` (a function that gives
+    ``faulty_rows``) the file and line; without it such cells become NULL.
+    """
+    cells, faults = _cells(raw.columns)
     if refuse:
         key = F.col("customer_id") if "customer_id" in raw.columns else F.lit(None)
-        hit = raw.select(key.alias("id"), F.array_compact(F.array(*faults)).alias("columns")) \
-            .where(F.size("columns") > 0).first()
+        hit = raw.select(key.alias("id"), faults.alias("columns")).where(F.size("columns") > 0).first()
         if hit:
-            raise ValueError(f"row of customer {hit.id!r}: missing or unreadable {', '.join(hit.columns)}")
+            at = locate().orderBy("file", "line").first() if locate else None
+            place = f"{at.file}, line {at.line}: " if at else ""
+            hit = (at.customer_id, at["columns"]) if at else (hit.id, hit["columns"])
+            raise ValueError(f"{place}row of customer {hit[0]!r}: missing or unreadable {', '.join(hit[1])}")
     return raw.select(*cells)
 
 
+def faulty_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """(file, line, customer_id as text, columns) of rows with a cell that is missing or can't be read (V3).
+
+    ``fmt``: csv with a header, which is line 1, or json (lines). Rows are
+    lines, so a row without an id is found as well.
+    """
+    lines = located.numbered_lines(spark, path).where(F.trim("value") != "")
+    if fmt == "csv":
+        names = _by_header(spark, path).columns
+        row = lines.where("line > 1").select("file", "line", F.from_csv("value", ", ".join(f"`{c}` string" for c in names)).alias("r"))
+        flat = row.select("file", "line", *[F.col(f"r.`{c}`").alias(c) for c in names])
+    else:
+        row, names = lines.select("file", "line", F.from_json("value", "map<string,string>").alias("r")), list(_CONTRACT)
+        flat = row.select("file", "line", *[F.col("r")[c].alias(c) for c in names])
+    key = F.col("customer_id") if "customer_id" in names else F.lit(None).cast("string")
+    return flat.select("file", "line", key.alias("customer_id"), _cells(names)[1].alias("columns")).where(F.size("columns") > 0)
+
+
 def check_contract_columns(columns) -> None:
     """V1 + V2 on a header: all required present, nothing unknown."""
     missing = [c for c in REQUIRED_COLUMNS if c not in columns]
@@ -63,19 +90,23 @@ def scan_customers_csv(spark: SparkSession, path: str, refuse: bool = True) -> D
     """CSV with a header (S1): columns by name, header checked, cells read as text, then typed."""
     raw = _by_header(spark, path)
     check_contract_columns(raw.columns)
-    return _typed(raw, refuse)
+    return _typed(raw, refuse, lambda: faulty_rows(spark, path, "csv"))
 
 
 def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True, refuse: bool = True) -> DataFrame:
     """Customers as JSON (S2): an array, an object with a ``customers`` array, or JSON lines (``multiline=False``).
 
-    Documents are parsed once, as maps, so no schema is inferred and unknown
-    keys are seen. A multi-line document is one task; JSON lines split across
-    tasks and are the form to use at scale.
+    Rows are parsed as maps, so no schema is inferred and unknown keys are
+    seen. A document that is an array, or begins with the ``customers`` array,
+    is read in as many tasks as its size asks for; one of another form is one
+    task. JSON lines always split.
     """
-    text = spark.read.option("wholetext", multiline).text(path)
     cell = "map<string,string>"
-    if multiline:
+    objects = located.array_objects(spark, path, "customers") if multiline else None
+    if objects is not None:
+        maps = objects.select(F.from_json("text", cell).alias("m"))
+    elif multiline:
+        text = spark.read.option("wholetext", True).text(path)
         rows = F.coalesce(F.from_json("value", f"array<{cell}>"),
                           F.from_json("value", f"struct<customers:array<{cell}>>")["customers"])
         rows = F.when(F.ltrim("value").startswith("{"), F.from_json(
@@ -85,13 +116,14 @@ def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True,
             raise ValueError("a JSON document holds neither an array of rows nor one under 'customers'")
         maps = text.select(F.explode(rows).alias("m"))
     else:
-        maps = text.where(F.trim("value") != "").select(F.from_json("value", cell).alias("m"))
+        maps = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", cell).alias("m"))
     allowed = F.array(*[F.lit(c) for c in _CONTRACT])
     odd = maps.select(F.array_except(F.map_keys("m"), allowed).alias("keys"), F.col("m")["customer_id"].alias("id")) \
         .where("keys IS NULL OR size(keys) > 0").first()
     if odd and refuse:
         raise ValueError(f"row of customer {odd.id!r}: keys not in the contract {odd['keys']}")
-    return _typed(maps.select(*[F.col("m")[c].alias(c) for c in _CONTRACT]), refuse)
+    return _typed(maps.select(*[F.col("m")[c].alias(c) for c in _CONTRACT]), refuse,
+                  None if multiline else lambda: faulty_rows(spark, path, "json"))
 
 
 def scan_customers_table(spark: SparkSession, path: str) -> DataFrame:

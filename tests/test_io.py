@@ -85,6 +85,27 @@ def test_empty_cells_are_missing(spark, customers):
     assert missing and all(r.missing == ["customer_segment"] for r in missing)
 
 
+def test_refusals_name_file_and_line(spark, customers):
+    d = tempfile.mkdtemp()
+    rows = customers.orderBy("customer_id").limit(6).collect()
+    cells = lambda r: ["" if v is None else str(v) for v in r]
+    text = [cells(r) for r in rows]
+    names = customers.columns
+    text[1][names.index("customer_id")] = ""  # a row that has no id
+    text[4][names.index("age")] = "old"
+    with open(f"{d}/c.csv", "w") as f:
+        f.write("\n".join(",".join(t) for t in [names, text[0], [""], *text[1:]]) + "\n")
+    with pytest.raises(ValueError, match=r"c.csv, line 4: row of customer None: missing or unreadable customer_id"):
+        sio.scan_customers_csv(spark, f"{d}/c.csv")
+    found = sorted((r.line, r.customer_id, r["columns"]) for r in sio.faulty_rows(spark, f"{d}/c.csv").collect())
+    assert found == [(4, None, ["customer_id"]), (7, str(rows[4].customer_id), ["age"])]
+    with open(f"{d}/c.json", "w") as f:
+        for r in rows:
+            f.write(json.dumps({**r.asDict(), **({"age": None} if r == rows[3] else {})}) + "\n")
+    with pytest.raises(ValueError, match=rf"c.json, line 4: row of customer '{rows[3].customer_id}': missing or unreadable age"):
+        sio.scan_customers_json(spark, f"{d}/c.json", multiline=False)
+
+
 def test_upsert_last_write_wins_and_nulls_reset(spark, customers):
     first = customers.limit(5)
     changed = first.limit(2).withColumn("campaign_id", F.lit(None).cast("int")).withColumn("age", F.lit(99))
