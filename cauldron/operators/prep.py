@@ -149,6 +149,6 @@ def imbalance_warnings(df: DataFrame, config: FeatureConfig = FeatureConfig()) -
     out = []
     for kind, rate in (("treatment", row["t"]), ("outcome", row["y"])):
         if rate is not None and (rate < 0.05 or rate > 0.95):
-            out.append(f"Severe {kind} class imbalance (rate {rate:.2%})")
+            out.append(f"{kind}: one class holds all but a few rows (share of ones {rate:.4f})")
     return out
 

@@ -220,7 +220,7 @@ def write_predictions(predictions: DataFrame, customers: DataFrame, path: str, k
     if cov:
         missing = [r[key] for r in cov if r["side"] == "missing"]
         extra = [r[key] for r in cov if r["side"] == "extra"]
-        raise ValueError(f"Prediction coverage mismatch: missing={missing}, extra={extra}")
+        raise ValueError(f"predictions and customers differ: no prediction for {missing}, no customer for {extra}")
     predictions.write.mode("overwrite").parquet(path)
 
 
