@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_normal, hash_uniform
 from ..schema import HETEROGENEITY_NUMERIC, FeatureConfig
-from .ordered import global_rank
+from ..session import write_stage_table
+from .ordered import default_partitions, global_rank
 
 
 @dataclass
@@ -90,6 +92,39 @@ def one_hot(df: DataFrame, col: str) -> DataFrame:
     return m.transform(df)
 
 
+class SparseOneHot:
+    """One-hot vectors of a column with any number of levels (F2).
+
+    The sorted levels and their places are a written table, joined by value;
+    vectors are sparse, so neither the plan nor the driver holds a level. A
+    value that was not seen, or is NULL, gives the zero vector.
+    """
+
+    SHARED_LEVELS = 100_000
+
+    def __init__(self, col: str, levels: DataFrame, size: int, encoder):
+        self.col, self.levels, self.size, self.encoder = col, levels, size, encoder
+
+    @classmethod
+    def fit(cls, df: DataFrame, col: str) -> "SparseOneHot":
+        found = df.select(F.col(col).cast("string").alias("_level")).where(F.col("_level").isNotNull()).distinct()
+        found = write_stage_table(found, "distinct-levels")
+        ranked = global_rank(found.withColumn("_tie", F.xxhash64("_level")), "_level", "_tie", desc=False, rank="_rank")
+        levels = write_stage_table(ranked.select("_level", (F.col("_rank") - 1).cast("double").alias("_place")), "levels")
+        size = levels.count()
+        # the extra place for values not seen is the last one, which is dropped
+        encoder = OneHotEncoder(inputCols=["_place"], outputCols=["_vector"], handleInvalid="keep", dropLast=True).fit(levels) if size else None
+        return cls(col, levels, size, encoder)
+
+    def transform(self, df: DataFrame, out: str) -> DataFrame:
+        if not self.size:
+            return df.withColumn(out, F.lit(None).cast(VectorUDT()))
+        levels = F.broadcast(self.levels) if self.size <= self.SHARED_LEVELS else self.levels
+        joined = df.join(levels, F.col(self.col).cast("string") == F.col("_level"), "left")
+        coded = self.encoder.transform(joined.withColumn("_place", F.coalesce("_place", F.lit(float(self.size)))))
+        return coded.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_vector").alias(out))
+
+
 def heterogeneity_columns(model: PreprocessorModel) -> list:
     """Effect-model inputs: the fixed numeric list plus every segment dummy."""
     names = [c for c in model.numeric if c in HETEROGENEITY_NUMERIC]
@@ -117,20 +152,26 @@ def permute_treatment(df: DataFrame, treatment_col: str = "treatment_received",
                       seed: int = 42, out: str | None = None) -> DataFrame:
     """Shuffle the treatment over rows, keeping its counts exactly (F8); into column ``out``, by default in place.
 
-    Rows are ranked by two independent hashes; the row at rank r under the
-    first order takes the treatment of the row at rank r under the second.
-    Both ranks come from the distributed kernel and the pairing is an
-    equi-join on the rank, so no task holds the column.
+    Rows stand in a circle in the order of a hash of their key, and each takes
+    the treatment of the row before it: every row gives its treatment to one
+    other. Ranges of the hash are dealt to tasks, evenly as the hash is
+    uniform, so one exchange is all; a range's first row takes the last of the
+    range before it, from a table of one row a range.
     """
-    a = df.withColumn("_h1", hash_uniform(key, seed, "perm1"))
-    r1 = global_rank(a, "_h1", key, desc=False, rank="_r")
-    b = df.select(F.col(key).alias("_src"), F.col(treatment_col).alias("_w"),
-                  hash_uniform(key, seed, "perm2").alias("_h2"))
-    r2 = global_rank(b, "_h2", "_src", desc=False, rank="_r").select("_r", "_w")
-    both = r1.join(r2, "_r", "inner")
+    ranges = 4 * default_partitions(df)
+    place = hash_uniform(key, seed, "perm1")
+    rows = df.withColumns({"_u": place, "_range": F.floor(place * ranges).cast("int")})
+    ends = rows.groupBy("_range").agg(F.max_by(treatment_col, F.struct("_u", key)).alias("_end"))
+    by_range, whole = Window.orderBy("_range"), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.row_number().over(by_range) == 1
+    ends = ends.select("_range", F.when(first, F.last("_end").over(whole)).otherwise(F.lag("_end").over(by_range)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy("_u", key)
+    taken = rows.select("*", F.row_number().over(within).alias("_n"), F.lag(treatment_col).over(within).alias("_w"))
+    both = taken.join(F.broadcast(ends), "_range")
+    new = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_w"))
     if out:
-        return both.select(*df.columns, F.col("_w").alias(out))
-    return both.select(*[F.col("_w").alias(c) if c == treatment_col else F.col(c) for c in df.columns])
+        return both.select(*df.columns, new.alias(out))
+    return both.select(*[new.alias(c) if c == treatment_col else F.col(c) for c in df.columns])
 
 
 def subset_condition(key: str = "customer_id", seed: int = 42, fraction: float = 0.8) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.learners import CausalModel
 from ..operators.allocate import uplift_segments
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS
 from ..session import scratch_dir
@@ -133,6 +134,17 @@ def q_stream_score(spark, d):
     return spark.read.parquet(out).select("customer_id", "baseline_probability", "ite", "uplift_segment")
 
 
+@register("stream_score_model", None)
+def q_stream_score_model(spark, d):
+    """A fitted model (the configured one) scores the files of a stream."""
+    c = stable_customers(spark, d)
+    fitted = CausalModel().fit(c)
+    src, out, ckpt = (scratch_dir(spark, f"model-{n}") for n in ("src", "out", "ckpt"))
+    c.repartition(3).write.mode("overwrite").parquet(src)
+    st.run_score_stream(spark, src, out, ckpt, fitted.transform, schema=c.schema, max_files_per_trigger=1)
+    return spark.read.parquet(out).select("customer_id", F.round("ite", 6).alias("ite"), "uplift_segment")
+
+
 @register("import_run", W("predictions", extra=f""",
 base AS (SELECT p.model_run_id, p.customer_id, p.ite*s.net_revenue AS expected_profit, s.discount_cost AS expected_cost
   FROM predictions p JOIN scored s ON s.customer_id = p.customer_id),

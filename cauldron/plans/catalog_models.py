@@ -16,6 +16,7 @@ from ..plans.pipeline import run_pipeline
 from ..schema import ModelConfig
 from ..session import scratch_dir
 from ..sources import derived
+from ..sources.tables import read_table
 from .registry import W, register, rounded
 
 _NUMS = ("age", "tenure_months", "historical_orders", "historical_revenue", "avg_order_value",
@@ -45,6 +46,18 @@ def q_one_hot(spark, d):
     return pp.one_hot(derived.customers(spark, d).select("customer_id", "customer_segment"), "customer_segment")
 
 
+@register("one_hot_sparse", """
+WITH levels AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS place FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders WHERE o_custkey % 5 <> 0))
+SELECT o_orderkey, CAST(place AS BIGINT) AS place, CAST((SELECT COUNT(*) FROM levels) AS BIGINT) AS size
+FROM orders LEFT JOIN levels ON k = CAST(o_custkey AS VARCHAR)""")
+def q_one_hot_sparse(spark, d):
+    """A column of many levels, a fifth of them not seen when the levels were learned."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    coder = pp.SparseOneHot.fit(orders.where("o_custkey % 5 <> 0"), "o_custkey")
+    parts = F.from_json(F.to_json(F.struct("v")), "v struct<size:bigint,indices:array<bigint>>")["v"]
+    return coder.transform(orders, "v").select("o_orderkey", F.get(parts["indices"], F.lit(0)).alias("place"), parts["size"].alias("size"))
+
+
 def _u(seed: int, salt: str, key: str = "customer_id") -> str:
     """The SQL twin of functions.scalar.hash_uniform."""
     digest = f"md5('{salt}:{seed}:' || CAST({key} AS VARCHAR))"
@@ -66,9 +79,10 @@ def q_add_noise_feature(spark, d):
 
 
 @register("permute_treatment", W("customers", extra=f""",
-a AS (SELECT customer_id, purchase, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm1')}, customer_id) AS r FROM customers),
-b AS (SELECT treatment_received, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm2')}, customer_id) AS r FROM customers)""") + """
-SELECT a.customer_id, b.treatment_received, a.purchase FROM a JOIN b ON a.r = b.r""")
+circle AS (SELECT customer_id, purchase, treatment_received AS t, {_u(42, 'perm1')} AS u FROM customers)""") + """
+SELECT customer_id, purchase, COALESCE(LAG(t) OVER (ORDER BY u, customer_id),
+  LAST_VALUE(t) OVER (ORDER BY u, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS treatment_received
+FROM circle""")
 def q_permute_treatment(spark, d):
     c = derived.customers(spark, d).select("customer_id", "treatment_received", "purchase")
     return pp.permute_treatment(c)

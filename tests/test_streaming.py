@@ -63,3 +63,26 @@ def test_stream_score_equals_batch(spark):
     want = {(r.customer_id, r.uplift_segment)
             for r in uplift_segments(derived.score_surrogate(base), baseline_threshold=0.25).collect()}
     assert got == want
+
+
+def test_a_fitted_model_scores_a_stream(spark):
+    """Each file is a batch of its own; the rows equal those of one batch transform."""
+    import tempfile
+
+    from cauldron.operators.allocate import uplift_segments
+    from cauldron.operators.learners import CausalModel
+    from cauldron.schema import ModelConfig
+    from cauldron.sources import derived
+    from cauldron.streaming import stream as st
+
+    from .conftest import SF_SMALL
+
+    c = derived.customers(spark, SF_SMALL).checkpoint(eager=True)
+    fitted = CausalModel(ModelConfig(n_estimators=5)).fit(c)
+    d = tempfile.mkdtemp()
+    c.repartition(3).write.parquet(f"{d}/in")
+    st.run_score_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ckpt", fitted.transform, schema=c.schema, max_files_per_trigger=1)
+    want = uplift_segments(fitted.transform(c), baseline_threshold=0.25)
+    got = spark.read.parquet(f"{d}/out")
+    cols = ["customer_id", "ite", "baseline_probability", "uplift_segment"]
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
