@@ -174,12 +174,19 @@ def calibrate(score: np.ndarray, bad: np.ndarray, max_good_lost: float) -> float
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """doc_id, text and ``label`` of at most ``max_rows`` labelled documents, chosen by a hash of doc_id."""
+    """doc_id, text and ``label`` of at most ``max_rows`` labelled documents, chosen by a hash of doc_id.
+
+    One row a doc_id: of rows that repeat it, the one whose text has the
+    smallest hash. A document labelled 0 and 1 counts as 0.
+    """
     known = columns(labels, doc_id="long", **{label: "int"}).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min(label).alias(label))
     # the limit bounds what is broadcast: 16 bytes a row
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return columns(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id")
+    rows = columns(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id")
+    # bounded before anything leaves the executors, however often an id is repeated
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"), F.min(label).alias(label))
+    return one.select("doc_id", "first.text", label)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_good_lost: float = 0.005) -> Forest | None:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .columnar import Words, columns, slices
 from .quality import labelled_rows
@@ -265,9 +265,10 @@ def score_texts(p: dict | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, **how) -> dict | None:
-    """Parameters learnt from at most ``max_rows`` labelled documents."""
-    rows = labelled_rows(docs, labels, "toxic", max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_text_bytes: int = 256 << 10, **how) -> dict | None:
+    """Parameters learnt from at most ``max_rows`` labelled documents of at most ``max_text_bytes``."""
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_text_bytes)
+    rows = labelled_rows(short, labels, "toxic", max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["toxic"].to_numpy() == 1, **how)
 
 

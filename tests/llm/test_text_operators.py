@@ -335,3 +335,15 @@ def test_odd_pages(spark):
                                   "page_id long, url string, html string")
     assert sorted(r.text for r in htmltext.extract(pages).collect()) == ["", "a", "a", "a"]
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def test_repeated_labelled_ids_stay_bounded(spark):
+    from cauldron.llm.quality import labelled_rows
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 1), (4, 1)], "doc_id long, toxic int")
+    rows = labelled_rows(docs, labels, "toxic", 10).collect()
+    assert sorted((r.doc_id, r.toxic) for r in rows) == [(1, 0), (2, 1), (3, 1)]
+    again = labelled_rows(docs.repartition(5), labels, "toxic", 10).collect()
+    assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text for r in again}
+    assert len(labelled_rows(docs, labels, "toxic", 1).collect()) == 1
