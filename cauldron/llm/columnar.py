@@ -100,14 +100,29 @@ def dictionary(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+# first two UTF-8 bytes of Thai and Lao, Myanmar, Khmer, kana to Han, Han outside the first plane
+_UNSPACED = np.zeros(1 << 16, bool)
+for _low, _high in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3)):
+    _UNSPACED[_low:_high + 1] = True
+
+
+def _unspaced_characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which characters of scripts without spaces begin and end."""
+    lead = np.flatnonzero(data >= 0xE0)
+    lead = lead[_UNSPACED[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    return lead, lead + np.where(data[lead] >= 0xF0, 4, 3)
+
+
 class Words:
     """The words (runs of non-white bytes) of every row of a text array, as arrays.
 
     ``codes``: index into ``distinct`` of each word; ``starts``/``ends``: byte
-    offsets in ``data``; ``rows``: n + 1 offsets of each row's words.
+    offsets in ``data``; ``rows``: n + 1 offsets of each row's words. With
+    ``characters`` each character of a script without spaces (Han, kana, Thai
+    and the like) is a word of its own.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, characters: bool = False):
         self.data, self.bounds = data_of(texts)
         size = len(self.data)
         white = _IS_WHITE[self.data]
@@ -119,6 +134,11 @@ class Words:
         after = np.ones(size, bool)
         after[:-1] = white[1:]
         finishes = ~white & (after | edge[1:])
+        if characters:
+            begin, end = _unspaced_characters(self.data)
+            begins[begin] = finishes[end - 1] = True
+            finishes[begin[begin > 0] - 1] |= ~white[begin[begin > 0] - 1]
+            begins[end[end < size]] |= ~white[end[end < size]]
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(finishes) + 1
         self.rows = np.searchsorted(self.starts, self.bounds)

@@ -34,6 +34,8 @@ BLOCK_WORDS, MIN_BLOCKS = 4096, 128
 #: Rows that a bucket of the running sums should hold.
 BUCKET_ROWS = 2_048
 SHARDS_LOG2 = 6
+#: Words of the mix that a part of a shard should hold: one task shuffles and writes a part.
+PART_WORDS = 1 << 22
 #: Primes above any block count (blocks of a source stay below 2^30): multipliers of the block permutations.
 _PRIMES = (1610612741, 1879048201, 1200000041, 1400000023, 1300000003, 1500000001)
 _LEVELS_A_STAGE = 3
@@ -154,16 +156,22 @@ def plan(sized: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), repea
     return rows.join(starts, "rank", "left")
 
 
+def planned(docs: DataFrame, **how) -> DataFrame:
+    """``plan`` of rows with source and ``_size``, written."""
+    sized = docs.select(F.col("source").cast("string").alias("source"), F.col("_size").alias("size"))
+    return stage(plan(sized, **how), "mixing-plan")
+
+
 def draw(docs: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), repeats: int = 2,
-         shards_log2: int = SHARDS_LOG2, seed: int = 8) -> DataFrame:
+         shards_log2: int = SHARDS_LOG2, seed: int = 8, sources: DataFrame | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, ``_size``, ``_order`` and others) with its source's plan and its pieces.
 
     Added: source_size, target and pieces, an array of shard, epoch, and the
     begin and end of the drawn words in the document.
     """
     source = F.col("source").cast("string")
-    sized = docs.select(source.alias("source"), F.col("_size").alias("size"))
-    sources = stage(plan(sized, share, weights, repeats, shards_log2, seed), "mixing-plan")
+    if sources is None:
+        sources = planned(docs, share=share, weights=weights, repeats=repeats, shards_log2=shards_log2, seed=seed)
     # running position of each row in its source: sums by bucket, then a window inside the bucket
     buckets = max(1, -(-(sources.agg(F.sum("n_docs")).first()[0] or 0) // BUCKET_ROWS))
     placed = docs.withColumn("_source", source).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
@@ -217,8 +225,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows with the columns of ``docs``, ``text`` the words drawn, in shards ordered by a hash.
 
-    Neighbouring pieces that a pass draws from one document stay together, in
-    the shard of the first; a document drawn whole keeps its text as it is.
+    A shard consists of parts, ranges of that hash, whose number follows the
+    words of the mix; a task writes whole parts. Neighbouring pieces that a
+    pass draws from one document stay together, in the shard of the first, so
+    a shard's words differ from its quotas by what documents cross its blocks'
+    borders; a document drawn whole keeps its text as it is.
     """
     seed, names = how.get("seed", 8), docs.columns
     # the other columns travel under names that can't clash
@@ -228,7 +239,8 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     chars = aliases[names.index("n_chars")] if "n_chars" in names else None
     rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn(
         "_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    drawn = draw(rows, **how)
+    sources = planned(rows, **how)
+    drawn = draw(rows, sources=sources, **how)
     kind = "array<struct<shard:int,epoch:int,begin:bigint,end:bigint>>"
 
     def grow(runs, p):
@@ -250,5 +262,9 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     if chars:
         out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length("text")).cast(docs.schema[chars].dataType))
     local = F.xxhash64(F.lit(seed + 2), "_run", "_order")
-    out = out.withColumn("_shard", F.col("_run.shard")).withColumn("_local", local)
-    return out.repartition(F.col("_shard")).sortWithinPartitions("_shard", "_local").select(*aliases).toDF(*names)
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    parts_log2 = (int(words) // (PART_WORDS << how.get("shards_log2", SHARDS_LOG2))).bit_length()
+    part = F.shiftright("_local", 64 - parts_log2) if parts_log2 else F.lit(0).cast("long")
+    out = out.withColumn("_shard", F.col("_run.shard")).withColumn("_local", local).withColumn("_part", part)
+    out = out.repartition(F.col("_shard"), F.col("_part"))
+    return out.sortWithinPartitions("_shard", "_part", "_local").select(*aliases).toDF(*names)

@@ -4,20 +4,24 @@ A unit is a line, or a phrase of a longer line: cuts fall where a hash of two
 adjacent words is the largest among its ``REACH`` neighbours on either side, so
 they depend on the words around them only and a passage copied into the middle
 of another line is cut alike there. Words are normalised (case folded, edge
-punctuation stripped) before hashing. Digests are grouped globally; the first
-occurrence by (doc_id, position) is kept. A run of later occurrences of
-``min_words`` words or more goes, with its original offsets returned; shorter
-runs (stock phrases, headings) stay.
+punctuation stripped) before hashing; a character of a script without spaces
+is a word. Digests are grouped globally; the first occurrence by (doc_id,
+position) is kept. A run of later occurrences of ``min_words`` words or more
+goes, with its original offsets returned; shorter runs (stock phrases,
+headings) stay. ``min_words=1`` removes every unit that occurs earlier.
 
 Within a slice of the input (about a megabyte) all but the first occurrence of
-a digest are decided in place, so a line that a third of all rows share sends
-one row a slice to its group. One shuffle of digests follows, and one join of
-the decided unit numbers with the texts.
-
-Edge cases: null text comes back null with nothing removed, empty text empty.
-Rows that agree in doc_id and text are one document (each comes back, none
-removes the other's units); a null doc_id ranks first. Ties can't occur: a
-position holds one unit.
+a digest are decided in place. A task also remembers the earliest occurrence
+it has met of the digests in a table of fixed size: what comes after that one
+is decided as well, so a line that a third of all rows share sends a few rows
+a task to its group. One shuffle of digests follows, and one join of the
+decided unit numbers with the texts.
+
+Edge cases: null text comes back null with nothing removed, empty text empty,
+a very long text is a slice of its own. Rows that agree in doc_id and text are
+one document (each comes back, none removes the other's units); a null doc_id
+ranks first. Ties can't occur: a position holds one unit. An empty table gives
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .columnar import Words, columns, slices
 
 REACH = 3
 MIN_WORDS = 20
+#: Digests that a task remembers with their earliest occurrence: time and shuffle only, never a result.
+SEEN_LOG2 = 18
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»“”‘’…–—"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -47,7 +53,7 @@ class Units:
     """The units of every row of a text array: word offsets ``first`` (n + 1), digests, and n + 1 row offsets."""
 
     def __init__(self, texts: pa.Array):
-        self.words = words = Words(texts)
+        self.words = words = Words(texts, characters=True)
         n = len(words.codes)
         plain = [w.decode("utf-8", "replace").casefold().strip(_EDGES) for w in words.distinct.to_pylist()]
         h = np.array([xxhash.xxh64_intdigest(p) if p else 1 for p in plain], np.uint64)[words.codes]
@@ -81,10 +87,35 @@ class Units:
         self.size = size
 
 
+class Earliest:
+    """The earliest occurrence met of each digest, in a table where a digest has one place and the newest stays."""
+
+    def __init__(self, log2: int = SEEN_LOG2):
+        self.digest = np.arange(1 << log2, dtype=np.uint64) ^ np.uint64(1)  # none in its own place: all empty
+        self.place = [np.zeros(1 << log2, np.int64) for _ in range(4)]
+
+    def later(self, digest: np.ndarray, *place: np.ndarray) -> np.ndarray:
+        """Whether an earlier occurrence is known of each of the (distinct) digests; the others are remembered."""
+        slot = (digest & np.uint64(len(self.digest) - 1)).astype(np.int64)
+        before, equal = np.zeros(len(digest), bool), self.digest[slot] == digest
+        for known, own in zip(self.place, place):
+            there = known[slot]
+            before |= equal & (there < own)
+            equal &= there == own
+        new = np.flatnonzero(~before)
+        slots, one = np.unique(slot[new], return_index=True)  # of two digests with one place either may stay
+        new = new[one]
+        self.digest[slots] = digest[new]
+        for known, own in zip(self.place, place):
+            known[slots] = own[new]
+        return before
+
+
 def _unit_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, unit (its number), key (hash of the text) and later (not the first of its slice)."""
+    """digest, doc_id, unit (its number), key (hash of the text) and later (an earlier occurrence is known)."""
 
     def run(batches):
+        earliest = Earliest()
         for b in slices(batches):
             units = Units(b.column(2))
             n = len(units.digests)
@@ -104,6 +135,11 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             again = np.zeros(n, bool)
             again[order] = ((number[head] != number[order]) | (text[head] != text[order])
                             | (doc[head] != doc[order]) | (known[head] != known[order]))
+            # heads of the slice against what the task has met in the slices before
+            first = np.flatnonzero(heads == np.arange(n))
+            own = order[first]
+            known_before = earliest.later(units.digests[own], known[own].astype(np.int64), doc[own], number[own], text[own])
+            again[order] |= np.repeat(known_before, np.diff(np.append(first, n)))
             # a row that is decided needs no group: any key spreads it
             spread = _mix(_mix(text.view(np.uint64) + number.astype(np.uint64)) * _STEP + doc.view(np.uint64))
             key = np.where(again, spread, units.digests)

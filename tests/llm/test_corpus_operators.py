@@ -192,6 +192,76 @@ def test_repeats_edge_cases(spark):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_in_scripts_without_spaces(spark):
+    rnd = random.Random(5)
+
+    def han(n):
+        return "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(n))
+
+    passage = han(560)
+    rows = [(1, passage, "s"), (2, han(40) + passage + "。" + han(30), "s"), (3, "ก" * 3 + "ไทย" + passage[:200], "s"),
+            (4, han(300), "s"), (5, "短い\nline one\n" + passage, "s"), (6, "短い\nline one", "s")]
+    text = {i: t for i, t, _ in rows}
+    got = {r.doc_id: r for r in substring.remove_repeats(frame(spark, rows)).collect()}
+    assert got[1].n_removed == got[4].n_removed == got[6].n_removed == 0 and got[1].n_words == 560
+    assert got[2].n_removed >= 545 and text[2][:40] in got[2].text and got[2].text.endswith(text[2][-30:])
+    assert 180 <= got[3].n_removed <= 200 and got[3].text.startswith("กกกไทย")
+    assert got[5].text == "短い\nline one\n" and got[5].n_removed == 560
+
+
+def plain_repeats(rows, min_words):
+    """(doc_id, words removed) by looking at every unit of every row in the order of (doc_id, unit, key)."""
+    import pyarrow as pa
+
+    found = []
+    for i, t in rows:
+        units = substring.Units(pa.array([t]))
+        found += [((i, k), int(d), int(n)) for k, (d, n) in enumerate(zip(units.digests, units.size))]
+    first = {}
+    for place, digest, _ in found:
+        first[digest] = min(first.get(digest, place), place)
+    gone, run = Counter(), Counter()
+    for (i, k), digest, n in sorted(found) + [((None, 0), None, 0)]:
+        if digest is None or k == 0 or first[digest] == (i, k):
+            for doc, total in run.items():
+                gone[doc] += total if total >= min_words else 0
+            run.clear()
+        if digest is not None and first[digest] != (i, k):
+            run[i] += n
+    return gone
+
+
+@pytest.mark.parametrize("min_words", [1, 20])
+def test_repeats_equal_a_plain_search(spark, monkeypatch, min_words):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = plain_repeats(rows, min_words)
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs.repartition(3), min_words).collect()}
+    assert got == {i: want[i] for i, _ in rows} and sum(got.values()) > 0
+
+
+def test_repeats_do_not_depend_on_the_slices(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    lines = [prose(rnd, 25) for _ in range(30)]
+    texts = ["\n".join(rnd.choice(lines) for _ in range(3)) for _ in range(200)]
+    units = substring.Units(pa.array(texts))
+    doc = np.repeat(np.arange(200), np.diff(units.rows))
+    seen, later = substring.Earliest(2), 0
+    for i in rnd.sample(range(200), 200):  # one row at a time, hardly any places
+        own = np.flatnonzero(doc == i)
+        digest, at = np.unique(units.digests[own], return_index=True)
+        zero = np.zeros(len(at), np.int64)
+        before = seen.later(digest, zero + 1, zero + i, at, zero)
+        later += before.sum()
+        for d in digest[before]:
+            assert doc[units.digests == d].min() < i
+    assert later
+    zero = np.zeros(1, np.int64)
+    assert not substring.Earliest(2).later(np.zeros(1, np.uint64), zero + 1, zero + 5, zero, zero).any()
+
+
 def test_rows_without_id_whose_hashes_share_32_bits(spark):
     stock, own = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
     texts = [stock, f"a189041\n{stock}", f"b29796\n{own}"]  # the last two agree in the low half of their hash
@@ -274,6 +344,16 @@ def test_mixture_keeps_the_words_drawn(spark):
     assert mixing.mixture(docs).columns == docs.columns
 
 
+def test_parts_of_a_shard_follow_the_words(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = sorted(map(str, mixing.mixture(docs).collect()))
+    monkeypatch.setattr(mixing, "PART_WORDS", 64)
+    parts = mixing.mixture(docs)
+    assert sorted(map(str, parts.collect())) == whole
+    plan = parts._jdf.queryExecution().toString()
+    assert "_part" in plan and "shiftright" in plan.lower()
+
+
 def test_hypergeometric_moments(spark):
     drawn = spark.range(4000).select(mixing.hypergeometric(
         F.lit(500).cast("long"), F.lit(120).cast("long"), F.lit(250).cast("long"),
