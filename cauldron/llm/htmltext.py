@@ -42,10 +42,13 @@ from pyspark.sql import DataFrame
 from .columnar import columns, slices
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp script small span "
-    "strike strong style sub sup time tt u var wbr".split())
+    "strike strong style sub sup time tt u var wbr "
+    # formulas
+    "math menclose mfrac mi mn mo mover mpadded mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover "
+    "semantics".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -54,7 +57,7 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = frozenset("ul ol menu dl table select article section div body".split())
 _DROP = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input iframe object "
-    "embed applet svg math canvas audio video map dialog menu noembed noframes".split())
+    "embed applet svg annotation annotation-xml canvas audio video map dialog menu noembed noframes".split())
 _DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _DROP_NAMES = frozenset(

@@ -176,16 +176,45 @@ def held_out(modulus: int = 5, remainder: int = 0):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told: a language with a score above 0."""
+def least_share(labelled: DataFrame, filters: Filters, quantile: float = 0.01, part: float = 0.5) -> float:
+    """The share of n-grams that a learned language has to explain: ``part`` of the ``quantile`` over labelled rows.
+
+    All rows of ``labelled`` with a ``lang`` and a letter are counted, by share in steps of a thousandth.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast(filters)
+    rows = columns(labelled, text="string", lang="string").where("lang IS NOT NULL AND text IS NOT NULL").select("text")
+
+    def shares(batches):
+        for b in slices(batches):
+            total, hits = shared.value.explained(b.column(0).to_pylist())
+            best = hits.max(1, initial=0)[total > 0] / total[total > 0]
+            step, n = np.unique(np.floor(best * 1000).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
+    counted = rows.mapInArrow(shares, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    steps = sorted((r.step, r.n) for r in counted.collect())
+    upto, goal = 0, quantile * sum(n for _, n in steps)
+    for step, n in steps:
+        upto += n
+        if upto >= goal:
+            return part * step / 1000
+    return 0.0
+
+
+def keep_identified(docs: DataFrame, filters: Filters, share: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told.
+
+    Of a text's n-grams a language explains some, and with one standard error
+    (the root of their number) more it reaches ``share`` of them all.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches, "text"):
-            names, score = shared.value.predict(b.column(at).to_pylist())
-            keep = pa.array((np.array(names, object) != UNKNOWN) & (score > 0))
-            yield b.filter(keep)
+            total, hits = shared.value.explained(b.column(at).to_pylist())
+            best = hits.max(1, initial=0)
+            yield b.filter(pa.array((best > 0) & (best + np.sqrt(total) >= share * total)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,17 +2,19 @@
 
 A document is its token ids and an end id. Only documents longer than a
 sequence are cut: into full pieces, the first one shorter. Pieces are dealt by
-a hash into groups of about ``group_pieces`` and packed group by group, long
-ones first: a piece goes to the open bin with the least free space that still
-holds it (one bit operation on a bitset with a bit for each amount of free
-space), else to a new bin; when more than ``open_bins`` are open, the fullest
-closes. A group opens fewer bins than that unless its pieces are long, and
-then what closes is nearly full. The same input always gives the same
-sequences, also after a retry.
-
-Edge cases: null text is empty (the end id alone); a piece as long as a
-sequence is a sequence; repeated rows are packed as documents of their own; an
-empty table gives no pieces.
+a hash into groups of about ``group_pieces`` and packed group by group, online
+in the order of that hash: a piece goes to the open bin with the least free
+space that still holds it (one bit operation on a bitset with a bit for each
+amount of free space), else to a new bin; when more than ``open_bins`` are
+open, the fullest closes. The same input always gives the same sequences, also
+after a retry.
+
+Edge cases: null text is empty (the end id alone); a very long text is cut
+like any other; a piece as long as a sequence is a sequence; bins with equal
+free space are taken in the order of a stack, pieces of equal hash in the order
+of doc_id (null first) and piece; repeated rows are packed as documents of
+their own, and their number spreads them over groups; an empty table gives no
+pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from . import pretokens
 from .columnar import columns, slices, stage
 
 LENGTH, END_ID = 1024, 2
-GROUP_PIECES, OPEN_BINS = 8_192, 4_096
+GROUP_PIECES, OPEN_BINS = 32_768, 64
+#: Copies of one row that are numbered in one array.
+COPIES = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -99,14 +103,17 @@ def pack_pieces(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BI
     groups = max(1, -(-found.count() // group_pieces))
     # pieces of rows repeated as a whole are equal: their number tells them apart, so that copies spread too
     copies = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies"))
-    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    # in two steps, so that no array grows with the copies of a row beyond copies / COPIES
+    begun = copies.withColumn("begin", F.explode(F.sequence(F.lit(1).cast("long"), "copies", F.lit(COPIES).cast("long"))))
+    last = F.least(F.col("copies"), F.col("begin") + (COPIES - 1))
+    numbered = begun.withColumn("copy", F.explode(F.sequence("begin", last)))
     own = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
     order = F.when(F.col("copy") == 1, own).otherwise(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "copy"))
     keyed = numbered.select(*found.columns, order.alias("order"))
     keyed = keyed.withColumn("group", F.pmod("order", F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(table.column("length").to_pylist(), length, open_bins)
         group = table.column("group")[0].as_py()
         table = table.drop_columns(["order", "group"])

@@ -4,13 +4,17 @@ Tier one is a compact table of the corpus's frequent pre-tokens and their
 token counts, broadcast to all tasks: a hash table of at most ``table_size``
 rows. Tier two is a cache in each worker, filled by the library. No pre-token
 is shuffled: to find the frequent ones every task goes through its whole input
-and returns a summary of at most ``summary_size`` pre-tokens with counts, and
-the summaries are added up.
+and writes one row, a summary of at most ``summary_size`` pre-tokens with
+counts. Written summaries are read back ``FAN_IN`` at a time and added up,
+round by round, until at most that many are left for the driver.
 
 The table is a cache: it changes the time, never a count.
 
-Edge cases: null text is empty (0 bytes, 0 tokens); texts with an added
-token's string are encoded whole by the library, as its default does.
+Edge cases: null text is empty (0 bytes, 0 tokens); a very long text is a
+slice of its own; texts with an added token's string are encoded whole by the
+library, as its default does; equal counts of pre-tokens rank by their bytes;
+repeated rows are counted one by one; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,15 +23,31 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import pretokens
-from .columnar import columns, data_of, slices
+from .columnar import columns, data_of, slices, stage
 
 TABLE_SIZE = 32_768
 SUMMARY_SIZE = 2_048
 #: Distinct pre-tokens that a task counts at a time; beyond it the rarer half goes.
 COUNTER_SIZE = 1 << 17
+#: Summaries that one task, or the driver at the end, adds up.
+FAN_IN = 16
+_SUMMARY = pa.struct([("token", pa.binary()), ("n", pa.int64())])
+
+
+def _summary(counts: dict, size: int) -> pa.RecordBatch:
+    """One row: the ``size`` most frequent of ``counts`` as an array of (token, n)."""
+    top = heapq.nlargest(size, counts.items(), key=lambda x: (x[1], x[0]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([[{"token": t, "n": n} for t, n in top]], pa.list_(_SUMMARY))], ["summary"])
+
+
+def _add(counts: dict, summary) -> None:
+    for entry in summary:
+        token = bytes(entry["token"])
+        counts[token] = counts.get(token, 0) + entry["n"]
 
 
 def frequent(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE, summary_size: int = SUMMARY_SIZE) -> dict:
@@ -43,15 +63,29 @@ def frequent(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE, summ
                 counts[token] = counts.get(token, 0) + n
             if len(counts) > COUNTER_SIZE:
                 counts = dict(heapq.nlargest(COUNTER_SIZE // 2, counts.items(), key=lambda x: (x[1], x[0])))
-        top = heapq.nlargest(summary_size, counts.items(), key=lambda x: (x[1], x[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.binary()),
-                                          pa.array([n for _, n in top], pa.int64())], ["token", "n"])
+        if counts:
+            yield _summary(counts, summary_size)
 
-    found = columns(docs, text="string").mapInArrow(summarise, "token binary, n long")
-    rows = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table_size).collect()
-    tokens = [bytes(r.token) for r in rows]
+    def merge(batches):
+        counts: dict[bytes, int] = {}
+        for b in batches:
+            for summary in b.column(0).to_pylist():
+                _add(counts, summary)
+        if counts:
+            yield _summary(counts, table_size)
+
+    kind = "summary array<struct<token: binary, n: bigint>>"
+    found = stage(columns(docs, text="string").mapInArrow(summarise, kind), "token-summaries")
+    n = found.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        # coalesce reads neighbouring files in one task: no exchange
+        found = stage(found.coalesce(n).mapInArrow(merge, kind), "token-summaries")
+    counts: dict[bytes, int] = {}
+    for row in found.toLocalIterator():
+        _add(counts, row.summary)
     split = pretokens.load(tokenizer)
-    return {t: len(split.merge(t)) for t in tokens}
+    return {t: len(split.merge(t)) for t, _ in heapq.nlargest(table_size, counts.items(), key=lambda x: (x[1], x[0]))}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, **sizes) -> DataFrame:

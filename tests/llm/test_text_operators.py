@@ -103,6 +103,20 @@ def test_token_counts(spark, odd, nothing, tokenizer, sizes):
     assert tokencount.count_tokens(nothing, path).count() == 0
 
 
+def test_frequent_pretokens_of_many_summaries(spark, tokenizer, monkeypatch):
+    path, library = tokenizer
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(30)
+    split = pretokens.load(path)
+    codes, distinct, _ = split.split([r.text for r in docs.collect()])
+    counts = sorted(zip(np.bincount(codes).tolist(), distinct.to_pylist()), reverse=True)
+    assert tokencount.frequent(docs, path, 1 << 20, 1 << 20).keys() == {t for _, t in counts}
+    monkeypatch.setattr(tokencount, "FAN_IN", 3)  # rounds of 30, 10, 4 and 2 summaries
+    assert tokencount.frequent(docs, path, 1 << 20, 1 << 20).keys() == {t for _, t in counts}
+    few = tokencount.frequent(docs, path, 200, 100)  # short summaries still find the most frequent
+    assert len(few) == 200 and {t for _, t in counts[:20]} <= few.keys()
+    assert all(n == len(library.encode(t.decode(), add_special_tokens=False).ids) for t, n in few.items())
+
+
 def check_packed(packed, docs, library, length=1024):
     ids = {}
     for r in docs.itertuples():
@@ -135,7 +149,17 @@ def test_packing(spark, odd, nothing, tokenizer):
     assert packing.pack(nothing, path).count() == 0
 
 
-def test_packing_spreads_rows_repeated_as_a_whole(spark):
+def test_open_bins_bound_what_best_fit_holds(spark, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in packing.pieces(docs, tokenizer[0]).collect()] * 4
+    random.Random(1).shuffle(lengths)
+    least = sum(lengths) / 1024
+    used = [max(packing.best_fit(lengths, 1024, n)[0]) + 1 for n in (1, 8, packing.OPEN_BINS)]
+    assert used[0] > used[1] > used[2] and used[2] <= 1.03 * least
+
+
+def test_packing_spreads_rows_repeated_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
     found = spark.range(400).selectExpr("CAST(NULL AS bigint) doc_id", "0 piece", "0L start", "600L length", "7L ids_crc32")
     packed = packing.pack_pieces(found, group_pieces=40).toPandas()
     assert len(packed) == 400 and packed.sequence_id.nunique() == 400
@@ -188,6 +212,27 @@ def test_language_on_held_out_rows(spark, odd, nothing):
     assert langid.keep_identified(docs, filters).count() > 0.98 * docs.count()
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = docs.where(~langid.held_out())
+    filters = langid.fit(labelled)
+    share = langid.least_share(labelled, filters)
+    texts = [(r.text, r.lang) for r in labelled.collect() if r.text and r.lang]
+    total, hits = filters.explained([t for t, _ in texts])
+    plain = np.sort((hits.max(1) / np.maximum(total, 1))[total > 0])
+    assert share == pytest.approx(0.5 * plain[int(np.ceil(0.01 * len(plain))) - 1], abs=0.0006)
+    rnd = random.Random(4)
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+               "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+               "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    foreign += [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9)))
+                         for _ in range(60)) for _ in range(50)]
+    planted = spark.createDataFrame([(-i, t) for i, t in enumerate(foreign, 1)], "doc_id long, text string")
+    assert langid.keep_identified(planted, filters, share).count() == 0
+    assert langid.keep_identified(docs, filters, share).count() >= 0.995 * docs.count()
+    assert langid.least_share(nothing, filters) == 0.0 and langid.least_share(docs, langid.fit(nothing)) == 0.0
+
+
 def test_bloom_slices_answer_membership():
     rnd = np.random.default_rng(3)
     members = {f"l{i:02d}": rnd.integers(0, 2 ** 63, 500).astype(np.uint64) for i in range(11)}  # two slices
@@ -272,6 +317,9 @@ LAYOUT = """<html><body><div id="header"><a href=x>Home</a></div>
 
 
 @pytest.mark.parametrize("source, want", [
+    ("<html><body><article><p>The area is <math><msup><mi>r</mi><mn>2</mn></msup><mo>&#960;</mo><semantics><mi>x</mi>"
+     "<annotation encoding='application/x-tex'>r^2</annotation></semantics></math> units</p></article></body></html>",
+     "The area is r2πx units"),
     (LAYOUT, "Title First para with some boldtext, long enough to be content of the page. "
              "Second para with & and a link inside it ok."),
     ("<body><main><header><h1>Head</h1></header><section><p>one one one one</p><p>two</p></section><section><p>three"
