@@ -19,11 +19,13 @@ from cauldron.sources.tables import read_table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language the filters can tell; ``lang`` stays as given.
 
-    Rejected: text that is null or has no letter (``und``), and text of which
-    no language's filter contains any n-gram (score 0).
+    Rejected: text that is null or has no letter (``und``), and text of whose
+    n-grams the best language explains less than half the share that the
+    lowest hundredth of the labelled rows reaches (other languages, random letters).
     """
-    filters = langid.fit(docs.where(~langid.held_out()))
-    return langid.keep_identified(docs, filters)
+    labelled = docs.where(~langid.held_out())
+    filters = langid.fit(labelled)
+    return langid.keep_identified(docs, filters, langid.least_share(labelled, filters))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
