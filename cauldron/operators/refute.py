@@ -38,7 +38,8 @@ def _relative(new: float, original: float) -> float:
 def _joint_refits(df: DataFrame, cfg: ModelConfig, features: FeatureConfig, fraction: float, with_original: bool):
     """(the original model or None, refitted means): all boosted fits in the same jobs."""
     placebo, noise = "_placebo_treatment", "random_noise"
-    wide = permute_treatment(add_noise_feature(df, features.key, cfg.seed, noise), features.treatment, features.key, cfg.seed, placebo)
+    wide = permute_treatment(add_noise_feature(df, features.key, cfg.seed, noise), features.treatment, features.key, cfg.seed, placebo,
+                             circle=False)
     keep = subset_condition(features.key, cfg.seed, fraction)
     columns = dict.fromkeys([features.key, features.treatment, features.outcome, *features.all_features, noise, placebo])
     wide = write_stage_table(wide.select(*columns), "refits")
@@ -73,7 +74,7 @@ def refit_means(df: DataFrame, cfg: ModelConfig = ModelConfig(), features: Featu
     if cfg.base_learner in BOOSTED:
         return _joint_refits(df, cfg, features, fraction, with_original=False)[1]
     permuted = lambda: mean_effect(
-        reliable_checkpoint(permute_treatment(df, features.treatment, features.key, cfg.seed)), cfg, features)
+        reliable_checkpoint(permute_treatment(df, features.treatment, features.key, cfg.seed, circle=False)), cfg, features)
     noisy = lambda: mean_effect(
         add_noise_feature(df, features.key, cfg.seed), cfg, features, extra_confounders=("random_noise",))
     subset = lambda: mean_effect(subset_rows(df, features.key, cfg.seed, fraction), cfg, features)

@@ -79,13 +79,12 @@ def q_add_noise_feature(spark, d):
 
 
 @register("permute_treatment", W("customers", extra=f""",
-circle AS (SELECT customer_id, purchase, treatment_received AS t, {_u(42, 'perm1')} AS u FROM customers)""") + """
-SELECT customer_id, purchase, COALESCE(LAG(t) OVER (ORDER BY u, customer_id),
-  LAST_VALUE(t) OVER (ORDER BY u, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS treatment_received
-FROM circle""")
+a AS (SELECT customer_id, purchase, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm1')}, customer_id) AS r FROM customers),
+b AS (SELECT treatment_received, ROW_NUMBER() OVER (ORDER BY {_u(42, 'perm2')}, customer_id) AS r FROM customers)""") + """
+SELECT a.customer_id, b.treatment_received, a.purchase FROM a JOIN b ON a.r = b.r""")
 def q_permute_treatment(spark, d):
     c = derived.customers(spark, d).select("customer_id", "treatment_received", "purchase")
-    return pp.permute_treatment(c)
+    return pp.permute_treatment(c, circle=False)
 
 
 @register("subset_rows", W("customers") + f"SELECT customer_id FROM customers WHERE {_u(42, 'subset')} < CAST(0.8 AS DOUBLE)")

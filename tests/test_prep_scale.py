@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cauldron.functions.scalar import hash_uniform
 from cauldron.operators import prep as pp
 
 
@@ -28,6 +29,43 @@ def test_missing_treatments_move_too(spark):
     assert count(pp.permute_treatment(df)) == count(df)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_whole_shuffle_joins_two_independent_orders(spark, n):
+    df = spark.range(n).select(F.col("id").alias("customer_id"), (F.col("id") * 3).alias("treatment_received"), F.lit("x").alias("rest"))
+    got = pp.permute_treatment(df.repartition(3), circle=False)
+    assert got.columns == df.columns
+    orders = [[r[0] for r in df.orderBy(hash_uniform("customer_id", 42, salt), "customer_id").collect()] for salt in ("perm1", "perm2")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, 3 * j, "x") for i, j in zip(*orders))
+    assert pp.permute_treatment(df, out="placebo", circle=False).columns == [*df.columns, "placebo"]
+
+
+def test_whole_shuffle_keeps_missing_and_repeated_keys(spark):
+    df = spark.range(90).select(F.when(F.col("id") % 5 > 0, F.col("id") % 20).alias("customer_id"),
+                                F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("treatment_received"))
+    of = lambda d, c: sorted(r[0] for r in d.select(F.col(c).cast("string").alias("v")).fillna("-").collect())
+    got = pp.permute_treatment(df, circle=False)
+    assert all(of(got, c) == of(df, c) for c in df.columns)
+
+
+def test_refutations_shuffle_the_whole_treatment(spark, monkeypatch):
+    from cauldron.operators import refute
+    from cauldron.schema import ModelConfig
+
+    asked = []
+
+    def stop(*_, **named):
+        asked.append(named.get("circle", True))
+        raise InterruptedError
+
+    monkeypatch.setattr(refute, "permute_treatment", stop)
+    monkeypatch.setattr(refute, "mean_effect", lambda *_: 0.0)
+    df = spark.range(3).select(F.col("id").alias("customer_id"))
+    for base in ("lightgbm", "linear"):
+        with pytest.raises(InterruptedError):
+            refute.refit_means(df, ModelConfig(base_learner=base))
+    assert asked == [False, False]
+
+
 def test_sparse_one_hot_of_many_levels(spark):
     df = spark.range(100_000).select("id", F.concat(F.lit("level"), F.col("id")).alias("x"))
     coder = pp.SparseOneHot.fit(df, "x")
