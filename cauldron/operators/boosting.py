@@ -3,17 +3,17 @@
 All fits read one table of chunks: features as bin numbers of at most 255
 quantile edges, labels, and the rows each fit may see. A job finds, for every
 tree node that some fit waits for, the sums of gradient, second derivative and
-rows in each bin; the driver picks the splits from these sums, whose number
-does not depend on the rows. So a level of all fits costs one job, however
-many fits there are.
+rows in each bin. The tasks' sums meet on the executors, a fit's in one place,
+where the best split of each node is found; a few numbers a node are all that
+the driver sees. So a level of all fits costs one job, however many fits there
+are.
 
 Trees grow best-first: of all nodes known, the ``leaves - 1`` with the largest
 gain along their path (the least gain from the root to the node) are split,
-which are the nodes that one-at-a-time best-first growth splits. Of two
-siblings the smaller is counted, the other is its parent less that.
+which are the nodes that one-at-a-time best-first growth splits.
 
-Partial sums of more than ``FAN_IN`` tasks are added up in groups on the
-executors before the driver sees them. A task needs the running scores of its
+Partial sums of more than ``FAN_IN`` tasks are added up in groups before they
+meet. A task needs the running scores of its
 rows: workers keep those of chunks they have met and add the trees since; a
 worker without them (a new one, or after the loss of an executor) starts from
 the fit's constant, so the store is never needed for a right result.
@@ -38,6 +38,7 @@ QUANTILE_ACCURACY = 10_000
 TASK_ROWS = 8_192  # a task is not worth its start below this
 CHUNK_ROWS = 65_536
 FAN_IN = 32
+FINDERS = 4  # tasks that share a job's fits when their sums meet
 GROUPS = 2  # chains of jobs that overlap
 STORE_BYTES = 256 << 20  # running scores and bins a worker keeps
 LEAST_GAIN = 1e-9
@@ -221,8 +222,13 @@ _PART = pa.schema([("fit", pa.int32()), ("task", pa.int32()), ("sums", pa.binary
 _PART_DDL = "fit int, task int, sums binary"
 
 
-def _count(run: str, shape: tuple, inits: list, widths: list, wanted: list):
-    """Chunks -> one row a fit with the task's histograms."""
+def _part(fits: list, task: int, arrays: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(fits, pa.int32()), pa.array([task] * len(fits), pa.int32()),
+                                       pa.array([a.tobytes() for a in arrays], pa.binary())], schema=_PART)
+
+
+def _count(run: str, shape: tuple, inits: list, widths: list, wanted: list, finders: dict | None):
+    """Chunks -> one row a fit with the task's histograms; with ``finders``, as for the only task, with the best splits."""
 
     def count(batches):
         _settle()
@@ -233,9 +239,10 @@ def _count(run: str, shape: tuple, inits: list, widths: list, wanted: list):
                 parts = [histograms(chunk, w, widths) for w in wanted]
                 sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
         if sums is not None:
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([w.fit for w in wanted], pa.int32()), pa.array([task] * len(wanted), pa.int32()),
-                                              pa.array([s.tobytes() for s in sums], pa.binary())], schema=_PART)
+            fits = [w.fit for w in wanted]
+            if finders is not None:
+                sums = [finders[fit](total) for fit, total in zip(fits, sums)]
+            yield _part(fits, TaskContext.get().partitionId(), sums)
 
     return count
 
@@ -262,6 +269,49 @@ def _add_group(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([fit], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_PART)
 
 
+class SplitFinder:
+    """The best split of each node, from the nodes' histograms over one fit's bins."""
+
+    def __init__(self, widths: list, growth: Growth):
+        self.growth = growth
+        self.starts = np.concatenate([[0], np.cumsum(widths)])[:-1].astype(int)
+        self.feature = np.repeat(np.arange(len(widths)), widths)
+        self.bin = np.arange(len(self.feature)) - self.starts[self.feature]
+        self.last = self.bin == np.array(widths)[self.feature] - 1
+
+    def __call__(self, hist: np.ndarray) -> np.ndarray:
+        """Gain (0: no split), feature, bin, the left side's three sums and the node's, of each node (a row)."""
+        g = self.growth
+        hist = hist.reshape(3, -1, len(self.feature))
+        run = np.cumsum(hist, axis=2)
+        before = np.concatenate([np.zeros(run.shape[:2] + (1,)), run], axis=2)[:, :, self.starts]
+        left = run - before[:, :, self.feature]
+        total = hist[:, :, self.feature == 0].sum(axis=2)[:, :, None]
+        right = total - left
+        weight = 1 if g.second_order else 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / left[weight] + right[0] ** 2 / right[weight] - total[0] ** 2 / total[weight]
+        fits = (left[2] >= g.min_leaf) & (right[2] >= g.min_leaf) & (left[1] >= g.min_hessian) & (right[1] >= g.min_hessian)
+        fits &= ~self.last & (left[2] > 0) & (right[2] > 0) & np.isfinite(gain)
+        gain = np.where(fits, gain, 0.0)
+        # the first feature and bin at a tie, which sums in another order must not break
+        best = (gain >= gain.max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1)
+        nodes = np.arange(len(best))
+        return np.column_stack([gain[nodes, best], self.feature[best], self.bin[best], left[:, nodes, best].T, total[:, :, 0].T])
+
+
+def _find(finders: dict):
+    """The tasks' histograms of some fits -> one row a fit with its nodes' best splits."""
+
+    def find(batches):
+        held = list(batches)
+        if held:
+            totals = _totals(pa.Table.from_batches(held))
+            yield _part(list(totals), TaskContext.get().partitionId(), [finders[fit](total) for fit, total in totals.items()])
+
+    return find
+
+
 def _gather(edges: list, labels: int, masks: int):
     """Arrow batches of features, labels, masks -> one row a chunk of at most CHUNK_ROWS rows."""
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("bins", pa.binary()), ("labels", pa.binary()), ("masks", pa.binary())])
@@ -297,53 +347,21 @@ def _gather(edges: list, labels: int, masks: int):
 # ---- growth on the driver -----------------------------------------------------
 
 class _Node:
-    __slots__ = ("leaf", "depth", "sums", "hist", "gain", "rank", "split", "left", "children", "parent")
+    __slots__ = ("leaf", "depth", "sums", "gain", "rank", "split", "left", "children", "parent")
 
     def __init__(self, leaf, depth, sums, parent):
         self.leaf, self.depth, self.sums, self.parent = leaf, depth, sums, parent
-        self.hist = self.split = self.left = self.children = None
+        self.split = self.left = self.children = None
         self.gain, self.rank = 0.0, 0.0
 
 
-class SplitFinder:
-    """The best split of nodes, from their histograms over one fit's bins."""
-
-    def __init__(self, widths: list, growth: Growth):
-        self.growth = growth
-        self.starts = np.concatenate([[0], np.cumsum(widths)])[:-1].astype(int)
-        self.feature = np.repeat(np.arange(len(widths)), widths)
-        self.bin = np.arange(len(self.feature)) - self.starts[self.feature]
-        self.last = self.bin == np.array(widths)[self.feature] - 1
-
-    def __call__(self, nodes: list) -> None:
-        g = self.growth
-        hist = np.stack([n.hist for n in nodes], axis=1)  # 3 x nodes x bins
-        run = np.cumsum(hist, axis=2)
-        before = np.concatenate([np.zeros(run.shape[:2] + (1,)), run], axis=2)[:, :, self.starts]
-        left = run - before[:, :, self.feature]
-        total = np.stack([n.sums for n in nodes], axis=1)[:, :, None]
-        right = total - left
-        weight = 1 if g.second_order else 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / left[weight] + right[0] ** 2 / right[weight] - total[0] ** 2 / total[weight]
-        fits = (left[2] >= g.min_leaf) & (right[2] >= g.min_leaf) & (left[1] >= g.min_hessian) & (right[1] >= g.min_hessian)
-        fits &= ~self.last & (left[2] > 0) & (right[2] > 0) & np.isfinite(gain)
-        gain = np.where(fits, gain, 0.0)
-        # the first feature and bin at a tie, which sums in another order must not break
-        best = (gain >= gain.max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1)
-        for i, (node, at) in enumerate(zip(nodes, best)):
-            if gain[i, at] > LEAST_GAIN:
-                node.gain, node.split, node.left = gain[i, at], (int(self.feature[at]), int(self.bin[at])), left[:, i, at]
-                node.rank = node.gain if node.parent is None else min(node.gain, node.parent.rank)
-
-
 class _Fit:
     """The state of one fit: finished trees and the tree in growth."""
 
     def __init__(self, number: int, spec: FitSpec, features: list, label: int, mask: int, init: float, rows: int, widths: list, growth: Growth):
         self.number, self.spec, self.features, self.label, self.mask = number, spec, features, label, mask
         self.init, self.growth = init, growth
-        self.find = SplitFinder([widths[f] for f in features], growth)
+        self.find = SplitFinder([widths[f] for f in features], growth) if features else None
         self.splits = np.empty((0, growth.most_splits, 3), np.int16)
         self.values = np.empty((0, growth.most_splits + 1))
         self.done = rows == 0 or growth.trees == 0 or not features
@@ -358,25 +376,14 @@ class _Fit:
                        np.array([(leaf, self.features[f], b) for leaf, f, b in self.growing], np.int16).reshape(-1, 3),
                        {node.leaf: slot for slot, node in enumerate(self.asked)})
 
-    def take(self, hist: np.ndarray) -> None:
-        """The histograms of the nodes asked for: find their and their siblings' splits and grow on."""
-        fresh = []
-        for slot, node in enumerate(self.asked):
-            node.hist = hist[:, slot]
+    def take(self, found: np.ndarray) -> None:
+        """The best splits of the nodes asked for (SplitFinder's rows): grow on."""
+        for node, row in zip(self.asked, found):
             if node.sums is None:
-                node.sums = node.hist[:, :self.find.starts[1] if len(self.find.starts) > 1 else None].sum(axis=1)
-            fresh.append(node)
-            if node.parent is not None:
-                other = next(c for c in node.parent.children if c is not node)
-                if other.hist is None and self.may_split(other) and other not in self.asked:
-                    other.hist = node.parent.hist - node.hist
-                    fresh.append(other)
-        able = [n for n in fresh if self.may_split(n)]
-        if able:
-            self.find(able)
-        for node in fresh:
-            if node.parent is not None and all(c.hist is not None or not self.may_split(c) for c in node.parent.children):
-                node.parent.hist = None
+                node.sums = row[6:]
+            if self.may_split(node) and row[0] > LEAST_GAIN:
+                node.gain, node.split, node.left = row[0], (int(row[1]), int(row[2])), row[3:6]
+                node.rank = node.gain if node.parent is None else min(node.gain, node.parent.rank)
         self.grow()
 
     def may_split(self, node: _Node) -> bool:
@@ -397,11 +404,7 @@ class _Fit:
             right = _Node(len(self.growing), node.depth + 1, node.sums - node.left, node)
             node.children = (left, right)
             self.nodes += [left, right]
-            able = [c for c in node.children if self.may_split(c)]
-            if able:
-                self.asked.append(min(able, key=lambda c: c.sums[2]) if len(able) == 2 else able[0])
-            else:
-                node.hist = None
+            self.asked += [c for c in node.children if self.may_split(c)]
         if not self.asked:
             self.finish()
 
@@ -452,13 +455,16 @@ def _train(chunks: DataFrame, tasks: int, fits: list, shape: tuple, widths: list
     """Grow all trees of ``fits`` (numbered from 0), a job for each level that any of them waits for."""
     run, inits = uuid.uuid4().hex, [f.init for f in fits]
     while active := [f for f in fits if not f.done]:
-        sums = chunks.mapInArrow(_count(run, shape, inits, widths, [f.wanted() for f in active]), _PART_DDL)
+        finders = {f.number: f.find for f in active}
+        sums = chunks.mapInArrow(_count(run, shape, inits, widths, [f.wanted() for f in active], finders if tasks == 1 else None), _PART_DDL)
         groups = tasks
         while groups > FAN_IN:
             groups = -(-groups // FAN_IN)
             sums = sums.groupBy("fit", F.pmod("task", F.lit(groups)).alias("group")).applyInArrow(_add_group, _PART_DDL)
-        for number, total in _totals(sums.toArrow()).items():
-            fits[number].take(total.reshape(3, len(fits[number].asked), -1))
+        if tasks > 1:
+            sums = sums.repartition(min(FINDERS, len(active)), "fit").mapInArrow(_find(finders), _PART_DDL)
+        for number, found in _totals(sums.toArrow()).items():
+            fits[number].take(found.reshape(len(fits[number].asked), -1))
 
 
 def fit_all(df: DataFrame, features: dict, specs: list[FitSpec], growth: Growth) -> dict[str, BoostedTrees]:

@@ -132,3 +132,15 @@ def test_a_worker_without_its_store_gives_the_same_sums():
     late = bo.histograms(step, wanted(2), [9, 9])
     assert (late == bo.histograms(bo._Chunk(row, shape, [0.5]), wanted(2), [9, 9])).all()
     assert (bo.histograms(step, wanted(1), [9, 9]) == bo.histograms(bo._Chunk(row, shape, [0.5]), wanted(1), [9, 9])).all()
+
+
+@pytest.mark.parametrize("task_rows", [100, 400, 10_000])
+def test_the_driver_sees_no_histograms(spark, frame, monkeypatch, task_rows):
+    """A few numbers a node reach the driver, however many tasks and bins there are."""
+    monkeypatch.setattr(bo, "TASK_ROWS", task_rows)
+    seen, totals = [], bo._totals
+    monkeypatch.setattr(bo, "_totals", lambda table: seen.append(sum(len(s.as_py()) for s in table.column("sums"))) or totals(table))
+    specs = [bo.FitSpec("y", "classifier", FEATURES, F.col("y")), bo.FitSpec("z", "regressor", FEATURES, F.col("z"))]
+    models = bo.fit_all(frame, {f: F.col(f) for f in FEATURES}, specs, bo.Growth(trees=2, depth=3))
+    assert all(len(m.splits) == 2 for m in models.values()) and sum(len(e) for e in models["y"].edges) > 250
+    assert seen and max(seen) <= 4 * 9 * 8  # of one fit (a chain each): nodes of the widest level, numbers, bytes
