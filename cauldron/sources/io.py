@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..operators import quality as qa
 from . import located, snapshots
 from ..schema import CUSTOMER_SCHEMA, MODEL_INPUT_COLUMNS, OPTIONAL_COLUMNS, REQUIRED_COLUMNS
+from ..session import write_stage_table
 
 _CONTRACT = tuple(f.name for f in CUSTOMER_SCHEMA.fields)
 
@@ -44,15 +45,19 @@ def _typed(raw: DataFrame, refuse: bool = True, locate=None) -> DataFrame:
     cells, faults = _cells(raw.columns)
     if refuse:
         key = F.col("customer_id") if "customer_id" in raw.columns else F.lit(None)
-        hit = raw.select(key.alias("id"), faults.alias("columns")).where(F.size("columns") > 0).first()
-        if hit:
-            at = locate().orderBy("file", "line").first() if locate else None
-            place = f"{at.file}, line {at.line}: " if at else ""
-            hit = (at.customer_id, at["columns"]) if at else (hit.id, hit["columns"])
-            raise ValueError(f"{place}row of customer {hit[0]!r}: missing or unreadable {', '.join(hit[1])}")
+        _refuse(raw.select(key.alias("id"), faults.alias("columns")).where(F.size("columns") > 0).first(), locate)
     return raw.select(*cells)
 
 
+def _refuse(hit, locate=None) -> None:
+    """Raise for a row (id, columns) with faults; with ``locate`` for the first one by file and line."""
+    if hit:
+        at = locate().orderBy("file", "line").first() if locate else None
+        place = f"{at.file}, line {at.line}: " if at else ""
+        hit = (at.customer_id, at["columns"]) if at else (hit.id, hit["columns"])
+        raise ValueError(f"{place}row of customer {hit[0]!r}: missing or unreadable {', '.join(hit[1])}")
+
+
 def faulty_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """(file, line, customer_id as text, columns) of rows with a cell that is missing or can't be read (V3).
 
@@ -99,7 +104,8 @@ def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True,
     Rows are parsed as maps, so no schema is inferred and unknown keys are
     seen. A document that is an array, or begins with the ``customers`` array,
     is read in as many tasks as its size asks for; one of another form is one
-    task. JSON lines always split.
+    task. JSON lines always split. With ``refuse`` rows are parsed once, into
+    a written table that the checks and the result read.
     """
     cell = "map<string,string>"
     objects = located.array_objects(spark, path, "customers") if multiline else None
@@ -117,13 +123,21 @@ def scan_customers_json(spark: SparkSession, path: str, multiline: bool = True,
         maps = text.select(F.explode(rows).alias("m"))
     else:
         maps = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", cell).alias("m"))
-    allowed = F.array(*[F.lit(c) for c in _CONTRACT])
-    odd = maps.select(F.array_except(F.map_keys("m"), allowed).alias("keys"), F.col("m")["customer_id"].alias("id")) \
-        .where("keys IS NULL OR size(keys) > 0").first()
-    if odd and refuse:
-        raise ValueError(f"row of customer {odd.id!r}: keys not in the contract {odd['keys']}")
-    return _typed(maps.select(*[F.col("m")[c].alias(c) for c in _CONTRACT]), refuse,
-                  None if multiline else lambda: faulty_rows(spark, path, "json"))
+    texts = [F.col("m")[c].alias(c) for c in _CONTRACT]
+    if not refuse:
+        return _typed(maps.select(*texts), False)
+    unknown = F.array_except(F.map_keys("m"), F.array(*[F.lit(c) for c in _CONTRACT]))
+    cells, faults = _cells(_CONTRACT)
+    rows = maps.select(unknown.alias("_keys"), *texts).select(
+        "_keys", F.col("customer_id").alias("_id"), faults.alias("_faults"), F.monotonically_increasing_id().alias("_at"), *cells)
+    # filters on unwritten rows would parse a row again for every cell they look at
+    rows = write_stage_table(rows, "customers-parsed")
+    odd = rows.where("_keys IS NULL OR size(_keys) > 0").orderBy("_at").first()
+    if odd:
+        raise ValueError(f"row of customer {odd['_id']!r}: keys not in the contract {odd['_keys']}")
+    faulty = rows.where("size(_faults) > 0").orderBy("_at").select(F.col("_id").alias("id"), F.col("_faults").alias("columns"))
+    _refuse(faulty.first(), None if multiline else lambda: faulty_rows(spark, path, "json"))
+    return rows.select(*_CONTRACT)
 
 
 def scan_customers_table(spark: SparkSession, path: str) -> DataFrame:

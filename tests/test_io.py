@@ -62,6 +62,36 @@ def test_document_query_is_not_grouped_by_segment(spark, monkeypatch):
     assert n / 20 - 5 <= sizes[0] <= n / 20 + 1
 
 
+@pytest.mark.parametrize("wrapped", [True, False])
+def test_json_rows_are_parsed_once(spark, customers, monkeypatch, wrapped):
+    """Neither the checks nor the result parse a row again."""
+    d, written = tempfile.mkdtemp(), []
+    if wrapped:
+        sio.write_customer_documents(customers, f"{d}/in", rows_per_document=20)
+    else:
+        sio.export_customers(customers, f"{d}/in", "json")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(sio, "write_stage_table", lambda df, name, write=sio.write_stage_table: written.append(plan(df)) or write(df, name))
+    back = sio.scan_customers_json(spark, f"{d}/in", multiline=wrapped)
+    # objects of a document that are one fragment and those put together are two branches
+    assert [p.count("from_json(") for p in written] == [2 if wrapped else 1] and "from_json(" not in plan(back)
+    assert sorted(back.collect()) == sorted(customers.collect())
+
+
+def test_the_first_faulty_json_row_is_named(spark, customers):
+    d = tempfile.mkdtemp()
+    row = json.loads(customers.limit(1).toJSON().first())
+    with open(f"{d}/c.json", "w") as f:
+        json.dump([row | {"customer_id": 10 * i} | ({"age": "old"} if i in (3, 5) else {}) | ({"extra": 1} if i == 7 else {}) for i in range(9)], f)
+    with pytest.raises(ValueError, match="customer '70': keys not in the contract .'extra'"):
+        sio.scan_customers_json(spark, f"{d}/c.json")
+    with open(f"{d}/d.json", "w") as f:
+        json.dump([row | {"customer_id": 10 * i} | ({"age": "old"} if i in (3, 5) else {}) for i in range(9)], f)
+    with pytest.raises(ValueError, match="customer '30': missing or unreadable age"):
+        sio.scan_customers_json(spark, f"{d}/d.json")
+    assert sio.scan_customers_json(spark, f"{d}/d.json", refuse=False).where("age IS NULL").count() == 2
+
+
 def test_csv_unknown_and_missing_columns(spark, customers):
     d = tempfile.mkdtemp()
     customers.withColumn("extra", F.lit(1)).limit(2).write.option("header", True).csv(f"{d}/extra")
