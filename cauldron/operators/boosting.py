@@ -13,21 +13,24 @@ gain along their path (the least gain from the root to the node) are split,
 which are the nodes that one-at-a-time best-first growth splits.
 
 Partial sums of more than ``FAN_IN`` tasks are added up in groups before they
-meet. A task needs the running scores of its
-rows: workers keep those of chunks they have met and add the trees since; a
-worker without them (a new one, or after the loss of an executor) starts from
-the fit's constant, so the store is never needed for a right result.
+meet. A task needs the running scores of its rows: they are cached beside the
+chunks and, every few trees, brought up to date in the job that counts next. A
+task adds the trees since. Lost cache blocks are computed again from the
+written chunks.
+
+Histograms are counted over joint bins of several features (``packing``) and
+added up over the features' own bins once a task.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import OrderedDict
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
+from pyspark.serializers import CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ CHUNK_ROWS = 65_536
 FAN_IN = 32
 FINDERS = 4  # tasks that share a job's fits when their sums meet
 GROUPS = 2  # chains of jobs that overlap
-STORE_BYTES = 256 << 20  # running scores and bins a worker keeps
+JOINT_BINS = 2_048  # of features that are counted together
+REPLAY_ROWS = 2_000_000  # rows times fits of a task whose scores are brought up to date with every tree
+STEPS = 20  # updates of cached scores before they are computed anew from the chunks
 LEAST_GAIN = 1e-9
 
 
@@ -120,7 +125,10 @@ def leaves_of(bins: np.ndarray, splits: np.ndarray) -> np.ndarray:
     for i, (at, feature, edge) in enumerate(splits.tolist()):
         if at < 0:
             break
-        np.putmask(leaf, (leaf == at) & (bins[feature] > edge), i + 1)
+        above = bins[feature] > edge
+        if i:
+            above &= leaf == at
+        leaf += above.view(np.uint8) * leaf.dtype.type(i + 1 - at)
     return leaf
 
 
@@ -130,24 +138,26 @@ def add_trees(raw: np.ndarray, bins: np.ndarray, splits: np.ndarray, values: np.
 
 
 class _Chunk:
-    """The arrays of one chunk and its running scores (a row a fit), with the number of trees in each."""
+    """The arrays of one chunk, and the scores its rows have so far (a row a fit), if any are known."""
 
     def __init__(self, row: dict, shape: tuple, inits: list):
         n, (features, labels, masks) = row["n"], shape
         self.n = n
         self.bins = np.frombuffer(row["bins"], np.uint8).reshape(features, n)
-        self.labels = np.frombuffer(row["labels"], np.float64).reshape(labels, n)
+        self.labels = np.frombuffer(row["labels"], np.float64 if len(row["labels"]) > labels * n else np.uint8).reshape(labels, n)
         self.masks = np.frombuffer(row["masks"], np.bool_).reshape(masks, n)
         self.inits = inits
-        self.raw = np.repeat(np.array(inits, float)[:, None], n, axis=1)
-        self.trees = [0] * len(inits)
+        self.raw = np.frombuffer(row["raw"], np.float64).reshape(len(inits), n) if row.get("raw") else None
 
-    @property
-    def bytes(self) -> int:
-        return self.bins.nbytes + self.labels.nbytes + self.masks.nbytes + self.raw.nbytes
+    def scores(self, fit: int, splits: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The fit's scores with these trees added."""
+        if self.raw is not None and not len(splits):
+            return self.raw[fit]
+        raw = np.full(self.n, self.inits[fit], float) if self.raw is None else self.raw[fit].copy()
+        add_trees(raw, self.bins, splits, values)
+        return raw
 
 
-_KEPT: OrderedDict = OrderedDict()
 _SETTLED = False
 
 
@@ -161,17 +171,9 @@ def _settle() -> None:
         _SETTLED = True
 
 
-def _kept(key, row, shape, inits) -> _Chunk:
-    chunk = _KEPT.pop(key, None) or _Chunk(row, shape, inits)
-    _KEPT[key] = chunk
-    while len(_KEPT) > 1 and sum(c.bytes for c in _KEPT.values()) > STORE_BYTES:
-        _KEPT.popitem(last=False)
-    return chunk
-
-
 @dataclass
 class _Wanted:
-    """What a job is to count for one fit: its trees so far, the splits of the tree in growth, and leaf -> slot."""
+    """What a job is to count for one fit: its trees that the known scores lack, the splits of the tree in growth, and leaf -> slot."""
 
     fit: int
     kind: str
@@ -184,69 +186,138 @@ class _Wanted:
     slots: dict
 
 
+def packing(widths: list, most: int = JOINT_BINS) -> list:
+    """Groups of features (by place, narrowest first) whose joint bins are at most ``most``, or a single feature: first fit, widest first."""
+    groups: list = []
+    for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+        for g in groups:
+            if g[1] * widths[f] <= most:
+                g[0].append(f)
+                g[1] *= widths[f]
+                break
+        else:
+            groups.append([[f], widths[f]])
+    return [(tuple(places[::-1]), cells) for places, cells in groups]
+
+
+class _Sums:
+    """Sums of gradient, (of a classifier) second derivative, and rows, of each slot and joint bin."""
+
+    def __init__(self, w: "_Wanted", widths: list, most: int = JOINT_BINS):
+        self.w, self.widths = w, [widths[f] for f in w.features]
+        self.groups = packing(self.widths, most)
+        self.of = [np.zeros((3 if w.kind == "classifier" else 2, len(w.slots), cells)) for _, cells in self.groups]
+
+    def codes(self, chunk: _Chunk) -> list:
+        """The joint bin of each row in each group."""
+        out = []
+        for places, _ in self.groups:
+            code = chunk.bins[self.w.features[places[0]]]
+            for f in places[1:]:
+                code = np.multiply(code, self.widths[f], dtype=np.uint16)
+                code += chunk.bins[self.w.features[f]]
+            out.append(code)
+        return out
+
+    def add(self, chunk: _Chunk, codes: list) -> None:
+        w, many, slot = self.w, len(self.w.slots), None
+        raw, y, seen = chunk.scores(w.fit, w.splits, w.values), chunk.labels[w.label], chunk.masks[w.mask]
+        if len(w.growing):
+            leaf = leaves_of(chunk.bins, w.growing)
+            wanted = np.zeros(chunk.n, np.bool_)
+            table = np.zeros(len(w.growing) + 1, np.intp)
+            for at, place in w.slots.items():
+                wanted |= leaf == at
+                table[at] = place
+            rows = np.flatnonzero(wanted & seen)
+            if many > 1:
+                slot = table.take(leaf.take(rows))
+        else:
+            rows = np.flatnonzero(seen)
+        if len(rows) < chunk.n:
+            raw, y, codes = raw.take(rows), y.take(rows), [c.take(rows) for c in codes]
+        if w.kind == "classifier":
+            p = np.negative(raw)
+            np.exp(p, out=p)
+            p += 1.0
+            np.divide(1.0, p, out=p)
+            weights = (p - y, p * (1.0 - p), None)
+        else:
+            weights = (raw - y, None)
+        for code, (_, cells), of in zip(codes, self.groups, self.of):
+            cell = code.astype(np.intp)
+            if slot is not None:
+                cell += slot * cells
+            for total, weight in zip(of, weights):
+                total += np.bincount(cell, weight, many * cells).reshape(many, cells)
+
+    def histograms(self) -> np.ndarray:
+        """(gradient, second derivative, rows) x slots x bins of the fit's features."""
+        starts = np.concatenate([[0], np.cumsum(self.widths)]).astype(int)
+        out = np.empty((3, len(self.w.slots), starts[-1]))
+        sums = (0, 1, 2) if self.w.kind == "classifier" else (0, 2)
+        for (places, _), rest in zip(self.groups, self.of):
+            for f in reversed(places):
+                rest = rest.reshape(len(sums), len(self.w.slots), -1, self.widths[f])
+                out[sums, :, starts[f]:starts[f + 1]] = rest.sum(axis=2)
+                rest = rest.sum(axis=3)
+        if self.w.kind != "classifier":
+            out[1] = out[2]
+        return out
+
+
 def histograms(chunk: _Chunk, w: _Wanted, widths: list) -> np.ndarray:
     """(gradient, second derivative, rows) x slots x bins of the fit's features, for one chunk."""
-    have = chunk.trees[w.fit]
-    if have > len(w.splits):  # a late copy of an earlier job's task
-        chunk.raw[w.fit], have = chunk.inits[w.fit], 0
-    add_trees(chunk.raw[w.fit], chunk.bins, w.splits[have:], w.values[have:])
-    chunk.trees[w.fit] = len(w.splits)
-    leaf = leaves_of(chunk.bins, w.growing)
-    table = np.full(len(w.growing) + 1, -1, np.int16)
-    for at, slot in w.slots.items():
-        table[at] = slot
-    slot = table[leaf]
-    rows = np.flatnonzero((slot >= 0) & chunk.masks[w.mask])
-    slot, y, raw = slot[rows].astype(np.intp), chunk.labels[w.label][rows], chunk.raw[w.fit][rows]
-    many = len(w.slots)
-    if w.kind == "classifier":
-        p = 1.0 / (1.0 + np.exp(-raw))
-        gradient, second = p - y, p * (1.0 - p)
-    else:
-        gradient, second = raw - y, None
-    out = np.zeros((3, many, sum(widths[f] for f in w.features)))
-    at = 0
-    for f in w.features:
-        width = widths[f]
-        cell = slot * width + chunk.bins[f][rows]
-        place = (slice(None), slice(at, at + width))
-        out[0][place] = np.bincount(cell, gradient, many * width).reshape(many, width)
-        count = np.bincount(cell, minlength=many * width).reshape(many, width)
-        out[1][place] = count if second is None else np.bincount(cell, second, many * width).reshape(many, width)
-        out[2][place] = count
-        at += width
-    return out
+    sums = _Sums(w, widths)
+    sums.add(chunk, sums.codes(chunk))
+    return sums.histograms()
 
 
 _PART = pa.schema([("fit", pa.int32()), ("task", pa.int32()), ("sums", pa.binary())])
-_PART_DDL = "fit int, task int, sums binary"
 
 
-def _part(fits: list, task: int, arrays: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(fits, pa.int32()), pa.array([task] * len(fits), pa.int32()),
-                                       pa.array([a.tobytes() for a in arrays], pa.binary())], schema=_PART)
+def _table(parts: list) -> pa.Table:
+    """Tuples of fit, task and the bytes of sums."""
+    columns = zip(*parts) if parts else ((), (), ())
+    return pa.table([pa.array(c, t.type) for c, t in zip(columns, _PART)], schema=_PART)
 
 
-def _count(run: str, shape: tuple, inits: list, widths: list, wanted: list, finders: dict | None):
-    """Chunks -> one row a fit with the task's histograms; with ``finders``, as for the only task, with the best splits."""
+def _count(shape: tuple, inits: list, widths: list, most: int, wanted: list, finders: dict | None):
+    """Chunks -> a tuple for each fit with the task's histograms; with ``finders``, as for the only task, with the best splits."""
 
-    def count(batches):
+    def count(rows):
         _settle()
         sums = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _kept((run, row["chunk"]), row, shape, inits)
-                parts = [histograms(chunk, w, widths) for w in wanted]
-                sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
-        if sums is not None:
-            fits = [w.fit for w in wanted]
-            if finders is not None:
-                sums = [finders[fit](total) for fit, total in zip(fits, sums)]
-            yield _part(fits, TaskContext.get().partitionId(), sums)
+        for row in rows:
+            chunk, codes = _Chunk(row, shape, inits), {}
+            sums = sums or [_Sums(w, widths, most) for w in wanted]
+            for s in sums:
+                key = tuple(s.w.features)
+                if key not in codes:
+                    codes[key] = s.codes(chunk)
+                s.add(chunk, codes[key])
+        for s in sums or ():
+            found = s.histograms()
+            yield s.w.fit, TaskContext.get().partitionId(), (found if finders is None else finders[s.w.fit](found)).tobytes()
 
     return count
 
 
+def _scored(shape: tuple, inits: list, trees: dict):
+    """Chunks -> chunks with the scores after the ``trees`` (splits, values) of each fit were added; a fit without is done."""
+
+    def score(rows):
+        _settle()
+        for row in rows:
+            chunk = _Chunk(row, shape, inits)
+            raw = np.zeros((len(inits), chunk.n))
+            for fit, (splits, values) in trees.items():
+                raw[fit] = chunk.scores(fit, splits, values)
+            yield {**row, "raw": raw.tobytes()}
+
+    return score
+
+
 def _totals(table: pa.Table) -> dict:
     """fit -> the sum of its tasks' histograms, added in the tasks' order."""
     out: dict = {}
@@ -263,10 +334,15 @@ def _totals(table: pa.Table) -> dict:
     return out
 
 
-def _add_group(table: pa.Table) -> pa.Table:
-    (fit, total), = _totals(table).items()
-    task = min(table.column("task").to_pylist())
-    return pa.table([pa.array([fit], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_PART)
+def _add_groups(parts) -> list:
+    """(fit, task, sums) of some fits and tasks, keyed -> one of each key."""
+    held: dict = {}
+    for key, part in parts:
+        held.setdefault(key, []).append(part)
+    out = []
+    for (fit, _), group in held.items():
+        out.append((fit, min(task for _, task, _ in group), _totals(_table(group))[fit].tobytes()))
+    return out
 
 
 class SplitFinder:
@@ -301,17 +377,21 @@ class SplitFinder:
 
 
 def _find(finders: dict):
-    """The tasks' histograms of some fits -> one row a fit with its nodes' best splits."""
+    """The tasks' histograms of some fits, keyed by fit -> one row a fit with its nodes' best splits."""
 
-    def find(batches):
-        held = list(batches)
-        if held:
-            totals = _totals(pa.Table.from_batches(held))
-            yield _part(list(totals), TaskContext.get().partitionId(), [finders[fit](total) for fit, total in totals.items()])
+    def find(parts):
+        held = [part for _, part in parts]
+        return [(fit, 0, finders[fit](total).tobytes()) for fit, total in _totals(_table(held)).items()] if held else []
 
     return find
 
 
+def _label_bytes(columns: list) -> bytes:
+    """A byte a label if all are whole numbers below 256 (0/1 labels), else eight."""
+    small = all(((c >= 0) & (c < 256) & (c == np.floor(c))).all() for c in columns)
+    return b"".join(c.astype(np.uint8 if small else np.float64).tobytes() for c in columns)
+
+
 def _gather(edges: list, labels: int, masks: int):
     """Arrow batches of features, labels, masks -> one row a chunk of at most CHUNK_ROWS rows."""
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("bins", pa.binary()), ("labels", pa.binary()), ("masks", pa.binary())])
@@ -324,7 +404,7 @@ def _gather(edges: list, labels: int, masks: int):
             columns = [np.concatenate(c) for c in zip(*held)]
             f, n = len(edges), size
             values = [f"{task}-{number}", n, b"".join(c.tobytes() for c in columns[:f]),
-                      b"".join(c.tobytes() for c in columns[f:f + labels]), b"".join(c.tobytes() for c in columns[f + labels:])]
+                      _label_bytes(columns[f:f + labels]), b"".join(c.tobytes() for c in columns[f + labels:])]
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, schema)], schema=schema)
 
         for batch in batches:
@@ -360,7 +440,7 @@ class _Fit:
 
     def __init__(self, number: int, spec: FitSpec, features: list, label: int, mask: int, init: float, rows: int, widths: list, growth: Growth):
         self.number, self.spec, self.features, self.label, self.mask = number, spec, features, label, mask
-        self.init, self.growth = init, growth
+        self.init, self.growth, self.rows = init, growth, rows
         self.find = SplitFinder([widths[f] for f in features], growth) if features else None
         self.splits = np.empty((0, growth.most_splits, 3), np.int16)
         self.values = np.empty((0, growth.most_splits + 1))
@@ -371,8 +451,8 @@ class _Fit:
         self.nodes, self.growing = [_Node(0, 0, None, None)], []
         self.asked = list(self.nodes)
 
-    def wanted(self) -> _Wanted:
-        return _Wanted(self.number, self.spec.kind, self.features, self.label, self.mask, self.splits, self.values,
+    def wanted(self, have: int) -> _Wanted:
+        return _Wanted(self.number, self.spec.kind, self.features, self.label, self.mask, self.splits[have:], self.values[have:],
                        np.array([(leaf, self.features[f], b) for leaf, f, b in self.growing], np.int16).reshape(-1, 3),
                        {node.leaf: slot for slot, node in enumerate(self.asked)})
 
@@ -451,20 +531,48 @@ def _numbered(items: list) -> tuple[list, list]:
     return [i for _, i in seen.values()], numbers
 
 
-def _train(chunks: DataFrame, tasks: int, fits: list, shape: tuple, widths: list) -> None:
+def _train(chunks: RDD, tasks: int, fits: list, shape: tuple, widths: list) -> None:
     """Grow all trees of ``fits`` (numbered from 0), a job for each level that any of them waits for."""
-    run, inits = uuid.uuid4().hex, [f.init for f in fits]
-    while active := [f for f in fits if not f.done]:
-        finders = {f.number: f.find for f in active}
-        sums = chunks.mapInArrow(_count(run, shape, inits, widths, [f.wanted() for f in active], finders if tasks == 1 else None), _PART_DDL)
-        groups = tasks
-        while groups > FAN_IN:
-            groups = -(-groups // FAN_IN)
-            sums = sums.groupBy("fit", F.pmod("task", F.lit(groups)).alias("group")).applyInArrow(_add_group, _PART_DDL)
-        if tasks > 1:
-            sums = sums.repartition(min(FINDERS, len(active)), "fit").mapInArrow(_find(finders), _PART_DDL)
-        for number, found in _totals(sums.toArrow()).items():
-            fits[number].take(found.reshape(len(fits[number].asked), -1))
+    inits, rows = [f.init for f in fits], max((f.rows for f in fits), default=0) // tasks
+    every = max(1, isqrt(REPLAY_ROWS // max(1, rows * len(fits))))  # trees between updates of the cached scores
+    most = min(JOINT_BINS, rows // 4)  # few rows are not worth many joint bins
+    state, have, steps = None, [0] * len(fits), 0
+    try:
+        while active := [f for f in fits if not f.done]:
+            old = None
+            if state is None or sum(len(f.splits) - have[f.number] for f in active) >= every * len(active):
+                old, anew = state, state is None or steps == STEPS
+                known = [0] * len(fits) if anew else have
+                update = _scored(shape, inits, {f.number: (f.splits[known[f.number]:], f.values[known[f.number]:]) for f in active})
+                state = _unbatched((chunks if anew else old).mapPartitions(update, True)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+                have, steps = [len(f.splits) for f in fits], 1 if anew else steps + 1
+            finders = {f.number: f.find for f in active}
+            wanted = [f.wanted(have[f.number]) for f in active]
+            sums = state.mapPartitions(_count(shape, inits, widths, most, wanted, finders if tasks == 1 else None))
+            groups = tasks
+            while groups > FAN_IN:
+                groups = -(-groups // FAN_IN)
+                keyed = sums.map(lambda part, n=groups: ((part[0], part[1] % n), part))
+                sums = keyed.partitionBy(groups * len(active), _place(groups)).mapPartitions(_add_groups)
+            if tasks > 1:
+                places = {f.number: i for i, f in enumerate(active)}
+                sums = sums.map(lambda part: (part[0], part)).partitionBy(min(FINDERS, len(active)), places.get).mapPartitions(_find(finders))
+            for number, found in _totals(_table(sums.collect())).items():
+                fits[number].take(found.reshape(len(fits[number].asked), -1))
+            if old is not None:
+                old.unpersist()
+    finally:
+        if state is not None:
+            state.unpersist()
+
+
+def _place(groups: int):
+    return lambda key: key[0] * groups + key[1]
+
+
+def _unbatched(rdd: RDD) -> RDD:
+    """A chunk is an object of its own: batches of them would be as large as a partition."""
+    return rdd._reserialize(CPickleSerializer())
 
 
 def fit_all(df: DataFrame, features: dict, specs: list[FitSpec], growth: Growth) -> dict[str, BoostedTrees]:
@@ -488,13 +596,11 @@ def fit_all(df: DataFrame, features: dict, specs: list[FitSpec], growth: Growth)
     ship_package(spark)
     gather, ddl = _gather(edges, len(labels), len(masks))
     tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-max(rows, default=0) // TASK_ROWS)))
-    chunks = write_stage_table(narrow.repartition(tasks).mapInArrow(gather, ddl), "chunks").persist(StorageLevel.MEMORY_AND_DISK)
-    shape, tasks = (len(names), len(labels), len(masks)), chunks.rdd.getNumPartitions()
-    try:
-        # one group's jobs run while the driver picks the other's splits
-        run_concurrently([lambda g=g: _train(chunks, tasks, fits[g::GROUPS], shape, widths) for g in range(min(GROUPS, len(fits)))], GROUPS)
-    finally:
-        chunks.unpersist()
+    # RDDs from here: jobs without planning, and cached chunks reach the workers as they are
+    chunks = write_stage_table(narrow.repartition(tasks).mapInArrow(gather, ddl), "chunks").rdd.map(lambda row: row.asDict())
+    shape, tasks = (len(names), len(labels), len(masks)), chunks.getNumPartitions()
+    # one group's jobs run while the driver picks the other's splits
+    run_concurrently([lambda g=g: _train(chunks, tasks, fits[g::GROUPS], shape, widths) for g in range(min(GROUPS, len(fits)))], GROUPS)
     out = {}
     for f in fits:
         own = np.full(len(names) + 1, -1, np.int16)  # the place of a feature in the fit's own list; the last entry is for -1

@@ -144,3 +144,42 @@ def test_the_driver_sees_no_histograms(spark, frame, monkeypatch, task_rows):
     models = bo.fit_all(frame, {f: F.col(f) for f in FEATURES}, specs, bo.Growth(trees=2, depth=3))
     assert all(len(m.splits) == 2 for m in models.values()) and sum(len(e) for e in models["y"].edges) > 250
     assert seen and max(seen) <= 4 * 9 * 8  # of one fit (a chain each): nodes of the widest level, numbers, bytes
+
+
+def test_tasks_add_few_trees_to_kept_scores(spark, frame, monkeypatch):
+    """However many trees are grown, a task adds those since the last update of the cached scores; updates change no tree."""
+    monkeypatch.setattr(bo, "TASK_ROWS", 400)
+    specs = [bo.FitSpec("y", "classifier", FEATURES, F.col("y")), bo.FitSpec("z", "regressor", FEATURES, F.col("z"))]
+    cols, g = {f: F.col(f) for f in FEATURES}, bo.Growth(trees=6, depth=2)
+    whole = bo.fit_all(frame, cols, specs, g)
+    added, count = [], bo._count
+    monkeypatch.setattr(bo, "_count", lambda *args: added.extend(len(w.splits) for a in args if isinstance(a, list) for w in a
+                                                                 if isinstance(w, bo._Wanted)) or count(*args))
+    monkeypatch.setattr(bo, "REPLAY_ROWS", 0, raising=False)
+    monkeypatch.setattr(bo, "STEPS", 2, raising=False)
+    often = bo.fit_all(frame, cols, specs, g)
+    assert added and max(added) == 0
+    for name, m in whole.items():
+        assert (m.splits == often[name].splits).all() and np.allclose(m.values, often[name].values, atol=1e-12)
+
+
+def test_joint_bins_add_up_to_those_of_each_feature():
+    rng = np.random.default_rng(2)
+    n, widths = 3000, [5, 200, 2, 1, 30, 255, 2]
+    bins = np.stack([rng.integers(0, w, n) for w in widths]).astype(np.uint8)
+    y, raw, seen = rng.integers(0, 2, n).astype(float), rng.normal(size=n), rng.random(n) < 0.7
+    row = {"n": n, "bins": bins.tobytes(), "labels": y.tobytes(), "masks": seen.tobytes(), "raw": raw.tobytes()}
+    growing, at = np.array([[0, 1, 90], [0, 4, 9]], np.int16), [0, 1, 4, 5, 2, 6]
+    leaf = np.where(bins[1] > 90, 1, np.where(bins[4] > 9, 2, 0))
+    p = 1 / (1 + np.exp(-raw))
+    groups = bo.packing([widths[f] for f in at])
+    assert sorted(f for places, _ in groups for f in places) == list(range(len(at))) and len(groups) < len(at)
+    for kind, g, h in (("classifier", p - y, p * (1 - p)), ("regressor", raw - y, np.ones(n))):
+        wanted = bo._Wanted(0, kind, at, 0, 0, np.empty((0, 3, 3), np.int16), np.empty((0, 4)), growing, {2: 0, 1: 1})
+        got, start = bo.histograms(bo._Chunk(row, (7, 1, 1), [0.0]), wanted, widths), 0
+        for f in at:
+            for slot, number in enumerate((2, 1)):
+                rows = seen & (leaf == number)
+                for sums, weight in zip(got, (g, h, np.ones(n))):
+                    assert np.allclose(sums[slot, start:start + widths[f]], np.bincount(bins[f][rows], weight[rows], widths[f]))
+            start += widths[f]
