@@ -96,7 +96,9 @@ class BoostedTrees:
 
     def scores(self, columns: list[np.ndarray]) -> np.ndarray:
         """Predictions (probabilities of 1 for a classifier) from raw feature columns."""
-        bins = np.stack([binned(x, e) for x, e in zip(columns, self.edges)]) if columns else np.zeros((0, 0), np.uint8)
+        return self.binned_scores(np.stack([binned(x, e) for x, e in zip(columns, self.edges)]) if columns else np.zeros((0, 0), np.uint8))
+
+    def binned_scores(self, bins: np.ndarray) -> np.ndarray:
         raw = np.full(bins.shape[1], self.init)
         add_trees(raw, bins, self.splits, self.values)
         return 1.0 / (1.0 + np.exp(-raw)) if self.kind == "classifier" else raw
@@ -613,25 +615,48 @@ def fit_all(df: DataFrame, features: dict, specs: list[FitSpec], growth: Growth)
 
 
 def score_columns(df: DataFrame, models: list[tuple]) -> DataFrame:
-    """``df`` with a prediction column for each (output name, BoostedTrees, {feature: Column}); one Arrow pass for all."""
+    """``df`` with a prediction column for each (output name, BoostedTrees, {feature: Column}); one Arrow pass for all.
+
+    A fourth item, a Column, names the rows that need the prediction; it is NaN in the others.
+    """
     from pyspark.sql.functions import pandas_udf
 
     ship_package(df.sparkSession)
-    inputs, numbers = _numbered([cols[f] for _, m, cols in models for f in m.features])
+    inputs, numbers = _numbered([cols[f] for _, m, cols, *_ in models for f in m.features])
+    wanted, places = _numbered([F.lit(True) if not rows else rows[0] for _, _, _, *rows in models])
     taken, at = [], 0
-    for _, m, _ in models:
+    for _, m, *_ in models:
         taken.append(numbers[at:at + len(m.features)])
         at += len(m.features)
-    trees = [m for _, m, _ in models]
+    trees, some = [m for _, m, *_ in models], [bool(rows) for _, _, _, *rows in models]
+    width = len(inputs)
 
     def predict(*columns):
         import pandas as pd
 
         _settle()
-        values = [c.to_numpy(float) for c in columns]
-        return pd.DataFrame({f"s{i}": m.scores([values[j] for j in mine]) if mine else np.full(len(columns[0]), m.init)
-                             for i, (m, mine) in enumerate(zip(trees, taken))})
+        values, n, kept, out = [c.to_numpy(float) for c in columns[:width]], len(columns[0]), {}, {}
+        masks = [c.to_numpy(float) == 1 for c in columns[width:]]
+
+        def bins(column, edges):  # the models of a run share their edges
+            key = column, id(edges)
+            if key not in kept:
+                kept[key] = binned(values[column], edges)
+            return kept[key]
+
+        for i, (m, mine) in enumerate(zip(trees, taken)):
+            if not mine:
+                out[f"s{i}"] = np.full(n, m.init)
+                continue
+            found = np.stack([bins(j, e) for j, e in zip(mine, m.edges)])
+            if some[i]:
+                rows = np.flatnonzero(masks[places[i]])
+                out[f"s{i}"] = np.full(n, np.nan)
+                out[f"s{i}"][rows] = m.binned_scores(np.ascontiguousarray(found[:, rows]))
+            else:
+                out[f"s{i}"] = m.binned_scores(found)
+        return pd.DataFrame(out)
 
     udf = pandas_udf(predict, ", ".join(f"s{i} double" for i in range(len(trees))))
-    scored = df.select("*", udf(*[c.cast("double") for c in inputs]).alias("_scores"))
-    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_scores.s{i}").alias(out) for i, (out, _, _) in enumerate(models)])
+    scored = df.select("*", udf(*[c.cast("double") for c in inputs + wanted]).alias("_scores"))
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_scores.s{i}").alias(out) for i, (out, *_) in enumerate(models)])

@@ -460,7 +460,9 @@ def fit_jointly(df: DataFrame, cfg: ModelConfig, features: FeatureConfig, varian
         return {v.name: FittedTLearner(preps[v.name], cfg, features, models[f"mu0_{v.name}"], models[f"mu1_{v.name}"]) for v in variants}
     if cfg.model_type == "x_learner":
         return _finish_x(x, cfg, features, variants, preps, models, inputs, growth)
-    scored = score_columns(x, [(f"_{what}_{v.name}_{k}", models[f"{what}{k}_{v.name}"].model, raw_inputs(preps[v.name], _nuisance_names(preps[v.name])))
+    # a row needs the nuisances of its own fold, and of variants that see it
+    scored = score_columns(x, [(f"_{what}_{v.name}_{k}", models[f"{what}{k}_{v.name}"].model, raw_inputs(preps[v.name], _nuisance_names(preps[v.name])),
+                                F.col(f"_in_{v.name}") & (F.col(f"_fold_{v.name}") == k))
                                for v in variants for k in range(cfg.folds) for what in ("my", "mt")])
     scored = write_stage_table(scored, "nuisances")
     het = {v.name: heterogeneity_columns(preps[v.name]) for v in variants}

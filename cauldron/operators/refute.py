@@ -35,14 +35,17 @@ def _relative(new: float, original: float) -> float:
     return abs(new - original) / abs(original) if original != 0 else abs(new)
 
 
+def _needed(features: FeatureConfig) -> list:
+    return list(dict.fromkeys([features.key, features.treatment, features.outcome, *features.all_features]))
+
+
 def _joint_refits(df: DataFrame, cfg: ModelConfig, features: FeatureConfig, fraction: float, with_original: bool):
     """(the original model or None, refitted means): all boosted fits in the same jobs."""
     placebo, noise = "_placebo_treatment", "random_noise"
-    wide = permute_treatment(add_noise_feature(df, features.key, cfg.seed, noise), features.treatment, features.key, cfg.seed, placebo,
-                             circle=False)
+    noisy = add_noise_feature(df.select(*_needed(features)), features.key, cfg.seed, noise)
+    wide = permute_treatment(noisy, features.treatment, features.key, cfg.seed, placebo, circle=False)
     keep = subset_condition(features.key, cfg.seed, fraction)
-    columns = dict.fromkeys([features.key, features.treatment, features.outcome, *features.all_features, noise, placebo])
-    wide = write_stage_table(wide.select(*columns), "refits")
+    wide = write_stage_table(wide, "refits")
     variants = [Variant("placebo", treatment=placebo), Variant("noisy", extra=(noise,)), Variant("subset", rows=keep)]
     fitted = fit_jointly(wide, cfg, features, ([Variant("original")] if with_original else []) + variants)
 
@@ -100,8 +103,10 @@ def refutation_report(df: DataFrame, cfg: ModelConfig = ModelConfig(),
     """The three refutations as rows plus an all-passed row.
 
     ``original`` is the mean effect of an already fitted model on ``df``;
-    without it the model is fitted too, concurrently with the refits.
+    without it the model is fitted too, concurrently with the refits.  The
+    columns that the fits need are computed once, into a written table.
     """
+    df = write_stage_table(df.select(*_needed(features)), "customers")
     if original is None:
         fitted, means = fit_with_refits(df, cfg, features)
         original = float(fitted.transform(df).agg(F.avg("ite")).first()[0])

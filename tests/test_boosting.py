@@ -183,3 +183,15 @@ def test_joint_bins_add_up_to_those_of_each_feature():
                 for sums, weight in zip(got, (g, h, np.ones(n))):
                     assert np.allclose(sums[slot, start:start + widths[f]], np.bincount(bins[f][rows], weight[rows], widths[f]))
             start += widths[f]
+
+
+def test_predictions_only_where_wanted(spark, frame):
+    specs = [bo.FitSpec("y", "classifier", FEATURES, F.col("y")), bo.FitSpec("z", "regressor", FEATURES[:2], F.col("z"))]
+    cols = {f: F.col(f) for f in FEATURES}
+    models, odd = bo.fit_all(frame, cols, specs, bo.Growth(trees=3, depth=2)), F.when(F.col("id") % 3 > 0, F.col("id") % 2 == 1)
+    got = bo.score_columns(frame, [("y1", models["y"], cols), ("y2", models["y"], cols, odd), ("z2", models["z"], cols, ~odd)]).toPandas()
+    x = [got[f].to_numpy(float) for f in FEATURES]
+    wanted = ((got.id % 3 > 0) & (got.id % 2 == 1)).to_numpy()
+    others = ((got.id % 3 > 0) & (got.id % 2 == 0)).to_numpy()
+    assert np.allclose(got.y1, models["y"].scores(x)) and (got.y1[wanted] == got.y2[wanted]).all() and got.y2[~wanted].isna().all()
+    assert (got.z2[others] == models["z"].scores(x[:2])[others]).all() and got.z2[~others].isna().all()
